@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffixes
+from . import decontaminate, simhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -20,5 +24,5 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_simhash": op8_simhash, "op9_suffixes": op9_suffixes}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op8_simhash": op8_simhash, "op9_suffixes": op9_suffixes}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
