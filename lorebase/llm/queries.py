@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, suffixes
+from . import decontaminate, fingerprint, simhash, suffixes, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,9 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op8_simhash": op8_simhash, "op9_suffixes": op9_suffixes}
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_fingerprint": op5_fingerprint, "op8_simhash": op8_simhash, "op9_suffixes": op9_suffixes, "op10_urls": op10_urls}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op10_urls": urls.ORACLE}
