@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to; else they stay until a driver's collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. All-ASCII texts take the fast path; it gives the same result there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -85,8 +92,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def batches_of(it: Iterator, rows: int) -> Iterator:
-    """Arrow batches, cut to at most ``rows`` rows each."""
-    for batch in it:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+class Taken:
+    """Which spans meet some of ``spans`` (start, end), by binary search."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, b - 1) - 1
+        return k >= 0 and self.ends[k] > a

@@ -117,6 +117,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(listed)), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of the benchmark."""
+    found = find(docs, benchmark).where(F.size("found") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    found = checkpointed(found)
+    text_hash = F.xxhash64(docs["text"].cast("string"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & text_hash.eqNullSafe(found["_t"]), "left_anti")
+
+
 ORACLE = r"""
 with dw as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 bw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),

@@ -44,6 +44,11 @@ def _fingerprint_batches(it):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _marked_batches(it):
+    for batch, prints in ((b, next(_fingerprint_batches(iter([b])))) for b in it):
+        yield pa.RecordBatch.from_arrays([batch.column(0), prints.column(1), batch.column(2)], names=["doc_id", "fp", "mark"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long), one row for each row of ``docs(doc_id, text)``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
@@ -164,3 +169,25 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = of.join(ids, "root").select("fp", "component_id")
     return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component.
+
+    That is the row with the component's smallest doc_id; of rows sharing it, and in components that
+    have null ids only, the one with the least hash of its text, and one of rows that agree in that as well.
+    """
+    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    each = marked.select("doc_id", "text", "_mark").mapInArrow(_marked_batches, "doc_id long, fp long, mark long")
+    each = checkpointed(each)
+    distinct = checkpointed(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")))
+    roots = connected_components(links(distinct.select("fp")))
+    of = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    chosen = of.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_own")).distinct()
+    kept = marked.join(chosen, marked.doc_id.eqNullSafe(chosen._id) & (marked._mark == chosen._own), "left_semi")
+    same = kept.groupBy("doc_id", "_mark").count().where("count > 1")
+    if not same.isEmpty():
+        names = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
+        kept = kept.groupBy("doc_id", "_mark").agg(*names)
+    return kept.select(*docs.columns)
