@@ -104,7 +104,9 @@ def parse_markdown(text: str) -> list[tuple]:
             found.append((k, len(m[1]), (m[2] or "").strip()))
         elif k and (m := re.match(r" {0,3}(=+|-+)[ \t]*\r?$", line)) and re.match(r" {0,3}[^\s#>\-*+`~|=]", lines[k - 1]) and (not found or found[-1][0] != k - 1):
             found.append((k - 1, 1 if m[1][0] == "=" else 2, lines[k - 1].strip()))
-    ends = [k for k, _, _ in found[1:]] + [len(lines)]
+    if not found:
+        return []
+    ends = [*(k for k, _, _ in found[1:]), len(lines)]
     return sectioned([(level, label, "\n".join(lines[k:end])) for (k, level, label), end in zip(found, ends, strict=True)])
 
 
