@@ -195,7 +195,19 @@ def auto_merge(spark, d):
     return out.select("query_id", "doc_id", "score", F.array_join(F.transform("source_chunks", lambda x: x.cast("string")), ",").alias("sources"), "pos")
 
 
-@query("mmr_select")
+_COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+@query(
+    "mmr_select",
+    f"""with recursive {_KNN}, cd as (select query_id, doc_id from kn where rnk <= 12), ve as (select vec_id doc_id, embedding::double[] e from embeddings),
+rl as (select query_id, doc_id, {_COS.format(a="e", b="qe")} rel from cd join ve using (doc_id) join qv using (query_id)),
+pc as (select a.query_id, a.doc_id x, b.doc_id y, greatest(0.0, {_COS.format(a="v.e", b="w.e")}) s from cd a join cd b using (query_id) join ve v on v.doc_id = a.doc_id join ve w on w.doc_id = b.doc_id),
+r as (select distinct query_id, 0 step, []::bigint[] picked from cd
+union all select query_id, step + 1, list_append(picked, pick) from (select query_id, step, picked, arg_max(doc_id, (round(0.5 * rel - 0.5 * coalesce(near, 0), 12), rel, -doc_id)) pick from
+ (select r.query_id, r.step, r.picked, l.doc_id, l.rel, max(p.s) near from r join rl l on l.query_id = r.query_id left join pc p on p.query_id = r.query_id and p.x = l.doc_id and list_contains(r.picked, p.y) where r.step < 6 and not list_contains(r.picked, l.doc_id) group by all) group by all))
+select query_id, unnest(picked) doc_id, unnest(range(1, 7))::int pick from r where step = 6""",
+)
 def mmr_select(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     q = e.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
