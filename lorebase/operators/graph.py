@@ -23,9 +23,9 @@ def entities(docs: DataFrame, least: int = 2) -> DataFrame:
     are out.
     """
     raw = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+|[가-힣]+"), F.lit(0))).alias("tok"))
-    term = F.lower("tok")
-    for p in reversed(PARTICLES):
-        term = F.when(F.col("tok").endswith(p) & (F.length("tok") - len(p) >= least), F.expr(f"left(tok, length(tok) - {len(p)})")).otherwise(term)
+    # the first particle that fits is the longest, but for the pair of which the shorter comes first in the list
+    ends = "|".join(p for p in PARTICLES if p != "이라고")
+    term = F.regexp_replace(F.lower("tok"), f"^(.{{{least},}}?)(?:{ends})$", "$1")
     ok = (F.length("entity") >= least) & ~F.col("entity").rlike("^[0-9]+$") & ~F.col("entity").isin(*PARTICLES, *STOPS)
     counts = raw.select("doc_id", term.alias("entity")).where(ok).groupBy("doc_id", "entity").agg(F.count("*").alias("weight"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "entity")

@@ -281,8 +281,8 @@ select query_id, doc_id, strength::bigint strength, rnk::int rnk from (select *,
 )
 def entity_expand(spark, d):
     docs = table(spark, d, "documents")
-    edges = G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id")
-    return G.expand(text_hits(spark, d, 10), edges)
+    edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
+    return G.expand(materialised(text_hits(spark, d, 10)), edges)
 
 
 @query("answer_contexts")
@@ -290,7 +290,7 @@ def answer_contexts(spark, d):
     """The whole path: fuse, expand by shared terms, widen, merge, diversify, clean, pack, cite."""
     hits = materialised(hybrid(spark, d).select("query_id", "doc_id", F.col("rrf_score").alias("score")))
     docs = chunks(spark, d)
-    edges = G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id")
+    edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
     grown = materialised(R.ranked(G.append(hits, G.expand(hits, edges)), "score", "doc_id", 12))
     merged = R.merge_parents(grown, docs).withColumnRenamed("pos", "rnk")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))

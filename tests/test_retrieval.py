@@ -75,9 +75,9 @@ def test_nearest(spark):
 
 
 def test_entities_and_graph(spark):
-    docs = spark.createDataFrame([(1, "학교에서 학교는 the Tree_1 tree_1 42 x"), (2, "tree_1 water"), (3, "tree_1 water"), (4, "tree_1")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "학교에서 학교는 것이라고 the Tree_1 tree_1 42 x"), (2, "tree_1 water"), (3, "tree_1 water"), (4, "tree_1")], "doc_id long, text string")
     e = G.entities(docs)
-    assert [(r.entity, r.weight) for r in e.where("doc_id = 1").orderBy("rnk").collect()] == [("tree_1", 2), ("학교", 2)]
+    assert [(r.entity, r.weight) for r in e.where("doc_id = 1").orderBy("rnk").collect()] == [("tree_1", 2), ("학교", 2), ("것이", 1)]
     books = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "doc_id long, book string")
     hits = spark.createDataFrame([(9, 2, 0.5)], "query_id long, doc_id long, score double")
     near = G.expand(hits, e.join(books, "doc_id"))
