@@ -35,9 +35,13 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     rows = rows.where(F.length("text") <= 4000)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    top = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)  # limited before the exchange, too
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    place, reach = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(1 << 30)
+    for lang, n in counts.items():
+        if n > 2 * SAMPLE_ROWS:  # about twice the sample meets in the ranking, whatever the number of tasks
+            reach = F.when(F.col("lang") == lang, int(2 * SAMPLE_ROWS / n * (1 << 30))).otherwise(reach)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
+    top = rows.where(place < reach).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)
     texts: dict[str, list[str]] = {}
     for r in sorted(top.select("lang", "k", "text").collect(), key=lambda r: (r.lang, r.k)):
         texts.setdefault(r.lang, []).append(r.text)

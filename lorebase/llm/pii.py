@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken
+from .common import Taken, least_hashed
 
 #: The order in which kinds are listed; ``weak`` is the classifier's.
 KINDS = ("email", "ip", "card", "phone", "weak")
@@ -155,7 +155,7 @@ class Classifier:
 def train(docs: DataFrame) -> Classifier:
     """Fit on the candidates of SAMPLE_ROWS documents that have a digit; only votes and features reach the driver."""
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9]"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS)
+    some = least_hashed(some, "doc_id", SAMPLE_ROWS, "text")
 
     def seen(it):
         for batch in it:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken
+from .common import Taken, least_hashed
 
 #: The order in which kinds with the same start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -142,7 +142,7 @@ def labelled(texts: list[str | None]) -> tuple[list[str], list[str]]:
 def train(docs: DataFrame) -> Scanner:
     """Train on SAMPLE_ROWS documents of at most 20,000 characters; only these reach the driver."""
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= 20_000)
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS)
+    some = least_hashed(some, "doc_id", SAMPLE_ROWS, "text")
     return Scanner(*labelled([r.text for r in some.collect()]))
 
 
