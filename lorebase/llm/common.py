@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from bisect import bisect_right
 
 import numpy as np
@@ -27,9 +28,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to; else they stay until a driver's collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of plans that nothing refers to; else they stay until a driver's collection.
+
+    A plan goes when its Python side went and the JVM was told, so it takes more than one round.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -6,6 +6,9 @@ are ordered no further than that. The order is by most-significant-digit passes:
 * the first pass deals every suffix (a window of DEPTH bytes) to a bin by the least hash among the
   GRAM-byte strings in it, which depends on the window's content only. Neighbouring windows mostly
   share it, so runs of them travel as one string, compressed, and not as DEPTH bytes each;
+  A gram that is frequent in ever different windows would make its bin large: the windows of such grams
+  are dealt one by one, by a hash of all their bytes. Which grams these are is told by a bounded
+  sample; every window has one place either way, so the result doesn't depend on it;
 * the further passes order a bin's windows by 16-byte digits, each pass only those that are still tied.
 
 Equal groups at the end are exactly the repeated windows; their bytes are compared, so a collision of
@@ -25,11 +28,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, least_hashed, released
+
 DEPTH = 50
 GRAM = 16
 #: Bytes of text ordered at once before the exchange, and aimed at in each bin after it.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
+#: Chunks whose runs for a bin travel together.
+CHUNKS_A_BLOB = 4
 BIN_BYTES = 4_000_000
+#: The sample that tells frequent grams: documents (least hash) and bytes of them.
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 4_000_000
 #: Stands for a null doc_id: larger than all others, so it never takes a string from a document with an id.
 NO_ID = (1 << 63) - 1
 
@@ -105,6 +114,30 @@ def _later(words, digits, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.sort(at[own > least[group]])
 
 
+def _whole(digits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of the windows starting ``at``."""
+    key = np.zeros(len(at), np.uint64)
+    for offset in (0, 16, 32, DEPTH - GRAM):
+        key = key * _A + digits[at + offset]
+    return _mixed(key)
+
+
+def frequent_grams(texts: list[bytes], bins: int) -> np.ndarray:
+    """Grams that half a bin's share of the different windows of ``texts`` are dealt by, ascending."""
+    texts = [t for t in texts if len(t) >= DEPTH]
+    if not texts:
+        return np.zeros(0, np.uint64)
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    piece = np.repeat(np.arange(len(texts)), sizes)[: len(buf) - DEPTH + 1]
+    at = np.flatnonzero(np.arange(len(piece)) + DEPTH <= np.cumsum(sizes)[piece])
+    words = _words(buf)
+    digits = _digits(words)
+    gone = _later(words, digits, at, piece[at].astype(np.int64))
+    grams, counts = np.unique(_least(digits, DEPTH - GRAM + 1)[np.setdiff1d(at, gone, assume_unique=True)], return_counts=True)
+    return grams[counts * bins * 2 > counts.sum()] if bins > 1 else grams[:0]
+
+
 def _runs(starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of consecutive ``starts`` of one owner."""
     cut = np.flatnonzero((np.diff(starts) != 1) | (owner[1:] != owner[:-1]))
@@ -127,7 +160,16 @@ def _pieces(offsets: np.ndarray):
         yield chunk
 
 
-def _cutter(bins: int):
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: small ones compress to little more than those."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).reshape(-1).view(np.int64)
+
+
+def _cutter(bins: int, frequent: np.ndarray):
     """Batches of (doc_id, variant, text bytes) -> rows for bins: blobs of window runs, and spans already settled."""
 
     def cut(it):
@@ -138,11 +180,14 @@ def _cutter(bins: int):
             text = batch.column(2)
             offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
             data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None and len(text) else np.zeros(0, np.uint8)
-            for chunk in _pieces(offsets):
+            held: dict[int, list] = {}
+            for number, chunk in enumerate(_pieces(offsets), 1):
+                if number % CHUNKS_A_BLOB == 0:
+                    yield _blobs(held, packer)
                 buf = np.concatenate([data[lo:hi] for _, lo, hi in chunk])
                 sizes = np.array([hi - lo for _, lo, hi in chunk])
                 ends = np.cumsum(sizes)
-                piece = np.repeat(np.arange(len(chunk)), sizes)[: len(buf) - DEPTH + 1]
+                piece = np.repeat(np.arange(len(chunk), dtype=np.int32), sizes)[: len(buf) - DEPTH + 1]
                 at = np.flatnonzero(np.arange(len(piece)) + DEPTH <= ends[piece])
                 row = np.array([r for r, _, _ in chunk])[piece]
                 shift = np.array([lo - offsets[r] for r, lo, _ in chunk]) - (ends - sizes)
@@ -159,28 +204,40 @@ def _cutter(bins: int):
                     at = at[kept]
                 if not len(at):
                     continue
-                cuts = np.flatnonzero((np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (piece[at[1:]] != piece[at[:-1]]))
+                own_place = np.isin(least[at], frequent) if len(frequent) else np.zeros(len(at), bool)
+                cuts = np.flatnonzero((np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (piece[at[1:]] != piece[at[:-1]]) | own_place[1:])
                 a, b = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(at) - 1]])
                 start, count = at[a], b - a + 1
-                home = (_mixed(least[start].copy()) % np.uint64(bins)).astype(np.int64)
+                place = np.where(own_place[a], _whole(digits, start), _mixed(least[start].copy())) if len(frequent) else _mixed(least[start].copy())
+                home = (place % np.uint64(bins)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
                 start, count, home = start[order], count[order], home[order]
                 r = row[start]
                 own, kind, begin = ids[r], variants[r], start + shift[piece[start]]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]])
-                blobs = []
-                for i, j in zip(edges[:-1], edges[1:], strict=True):
-                    n = count[i:j] + DEPTH - 1
-                    total = np.cumsum(n)
-                    taken = np.arange(total[-1]) + np.repeat(start[i:j] - (total - n), n)
-                    head = np.diff(own[i:j], prepend=0).tobytes() + kind[i:j].tobytes() + begin[i:j].tobytes() + count[i:j].tobytes()
-                    blobs.append(packer.compress(np.int64(j - i).tobytes() + head + buf[taken].tobytes()))
-                none = np.zeros(len(blobs), np.int64)
-                yield _rows(home[edges[:-1]], none, none, none, none, blobs)
+                n = (count + DEPTH - 1).astype(np.int32)
+                total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                taken = np.repeat((start - total[:-1]).astype(np.int32), n)
+                taken += np.arange(total[-1], dtype=np.int32)
+                body = buf[taken]
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    held.setdefault(int(home[i]), []).append((own[i:j], kind[i:j], begin[i:j], count[i:j], body[total[i] : total[j]]))
+            yield _blobs(held, packer)
 
     return cut
 
 
+def _blobs(held: dict[int, list], packer):
+    """A row for each bin of ``held``, which is emptied: its runs' documents, places and lengths, then their bytes."""
+    bins, blobs = sorted(held), []
+    for home in bins:
+        own, kind, begin, count, body = (np.concatenate(x) for x in zip(*held.pop(home), strict=True))
+        head = b"".join(_planes(x) for x in (np.diff(own, prepend=0), kind, begin, count))
+        blobs.append(packer.compress(np.int64(len(own)).tobytes() + head + body.tobytes()))
+    none = np.zeros(len(blobs), np.int64)
+    return _rows(np.array(bins, np.int64), none, none, none, none, blobs)
+
+
 def _rows(home, ids, variants, lo, hi, blobs):
     columns = [pa.array(np.asarray(x, np.int64)) for x in (home, ids, variants, lo, hi)]
     columns.append(pa.nulls(len(home), pa.binary()) if blobs is None else pa.array(blobs, pa.binary()))
@@ -194,7 +251,7 @@ def _bin_spans(rows: pd.DataFrame) -> pd.DataFrame:
     for blob in rows.blob.dropna():
         raw = unpacker.decompress(blob)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        head = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n).copy()
+        head = np.stack([_numbers(raw, n, 8 + 8 * n * k) for k in range(4)])
         head[0] = np.cumsum(head[0])
         heads.append(head)
         bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 32 * n))
@@ -245,7 +302,11 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     """(doc_id, variant, lo, hi): byte ranges of ``docs(doc_id, variant, raw)`` to remove; they may overlap."""
     bins = max(1, -(-int(3.7 * total_bytes) // BIN_BYTES))
     schema = "bin long, doc_id long, variant long, lo long, hi long, blob binary"
-    dealt = docs.select("doc_id", "variant", "raw").mapInArrow(_cutter(bins), schema)
+    some = docs.where(F.octet_length("raw") <= SAMPLE_BYTES // 100).select("doc_id", "raw")
+    some = least_hashed(some, "doc_id", SAMPLE_ROWS, "raw").collect()
+    sizes = np.cumsum([len(r.raw) for r in some])
+    frequent = frequent_grams([bytes(r.raw) for r, n in zip(some, sizes, strict=True) if n <= SAMPLE_BYTES], bins)
+    dealt = docs.select("doc_id", "variant", "raw").mapInArrow(_cutter(bins, frequent), schema)
     return dealt.groupBy("bin").applyInPandas(_bin_spans, "doc_id long, variant long, lo long, hi long")
 
 
@@ -266,6 +327,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("variant", variant)
     spans = repeated_spans(rows.select(F.col("key").alias("doc_id"), "variant", F.col("text").cast("binary").alias("raw")), size)
     spans = spans.distinct() if repeated else spans
+    spans = checkpointed(spans)  # the bins' shuffle isn't needed any more
+    released(rows.sparkSession)
     spans = spans.groupBy("doc_id", "variant").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     spans = spans.withColumnsRenamed({"doc_id": "key", "variant": "kind"})
     joined = rows.join(spans, (rows.key == spans.key) & (rows.variant == spans.kind), "left")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from lorebase.llm import suffixes as S
 
@@ -44,7 +45,8 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
-def test_small_chunks_and_many_bins(spark):
+@pytest.mark.parametrize("share", [0, 3, 1000])
+def test_small_chunks_and_many_bins(share):
     rows = made(9) + [(40, "same id"), (41, made(9)[5][1]), (41, "other text " * 9), (41, "other text " * 9)]
     cut, spans = S.CHUNK_BYTES, []
     S.CHUNK_BYTES = 400
@@ -52,8 +54,10 @@ def test_small_chunks_and_many_bins(spark):
         import pandas as pd
         import pyarrow as pa
 
+        grams = S.frequent_grams([(t or "").encode() for _, t in rows], share)
+        assert (len(grams) > 0) == (share == 1000) or share == 3
         batch = pa.RecordBatch.from_arrays([pa.array([S.NO_ID if i is None else i for i, _ in rows]), pa.array([hash(t) % 9999 for _, t in rows]), pa.array([(t or "").encode() for _, t in rows], pa.binary())], names=["doc_id", "variant", "raw"])
-        dealt = pd.concat([b.to_pandas() for b in S._cutter(7)([batch.slice(0, 20), batch.slice(20)])])
+        dealt = pd.concat([b.to_pandas() for b in S._cutter(7, grams)([batch.slice(0, 20), batch.slice(20)])])
         spans = pd.concat([S._bin_spans(g) for _, g in dealt.groupby("bin")])
     finally:
         S.CHUNK_BYTES = cut
