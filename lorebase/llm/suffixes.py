@@ -33,12 +33,12 @@ from .common import checkpointed, least_hashed, released
 DEPTH = 50
 GRAM = 16
 #: Bytes of text ordered at once before the exchange, and aimed at in each bin after it.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Chunks whose runs for a bin travel together.
-CHUNKS_A_BLOB = 4
+CHUNKS_A_BLOB = 8
 BIN_BYTES = 4_000_000
 #: The sample that tells frequent grams: documents (least hash) and bytes of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 4_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 2_000_000
 #: Stands for a null doc_id: larger than all others, so it never takes a string from a document with an id.
 NO_ID = (1 << 63) - 1
 
