@@ -61,3 +61,13 @@ def test_language_on_held_out_rows(spark):
     assert got[1003].lang_pred == rows[0][2] and all(0 <= r.score <= 1 for r in got.values())
     assert language.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def test_near_hits_of_a_long_text():
+    rng = random.Random(9)
+    low = rng.choices(["idiot", "you"] + ["calm"] * 60, k=20_000)
+    at, second = [i for i, w in enumerate(low) if w == "idiot"], [i for i, w in enumerate(low) if w == "you"]
+    want = sum(any(abs(i - j) <= 5 for j in second) for i in at)
+    assert len(at) * len(second) > 10_000 and 0 < want < len(at)
+    assert toxicity.features(" ".join(low), {"idiot": 1.0}, {})[toxicity.NAMES.index("near")] == want / len(low)
+    assert toxicity._near([], second) == toxicity._near(at, []) == 0 and toxicity._near([0, 6, 20], [5, 26]) == 2
