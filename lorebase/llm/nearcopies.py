@@ -1,0 +1,174 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
+
+A set's shingles are put in one order for all texts, common ones last. Two sets at SIMILARITY or more
+share one of the first fifth of each (prefix filter), so an equality exchange on these finds all
+candidates, and whole texts verify them.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, connected_components, released, tasks_for
+from .simhash import standing_rows
+
+SHINGLE = 5
+#: Similarity as a fraction, so that comparisons are exact.
+SIMILARITY = (4, 5)
+#: Texts that tell which shingles are common, in how many of them one is, and how many such are told: they only set the order.
+SAMPLE_ROWS, COMMON, COMMON_ROWS = 8_192, 4, 50_000
+#: Beyond so many texts at a key its pairs are dealt out as blocks.
+BLOCK = 512
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the word shingles of whole ``text``; fewer words make one, no word none."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+    if not words:
+        return np.empty(0, np.int64)
+    size, one = min(size, len(words)), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((one(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)), np.uint64)).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles are at SIMILARITY or more; two empty ones are."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
+
+
+def prefix(found: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of all texts, so many that similar sets share one."""
+    n, rank = len(found), np.zeros(len(found), np.int64)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        rank = np.where(common[at] == found, level[at], 0)
+    least = -(-SIMILARITY[0] * n // SIMILARITY[1])
+    return found[np.lexsort((found, rank))][: n - least + 1]
+
+
+def _exploded(it):
+    for batch in it:
+        for text in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()))], names=["key"])
+
+
+def common_shingles(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, texts of a sample that have it), ascending by shingle."""
+    n, place = marked.count(), F.pmod(F.xxhash64("_mark"), F.lit(1 << 30))
+    some = marked if n <= SAMPLE_ROWS else marked.where(place < int(SAMPLE_ROWS / n * (1 << 30)))
+    keys = some.dropDuplicates(["_mark"]).select("text").mapInArrow(_exploded, "key long")
+    got = keys.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(COMMON_ROWS).toArrow()
+    keys, level = got.column(0).to_numpy(), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], level[order]
+
+
+def _sets(common: np.ndarray, level: np.ndarray):
+    def run(it):
+        for batch in it:
+            sids, sizes, prefixes = [], [], []
+            for text in batch.column(1):
+                found = shingles(text.as_py())
+                sids.append(xxhash.xxh64_intdigest(found.tobytes()))
+                sizes.append(len(found))
+                prefixes.append(prefix(found, common, level))
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "sid", "n", "prefix"])
+
+    return run
+
+
+def _may(n, pos, m, at):
+    """Whether sets of sizes n and m whose first common shingle is at pos and at can be similar; columns or arrays."""
+    p, q = SIMILARITY
+    return (q * n >= p * m) & (q * m >= p * n) & ((p + q) * (n - pos) >= p * (n + m)) & ((p + q) * (m - at) >= p * (n + m))
+
+
+def _crossed(it):
+    """Of one partition of (key, lo, hi, block, sid, comp, n, pos): the pairs of a cell that may be similar and aren't linked yet."""
+    got = [b for b in it if b.num_rows]
+    if not got:
+        return
+    key, lo, hi, block, sid, comp, n, pos = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]).astype(np.int64) for k in range(8))
+    order = np.lexsort((hi, lo, key))
+    key, lo, hi, block, sid, comp, n, pos = (c[order] for c in (key, lo, hi, block, sid, comp, n, pos))
+    at, lag = np.arange(len(key)), 0
+    while len(at):
+        lag += 1
+        at = at[at + lag < len(key)]
+        to = at + lag
+        at = at[(key[at] == key[to]) & (lo[at] == lo[to]) & (hi[at] == hi[to])]
+        to = at + lag
+        a = at[(comp[at] != comp[to]) & ((block[at] != block[to]) | (lo[at] == hi[at])) & _may(n[at], pos[at], n[to], pos[to])]
+        if len(a):
+            b = a + lag
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[a], sid[b])), pa.array(np.maximum(sid[a], sid[b]))], names=["a", "b"])
+
+
+def _similar_pairs(it):
+    """(a, b, text of a, text of b) -> the pairs that are similar."""
+    for batch in it:
+        kept, last, found = [], None, None
+        for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if a != last:
+                last, found = a, shingles(x.as_py())
+            kept.append(similar(found, shingles(y.as_py())))
+        yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b")
+    return checkpointed(both.select("a", "b", "x", "y").mapInArrow(_similar_pairs, "a long, b long"))
+
+
+def links(distinct: DataFrame, marked: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets ``distinct(sid, first, n, prefix)`` that connect just what is linked by similar pairs.
+
+    First each set is compared with the least one at each of its keys; then, of keys that still have
+    sets of several components, all pairs across these. Groups of near copies thus cost what is linear
+    in the group, and no similar pair is left out.
+    """
+    spark = distinct.sparkSession
+    rows = distinct.select("sid", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("hub")).where("c > 1")
+    live = checkpointed(rows.join(shared, "key").select("key", "sid", "n", "pos", "hub", "c"))
+    released(spark)
+    wanted = distinct.join(live.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_own"))
+    texts = marked.select("doc_id", "text", "_mark").join(wanted, marked.doc_id.eqNullSafe(wanted._id) & (marked._mark == wanted._own)).select("sid", "text")
+    texts = checkpointed(texts.dropDuplicates(["sid"]))
+    released(spark)
+    hubs = live.where("sid = hub").select("key", F.col("n").alias("hn"), F.col("pos").alias("hp"))
+    stars = live.where("sid <> hub").join(hubs, "key").where(_may(F.col("n"), F.col("pos"), F.col("hn"), F.col("hp")))
+    near = _verified(stars.select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), texts)
+    roots = connected_components(near)
+    of = live.join(roots, live.sid == roots.node, "left").withColumn("comp", F.coalesce("root", "sid"))
+    mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    of = checkpointed(of.join(mixed, "key", "left_semi").select("key", "sid", "comp", "n", "pos", "c"))
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = of.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", "pos")
+    dealt = dealt.repartition(tasks_for(spark, of.count(), 500_000), "key", "lo", "hi")
+    rest = _verified(dealt.mapInArrow(_crossed, "a long, b long").distinct(), texts)
+    released(spark)
+    return near.union(rest)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group of near copies.
+
+    Groups are what is linked by pairs of whole texts at SIMILARITY or more; texts without a word are
+    one group. That row stands which has the group's smallest doc_id; of rows sharing it, and in groups
+    that have null ids only, the one with the least hash of its text, and one of rows that agree in that as well.
+    """
+    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    each = marked.select("doc_id", "text", "_mark").mapInArrow(_sets(*common_shingles(marked)), "doc_id long, mark long, sid long, n int, prefix array<long>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    distinct = checkpointed(each.groupBy("sid").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    released(docs.sparkSession)
+    roots = connected_components(links(distinct, marked))
+    of = distinct.join(roots, distinct.sid == roots.node, "left").select("first", F.coalesce("root", "sid").alias("root"))
+    return standing_rows(docs, marked, of)

@@ -171,6 +171,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def standing_rows(docs: DataFrame, marked: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``marked``: with the text's hash as _mark) that are the least ``first`` of a root in ``of(first, root)``."""
+    chosen = of.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_own")).distinct()
+    kept = marked.join(chosen, marked.doc_id.eqNullSafe(chosen._id) & (marked._mark == chosen._own), "left_semi")
+    same = kept.groupBy("doc_id", "_mark").count().where("count > 1")
+    if not same.isEmpty():
+        names = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
+        kept = kept.groupBy("doc_id", "_mark").agg(*names)
+    return kept.select(*docs.columns)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component.
 
@@ -183,11 +195,4 @@ def representatives(docs: DataFrame) -> DataFrame:
     distinct = checkpointed(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")))
     roots = connected_components(links(distinct.select("fp")))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    chosen = of.groupBy("root").agg(F.min("first").alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_own")).distinct()
-    kept = marked.join(chosen, marked.doc_id.eqNullSafe(chosen._id) & (marked._mark == chosen._own), "left_semi")
-    same = kept.groupBy("doc_id", "_mark").count().where("count > 1")
-    if not same.isEmpty():
-        names = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
-        kept = kept.groupBy("doc_id", "_mark").agg(*names)
-    return kept.select(*docs.columns)
+    return standing_rows(docs, marked, of)

@@ -1,0 +1,76 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from lorebase.llm import nearcopies as N
+from lorebase.llm import simhash
+
+
+def grams(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ") if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def close(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def kept(rows):
+    sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and close(sets[i], sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    return {min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root)}
+
+
+def rows():
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefghé", k=rng.randrange(2, 9))) for _ in range(2000)]
+    out, line = [], rng.choices(vocab, k=30)
+    for _ in range(25):
+        base = rng.choices(vocab, k=rng.randrange(12, 200))
+        for _ in range(7):
+            w = list(base)
+            for _ in range(rng.randrange(0, 2 + len(w) // 50)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            cut = rng.randrange(0, len(w) // 8 + 1)
+            out.append(w[cut:] if rng.random() < 0.5 else w[: len(w) - cut])
+    out += [line + rng.choices(vocab, k=rng.randrange(3, 60)) for _ in range(40)]
+    out += [line[:k] for k in range(1, 8)]
+    rng.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)] + [(900, None), (901, ""), (902, " ")]
+
+
+@pytest.mark.parametrize("block, common", [(N.BLOCK, N.COMMON), (2, 10_000)])
+def test_stage_against_all_pairs(spark, monkeypatch, block, common):
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "COMMON", common)
+    table = rows()
+    want = kept(table)
+    far = [(a, b) for a, s in table for b, t in table if a < b and close(grams(s), grams(t)) and (simhash.simhash(s) ^ simhash.simhash(t)).bit_count() > 4]
+    assert len(far) > 50 and len(want) < len(table) - 50
+    docs = spark.createDataFrame(table, "doc_id long, text string").selectExpr("*", "'k' as lang", "1 as key")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    got = [r.doc_id for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == len(set(got)) and set(got) == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng, none = np.random.default_rng(4), np.empty(0, np.int64)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 60)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 400, 2)]))
+        levels = np.unique(rng.integers(0, 400, 50))
+        for order in ((none, none), (levels, levels % 7 + 1)):
+            if N.similar(a, b):
+                assert set(N.prefix(a, *order)) & set(N.prefix(b, *order))
+    assert len(N.prefix(none, none, none)) == 0 and len(N.shingles("a b")) == 1 and len(N.shingles(" ")) == 0
+
+
+def test_repeated_rows(spark):
+    table = [(1, "a b c"), (1, "a b c"), (1, "q r s t u v"), (2, "A  b c"), (None, "z z z z"), (None, "z z z z")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert sorted(map(tuple, N.representatives(docs).collect()), key=str) == sorted([(1, "a b c"), (1, "q r s t u v"), (None, "z z z z")], key=str)
+    assert N.representatives(docs.limit(0)).count() == 0
