@@ -52,6 +52,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     (descending) or l2 (ascending), rounded to six digits; ties go to the smaller id. Vectors of
     another length than the query's, and nulls, are left out; k < 1 gives nothing.
     """
+    out = _scored(queries, vectors, k, metric)
+    order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
+    return out.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rnk") <= k)
+
+
+def within(queries: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    """(query_id, id, score): for each of ``queries(query_id, vector)`` all of ``vectors(id, vector)`` whose cosine reaches ``floor``.
+
+    Blocks, scores and what is left out as in ``nearest``; each task gives every pair that it finds.
+    """
+    return _scored(queries, vectors, None, "cosine", floor)
+
+
+def _scored(queries: DataFrame, vectors: DataFrame, k: int | None, metric: str, floor: float | None = None) -> DataFrame:
+    """(query_id, id, score): each task's k best of a query, or all of its pairs from ``floor`` on."""
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     spark = vectors.sparkSession
     rows = queries.where("vector is not null").orderBy("query_id").toLocalIterator()
@@ -62,9 +77,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
         for at, r in enumerate(block):
             by_length.setdefault(len(r.vector), []).append(at)
         groups = [(n, at, np.array([block[i].vector for i in at], np.float64)) for n, at in by_length.items()]
-        parts.append(vectors.select("id", "vector").where("vector is not null").mapInArrow(_scorer(ids, groups, k, metric), schema))
+        parts.append(vectors.select("id", "vector").where("vector is not null").mapInArrow(_scorer(ids, groups, k, metric, floor), schema))
 
-    if k > 0:
+    if k is None or k > 0:
         for row in rows:
             block.append(row)
             if len(block) == BLOCK_QUERIES:
@@ -73,15 +88,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
         if block:
             flush()
     if not parts:
-        return spark.createDataFrame([], schema + ", rnk int")
+        return spark.createDataFrame([], schema)
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
-    return out.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rnk") <= k)
+    return out
 
 
-def _scorer(ids, groups, k: int, metric: str):
+def _scorer(ids, groups, k: int | None, metric: str, floor: float | None = None):
     def run(it):
         for batch in it:
             lengths = np.diff(batch.column(1).offsets.to_numpy())
@@ -100,9 +114,11 @@ def _scorer(ids, groups, k: int, metric: str):
                 else:
                     score = low = np.round(np.stack([np.sqrt(((x - one) ** 2).sum(1)) for one in q]), 6)
                 names = batch.column(0).take(pa.array(rows))
-                tie = np.argsort(np.argsort(np.array(names.to_pylist())))
+                tie = np.argsort(np.argsort(np.array(names.to_pylist()))) if k is not None else None
                 for i, place in enumerate(at):
-                    best = np.lexsort((tie, low[i]))[:k]
+                    best = np.lexsort((tie, low[i]))[:k] if k is not None else np.flatnonzero(score[i] >= floor)
+                    if not len(best):
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array([ids[place]] * len(best)), names.take(pa.array(best)), pa.array(score[i][best] + 0.0)], names=["query_id", "id", "score"])
 
     return run

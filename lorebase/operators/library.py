@@ -79,12 +79,12 @@ def snippet(text: Column, terms: Column, width: int = 12) -> Column:
     return F.concat(F.when(start > 1, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > start + width - 1, "…").otherwise(""))
 
 
-def similar_pairs(turns: DataFrame, chunks: DataFrame, floor: float = 0.85, depth: int = 50) -> DataFrame:
-    """(turn_id, chunk_id, similarity): chunks whose cosine to a turn's vector reaches ``floor``, the ``depth`` nearest at most."""
+def similar_pairs(turns: DataFrame, chunks: DataFrame, floor: float = 0.85) -> DataFrame:
+    """(turn_id, chunk_id, similarity): all chunks whose cosine to a turn's vector reaches ``floor``."""
     from ..functions import vectors as V
 
-    near = V.nearest(turns.select(F.col("turn_id").alias("query_id"), "vector"), chunks.select(F.col("chunk_id").alias("id"), "vector"), depth)
-    return near.where(F.col("score") >= floor).select(F.col("query_id").alias("turn_id"), F.col("id").alias("chunk_id"), F.col("score").alias("similarity"))
+    near = V.within(turns.select(F.col("turn_id").alias("query_id"), "vector"), chunks.select(F.col("chunk_id").alias("id"), "vector"), floor)
+    return near.select(F.col("query_id").alias("turn_id"), F.col("id").alias("chunk_id"), F.col("score").alias("similarity"))
 
 
 def first_passing(scores: Column, ids: Column, floor: float = 0.5) -> Column:

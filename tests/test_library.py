@@ -34,3 +34,11 @@ def test_routed(spark):
     df = spark.createDataFrame([("Rewrite: a b\nClass: keyword", "q"), ("nothing", "why so blue"), (None, "TCP x")], "a string, q string")
     rewrite, kind = L.routed(df.a, df.q)
     assert [tuple(r) for r in df.select(rewrite, kind).collect()] == [("a b", "keyword"), ("why so blue", "conceptual"), ("TCP x", "keyword")]
+
+
+def test_similar_pairs_of_a_large_group(spark):
+    turns = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "turn_id long, vector array<float>")
+    chunks = spark.createDataFrame([(i, [1.0, 0.0] if i < 120 else [3.0, 4.0]) for i in range(130)] + [(200, None), (201, [1.0])], "chunk_id long, vector array<float>")
+    got = sorted(map(tuple, L.similar_pairs(turns, chunks, 0.8).collect()))
+    assert got == [(1, i, 1.0) for i in range(120)] + [(2, i, 0.8) for i in range(120, 130)]
+    assert L.similar_pairs(turns.limit(0), chunks).count() == 0
