@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from bisect import bisect_right
 
 import numpy as np
@@ -15,10 +13,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where none is configured (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorebase-ckpt-"))
+    """Use the cluster's shared checkpoint folder; only a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorebase-ckpt-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,17 +28,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to; else they stay until a driver's collection.
-
-    A plan goes when its Python side went and the JVM was told, so it takes more than one round.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. All-ASCII texts take the fast path; it gives the same result there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -52,6 +42,15 @@ def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(shuffle_partitions(spark), -(-rows // each))
 
 
+#: Rows up to which a table of a few numbers a row is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(small: DataFrame, rows: int) -> DataFrame:
+    """``small``, a table of a few numbers a row, marked for broadcast if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+
+
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it reaches) for every node of the edges a-b that isn't its own smallest."""
     nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, local_components, tasks_for
+from .common import checkpointed, connected_components, local_components, shuffle_partitions, sized, tasks_for
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -18,11 +18,11 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 DENSE = 1024
 
 
-def simhash(text: str | None, size: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of whole ``text``; 0 if it has no word."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of each ``size``-word shingle of whole ``text`` in order; fewer words make one, no word none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     norm = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -30,12 +30,20 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
         starts, ends = starts[: 1 - size], ends[size - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    ones, one = np.zeros(64, np.int64), xxhash.xxh64_digest
+    out, one = np.empty(len(starts), np.uint64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), 65536):
         a, b = starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist()
-        digests = b"".join([one(norm[i:j], 42) for i, j in zip(a, b, strict=True)])
-        ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
+        out[at : at + len(a)] = [one(norm[i:j], 42) for i, j in zip(a, b, strict=True)]
+    return out
+
+
+def simhash(text: str | None, size: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of whole ``text``; 0 if it has no word."""
+    found, ones = shingle_hashes(text, size), np.zeros(64, np.int64)
+    for at in range(0, len(found), 255):  # counts of 255 rows fit a byte
+        rows = found[at : at + 255].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.add.reduce(np.unpackbits(rows, axis=1), axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big")
 
 
 def _fingerprint_batches(it):
@@ -44,11 +52,6 @@ def _fingerprint_batches(it):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
-def _marked_batches(it):
-    for batch, prints in ((b, next(_fingerprint_batches(iter([b])))) for b in it):
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints.column(1), batch.column(2)], names=["doc_id", "fp", "mark"])
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long), one row for each row of ``docs(doc_id, text)``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
@@ -159,40 +162,28 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Fewer words make one shingle; none (null and empty text too) gives fingerprint zero, linked like
     any other. Links join fingerprints within four bits; component_id is the smallest doc_id
     reachable. Null doc_ids are never the smallest: a component of nulls only has a null id. Rows
-    with equal doc_id are rows of their own. An empty table gives no rows; other columns are ignored.
+    with equal doc_id are rows of their own; a bit set in just half the shingles is 0. A very long text
+    is hashed whole, 65,536 shingles at a time. An empty table gives no rows; other columns are ignored.
     """
     each = checkpointed(fingerprints(docs))
-    distinct = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = checkpointed(distinct.repartition(shuffle_partitions(docs.sparkSession), "fp"))  # the variants' work is dealt by these
     roots = connected_components(links(distinct.select("fp")))
-    of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = checkpointed(of)
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of.join(ids, "root").select("fp", "component_id")
+    linked = checkpointed(distinct.join(roots.union(roots.select("root", "root").distinct()), distinct.fp == F.col("node")).select("fp", "least", "root"))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = linked.join(sized(ids, ids.count()), "root").select("fp", "component_id")
+    classes = classes.union(distinct.join(linked, "fp", "left_anti").select("fp", "least"))
     return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def standing_rows(docs: DataFrame, marked: DataFrame, of: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (``marked``: with the text's hash as _mark) that are the least ``first`` of a root in ``of(first, root)``."""
+def standing_rows(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the least ``first`` (none, doc_id, hash of the text) of a root in ``of(first, root)``."""
     chosen = of.groupBy("root").agg(F.min("first").alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_own")).distinct()
-    kept = marked.join(chosen, marked.doc_id.eqNullSafe(chosen._id) & (marked._mark == chosen._own), "left_semi")
-    same = kept.groupBy("doc_id", "_mark").count().where("count > 1")
-    if not same.isEmpty():
-        names = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
-        kept = kept.groupBy("doc_id", "_mark").agg(*names)
-    return kept.select(*docs.columns)
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component.
-
-    That is the row with the component's smallest doc_id; of rows sharing it, and in components that
-    have null ids only, the one with the least hash of its text, and one of rows that agree in that as well.
-    """
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    each = marked.select("doc_id", "text", "_mark").mapInArrow(_marked_batches, "doc_id long, fp long, mark long")
-    each = checkpointed(each)
-    distinct = checkpointed(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")))
-    roots = connected_components(links(distinct.select("fp")))
-    of = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    return standing_rows(docs, marked, of)
+    chosen = chosen.select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark")).distinct()
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]) & (mark == chosen["mark"]), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    held = kept.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"), F.xxhash64(F.to_json(row)).alias("order"), row.alias("row"))
+    if held.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        return kept
+    return held.groupBy("doc_id", "mark").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, least_hashed, released
+from .common import checkpointed, least_hashed
 
 DEPTH = 50
 GRAM = 16
@@ -327,8 +327,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("variant", variant)
     spans = repeated_spans(rows.select(F.col("key").alias("doc_id"), "variant", F.col("text").cast("binary").alias("raw")), size)
     spans = spans.distinct() if repeated else spans
-    spans = checkpointed(spans)  # the bins' shuffle isn't needed any more
-    released(rows.sparkSession)
+    spans = checkpointed(spans)
     spans = spans.groupBy("doc_id", "variant").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     spans = spans.withColumnsRenamed({"doc_id": "key", "variant": "kind"})
     joined = rows.join(spans, (rows.key == spans.key) & (rows.variant == spans.kind), "left")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as C
-from lorebase.llm import decontaminate, pieces, secrets, simhash, toxicity
+from lorebase.llm import decontaminate, pieces, secrets, simhash, simhash_near, toxicity
 
 
 def tables(folder, spark):
@@ -74,4 +74,4 @@ def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
 def test_representatives_of_repeated_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (1, "q r s t u v"), (2, "a b c"), (None, "z z z z"), (None, "z z z z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as lang")
-    assert sorted(map(tuple, simhash.representatives(docs).collect()), key=str) == sorted([(1, "a b c", "k"), (1, "q r s t u v", "k"), (None, "z z z z", "k")], key=str)
+    assert sorted(map(tuple, simhash_near.representatives(docs).collect()), key=str) == sorted([(1, "a b c", "k"), (1, "q r s t u v", "k"), (None, "z z z z", "k")], key=str)
