@@ -112,6 +112,12 @@ def least_hashed(df: DataFrame, key: str, most: int, *ties: str) -> DataFrame:
     return df.orderBy(place, key, *ties).limit(most)
 
 
+def piece(text: Column, key: Column, size: int) -> Column:
+    """Up to ``size`` characters of ``text``, from a place that a hash of ``key`` tells: a bounded part of a sampled text."""
+    start = F.pmod(F.xxhash64(key, F.lit("piece")), F.greatest(F.length(text) - size, F.lit(0)) + 1)
+    return F.substring(text, start.cast("int") + 1, F.lit(size))
+
+
 class Taken:
     """Which spans meet some of ``spans`` (start, end), by binary search."""
 

@@ -16,8 +16,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The labelled sample: for each language the rows with the least hash of doc_id, and so many bytes of them.
+from .common import piece
+
+#: The labelled sample: for each language the rows with the least hash of doc_id, so many characters of
+#: each (a piece of longer texts), and so many bytes of them all; the languages with the most rows.
 SAMPLE_ROWS = 400
+PIECE_CHARS = 2_000
+MOST_LANGUAGES = 256
 DICTIONARY_BYTES = 98_304
 LEVEL = 6
 SEGMENT_BYTES = 2048
@@ -34,26 +39,26 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of the rows that may be learned from; a bounded sample reaches the driver."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    rows = rows.where(F.length("text") <= 4000)
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    place, reach = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(1 << 30)
-    for lang, n in counts.items():
-        if n > 2 * SAMPLE_ROWS:  # about twice the sample meets in the ranking, whatever the number of tasks
-            reach = F.when(F.col("lang") == lang, int(2 * SAMPLE_ROWS / n * (1 << 30))).otherwise(reach)
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r["count"] for r in top.collect()}
+    place, reach = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(0)
+    for lang, n in counts.items():  # about twice the sample meets in the ranking, whatever the number of tasks
+        reach = F.when(F.col("lang") == lang, min(1 << 30, int(2 * SAMPLE_ROWS / n * (1 << 30)))).otherwise(reach)
     order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
-    top = rows.where(place < reach).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)
+    some = rows.where(place < reach).select("doc_id", "lang", piece(F.col("text"), F.col("doc_id"), PIECE_CHARS).alias("text"))
+    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)
     texts: dict[str, list[str]] = {}
-    for r in sorted(top.select("lang", "k", "text").collect(), key=lambda r: (r.lang, r.k)):
+    for r in sorted(some.select("lang", "k", "text").collect(), key=lambda r: (r.lang, r.k)):
         texts.setdefault(r.lang, []).append(r.text)
-    common = sorted(texts, key=lambda lang: (-counts[lang], lang))
-    return {lang: "\n".join(dict.fromkeys(texts[lang])).lower().encode()[-DICTIONARY_BYTES:] for lang in common}
+    common = [lang for lang in counts if lang in texts]
+    return {lang: b" " * 8 + "\n".join(dict.fromkeys(texts[lang])).lower().encode()[-DICTIONARY_BYTES:] for lang in common}
 
 
 class Classifier:
     """Compressors for each language, the most frequent first; built where they are used."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.dictionaries = {k: v for k, v in dictionaries.items() if len(v) >= 8}
+        self.dictionaries = dictionaries
 
     def __getstate__(self):
         return self.dictionaries
@@ -88,8 +93,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected), one row for each row of ``docs(doc_id, text, lang)``.
 
     ``lang_pred`` is the language of the least size even where ``rejected`` marks its margin as narrow;
-    ties go to the language with more labelled rows, then the first in the alphabet. Null texts and texts without a letter are ``und``, and
-    so is everything if there is nothing to learn from. A null doc_id isn't held out, nor learned from.
+    ties go to the language with more labelled rows, then the first in the alphabet. Null texts and
+    texts without a letter are ``und``, and so is everything if there is nothing to learn from. A very
+    long text is compressed whole, SEGMENT_BYTES at a time; repeated rows are judged each by itself. A null doc_id isn't held out, nor learned from.
     An empty table gives no rows; other columns are ignored.
     """
     model = Classifier(learn(docs))

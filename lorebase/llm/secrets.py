@@ -1,8 +1,8 @@
 """Secret scans: fixed rules, and character Markov models compared by log-likelihood ratio.
 
 The rules give the base spans. Beyond them, a long token is a secret if an order-1 model of random
-strings explains it better than one of ordinary identifiers, by a margin that no labelled identifier of
-the sample reached. Both models are trained here: the random one on the secrets that the rules label in
+strings explains it better than one of ordinary identifiers, by more a character than nearly all
+ordinary tokens of the sample. Both models are trained here: the random one on the secrets that the rules label in
 a bounded sample and on seeded random strings, the ordinary one on the sample's other tokens and on
 identifiers made of its words.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken, least_hashed
+from .common import Taken, least_hashed, piece
 
 #: The order in which kinds with the same start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -26,10 +26,11 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Texts of the labelled sample (least hash of doc_id), characters kept of each label, and seeded strings.
-SAMPLE_ROWS, SAMPLE_TOKENS, SEEDED = 1_000, 50_000, 4_000
-#: How far above the most random-looking ordinary token of the sample a secret must be.
-MARGIN = 4.0
+#: Texts of the labelled sample (least hash of doc_id), characters of each (a piece of longer texts), and seeded strings.
+SAMPLE_ROWS, PIECE_CHARS, SEEDED = 1_000, 4_000, 4_000
+#: A secret's log-likelihood ratio a character is over that of all but a QUANTILE of the ordinary long
+#: tokens (so that unlabelled secrets among them don't set it) by MARGIN, and its whole ratio over LEAST.
+QUANTILE, MARGIN, LEAST = 0.02, 0.1, 4.0
 
 _CLASS = np.full(256, 64, np.int64)
 for _i, _c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
@@ -71,11 +72,15 @@ class Markov:
     """Order-1 log-probabilities of characters, add-half smoothed."""
 
     def __init__(self, tokens):
-        first, pair = np.full(_STATES, 0.5), np.full((_STATES, _STATES), 0.5)
-        for token in tokens:
-            c = _codes(token)
-            first[c[0]] += 1
-            np.add.at(pair, (c[:-1], c[1:]), 1)
+        first, pair = np.full(_STATES, 0.5), np.full(_STATES * _STATES, 0.5)
+        tokens = [t for t in tokens if t]
+        if tokens:
+            c, ends = _codes("".join(tokens)), np.cumsum([len(t) for t in tokens])
+            inside = np.ones(len(c), bool)
+            inside[ends[:-1]] = False
+            first += np.bincount(c[np.concatenate([[0], ends[:-1]])], minlength=_STATES)
+            pair += np.bincount((c[:-1] * _STATES + c[1:])[inside[1:]], minlength=_STATES * _STATES)
+        pair = pair.reshape(_STATES, _STATES)
         self.first, self.pair = np.log(first / first.sum()), np.log(pair / pair.sum(axis=1, keepdims=True))
 
     def log_probability(self, c: np.ndarray) -> float:
@@ -83,12 +88,16 @@ class Markov:
 
 
 class Scanner:
-    """The two models and the ratio from which on a token is a secret."""
+    """The two models and the ratio a character from which on a token is a secret."""
 
     def __init__(self, secrets: list[str], ordinary: list[str]):
         self.secret, self.ordinary = Markov(secrets), Markov(ordinary)
-        seen = [self.ratio(t) for t in ordinary if len(t) >= 16]
-        self.threshold = max([0.0, *seen]) + MARGIN
+        seen = [self.ratio(t) / len(t) for t in ordinary if len(t) >= 16]
+        self.threshold = max(0.0, float(np.quantile(seen, 1 - QUANTILE)) if seen else 0.0) + MARGIN
+
+    def random(self, token: str) -> bool:
+        ratio = self.ratio(token)
+        return ratio > LEAST and ratio > self.threshold * len(token)
 
     def ratio(self, token: str) -> float:
         """Log-likelihood ratio of random string to ordinary identifier."""
@@ -103,7 +112,7 @@ class Scanner:
             for at, word in _long_words(text, 16):
                 for m in TOKEN.finditer(word):
                     a, b = at + m.start(), at + m.end()
-                    if not taken.meets(a, b) and self.ratio(m[0]) > self.threshold:
+                    if not taken.meets(a, b) and self.random(m[0]):
                         out.append(("random", a, b))
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -128,21 +137,19 @@ def labelled(texts: list[str | None]) -> tuple[list[str], list[str]]:
         for a, b in [*spans, (len(text), len(text))]:
             ordinary += re.findall(r"[A-Za-z0-9+/_=-]{2,}", text[at:a])
             at = max(at, b)
-        if len(ordinary) > SAMPLE_TOKENS:
-            break
     rng = random.Random(18)
     words = sorted({w.lower() for w in ordinary if w.isalpha()}) or ["name", "value", "index", "count", "result"]
     joined = []
     for k in range(SEEDED):
         some = rng.choices(words, k=rng.randrange(2, 6))
         joined.append(("_".join(some), "-".join(some), "".join(w.capitalize() for w in some), "_".join(some).upper(), "/".join(some), f"{some[0]}_{rng.randrange(10000)}")[k % 6])
-    return _random_strings() + secrets[:SAMPLE_TOKENS], [t for t in ordinary[:SAMPLE_TOKENS] if not TOKEN.fullmatch(t) or not re.search("[0-9]", t)] + joined
+    return _random_strings() + secrets, [t for t in ordinary if not TOKEN.fullmatch(t) or not re.search("[0-9]", t)] + joined
 
 
 def train(docs: DataFrame) -> Scanner:
-    """Train on SAMPLE_ROWS documents of at most 20,000 characters; only these reach the driver."""
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= 20_000)
-    some = least_hashed(some, "doc_id", SAMPLE_ROWS, "text")
+    """Train on pieces of SAMPLE_ROWS documents; only these, PIECE_CHARS each at most, reach the driver."""
+    text = F.col("text").cast("string")
+    some = least_hashed(docs.select("doc_id", piece(text, F.col("doc_id"), PIECE_CHARS).alias("text")), "doc_id", SAMPLE_ROWS, "text")
     return Scanner(*labelled([r.text for r in some.collect()]))
 
 
@@ -154,8 +161,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), one row for each row of ``docs(doc_id, text)``.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind. Null text is empty.
-    An empty table gives no rows (and models of seeded strings only); rows sharing a doc_id are
-    scanned each by itself; other columns are ignored.
+    Whole texts are scanned, in time linear in their length. An empty table gives no rows (and models of
+    seeded strings only); rows sharing a doc_id are scanned each by itself; spans with one start are
+    listed by kind; other columns are ignored.
     """
     scanner = train(docs)
 
@@ -174,7 +182,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs``, all columns, with every secret in ``text`` replaced by ``mark`` (and ``n_chars``, if there, renewed)."""
+    """``docs``, all columns, with every secret in ``text`` replaced by ``mark`` (and ``n_chars``, if there, renewed).
+
+    Overlapping spans give one mark. Null texts stay null; every row is kept, and repeated rows are
+    masked each by itself.
+    """
     scanner, names = train(docs), docs.columns
 
     def run(it):

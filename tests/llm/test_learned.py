@@ -1,7 +1,10 @@
 import random
+import re
+import time
 import zlib
 
 import numpy as np
+import zstandard
 
 from lorebase.llm import language, toxicity
 
@@ -71,3 +74,48 @@ def test_near_hits_of_a_long_text():
     assert len(at) * len(second) > 10_000 and 0 < want < len(at)
     assert toxicity.features(" ".join(low), {"idiot": 1.0}, {})[toxicity.NAMES.index("near")] == want / len(low)
     assert toxicity._near([], second) == toxicity._near(at, []) == 0 and toxicity._near([0, 6, 20], [5, 26]) == 2
+
+
+def test_features_of_long_unbroken_texts():
+    began = time.time()
+    for text in ("a" * 1_000_000, "a1" * 500_000, "a.b" * 300_000, "é!" * 400_000, "a@@" * 300_000):
+        assert len(toxicity.features(text, {"a": 1.0}, {})) == len(toxicity.NAMES)
+    assert time.time() - began < 30
+
+
+def test_masked_words_are_those_of_the_plain_pattern():
+    plain, rng = re.compile(r"[^\W\d_]+(?:[0-9@$!*][^\W\d_]+)+|\b[^\W\d_](?:[.\-_*][^\W\d_]){2,}\b"), random.Random(5)
+    for _ in range(4000):
+        text = "".join(rng.choices("abé1@.-_* !", k=rng.randrange(30)))
+        assert toxicity.MASKED.findall(text) == plain.findall(text), text
+
+
+def test_language_of_long_rows_only(spark):
+    """A language whose rows are all long is learned too, and a sample's pieces are bounded."""
+    rows = [(i, "uno dos tres " * 900 if i % 2 else "ein zwei drei", "es" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, "dos tres uno dos tres uno dos " * 5, None), (101, "drei ein zwei drei " * 6, None)], "doc_id long, text string, lang string")
+    assert {len(v) <= language.DICTIONARY_BYTES + 8 for v in language.learn(docs).values()} == {True}
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert got[100] == "es" and got[101] == "de"
+
+
+def test_prediction_is_the_least_of_plain_compressions(spark):
+    """The query's rows against compressing by hand with the dictionaries of the query."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices(["la", "casa", "roja", "es"] if i % 2 else ["das", "haus", "ist", "rot"], k=rng.randrange(5, 700))), "es" if i % 2 else "de") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned, got = language.learn(docs), {r.doc_id: r for r in language.identify(docs).collect()}
+    for i, text, _ in rows:
+        size = {}
+        for lang, data in learned.items():
+            packer = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            raw = text.encode()
+            size[lang] = sum(len(packer.compress(raw[k : k + language.SEGMENT_BYTES])) for k in range(0, len(raw), language.SEGMENT_BYTES))
+        assert size[got[i].lang_pred] <= min(size.values()) + 2
+
+
+def test_sample_counts_texts_sharing_an_id_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    got = sorted((r.doc_id, r.toxic) for r in toxicity.sampled(docs, labels).collect())
+    assert len(got) == len({i for i, _ in got}) and set(got) <= {(1, 1), (2, 0)}

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from lorebase.llm import pii, secrets
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -53,6 +54,63 @@ def test_time_is_linear():
         assert isinstance(pii.base_spans(text), list) and isinstance(secrets.base_spans(text), list)
 
 
+def test_time_of_learned_spans_is_linear():
+    scanner, model = secrets.Scanner(*secrets.labelled(["some plain words"])), fitted()
+    for text in ("+1" * 100_000, "1 " * 100_000, "Mr " * 60_000, "AB12 " * 40_000, "1" * 200_000, "a(at)" * 40_000, "Dr. " + "A" * 100_000, "12-34-" * 40_000, "a" * 300_000):
+        assert isinstance(model.spans(text), list) and isinstance(scanner.spans(text), list)
+
+
+def personal(rng):
+    """Texts of each sort, with the spans that are personal data and no rule's."""
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    name = lambda: rng.choice("ABCDEFG") + "".join(rng.choices("aeioulmnrst", k=6))
+    card = next(x for x in iter(lambda: "4" + d(15), None) if not pii._luhn(x))
+    iban = next(f"DE{k:02d}{b}" for b in [d(18)] for k in range(98) if pii._mod97(f"DE{k:02d}{b}"))
+    iban = " ".join(iban[k : k + 4] for k in range(0, 22, 4))
+    yield from ((f"call {x} now", x) for x in (f"0{rng.randrange(20, 99)}-{rng.randrange(200, 999)}-{d(4)}",))
+    yield from ((f"so mail {x} for it", x) for x in (f"{name().lower()} [at] {name().lower()} [dot] com",))
+    yield from ((f"then {x} said so", x) for x in (f"Dr. {name()} {name()}",))
+    yield from ((f"see +{x} here", f"+{x}") for x in (f"49 30\n{d(4)} {d(4)}",))
+    yield f"pay to {iban}.", iban
+    yield from ((f"{x} is there", None) for x in (f"number {card}", f"version {d(2)}.{d(2)}.{d(3)}", f"page {d(2)}/{d(2)}", f"on {d(4)}-{d(2)}-{d(2)}", f"price {d(3)} {d(3)} kg"))
+
+
+def fitted(n=120):
+    rng, rows = random.Random(8), []
+    for _ in range(n):
+        for text, _ in personal(rng):
+            rows.append(text + f" or a.b{rng.randrange(9)}@c.org, 10.{rng.randrange(255)}.2.3 and +1 (555) 555-0{rng.randrange(100, 999)}")
+    spans = [(t, s) for t in rows for s in [*pii.base_spans(t), *pii.candidates(t, pii.base_spans(t))]]
+    got = [(pii.votes(t, *s), pii.span_features(t, *s)) for t, s in spans]
+    accuracy, p = pii.reliabilities(np.array([v for v, _ in got]))
+    return pii.Classifier(np.array([x for _, x in got]), p, accuracy)
+
+
+def test_added_personal_data_against_labels():
+    model, rng = fitted(), random.Random(9)
+    right = found = wanted = 0
+    for _ in range(100):
+        for text, span in personal(rng):
+            got = [text[a:b] for k, a, b in model.spans(text) if k == "weak"]
+            assert [s for s in model.spans(text) if s[0] != "weak"] == pii.base_spans(text)
+            right += sum(x == span for x in got)
+            found, wanted = found + len(got), wanted + (span is not None)
+    assert right / wanted >= 0.9 and right / found >= 0.9
+
+
+def test_unlabelled_secrets_in_the_sample():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    vocab = ["".join(rng.choices(["ing", "er", "on", "th", "an", "re", "ed"], k=rng.randrange(1, 5))) for _ in range(400)]
+    sample = [" ".join(rng.choices(vocab, k=200)) + " " + "".join(rng.choices(letters, k=64)) * (k % 4 == 0) for k in range(40)]
+    scanner = secrets.Scanner(*secrets.labelled(sample))
+    for n in (16, 24, 32):
+        held = ["".join(rng.choices(letters + "0123456789+/", k=n)) for _ in range(300)]
+        assert sum(scanner.random(x) for x in held) >= 0.9 * len(held)
+    plain = ["".join(rng.choices(vocab, k=6)) for _ in range(300)]
+    assert sum(scanner.random(x) for x in plain if len(x) >= 16) <= 6
+
+
 def test_markov_models_tell_random_from_ordinary():
     rng = random.Random(3)
     vocab = ["".join(rng.choices(["ing", "er", "on", "th", "an", "re", "ed"], k=rng.randrange(1, 5))) for _ in range(400)]
@@ -92,5 +150,7 @@ def test_pii_query_and_weak_supervision(spark):
             assert r.spans.count("weak:") == 2
         if r.doc_id is not None and 100 <= r.doc_id < 200:
             assert "weak:" not in r.spans
+        if r.doc_id == 300:
+            assert r.spans == "weak:5:31"
     assert all((r.n_email, r.n_ip, r.spans) == (1, 1, "email:0:6,ip:7:14") for r in got if r.doc_id is None)
     assert pii.find(docs.limit(0)).count() == 0
