@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +24,29 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and what is left of them without."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, PLAIN = _folding()
+
+
 def fold_diacritics(text: Column) -> Column:
-    """Latin letters without their marks, for indexes that fold them on both sides."""
-    return F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
+    """Latin letters without their marks; indexes fold them on both sides."""
+    return F.translate(text, MARKED, PLAIN)
+
+
+def index_text(text: Column) -> Column:
+    """What both full-text indexes tokenise."""
+    return fold_diacritics(F.lower(text))
+
+
+def index_tokens(text: Column) -> Column:
+    """Tokens of the full-text indexes: lower-cased runs of letters and digits, without diacritics."""
+    return F.regexp_extract_all(index_text(text), F.lit(TOKEN), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:
@@ -38,9 +60,15 @@ def phrase_terms(query: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda x: x != "")
 
 
+def chunk_terms(query: Column) -> Column:
+    """The distinct index tokens of a chunk search's terms."""
+    return F.array_distinct(F.flatten(F.transform(phrase_terms(query), index_tokens)))
+
+
 def prefix_terms(query: Column) -> Column:
-    """Terms of a section search; each stands for all tokens that begin with it."""
-    return F.array_distinct(tokens(query))
+    """Terms of a section search; each stands for all tokens that begin with it. A query without one is an error."""
+    terms = F.array_distinct(index_tokens(F.coalesce(query, F.lit(""))))
+    return F.when(F.size(terms) > 0, terms).otherwise(F.raise_error(F.lit("empty search")).cast("array<string>"))
 
 
 def query_key(query: Column) -> Column:

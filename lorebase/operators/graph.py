@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.counting import top_terms
+from .retrieval import sized
+
 PER_CHUNK, SEED_TERMS, NEIGHBOURS = 10, 12, 2
 
 # Particles (longest first) and stop words.
@@ -15,21 +20,27 @@ STOPS = (
 )
 
 
+_OUT = frozenset((*PARTICLES, *STOPS))
+
+
+def term_of(token: str, least: int = 2) -> str | None:
+    """A token as a term: lower-cased, of Hangul the first particle that fits and leaves ``least`` characters cut off; None if it isn't one."""
+    token = token.lower()
+    if token[0] >= "가":
+        for p in PARTICLES:
+            if token.endswith(p) and len(token) - len(p) >= least:
+                token = token[: -len(p)]
+                break
+    return None if len(token) < least or token.isdigit() or token in _OUT else token
+
+
 def entities(docs: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, entity, weight, rnk): the most frequent terms of each chunk.
 
-    Terms are runs of ASCII word characters, lower-cased, and runs of Hangul, the first particle that
-    fits and leaves two characters cut off; digits only, single characters, particles and stop words
-    are out.
+    Terms are runs of ASCII word characters, lower-cased, and runs of Hangul without their particle;
+    digits only, single characters, particles and stop words are out.
     """
-    raw = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+|[가-힣]+"), F.lit(0))).alias("tok"))
-    # the first particle that fits is the longest, but for the pair of which the shorter comes first in the list
-    ends = "|".join(p for p in PARTICLES if p != "이라고")
-    term = F.regexp_replace(F.lower("tok"), f"^(.{{{least},}}?)(?:{ends})$", "$1")
-    ok = (F.length("entity") >= least) & ~F.col("entity").rlike("^[0-9]+$") & ~F.col("entity").isin(*PARTICLES, *STOPS)
-    counts = raw.select("doc_id", term.alias("entity")).where(ok).groupBy("doc_id", "entity").agg(F.count("*").alias("weight"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "entity")
-    return counts.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= PER_CHUNK)
+    return top_terms(docs, F.col("text").cast("string"), r"[A-Za-z0-9_]+|[가-힣]+", partial(term_of, least=least), PER_CHUNK, ("entity", "weight", "rnk"))
 
 
 def expand(hits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,8 +49,6 @@ def expand(hits: DataFrame, edges: DataFrame) -> DataFrame:
     ``hits(query_id, doc_id)`` are the seeds, ``edges(book, doc_id, entity, weight)`` the graph. Twelve
     terms of a query, by summed weight, then name; at most two neighbours, seeds excluded.
     """
-    from .retrieval import sized
-
     seeds = hits.select("query_id", "doc_id").distinct()
     own = edges.join(sized(seeds), "doc_id").groupBy("query_id", "book", "entity").agg(F.sum("weight").alias("w"))
     order = Window.partitionBy("query_id").orderBy(F.desc("w"), "entity", "book")

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.counting import top_terms
 
 CLOZE, DISTRACTORS, ORDER_LEAST, ORDER_MOST = 3, 3, 3, 5
 
 
+def _keyword(token: str) -> str | None:
+    return None if len(token) < 2 or token in T.KEYWORD_STOPS else token
+
+
 def keywords(docs: DataFrame, n: int = 8) -> DataFrame:
     """(doc_id, term, cnt, rnk): the most frequent tokens of two characters or more, stop words out."""
-    toks = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    toks = toks.where((F.length("term") >= 2) & ~F.col("term").isin(*T.KEYWORD_STOPS))
-    counts = toks.groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
-    return counts.withColumn("rnk", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("cnt"), "term"))).where(F.col("rnk") <= n)
+    return top_terms(docs, F.lower(F.col("text").cast("string")), r"[^\W_]+", _keyword, n, ("term", "cnt", "rnk"))
 
 
 def recall(expected: DataFrame, answers: DataFrame, passing: float = 0.6) -> DataFrame:
@@ -32,7 +34,7 @@ def cloze(docs: DataFrame) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.size("toks") / CLOZE).cast("int"))
     picks = F.slice(F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.i % step == 0), 1, CLOZE)
     rows = toks.select("doc_id", "text", F.posexplode(picks).alias("n", "pick")).select("doc_id", "text", "n", F.col("pick.t").alias("back"))
-    return rows.select("doc_id", "n", F.overlay("text", F.lit("[___]"), F.instr("text", F.col("back")), F.length("back")).alias("front"), "back").where(T.answer_in_source(F.col("back"), F.lit("")).isNotNull())
+    return rows.select("doc_id", "n", F.overlay("text", F.lit("[___]"), F.instr("text", F.col("back")), F.length("back")).alias("front"), "back").where(T.answer_in_source(F.col("back"), F.col("text")) >= 0.5)
 
 
 def label(doc_id: Column, section: Column) -> Column:

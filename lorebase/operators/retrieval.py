@@ -2,63 +2,167 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
+from ..session import materialised
 
 K1, B = 1.2, 0.75
 RRF_K, DEPTH, TOP = 60, 20, 10
-#: A query side with so many term rows at most is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast up to so many rows and bytes; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
+#: Questions that are scored in one pass, and cells of a task's scores at once.
+BLOCK_QUERIES, CELLS = 4096, 4_000_000
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has no more than ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    size = F.lit(0)
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        own = F.octet_length(c) if isinstance(field.dataType, S.StringType | S.BinaryType) else 8 * F.size(c) if isinstance(field.dataType, S.ArrayType | S.MapType) else F.lit(8)
+        size = size + F.coalesce(F.greatest(own, F.lit(0)), F.lit(0))
+    return size
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len) of ``docs(doc_id, text)``; a text without tokens has none."""
-    toks = docs.select("doc_id", T.tokens(F.col("text")).alias("toks"))
-    return toks.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it has no more than ``limit`` rows and BROADCAST_BYTES bytes."""
+    got = df.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(_bytes(df).cast("long")).alias("b")).first()
+    return F.broadcast(df) if got.n <= limit and (got.b or 0) <= BROADCAST_BYTES else df
 
 
 def term_statistics(docs: DataFrame, least: int = 1) -> DataFrame:
-    return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= least)
-
-
-def corpus_size(docs: DataFrame) -> tuple[int, float]:
-    """(rows, mean tokens a row): one row reaches the driver."""
-    row = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.coalesce("text", F.lit(""))))).alias("mean")).first()
-    return row.n, row.mean or 0.0
-
-
-def bm25(docs: DataFrame, terms: DataFrame, k: int = DEPTH, prefix: bool = False) -> DataFrame:
+    """(term, df, tf): documents that have a term, and its occurrences; one scan, one aggregation by term with map-side combine."""
+    toks = docs.select(T.index_tokens(F.col("text")).alias("toks"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    of = lambda tokens, df, tf: F.transform(tokens, lambda t: F.struct(t.alias("term"), df.alias("df"), tf.alias("tf")))
+    rows = toks.select(F.inline(F.concat(of(F.col("toks"), zero, one), of(F.array_distinct("toks"), one, zero))))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= least)
+
+
+def _found(wanted: dict[str, int], lengths: list[int] | None):
+    """(doc_id, group, text) -> (doc_id, group, len, terms, f): which wanted terms a text has, and how often."""
+
+    def run(it):
+        find = re.compile(r"[^\W_]+").findall
+        for batch in it:
+            sizes, terms, counts = [], [], []
+            for text in batch.column(2).to_pylist():
+                tokens = find(text or "")
+                seen, got = Counter(tokens), Counter()
+                for token, n in seen.items():
+                    for start in (token,) if lengths is None else (token[:m] for m in lengths if len(token) >= m):
+                        if (term := wanted.get(start)) is not None:
+                            got[term] += n
+                sizes.append(len(tokens))
+                terms.append(list(got.keys()))
+                counts.append(list(got.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "group", "len", "terms", "f"])
+
+    return run
+
+
+def _best(ids: list, groups: list, asking: dict[int, np.ndarray], idf: np.ndarray, mean: float, k: int):
+    """(doc_id, group, len, terms, f) -> each task's k best of a question."""
+
+    def run(it):
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        step, kind = max(1, CELLS // len(ids)), None
+        for whole in it:
+            kind = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                docs = np.array(batch.column(0).to_pylist())
+                sizes = batch.column(2).to_numpy()
+                terms, row = batch.column(3).flatten().to_numpy(), np.repeat(np.arange(len(docs)), pa.compute.list_value_length(batch.column(3)).to_numpy())
+                f = batch.column(4).flatten().to_numpy().astype(np.float64)
+                part = idf[terms] * f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[row] / mean))
+                order = np.argsort(terms, kind="stable")
+                terms, row, part = terms[order], row[order], part[order]
+                cuts = np.flatnonzero(np.diff(terms)) + 1
+                score = np.zeros((len(ids), len(docs)))
+                for t, r, w in zip(terms[np.concatenate([[0], cuts])] if len(terms) else (), np.split(row, cuts), np.split(part, cuts), strict=False):
+                    score[np.ix_(asking[int(t)], r)] += w
+                if groups:
+                    own = np.array(batch.column(1).to_pylist(), object)
+                    score *= np.array([own == g for g in groups])
+                for q in np.flatnonzero(score.any(axis=1)):
+                    at_q = np.flatnonzero(score[q])
+                    value, doc = np.round(score[q, at_q], 6), docs[at_q]
+                    if q in kept:
+                        value, doc = np.concatenate([kept[q][0], value]), np.concatenate([kept[q][1], doc])
+                    if len(value) > k:
+                        near = np.flatnonzero(value >= np.partition(value, len(value) - k)[len(value) - k])
+                        value, doc = value[near], doc[near]
+                    best = np.lexsort((doc, -value))[:k]
+                    kept[q] = value[best], doc[best]
+        if kept:
+            who = [q for q in kept for _ in kept[q][0]]
+            columns = [pa.array([ids[q] for q in who]), pa.array(np.concatenate([kept[q][1] for q in kept]), kind), pa.array(np.concatenate([kept[q][0] for q in kept]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def bm25(docs: DataFrame, terms: DataFrame, k: int = DEPTH, prefix: bool = False, by: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, rnk): the k best of ``docs`` for each query of ``terms(query_id, term)``.
 
-    Statistics span the whole corpus. With ``prefix`` a term stands for all tokens beginning with it:
-    tokens are joined on their beginnings of the lengths that occur among the terms, an equality join.
-    Documents are reduced to tokens of the query side before any shuffle. Scores are rounded to six
-    digits and ties go to the smaller doc_id.
+    Statistics span the whole corpus. With ``prefix`` a term stands for all tokens beginning with it.
+    With ``by``, a column of both sides, only documents of the query's group are ranked. Scores are
+    rounded to six digits and ties go to the smaller doc_id.
+
+    The stated questions are held by every task, in blocks. One pass over the texts writes, for each
+    document, the wanted terms that it has; their frequencies come from that table, and a second pass over
+    it scores a block of documents against all questions, so that no row for a document and a question
+    is ever made but the k best of each task.
     """
-    n, mean = corpus_size(docs)
-    wanted = sized(terms.select("term").distinct())
-    toks = docs.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("token"))
-    if prefix:
-        lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]  # a handful of numbers
-        starts = F.array(*[F.when(F.length("token") >= m, F.substring("token", 1, m)) for m in sorted(lengths)])
-        toks = toks.select("doc_id", "doc_len", F.explode(starts).alias("term")).where("term is not null")
-    else:
-        toks = toks.withColumnRenamed("token", "term")
-    found = toks.join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("f"), F.first("doc_len").alias("len"))
-    df = found.groupBy("term").agg(F.count("*").alias("n_i"))
-    raw = F.log((F.lit(float(n)) - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(1e-6)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    weighted = found.join(df, "term").select("term", "doc_id", part.alias("part"))
-    scored = weighted.join(sized(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(scored, "score", "doc_id", k)
+    asked = terms.select("query_id", *([F.col(by).alias("group")] if by else [F.lit(None).alias("group")]), "term").distinct().orderBy("query_id", "term")
+    kind, key = docs.schema["doc_id"].dataType.simpleString(), terms.schema["query_id"].dataType.simpleString()
+    out = None
+    for block in _blocks(asked.toLocalIterator()) if k > 0 else ():
+        wanted: dict[str, int] = {}
+        ids, groups, asking = [], [], {}
+        for query_id, group, term in block:
+            if not ids or ids[-1] != query_id:
+                ids.append(query_id)
+                groups.append(group)
+            asking.setdefault(wanted.setdefault(term, len(wanted)), []).append(len(ids) - 1)
+        asking = {t: np.array(q) for t, q in asking.items()}
+        lengths = sorted({len(t) for t in wanted}) if prefix else None
+        rows = docs.select("doc_id", (F.col(by) if by else F.lit(None).cast("string")).alias("group"), T.index_text(F.col("text").cast("string")).alias("text"))
+        group_kind = rows.schema["group"].dataType.simpleString()
+        found = materialised(rows.mapInArrow(_found(wanted, lengths), f"doc_id {kind}, group {group_kind}, len int, terms array<int>, f array<int>"))
+        size = found.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+        idf = np.full(len(wanted), 1e-6)
+        for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each wanted term
+            idf[r.t] = max(np.log((size.n - r["count"] + 0.5) / (r["count"] + 0.5)), 0.0) or 1e-6
+        scored = found.mapInArrow(_best(ids, groups if by else [], asking, idf, size.mean or 1.0, k), f"query_id {key}, doc_id {kind}, score double")
+        out = scored if out is None else out.union(scored)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"query_id {key}, doc_id {kind}, score double")
+    return ranked(out, "score", "doc_id", k)
+
+
+def _blocks(rows):
+    """Lists of rows, ordered by their first column, of BLOCK_QUERIES different ones each."""
+    block, seen, last = [], 0, None
+    for row in rows:
+        if not block or row[0] != last:
+            if seen == BLOCK_QUERIES:
+                yield block
+                block, seen = [], 0
+            seen, last = seen + 1, row[0]
+        block.append(tuple(row))
+    if block:
+        yield block
 
 
 def ranked(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
@@ -83,20 +187,28 @@ def fuse(vec: DataFrame, fts: DataFrame, weights: DataFrame | None = None, k: in
     return ranked(scored, "rrf_score", "doc_id", k)
 
 
-def with_links(docs: DataFrame, book: str = "source", section: str = "section_no", order: str = "doc_id") -> DataFrame:
-    """Chunk links: neighbours in the section, and its first chunk as parent (null for that one)."""
+def with_links(chunks: DataFrame, book: str = "source", section: str = "section_no", order: str = "doc_id") -> DataFrame:
+    """Chunk links: neighbours in the section, and its first chunk as parent (null for that one).
+
+    For chunks without their texts, so that the window moves a few numbers a chunk; ``with_texts`` adds those of the hits.
+    """
     w = Window.partitionBy(book, section).orderBy(order)
     first = F.first(order).over(w)
-    return docs.select("*", F.lag(order).over(w).alias("prev_id"), F.lead(order).over(w).alias("next_id"), F.when(first != F.col(order), first).alias("parent_id"))
+    return chunks.select("*", F.lag(order).over(w).alias("prev_id"), F.lead(order).over(w).alias("next_id"), F.when(first != F.col(order), first).alias("parent_id"))
+
+
+def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """``hits(doc_id, ...)`` with the text of ``texts(doc_id, text)``; only the hits' texts leave their place."""
+    return hits.join(texts.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text"), "doc_id")
 
 
-def sentence_window(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def sentence_window(hits: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     """``hits(doc_id, ...)`` with the text of the chunk between its neighbours, joined by blank lines."""
-    c = chunks.select("doc_id", "text", "prev_id", "next_id")
-    p = chunks.select(F.col("doc_id").alias("prev_id"), F.col("text").alias("prev_text"))
-    n = chunks.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    out = hits.join(c, "doc_id").join(p, "prev_id", "left").join(n, "next_id", "left")
-    return out.select(*hits.columns, F.concat_ws("\n\n", "prev_text", "text", "next_text").alias("window_text"))
+    near = links.join(sized(hits.select("doc_id").distinct()), "doc_id").select("doc_id", F.posexplode(F.array("prev_id", "doc_id", "next_id")).alias("pos", "near"))
+    near = materialised(near.where("near is not null"))
+    few = texts.select(F.col("doc_id").alias("near"), "text").join(sized(near.select("near").distinct()), "near", "left_semi")
+    window = near.join(few, "near").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))  # three at most
+    return hits.join(window, "doc_id").select(*hits.columns, F.array_join("t.text", "\n\n").alias("window_text"))
 
 
 def merge_parents(hits: DataFrame, chunks: DataFrame, least: int = 2, limit: int = 800) -> DataFrame:
@@ -104,9 +216,9 @@ def merge_parents(hits: DataFrame, chunks: DataFrame, least: int = 2, limit: int
 
     Two or more hits of one parent whose children have under ``limit`` tokens together become the
     parent's row with the sum of scores, at the place of the first of them. ``hits`` has query_id,
-    doc_id, score and rnk.
+    doc_id, score and rnk, ``chunks`` doc_id, parent_id and token_count.
     """
-    tokens = F.coalesce("token_count", T.token_estimate(F.col("text")))
+    tokens = F.col("token_count")
     sums = chunks.where("parent_id is not null").groupBy("parent_id").agg(F.sum(F.greatest(tokens, F.lit(0))).alias("child_tokens"))
     known = chunks.select(F.col("doc_id").alias("known_id"))
     h = hits.select("query_id", "doc_id", "score", "rnk").join(chunks.select("doc_id", "parent_id"), "doc_id")
@@ -152,7 +264,6 @@ def diverse(candidates: DataFrame, n: int = 6, balance: float = 0.5) -> DataFram
     query where both vectors are there, else the raw score; negative similarity counts as 0; ties go
     to the higher relevance, then the smaller id. A query has a dozen candidates by construction.
     """
-    import numpy as np
     import pandas as pd
 
     def cos(a, b):

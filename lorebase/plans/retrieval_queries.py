@@ -1,4 +1,4 @@
-"""Retrieval queries: each benchmark passage is a question, its first tokens the terms."""
+"""Retrieval queries: each benchmark passage is a question, all of its tokens the terms."""
 
 from __future__ import annotations
 
@@ -14,9 +14,8 @@ from .base import query, table
 
 
 def questions(spark, d: str) -> DataFrame:
-    """(query_id, term): the distinct ones of the first six tokens."""
-    toks = F.array_distinct(F.slice(T.tokens(F.col("text")), 1, 6))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(toks).alias("term"))
+    """(query_id, term): the distinct tokens of each whole question."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.chunk_terms(F.col("text"))).alias("term"))
 
 
 def text_hits(spark, d: str, k: int = R.DEPTH) -> DataFrame:
@@ -31,12 +30,15 @@ def vector_hits(spark, d: str, k: int = R.DEPTH) -> DataFrame:
 
 def chunks(spark, d: str) -> DataFrame:
     """Documents as chunks: the source is the book, a hundred ids a section."""
-    docs = table(spark, d, "documents").withColumn("section_no", F.floor(F.col("doc_id") / 100)).withColumn("token_count", T.token_estimate(F.col("text")))
-    return R.with_links(docs)
+    return table(spark, d, "documents").withColumn("section_no", F.floor(F.col("doc_id") / 100)).withColumn("token_count", T.token_estimate(F.col("text")))
 
 
-TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-_Q = f"q as (select item_id query_id, unnest(list_distinct(list_slice({TOK}, 1, 6))) term from benchmark)"
+def links(spark, d: str) -> DataFrame:
+    return R.with_links(chunks(spark, d).select("doc_id", "source", "section_no", "token_count"))
+
+
+TOK = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"
+_Q = f"q as (select item_id query_id, unnest(list_distinct({TOK})) term from benchmark)"
 _TOK = f"tk as (select doc_id, unnest({TOK}) term from documents), dl as (select doc_id, len({TOK}) len from documents), st as (select count(*) n, avg(len) mean from dl)"
 _SCORE = "case when ln((n - n_i + 0.5) / (n_i + 0.5)) > 0 then ln((n - n_i + 0.5) / (n_i + 0.5)) else 1e-6 end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))"
 _BM25 = f"""{_Q}, {_TOK},
@@ -49,9 +51,9 @@ cs as (select query_id, vec_id doc_id, round(list_dot_product(qe, embedding::dou
 kn as (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from cs)"""
 
 
-@query("postings_stats", f"with tk as (select doc_id, unnest({TOK}) term from documents), p as (select term, doc_id, count(*) tf from tk group by all) select term, count(*) df, sum(tf)::bigint tf from p group by term having count(*) >= 20")
+@query("postings_stats", f"with tk as (select doc_id, unnest({TOK}) term from documents), p as (select term, doc_id, count(*) tf from tk group by all) select term, count(*) df, sum(tf)::bigint tf from p group by term")
 def postings_stats(spark, d):
-    return R.term_statistics(table(spark, d, "documents"), 20)
+    return R.term_statistics(table(spark, d, "documents"))
 
 
 @query("bm25_topk", f"with {_BM25} select query_id, doc_id, score, rnk::int rnk from bm where rnk <= 20")
@@ -59,19 +61,37 @@ def bm25_topk(spark, d):
     return text_hits(spark, d).select("query_id", "doc_id", "score", "rnk")
 
 
-@query(
-    "bm25_prefix_topk",
-    f"""with q as (select distinct item_id query_id, left(t, 4) term from (select item_id, unnest(list_slice({TOK}, 1, 3)) t from benchmark) where length(t) >= 4), {_TOK},
+_PREFIX = f"""{_Q}, {_TOK},
 tc as (select term tok, doc_id, count(*) c from tk group by all),
-fr as (select q.term, doc_id, sum(c) f from (select distinct term from q) q join tc on left(tok, 4) = q.term group by all),
+vo as (select distinct q.term, tok from (select distinct term from q) q join (select distinct tok from tc) t on starts_with(tok, q.term)),
+fr as (select vo.term, doc_id, sum(c) f from vo join tc using (tok) group by all),
 df as (select term, count(*) n_i from fr group by all),
-sc as (select query_id, doc_id, round(sum({_SCORE}), 6) score from fr join df using (term) join q using (term) join dl using (doc_id), st group by all)
-select query_id, doc_id, score, rnk::int rnk from (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from sc) where rnk <= 5""",
-)
+sc as (select query_id, doc_id, round(sum({_SCORE}), 6) score from fr join df using (term) join q using (term) join dl using (doc_id), st group by all)"""
+
+
+def prefixes(spark, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.prefix_terms(F.col("text"))).alias("term"))
+
+
+@query("bm25_prefix_topk", f"with {_PREFIX} select query_id, doc_id, score, rnk::int rnk from (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from sc) where rnk <= 5")
 def bm25_prefix_topk(spark, d):
-    t = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(T.tokens(F.col("text")), 1, 3)).alias("t"))
-    terms = t.where(F.length("t") >= 4).select("query_id", F.substring("t", 1, 4).alias("term")).distinct()
-    return R.bm25(table(spark, d, "documents"), terms, 5, prefix=True).select("query_id", "doc_id", "score", "rnk")
+    return R.bm25(table(spark, d, "documents"), prefixes(spark, d), 5, prefix=True).select("query_id", "doc_id", "score", "rnk")
+
+
+@query(
+    "section_search",
+    f"""with {_PREFIX}, bk as (select source, right(source, 1) study from (select distinct source from documents)),
+rk as (select query_id, doc_id, d.source book, score, row_number() over (partition by query_id order by score desc, doc_id) rnk from sc join documents d using (doc_id) join bk using (source) where bk.study = (query_id % 10)::varchar)
+select query_id, doc_id, book, md5(dd.text) text_md5, score, rnk::int rnk from rk join documents dd using (doc_id) where rnk <= 20""",
+)
+def section_search(spark, d):
+    """Full text over sections, their books and the asking study: the sections of its books only, with their text."""
+    docs = table(spark, d, "documents")
+    books = docs.select("source").distinct().select("source", F.right("source", F.lit(1)).alias("study"))
+    sections = docs.join(R.sized(books), "source").select("doc_id", "source", "study", "text")
+    hits = R.bm25(sections, prefixes(spark, d).withColumn("study", (F.col("query_id") % 10).cast("string")), 20, prefix=True, by="study")
+    few = docs.join(R.sized(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    return hits.join(few, "doc_id").select("query_id", "doc_id", F.col("source").alias("book"), F.md5("text").alias("text_md5"), "score", "rnk")
 
 
 @query(
@@ -115,11 +135,11 @@ s as (select query_id, vec_id id, round(list_distance(qe, embedding::double[]),
 select query_id, id, dist, rnk::int rnk from (select *, row_number() over (partition by query_id order by dist, id) rnk from s) where rnk <= 10""",
 )
 def knn_l2_prefilter(spark, d):
-    """Only vectors of the question's book compete: an equality join on the book, then the ranking."""
+    """Only vectors of the question's book compete: scored block by block, other books masked."""
     e = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "source")
-    s = e.join(R.sized(q), "source").select("query_id", F.col("vec_id").alias("id"), F.round(V.l2(F.col("qe"), F.col("embedding")), 6).alias("dist"))
-    return R.ranked(s.withColumn("near", -F.col("dist")), "near", "id", 10).select("query_id", "id", "dist", "rnk")
+    e = e.select(F.col("vec_id").alias("id"), "source", F.col("embedding").alias("vector"))
+    near = V.nearest(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, 10, "l2", by="source")
+    return near.select("query_id", "id", F.col("score").alias("dist"), "rnk")
 
 
 _RRF = """rr as (select query_id, doc_id, round(sum(w / (60 + rnk)), 9) rrf_score from (select query_id, doc_id, rnk, {wv} w from kn {j} where rnk <= 20 union all select query_id, doc_id, rnk, {wf} from bm {j} where rnk <= 20) group by all),
@@ -171,7 +191,7 @@ ch as (select *, lag(doc_id) over w prev_id, lead(doc_id) over w next_id, nullif
 
 @query("chunk_links", f"with {_CHUNKS} select doc_id, parent_id, prev_id, next_id, token_count from ch")
 def chunk_links(spark, d):
-    return chunks(spark, d).select("doc_id", "parent_id", "prev_id", "next_id", "token_count")
+    return links(spark, d).select("doc_id", "parent_id", "prev_id", "next_id", "token_count")
 
 
 @query(
@@ -179,8 +199,8 @@ def chunk_links(spark, d):
     f"""with {_BM25}, {_CHUNKS} select h.query_id, h.doc_id, md5(concat_ws(E'\\n\\n', p.text, c.text, n.text)) window_md5 from bm h join ch c using (doc_id) left join ch p on p.doc_id = c.prev_id left join ch n on n.doc_id = c.next_id where h.rnk <= 10""",
 )
 def sentence_window(spark, d):
-    hits = text_hits(spark, d, 10).select("query_id", "doc_id")
-    return R.sentence_window(hits, chunks(spark, d)).select("query_id", "doc_id", F.md5("window_text").alias("window_md5"))
+    hits = materialised(text_hits(spark, d, 10).select("query_id", "doc_id"))
+    return R.sentence_window(hits, links(spark, d), table(spark, d, "documents")).select("query_id", "doc_id", F.md5("window_text").alias("window_md5"))
 
 
 _MERGE = f"""{_CHUNKS}, cs2 as (select parent_id, sum(token_count) toks from ch where parent_id is not null group by all),
@@ -191,7 +211,7 @@ mr as (select query_id, id doc_id, round(sum(score), 6) score, list_sort(list(do
 
 @query("auto_merge", f"with {_BM25}, {_MERGE} select query_id, doc_id, score, array_to_string(source_chunks, ',') sources, pos from mr")
 def auto_merge(spark, d):
-    out = R.merge_parents(text_hits(spark, d), chunks(spark, d))
+    out = R.merge_parents(text_hits(spark, d), links(spark, d))
     return out.select("query_id", "doc_id", "score", F.array_join(F.transform("source_chunks", lambda x: x.cast("string")), ",").alias("sources"), "pos")
 
 
@@ -220,8 +240,9 @@ kp as (select *, row_number() over (partition by query_id order by rnk desc, doc
 
 
 def packed(spark, d: str) -> DataFrame:
-    rows = text_hits(spark, d, 10).select("query_id", "doc_id", "rnk").join(chunks(spark, d).select("doc_id", "text", "source", "token_count"), "doc_id")
-    return R.pack(rows, 4000, 20)
+    hits = materialised(text_hits(spark, d, 10).select("query_id", "doc_id", "rnk"))
+    few = chunks(spark, d).join(R.sized(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    return R.pack(hits.join(few.select("doc_id", "text", "source", "token_count"), "doc_id"), 4000, 20)
 
 
 @query("context_pack", f"with {_BM25}, {_PACK} select query_id, doc_id, used_tokens::bigint used_tokens, marker::int marker from kp")
@@ -282,21 +303,21 @@ select query_id, doc_id, strength::bigint strength, rnk::int rnk from (select *,
 def entity_expand(spark, d):
     docs = table(spark, d, "documents")
     edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
-    return G.expand(materialised(text_hits(spark, d, 10)), edges)
+    return G.expand(materialised(text_hits(spark, d, 10).select("query_id", "doc_id")), edges)
 
 
 @query("answer_contexts")
 def answer_contexts(spark, d):
     """The whole path: fuse, expand by shared terms, widen, merge, diversify, clean, pack, cite."""
     hits = materialised(hybrid(spark, d).select("query_id", "doc_id", F.col("rrf_score").alias("score")))
-    docs = chunks(spark, d)
+    docs, chain = table(spark, d, "documents"), links(spark, d)
     edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
-    grown = materialised(R.ranked(G.append(hits, G.expand(hits, edges)), "score", "doc_id", 12))
-    merged = R.merge_parents(grown, docs).withColumnRenamed("pos", "rnk")
+    grown = R.ranked(G.append(hits, G.expand(hits, edges)), "score", "doc_id", 12)
+    merged = R.merge_parents(grown, chain).withColumnRenamed("pos", "rnk")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     q = e.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
     few = materialised(R.diverse(merged.select("query_id", "doc_id", F.col("score").alias("relevance")).join(e, "doc_id", "left").join(q, "query_id", "left")))
-    rows = R.sentence_window(few, docs).withColumnRenamed("window_text", "text").join(docs.select("doc_id", "source"), "doc_id")
+    rows = R.sentence_window(few, chain, docs).withColumnRenamed("window_text", "text").join(docs.select("doc_id", "source"), "doc_id")
     kept = R.pack(R.clean_passages(rows), 4000, 24, order="pick")
     none = F.lit(None)
     kept = kept.withColumn("block", R.source_block(F.col("marker"), F.col("source"), none.cast("int"), none.cast("string"), F.lit(1), F.col("text")))

@@ -1,6 +1,8 @@
+import struct
+
 import pytest
 from pyspark.sql import functions as F
-
+from lorebase.functions import text as T
 from lorebase.functions import vectors as V
 from lorebase.operators import activity as A
 from lorebase.operators import graph as G
@@ -22,13 +24,14 @@ def test_fusion(spark):
 
 def chain(spark, text="t"):
     rows = [(1, "b", 0, "one", 5), (2, "b", 0, "two", 300), (3, "b", 0, "three", 300), (4, "b", 1, "four", 900), (5, "b", 1, "five", 700), (6, "b", 1, "six", 700)]
-    return R.with_links(spark.createDataFrame(rows, "doc_id long, source string, section_no long, text string, token_count long"))
+    return spark.createDataFrame(rows, "doc_id long, source string, section_no long, text string, token_count long")
 
 
 def test_windows_and_merging(spark):
-    c = chain(spark)
+    texts = chain(spark)
+    c = R.with_links(texts.drop("text"))
     hits = spark.createDataFrame([(1, 2, 0.5, 1), (1, 3, 0.25, 2), (1, 5, 0.2, 3), (1, 6, 0.1, 4), (2, 2, 0.5, 1)], "query_id long, doc_id long, score double, rnk int")
-    got = {(r.query_id, r.doc_id): r.window_text for r in R.sentence_window(hits.select("query_id", "doc_id"), c).collect()}
+    got = {(r.query_id, r.doc_id): r.window_text for r in R.sentence_window(hits.select("query_id", "doc_id"), c, texts).collect()}
     assert got[(1, 2)] == "one\n\ntwo\n\nthree" and got[(1, 3)] == "two\n\nthree"
     merged = sorted((r.query_id, r.doc_id, r.score, r.source_chunks, r.pos) for r in R.merge_parents(hits, c).collect())
     assert merged == [(1, 1, 0.75, [2, 3], 1), (1, 5, 0.2, [5], 3), (1, 6, 0.1, [6], 4), (2, 2, 0.5, [2], 1)]
@@ -63,6 +66,41 @@ def test_bm25_edges(spark):
     assert R.bm25(docs, terms, 0).count() == 0 and R.bm25(docs.limit(0), terms).count() == 0
 
 
+def test_bm25_folds_groups_and_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "Éclair ÑANDÚ tea"), (2, "b", "eclair nandu"), (3, "b", "tea tea")], "doc_id long, study string, text string")
+    terms = spark.createDataFrame([(1, "a", "eclair"), (2, "b", "nandu"), (3, "b", "tea"), (4, "c", "tea")], "query_id long, study string, term string")
+    assert sorted((r.query_id, r.doc_id) for r in R.bm25(docs, terms).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (4, 3)]
+    want = sorted(map(tuple, R.bm25(docs, terms, by="study").collect()))
+    assert [r[:2] for r in want] == [(1, 1), (2, 2), (3, 3)]
+    monkeypatch.setattr(R, "BLOCK_QUERIES", 1)
+    monkeypatch.setattr(R, "CELLS", 1)
+    assert sorted(map(tuple, R.bm25(docs, terms, by="study").collect())) == want
+    with pytest.raises(Exception, match="empty search"):
+        spark.createDataFrame([("?!",)], "q string").select(T.prefix_terms(F.col("q"))).collect()
+    assert spark.createDataFrame([('"Ré-do" tea* tea',)], "q string").select(T.chunk_terms(F.col("q"))).first()[0] == ["re", "do", "tea"]
+
+
+def test_sides_are_broadcast_by_rows_and_bytes(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.createDataFrame([(1, "x" * 100, [1.0] * 10)] * 5, "id long, t string, v array<float>")
+    assert "ResolvedHint" in plan(R.sized(df)) or R.sized(df) is not df
+    assert R.sized(df, 4) is df
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 300)
+    assert R.sized(df) is df
+
+
+def test_nearest_of_a_group_and_bytes(spark):
+    v = spark.createDataFrame([(i, "ab"[i % 2], [float(i), 1.0]) for i in range(1500)], "id long, book string, vector array<float>")
+    q = v.where("id in (10, 701)").withColumnRenamed("id", "query_id")
+    got = {(r.query_id, r.rnk): (r.id, r.score) for r in V.nearest(q, v, 3, "l2", by="book").collect()}
+    assert got == {(10, 1): (10, 0.0), (10, 2): (8, 2.0), (10, 3): (12, 2.0), (701, 1): (701, 0.0), (701, 2): (699, 2.0), (701, 3): (703, 2.0)}
+    values = [0.0, -0.0, 1.0, -2.5, 3.14159274, 1e-30, -7e20, 0.1]
+    one = spark.createDataFrame([(values, bytearray(struct.pack("<8f", *values))), (None, None), ([1.0], bytearray(b"abc"))], "v array<float>, b binary")
+    rows = one.select(V.from_bytes(F.col("b"), 8), F.when(F.size("v") == 8, V.to_bytes(F.col("v")))).collect()
+    assert [list(r) for r in rows[1:]] == [[None, None]] * 2
+    assert rows[0][0] == list(struct.unpack("<8f", one.first().b)) and struct.unpack("<8f", rows[0][1])[2:] == tuple(rows[0][0][2:])
+
+
 def test_nearest(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, 0.0, 0.0])], "id long, vector array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<float>")
