@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +30,43 @@ def alerts(signals: DataFrame, minutes: int = 5) -> DataFrame:
 def cooldown(events: DataFrame, seconds: int = 300) -> DataFrame:
     """(key, id, ts) of the events that pass: the first of a key, and those ``seconds`` after the last that passed.
 
-    A fold over each key's ordered times; the state is one time.
+    Each key's rows stream through one task in order of time, and its state is one time; no key's
+    history is gathered.
     """
-    lists = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("e"))
-    zero = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<struct<ts:timestamp_ntz,id:bigint>>").alias("kept"))
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
 
-    def step(acc, x):
-        passes = acc.last.isNull() | (x.ts >= acc.last + F.expr(f"interval {seconds} seconds"))
-        return F.struct(F.when(passes, x.ts).otherwise(acc.last).alias("last"), F.when(passes, F.concat(acc.kept, F.array(F.struct(x.ts.alias("ts"), x.id.alias("id"))))).otherwise(acc.kept).alias("kept"))
+    def run(it):
+        key, last, empty = None, None, True
+        for batch in it:
+            keys, times, kept = batch.column(0).to_pylist(), batch.column(3).to_pylist(), []
+            for at, (k, t) in enumerate(zip(keys, times, strict=True)):
+                if empty or k != key or t >= last + 1_000_000 * seconds:
+                    key, last, empty = k, t, False
+                    kept.append(at)
+            yield batch.take(pa.array(kept, pa.int64())).select(["key", "id", "ts"])
 
-    kept = lists.select("key", F.explode(F.aggregate("e", zero, step, lambda a: a.kept)).alias("e"))
-    return kept.select("key", F.col("e.id").alias("id"), F.col("e.ts").alias("ts"))
+    rows = events.where("ts is not null").select("key", "id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "at", "id")
+    return rows.mapInArrow(run, f"key {kinds['key']}, id {kinds['id']}, ts {kinds['ts']}")
+
+
+def cooled_alerts(alerts: DataFrame, minutes: int = 30) -> DataFrame:
+    """``alerts(study, id, ts, combo, ...)`` without those of a combination that fired in the study ``minutes`` before."""
+    keyed = alerts.withColumn("key", F.to_json(F.struct("study", "combo")))
+    return alerts.join(cooldown(keyed.select("key", "id", "ts"), 60 * minutes).select("id"), "id", "left_semi")
+
+
+def alert_facts(alerts: DataFrame, message: Column, types: int = 5) -> DataFrame:
+    """(study, id, ts, kind, content, confidence): the memory fact of each alert that fired; confidence is the share of signal types."""
+    return alerts.select("study", "id", "ts", F.lit("meta").alias("kind"), message.alias("content"), F.round(F.col("n_types") / types, 6).alias("confidence"))
+
+
+def metacog_signals(turns: DataFrame) -> DataFrame:
+    """(study, id, ts, type, severity, dismissed) of ``turns(study, id, ts, text, citation, progress)``: what each turn tells of misjudged ability."""
+    gap, said = T.progress_gap_severity(F.col("citation"), F.col("progress")), T.self_report_severity(F.col("text"), F.col("citation"))
+    found = F.array(F.struct(F.lit("progress_recall_gap").alias("type"), gap.alias("severity")), F.struct(F.lit("self_report_low").alias("type"), said.alias("severity")))
+    rows = turns.select("study", "id", "ts", F.inline(found))
+    return rows.where("severity is not null").withColumn("dismissed", F.lit(False))
 
 
 def latency(messages: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
-"""Chunkers: sentence chunks and window chunks with a separator ladder, code fences kept whole."""
+"""Chunkers: sentence chunks, and window chunks with a separator ladder, whole code fences and sentence ends."""
 
 from __future__ import annotations
 
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 SENTENCE_TARGET, SENTENCE_SPLIT, SENTENCE_LEAST = 500, 750, 150
 LEAST, MOST, OVERLAP, FENCED_MOST = 2400, 4000, 480, 8000
-SEPARATORS = ("\n\n", "\n", r"(?<=[.!?。！？])\s+", " ")
+#: A trimmed chunk keeps at least so many characters.
+TRIMMED_LEAST = 100
+FENCE = re.compile(r"(?m)^[ \t]*(?:```|~~~).*$")
+#: Everything up to the end of the last sentence that white space follows.
+LAST_SENTENCE = re.compile(r"(?s).*[.!?。！？](?=\s)")
 
 
 def sentence_pieces(text: str) -> list[tuple[int, str]]:
@@ -42,23 +46,48 @@ def sentence_pieces(text: str) -> list[tuple[int, str]]:
 
 def _cut(text: str, lo: int, hi: int) -> int:
     """Where to end a window that may reach from lo to hi: after the last separator of the best kind, else at hi."""
-    for sep in SEPARATORS:
-        found = None
-        for m in re.finditer(sep, text[lo:hi]):
-            found = lo + m.end()
-        if found is not None and found > lo:
-            return found
-    return hi
+    for sep in ("\n\n", "\n"):
+        if (at := text.rfind(sep, lo, hi)) >= 0:
+            return at + len(sep)
+    if m := re.compile(r"(?s).*[.!?。！？]\s+").match(text, lo, hi):
+        return m.end()
+    at = text.rfind(" ", lo, hi)
+    return at + 1 if at >= 0 else hi
+
+
+def _healed(text: str, start: int, end: int) -> int:
+    """The end of a window whose open code fence is closed, if FENCED_MOST characters suffice."""
+    fences = sum(1 for _ in FENCE.finditer(text, start, end))
+    if fences % 2 == 0:
+        return end
+    limit = min(len(text), start + FENCED_MOST)
+    close = next((m for m in FENCE.finditer(text, start, limit) if m.start() >= end or m.end() > end), None)
+    return min(limit, close.end() + 1) if close else limit
+
+
+def _trimmed(text: str, start: int, end: int) -> int:
+    """The end cut back to the last inner sentence end behind the last fence, unless little would be left."""
+    if text[start:end].rstrip()[-1:] in ".!?。！？":
+        return end
+    last = start
+    for m in FENCE.finditer(text, start, end):
+        last = m.end()
+    m = LAST_SENTENCE.match(text, last, end)
+    return m.end() if m and m.end() - start >= TRIMMED_LEAST else end
 
 
 def window_pieces(text: str) -> list[tuple[int, int]]:
-    """(start, end) windows of 2400 to 4000 characters that overlap by 480 and cover the text; open code fences are extended."""
+    """(start, end) windows that overlap by OVERLAP and cover the text.
+
+    A window of LEAST to MOST characters ends at the best separator, is extended until its code fences
+    are closed, then cut back to a sentence end; the last one keeps the text's end.
+    """
     out, start, n = [], 0, len(text)
     while start < n:
-        end = n if n - start <= MOST else _cut(text, start + LEAST, start + MOST)
-        while text.count("```", start, end) % 2 and end < n and end - start < FENCED_MOST:
-            close = text.find("```", end)
-            end = min(n, start + FENCED_MOST) if close < 0 else min(close + 3, start + FENCED_MOST)
+        end = n
+        if n - start > MOST:
+            end = _healed(text, start, _cut(text, start + LEAST, start + MOST))
+            end = _trimmed(text, start, end) if end < n else n
         out.append((start, end))
         if end >= n:
             break
@@ -71,14 +100,14 @@ def _rows(df: DataFrame, cut) -> DataFrame:
 
     def run(it):
         for batch in it:
-            ids, ords, starts, texts = [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (at, piece) in enumerate(cut(text or "")):
-                    ids.append(i)
+            at, ords, starts, texts = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for k, (start, piece) in enumerate(cut(text or "")):
+                    at.append(i)
                     ords.append(k)
-                    starts.append(at)
+                    starts.append(start)
                     texts.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(ords, pa.int32()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "ord", "span_start", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ords, pa.int32()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "ord", "span_start", "text"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ord int, span_start long, text string")
@@ -88,14 +117,35 @@ def sentence_chunks(df: DataFrame) -> DataFrame:
     return _rows(df, sentence_pieces)
 
 
-def trim_to_sentence(text: Column) -> Column:
-    """Cut behind the last inner sentence end, unless that leaves under 100 characters."""
-    cut = F.regexp_extract(text, r"(?s)^(.*[.!?。！？])(?:\s|$)", 1)
-    done = F.rtrim(text).rlike(r"[.!?。！？]$")
-    return F.when(done | (F.length(cut) < 100), text).otherwise(cut)
-
-
 def windows(df: DataFrame) -> DataFrame:
     """(doc_id, ord, span_start, text, token_count) of overlapping windows."""
     out = _rows(df, lambda t: [(a, t[a:b]) for a, b in window_pieces(t) if t[a:b].strip()])
     return out.withColumn("token_count", T.token_estimate(F.col("text")))
+
+
+def sequence(parts: DataFrame) -> DataFrame:
+    """(doc_id, ord, section_path, page, span_start, text, token_count, prev_ord, next_ord, parent_ord).
+
+    ``parts(doc_id, part, section_path, page, text)`` are a book's sections or pages in order of
+    ``part``. ``ord`` is dense over the whole book; neighbours and the parent, a part's first chunk, lie
+    in the same part. A blank part has no chunk. The windows move ids and spans; texts come along once.
+    """
+    pieces = _rows(parts.select(F.struct("doc_id", "part", "section_path", "page").alias("doc_id"), "text"), lambda t: [(a, t[a:b]) for a, b in window_pieces(t) if t[a:b].strip()])
+    rows = pieces.select("doc_id.*", "ord", "span_start", "text")
+    book = Window.partitionBy("doc_id").orderBy("part", "ord")
+    rows = rows.withColumn("n", F.row_number().over(book) - 1)
+    w = Window.partitionBy("doc_id", "part").orderBy("n")
+    first = F.first("n").over(w)
+    return rows.select("doc_id", F.col("n").alias("ord"), "section_path", "page", "span_start", "text", T.token_estimate(F.col("text")).alias("token_count"), F.lag("n").over(w).alias("prev_ord"), F.lead("n").over(w).alias("next_ord"), F.when(first != F.col("n"), first).alias("parent_ord"))
+
+
+def section_chunks(sections: DataFrame) -> DataFrame:
+    """``sequence`` of parsed ``sections(doc_id, ord, path, page, body)``."""
+    return sequence(sections.select("doc_id", F.col("ord").alias("part"), F.col("path").alias("section_path"), "page", F.col("body").alias("text")))
+
+
+def page_chunks(pages: DataFrame) -> DataFrame:
+    """``sequence`` of ``pages(doc_id, page_texts)``: each page is a part ``p.N``; an unreadable page (null) is empty."""
+    rows = pages.select("doc_id", F.posexplode("page_texts").alias("part", "text"))
+    page = F.col("part") + 1
+    return sequence(rows.select("doc_id", "part", F.concat(F.lit("p."), page.cast("string")).alias("section_path"), page.alias("page"), F.coalesce("text", F.lit("")).alias("text")))

@@ -101,9 +101,9 @@ def phases(log: DataFrame) -> DataFrame:
 
 
 def healed_fences(pieces: Column, most: int = 8000) -> Column:
-    """Pieces with an open code fence joined with their successors until it closes or ``most`` characters are reached."""
+    """Pieces with an open code fence (lines that begin with ``` or ~~~) joined with their successors until it closes or ``most`` characters are reached."""
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"), F.lit(False).alias("open"))
-    odd = lambda t: F.size(F.split(t, "```")) % 2 == 0
+    odd = lambda t: F.size(F.filter(F.split(t, "\n"), lambda line: line.rlike(r"^[ \t]*(```|~~~)"))) % 2 == 1
 
     def step(acc, x):
         text = F.when(acc["open"], F.concat(acc["held"], F.lit("\n"), x)).otherwise(x)

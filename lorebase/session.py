@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, its lineage cut; a folder is set only where none is named."""
+    """``df`` written to the cluster's checkpoint folder, its lineage cut; only a local session without one gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorebase-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorebase-"))
     return df.checkpoint(eager=True)

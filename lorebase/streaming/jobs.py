@@ -1,8 +1,9 @@
 """Structured Streaming forms of the signals: event time, watermarks, and state that expires.
 
 Event time is the ``ts`` column; the watermark allows WATERMARK of lateness, and later rows are dropped.
-Each job takes a streaming DataFrame and gives one; a batch DataFrame with the same columns works where
-no state is kept.
+The keyed processors hold rows until the watermark has passed them and then fold them in order of time,
+so rows that arrive late but within the watermark count as if they had come in order. A key's state goes
+by a timer once it can't matter any more. Each job takes a streaming DataFrame and gives one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
+    """(user_id, start, n): each user's runs of events without a pause of ``gap``."""
     out = events.withWatermark("ts", WATERMARK).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), "n")
 
@@ -40,104 +42,132 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
 
 
 def short_dwell(events: DataFrame, most_ms: int = 5000, least_chars: int = 200) -> DataFrame:
-    """Stateless: short stays on long content."""
+    """Stateless, for streams and tables alike: short stays on long content."""
     return events.where((F.col("dwell_ms") < most_ms) & (F.col("chars") >= least_chars)).withColumn("severity", F.lit(0.5))
 
 
-class _Repeat(StatefulProcessor):
-    """The times of a key's searches within the window; the third and each further one signals."""
+class _Ordered(StatefulProcessor):
+    """Holds a key's rows until the watermark passes them, folds them in order, and forgets by timer.
 
-    def __init__(self, least: int, seconds: int):
-        self.least, self.seconds = least, seconds
+    ``memory`` is what a fold keeps: (time in microseconds, tag). An entry is dropped once the watermark
+    is ``span`` seconds past it.
+    """
+
+    columns: list[str]
+    span: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "at double")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id long, tag string")
+        self.memory = handle.getListState("memory", "at long, tag string")
+
+    def fold(self, key, rows: list[tuple[int, int, str]], memory: list[tuple[int, str]]) -> tuple[list[tuple], list[tuple[int, str]]]:
+        """Results for ``rows`` in order, and the memory after them."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])
-        at = [r[0] for r in self.times.get()] if self.times.exists() else []
-        out = []
-        for second, i in zip(new.ts.astype("datetime64[us]").astype("int64") // 1_000_000, new.id, strict=True):
-            at = [t for t in at if t >= second - self.seconds] + [float(second)]
-            if len(at) >= self.least:
-                out.append((key[0], key[1], i, len(at), min(1.0, len(at) / 10)))
-        self.times.put([(t,) for t in at])
-        yield pd.DataFrame(out, columns=["study", "key", "id", "cnt", "severity"])
+        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for pdf in rows:
+            at = pdf.ts.astype("datetime64[us]").astype("int64")
+            tags = pdf["tag"] if "tag" in pdf else [""] * len(pdf)
+            new = [(int(t), int(i), str(k)) for t, i, k in zip(at, pdf.id, tags, strict=True) if t >= passed]
+            if new:
+                self.waiting.appendList(new)
+                first = min([t for t, _, _ in new] + [first] * (first is not None))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield pd.DataFrame([], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        due, rest = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
+        out, memory = self.fold(key, due, [tuple(m) for m in self.memory.get()])
+        memory = [m for m in memory if m[0] + self.span * 1_000_000 >= now]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.memory.put(memory) if memory else self.memory.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        if memory:
+            self.handle.registerTimer(max(m[0] for m in memory) // 1000 + self.span * 1000 + 1)
+        yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
+class _Repeat(_Ordered):
+    """The times of a key's searches within the window; the third and each further one signals."""
+
+    columns = ["study", "key", "id", "cnt", "severity"]
+
+    def __init__(self, least: int, seconds: int):
+        self.least, self.span = least, seconds
+
+    def fold(self, key, rows, memory):
+        out, at = [], [m[0] for m in memory]
+        for k, (t, i, _) in enumerate(rows):
+            second = t // 1_000_000
+            at = [x for x in at if x // 1_000_000 >= second - self.span] + [t]
+            more = sum(1 for x, _, _ in rows[k + 1 :] if x // 1_000_000 == second)  # searches of one second count for each other
+            if len(at) + more >= self.least:
+                out.append((key[0], key[1], i, len(at) + more, min(1.0, (len(at) + more) / 10)))
+        return out, [(t, "") for t in at]
+
+
 def repeat_signals(searches: DataFrame, least: int = 3, minutes: int = 30) -> DataFrame:
-    """Streaming counterpart of the repeated-search signal for ``searches(study, key, id, ts)``; rows of a key in time order."""
-    return searches.groupBy("study", "key").transformWithStateInPandas(_Repeat(least, 60 * minutes), "study long, key string, id long, cnt long, severity double", "Append", "None")
+    """Streaming counterpart of the repeated-search signal for ``searches(study, key, id, ts)``."""
+    return searches.withWatermark("ts", WATERMARK).groupBy("study", "key").transformWithStateInPandas(_Repeat(least, 60 * minutes), "study long, key string, id long, cnt long, severity double", "Append", "EventTime")
 
 
-class _Cooldown(StatefulProcessor):
+class _Cooldown(_Ordered):
     """The time of the last event that passed."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at double")
+    columns = ["key", "id", "ts"]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for t, i in zip(new.ts, new.id, strict=True):
-            at = pd.Timestamp(t).value / 1e9
-            if last is None or at >= last + self.seconds:
-                last = at
-                out.append((key[0], i, t))
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["key", "id", "ts"])
+    def __init__(self, seconds: int):
+        self.span = seconds
 
-    def close(self) -> None:
-        pass
+    def fold(self, key, rows, memory):
+        out, last = [], max((m[0] for m in memory), default=None)
+        for t, i, _ in rows:
+            if last is None or t >= last + self.span * 1_000_000:
+                last = t
+                out.append((key[0], i, pd.Timestamp(t, unit="us")))
+        return out, [(last, "")] if last is not None else []
 
 
 def cooldown(events: DataFrame, seconds: int = 300) -> DataFrame:
     """Streaming counterpart of the keyed cooldown for ``events(key, id, ts)``."""
-    return events.groupBy("key").transformWithStateInPandas(_Cooldown(seconds), "key long, id long, ts timestamp", "Append", "None")
+    return events.withWatermark("ts", WATERMARK).groupBy("key").transformWithStateInPandas(_Cooldown(seconds), "key long, id long, ts timestamp", "Append", "EventTime")
 
 
-class _Alerts(StatefulProcessor):
+class _Alerts(_Ordered):
     """Recent signals of a study; two or more types make an alert, the same combination once a cooldown."""
 
-    def __init__(self, seconds: int, quiet: int):
-        self.seconds, self.quiet = seconds, quiet
+    columns = ["study", "id", "ts", "combo"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at double, type string")
-        self.fired = handle.getMapState("fired", "combo string", "at double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])
-        recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        out = []
-        for t, i, kind in zip(new.ts, new.id, new.type, strict=True):
-            at = float(pd.Timestamp(t).value // 1_000_000_000)
-            recent = [(a, k) for a, k in recent if a >= at - self.seconds] + [(at, kind)]
-            types = sorted({k for _, k in recent})
+    def __init__(self, seconds: int, quiet: int):
+        self.seconds, self.quiet, self.span = seconds, quiet, max(seconds, quiet)
+
+    def fold(self, key, rows, memory):
+        out, recent, fired = [], [(t, k[1:]) for t, k in memory if k[0] == "s"], {k[1:]: t for t, k in memory if k[0] == "f"}
+        for n, (t, i, kind) in enumerate(rows):
+            second = t // 1_000_000
+            recent = [(a, k) for a, k in recent if a // 1_000_000 >= second - self.seconds] + [(t, kind)]
+            types = {k for _, k in recent} | {k for a, _, k in rows[n + 1 :] if a // 1_000_000 == second}
             if len(types) >= 2:
-                combo = "+".join(types)
-                last = self.fired.getValue((combo,))[0] if self.fired.containsKey((combo,)) else None
-                if last is None or at >= last + self.quiet:
-                    self.fired.updateValue((combo,), (at,))
-                    out.append((key[0], i, t, combo))
-        self.recent.put(recent)
-        yield pd.DataFrame(out, columns=["study", "id", "ts", "combo"])
-
-    def close(self) -> None:
-        pass
+                combo = "+".join(sorted(types))
+                if combo not in fired or t >= fired[combo] + self.quiet * 1_000_000:
+                    fired[combo] = t
+                    out.append((key[0], i, pd.Timestamp(t, unit="us"), combo))
+        return out, [(t, f"s{k}") for t, k in recent] + [(t, f"f{k}") for k, t in fired.items()]
 
 
 def alerts(signals: DataFrame, minutes: int = 5, quiet_minutes: int = 30) -> DataFrame:
     """Alerts with cooldown for ``signals(study, id, ts, type)``."""
-    return signals.groupBy("study").transformWithStateInPandas(_Alerts(60 * minutes, 60 * quiet_minutes), "study long, id long, ts timestamp, combo string", "Append", "None")
+    rows = signals.withColumn("tag", F.col("type")).withWatermark("ts", WATERMARK)
+    return rows.groupBy("study").transformWithStateInPandas(_Alerts(60 * minutes, 60 * quiet_minutes), "study long, id long, ts timestamp, combo string", "Append", "EventTime")
 
 
 def commit_batches(stream: DataFrame, path: str, checkpoint: str, key: str):

@@ -13,9 +13,9 @@ def test_schemas():
 
 
 def test_fences(spark):
-    df = spark.createDataFrame([(["a", "x ```", "code", "``` y", "z"],), (["```", "open"],), ([],)], "p array<string>")
-    assert [r[0] for r in df.select(L.healed_fences(df.p)).collect()] == [["a", "x ```\ncode\n``` y", "z"], ["```\nopen"], []]
-    assert df.limit(1).select(L.healed_fences(df.p, 8)).first()[0] == ["a", "x ```\ncode", "``` y\nz"]
+    df = spark.createDataFrame([(["a", "x\n```", "code", "``` y", "z"],), (["```", "open"],), ([],), (["in `` ``` line", "b", " ~~~", "c", "~~~"],)], "p array<string>")
+    assert [r[0] for r in df.select(L.healed_fences(df.p)).collect()] == [["a", "x\n```\ncode\n``` y", "z"], ["```\nopen"], [], ["in `` ``` line", "b", " ~~~\nc\n~~~"]]
+    assert df.limit(1).select(L.healed_fences(df.p, 8)).first()[0] == ["a", "x\n```\ncode", "``` y\nz"]
 
 
 def test_snippets(spark):

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -75,11 +76,67 @@ def test_windows_cover_and_overlap():
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and len(pieces) > 5
     assert all(b2 > b1 and a2 <= b1 for (_, b1), (a2, b2) in zip(pieces, pieces[1:], strict=False))
     assert all(C.LEAST <= b - a <= C.MOST for a, b in pieces[:-1])
-    fenced = "a " * 1300 + "```\n" + "code " * 400 + "\n```\n" + "b " * 2000
-    assert all(fenced.count("```", a, b) % 2 == 0 for a, b in C.window_pieces(fenced)[:1])
+    fenced = "a " * 1300 + "\n```\n" + "code. " * 400 + "\n```\n" + "b " * 2000
+    assert all(len(C.FENCE.findall(fenced[a:b])) % 2 == 0 for a, b in C.window_pieces(fenced)[:1])
+    inline = "a ``` b. " * 1000  # not at a line's beginning, so no fence
+    assert all(b - a <= C.MOST for a, b in C.window_pieces(inline))
+    endless = "x\n~~~\n" + "code " * 4000
+    assert C.window_pieces(endless)[0] == (0, C.FENCED_MOST)
+    loose = "One sentence here. " * 150 + "and then words " * 200
+    assert loose[: C.window_pieces(loose)[0][1]].rstrip().endswith("here.")
     assert C.window_pieces("") == [] and C.window_pieces("x") == [(0, 1)]
 
 
+def plain_windows(text):
+    """The contract of windows without code fences, step by step."""
+    out, start = [], 0
+    while start < len(text):
+        end = len(text)
+        if end - start > 4000:
+            lo, hi = start + 2400, start + 4000
+            ends = {}
+            for at in range(lo, hi):
+                if text[at : at + 2] == "\n\n" and at + 2 <= hi:
+                    ends[0] = at + 2
+                if text[at] == "\n":
+                    ends[1] = at + 1
+                if text[at] in ".!?" and at + 1 < hi and text[at + 1].isspace():
+                    to = at + 1
+                    while to < hi and text[to].isspace():
+                        to += 1
+                    ends[2] = to
+                if text[at] == " ":
+                    ends[3] = at + 1
+            end = ends[min(ends)] if ends else hi
+            if text[start:end].rstrip()[-1:] not in tuple(".!?"):
+                inner = [at + 1 for at in range(start, end - 1) if text[at] in ".!?" and text[at + 1].isspace()]
+                if inner and inner[-1] - start >= 100:
+                    end = inner[-1]
+        out.append((start, end))
+        if end == len(text):
+            break
+        start = max(start + 1, end - 480)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_against_the_contract(seed):
+    rng = random.Random(seed)
+    ends = [[" "], [" ", ". "], [" "] * 30 + [". ", "! "], [" "] * 40 + [".\n", "\n"], [" "] * 60 + [".\n\n", "\n\n"], [""]][seed]
+    text = "".join("w" * rng.randrange(1, 9) + rng.choice(ends) for _ in range(6000))
+    assert C.window_pieces(text) == plain_windows(text)
+
+
+def test_chunk_sequences(spark):
+    pages = spark.createDataFrame([(1, ["first page. " * 400, "", None, "second. " * 10]), (2, ["", " "])], "doc_id long, page_texts array<string>")
+    got = C.page_chunks(pages).orderBy("doc_id", "ord").collect()
+    assert [(r.doc_id, r.ord, r.section_path, r.page, r.prev_ord, r.next_ord, r.parent_ord) for r in got] == [(1, 0, "p.1", 1, None, 1, None), (1, 1, "p.1", 1, 0, None, 0), (1, 2, "p.4", 4, None, None, None)]
+    sections = D.markdown_sections(spark.createDataFrame([(7, "# A\n\n" + "text one. " * 500 + "\n\n# B\n\nshort.")], "doc_id long, text string"))
+    got = C.section_chunks(sections).orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(len(got))) and len(got) >= 3 and got[-1].parent_ord is None and got[1].parent_ord == 0
+    assert len({r.section_path for r in got}) == 2 and all(r.token_count > 0 for r in got)
+
+
 def test_sentence_chunks():
     text = ("A short sentence. " * 80 + "x" * 1700 + ". Tail.")
     got = C.sentence_pieces(text)

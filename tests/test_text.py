@@ -1,3 +1,8 @@
+import random
+import re
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,12 +80,43 @@ def test_sm2(spark, state, q, want):
 
 
 def test_triggers_and_violations(spark):
-    assert [(h["kind"], h["entry"]) for h in G.detect("이제부터 짧게 답해. 농담 빼줘")] == [("preference", "짧게 답해")]
-    assert [(h["kind"], h["entry"]) for h in G.detect("이제부터 짧게 답해.\n농담 빼줘")] == [("preference", "짧게 답해"), ("correction", "농담")]
-    assert G.detect(None) == [] and [h["kind"] for h in G.detect("그러지 마")] == ["correction"]
+    texts = ["이제부터 짧게 답해. 농담 빼줘", "이제부터 짧게 답해.\n농담 빼줘", None, "그러지 마", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(G.triggers(F.col("t"))).collect()]
+    assert [[(h.kind, h.entry) for h in hits] for hits in got] == [[("preference", "짧게 답해")], [("preference", "짧게 답해"), ("correction", "농담")], [], [("correction", "그러지 마")], []]
     corrections = spark.createDataFrame([(1, 1, "- (active, 2회) 농담 하지 말아줘"), (1, 2, "- (resolved) 반말 하지 마"), (2, 3, "- (active) x")], "study long, correction_id long, item string")
     answers = spark.createDataFrame([(1, 10, "여기 농담 하나"), (1, 11, "반말 아님"), (2, 12, "농담")], "study long, answer_id long, answer string")
     assert [tuple(r) for r in G.violations(answers, corrections).collect()] == [(1, 10, 1, "농담")]
     hits = spark.createDataFrame([(1, "goal", "read")], "turn_id long, kind string, entry string")
     similar = spark.createDataFrame([(1, 5, 0.9), (1, 6, 0.5), (2, 7, 0.86)], "turn_id long, chunk_id long, similarity double")
     assert sorted((r.turn_id, r.kind, r.confidence, r.chunks) for r in G.confirmed(hits, similar).collect()) == [(1, "goal", 0.9, [5]), (2, "meta", 0.86, [7])]
+
+
+#: What the cues stand for, written as whole patterns.
+PATTERNS = (
+    ("preference", r"(?m)(?:^|\s)이제부터\s+(.+?)(?:[.,!?]|$)"),
+    ("preference", r"(?m)(?:^|\s)앞으로(?:는)?\s+(.+?)(?:[.,!?]|$)"),
+    ("preference", r"(?m)(.+?)\s*스타일로\s+(?:가자|해줘|부탁)"),
+    ("correction", r"(?m)(.+?)\s*하지\s*말아?\s*줘"),
+    ("correction", r"(?m)그러지\s*마"),
+    ("correction", r"(?m)(.+?)\s*빼줘"),
+    ("goal", r"(?m)(.+?)(?:까지|을|를)\s*(?:끝내고\s*싶|목표야|마치고\s*싶)"),
+)
+
+
+def test_triggers_against_whole_patterns():
+    rng, hits = random.Random(3), 0
+    parts = ["이제부터 ", "앞으로는 ", "앞으로 ", "스타일로 해줘", "하지 말아 줘", "그러지 마", "빼줘", "까지 끝내고 싶", "을 목표야", "a", "b c", ". ", "!", "\n", " ", "글"]
+    for _ in range(3000):
+        text, free, want = "".join(rng.choices(parts, k=rng.randrange(1, 9))), [], []
+        for kind, pattern in PATTERNS:
+            for m in re.finditer(pattern, text):
+                if all(m.end() <= a or m.start() >= b for a, b in free):
+                    free.append(m.span())
+                    if (m[1] if m.re.groups else m[0]).strip():
+                        want.append((kind, (m[1] if m.re.groups else m[0]).strip()))
+        got = [(kind, entry) for kind, _, entry in G.detect(pd.Series([text]))[0]]
+        hits += len(want)
+        assert got == want, text
+    assert hits > 1000
+    began = time.time()
+    assert len(G.detect(pd.Series(["글" * 200_000 + " 빼줘", "이제부터 " * 40_000]))) == 2 and time.time() - began < 10
