@@ -84,21 +84,35 @@ def followup_reuse(messages: DataFrame, sourced: Column, followup: Column) -> Da
     return rows.groupBy("conv_id").agg(F.count("*").alias("users"), F.count_if("f").alias("followups"), F.count_if(F.col("f") & F.col("had")).alias("reusable"))
 
 
-def recent(messages: DataFrame, n: int) -> DataFrame:
-    """The last n messages of each conversation, with their place from the end."""
+def recent(messages: DataFrame, n: int, asked: DataFrame | None = None) -> DataFrame:
+    """The last n messages of each conversation, with their place from the end; those equal to ``asked(conv_id, question)`` are left out."""
+    if asked is not None:
+        messages = messages.join(asked, "conv_id", "left").where("question is null or text <> question").drop("question")
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return messages.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
-def gates(facts: DataFrame, cards: DataFrame, attempts: DataFrame, ratings: DataFrame) -> DataFrame:
-    """One row of learning gates; a ratio of nothing is null. The four one-row aggregates are joined on a constant."""
+def split_history(messages: DataFrame, turns: int = 6) -> DataFrame:
+    """(conv_id, raw, older): up to ``turns`` messages all stay raw; of more, the last 2 * ``turns``, and the older ones as one text to summarise."""
+    w = Window.partitionBy("conv_id")
+    rows = messages.withColumn("back", F.row_number().over(w.orderBy(F.desc("turn")))).withColumn("n", F.count("*").over(w))
+    keep = (F.col("n") <= turns) | (F.col("back") <= 2 * turns)
+    out = rows.groupBy("conv_id").agg(F.count_if(keep).alias("raw"), F.array_sort(F.collect_list(F.when(~keep, F.struct("turn", "text")))).alias("o"))
+    return out.select("conv_id", "raw", F.array_join("o.text", " ").alias("older"))
+
+
+def gates(facts: DataFrame, cards: DataFrame, attempts: DataFrame, ratings: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """One row of learning gates, with the mean citation score of the last ``messages`` if given; a ratio of nothing is null. The one-row aggregates are joined on a constant."""
     one = F.lit(1).alias("one")
     ratio = lambda good: F.round(F.try_divide(F.count_if(good), F.count("*")), 6)
     out = facts.agg(ratio(F.col("status") == "active").alias("active_ratio")).select("*", one)
     out = out.join(cards.where("method not in ('manual', 'legacy')").agg(ratio(F.col("citation") >= 0.5).alias("card_ratio")).select("*", one), "one")
     out = out.join(attempts.agg(F.count_if(F.col("outcome") == "dismissed").alias("dismissed"), ratio(F.col("outcome").isin("correct", "incorrect")).alias("attempted_ratio")).select("*", one), "one")
     last = ratings.orderBy(F.desc("ts"), F.desc("id")).limit(10).agg(F.round(F.avg("rating"), 6).alias("rating_mean"))
-    return out.join(last.select("*", one), "one").drop("one")
+    out = out.join(last.select("*", one), "one")
+    if messages is not None:
+        out = out.join(citation_accuracy(messages, 50).select(F.col("avg_score").alias("citation_mean"), one), "one")
+    return out.drop("one")
 
 
 def citation_accuracy(messages: DataFrame, last: int = 200) -> DataFrame:
@@ -130,10 +144,10 @@ def conflicts(preferences: DataFrame, corrections: DataFrame) -> DataFrame:
     return p.join(c, ["study", "token"]).groupBy("study", "pref_id", "corr_id").agg(F.min_by("token", "pos").alias("token"))
 
 
-def latest(rows: DataFrame, key: str, version: list[Column]) -> DataFrame:
-    """Upsert: the row of each key that comes last."""
+def latest(rows: DataFrame, key: str, version: list[Column], n: int = 1) -> DataFrame:
+    """The ``n`` rows of each key that come first by ``version``; one is an upsert. Each task keeps n rows a key before the exchange."""
     w = Window.partitionBy(key).orderBy(*version)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
 def evict_lru(cache: DataFrame, key: str, most: int) -> DataFrame:

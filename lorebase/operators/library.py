@@ -39,6 +39,56 @@ def main_book(books: DataFrame) -> DataFrame:
     return books.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def reading_order(rows: DataFrame, book: str, section: str, order: str) -> DataFrame:
+    """(book, section, pos): the sections of each book by where they begin."""
+    first = rows.groupBy(book, section).agg(F.min(order).alias("first"))
+    return first.withColumn("pos", F.row_number().over(Window.partitionBy(book).orderBy("first", section)))
+
+
+def latest_or_new(studies: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(study, session, created): each study's session that was updated last; a study without one gets a new one."""
+    last = sessions.groupBy("study").agg(F.max_by("session", F.struct("updated_at", "id")).alias("session"))
+    out = studies.join(last, "study", "left")
+    return out.select("study", F.coalesce("session", F.concat(F.lit("new-"), F.col("study").cast("string"))).alias("session"), F.col("session").isNull().alias("created"))
+
+
+#: A name is tried with so many numbers.
+MOST_NAMES = 999
+
+
+def free_names(wanted: DataFrame, taken: DataFrame, group: str, name: str) -> DataFrame:
+    """``wanted`` with ``free``: the name, or the first of ``name (2)`` to ``name (999)`` that ``taken(group, name)`` lacks; an error beyond."""
+    number = r" \\(([0-9]{1,3})\\)$"
+    used = taken.select(group, F.regexp_replace("name", number, "").alias("_base"), F.coalesce(F.nullif(F.regexp_extract("name", number, 1), F.lit("")).cast("int"), F.lit(1)).alias("_n"))
+    sets = used.groupBy(group, "_base").agg(F.collect_set("_n").alias("_used"))  # 999 at most
+    out = wanted.join(sets.withColumnRenamed("_base", name), [group, name], "left")
+    first = F.get(F.array_except(F.sequence(F.lit(1), F.lit(MOST_NAMES)), F.coalesce("_used", F.array().cast("array<int>"))), F.lit(0))
+    free = F.when(first.isNull(), F.raise_error(F.lit("no free name"))).when(first == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), first.cast("string"), F.lit(")")))
+    return out.withColumn("free", free).drop("_used")
+
+
+def affected(df: DataFrame, ids: DataFrame, status: str, by: str, key: str = "id") -> DataFrame:
+    """(by, affected): how many rows of ``df`` a change of ``ids(key, by)`` to ``status`` reaches."""
+    hit = df.where(~F.col("status").eqNullSafe(status)).join(sized(ids), key)
+    return hit.groupBy(by).agg(F.count("*").alias("affected"))
+
+
+def edited(df: DataFrame, edits: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """``df`` with ``column`` replaced where ``edits(key, new_<column>)`` has the row, and ``edited``."""
+    out = df.join(sized(edits.withColumn("edited", F.lit(True))), key, "left").withColumn("edited", F.coalesce("edited", F.lit(False)))
+    return out.withColumn(column, F.when(F.col("edited"), F.col(f"new_{column}")).otherwise(F.col(column))).drop(f"new_{column}")
+
+
+def fallback(asked: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(query_id, kind, context): of each question the context of the first source that has one not blank, else none."""
+    found = None
+    for place, (kind, rows) in enumerate(sources):
+        some = rows.where(F.btrim("context") != "").select("query_id", F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), "context").alias("c"))
+        found = some if found is None else found.union(some)
+    best = found.groupBy("query_id").agg(F.min("c").alias("c"))
+    return asked.join(best, "query_id", "left").select("query_id", F.coalesce("c.kind", F.lit("none")).alias("kind"), "c.context")
+
+
 def numbered_names(df: DataFrame, group: str, name: str, order: str) -> DataFrame:
     """Equal names of a group get (2), (3), ... in order."""
     k = F.row_number().over(Window.partitionBy(group, name).orderBy(order))
@@ -67,14 +117,17 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
 
 
 def snippet(text: Column, terms: Column, width: int = 12) -> Column:
-    """The window of ``width`` tokens from the first hit on, hits marked << >>, with ellipses where text is left out.
+    """The window of ``width`` tokens with the most hits, hits marked << >>, with ellipses where text is left out.
 
-    Without a hit, the text's first tokens.
+    A window begins at a hit; of equal ones the first counts. Without a hit, the text's first tokens.
     """
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
-    hit = F.array_position(F.transform(words, lambda w: F.array_contains(terms, plain(w))), True)
-    start = F.greatest(F.lit(1), hit).cast("int")
+    marks = F.transform(words, lambda w: F.array_contains(terms, plain(w)).cast("int"))
+    count = lambda i: F.aggregate(F.slice(marks, i, F.lit(width)), F.lit(0), lambda s, x: s + x)
+    starts = F.filter(F.transform(marks, lambda m, i: F.when(m == 1, i + 1)), lambda i: i.isNotNull())
+    best = F.array_max(F.transform(starts, lambda i: F.struct(count(i).alias("n"), (-i).alias("i"))))
+    start = F.coalesce(-best["i"], F.lit(1)).cast("int")
     shown = F.transform(F.slice(words, start, width), lambda w: F.when(F.array_contains(terms, plain(w)), F.concat(F.lit("<<"), w, F.lit(">>"))).otherwise(w))
     return F.concat(F.when(start > 1, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > start + width - 1, "…").otherwise(""))
 
@@ -118,8 +171,3 @@ def routed(answer: Column, query: Column) -> tuple[Column, Column]:
     line = lambda name: F.nullif(F.btrim(F.regexp_extract(answer, rf"(?im)^[ \t]*{name}[ \t]*:[ \t]*(.*)$", 1)), F.lit(""))
     kind = F.lower(line("class"))
     return F.coalesce(line("rewrite"), query), F.when(kind.isin("keyword", "conceptual", "balanced"), kind).otherwise(T.route(query))
-
-
-def context_of(*options: Column) -> Column:
-    """The first of the fallback contexts that isn't blank."""
-    return F.coalesce(*[F.when(F.btrim(o) != "", o) for o in options])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -80,11 +81,11 @@ def response_latency(spark, d):
 
 @query(
     "followup_reuse",
-    """with c as (select *, length(text) % 2 = 0 f, coalesce(last_value(case when role = 'assistant' then length(text) % 3 > 0 end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), false) had from conversations)
+    """with c as (select *, length(trim(text)) >= 2 and ((length(trim(text)) <= 6 and regexp_matches(trim(text), '왜|어떻게|뭐|어디')) or regexp_matches(trim(text), '그러면|그럼|그건 왜|왜 그래|왜 그런|다시 설명|더 자세|예시|구체적|근거|출처|이전에|방금|그 부분|그것|그게 무슨|어떻게 그') or contains(text, '?')) f, coalesce(last_value(case when role = 'assistant' then length(text) % 3 > 0 end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), false) had from conversations)
 select conv_id, count(*) users, count(*) filter (f) followups, count(*) filter (f and had) reusable from c where role = 'user' group by conv_id""",
 )
 def followup_reuse(spark, d):
-    return A.followup_reuse(table(spark, d, "conversations"), F.length("text") % 3 > 0, F.length("text") % 2 == 0)
+    return A.followup_reuse(table(spark, d, "conversations"), F.length("text") % 3 > 0, T.is_followup(F.col("text")) | ((F.length(F.btrim("text")) >= 2) & F.contains("text", F.lit("?"))))
 
 
 @query("recent_turns", "select conv_id, turn, role, back::int back from (select *, row_number() over (partition by conv_id order by turn desc) back from conversations) where back <= 4")
@@ -92,18 +93,6 @@ def recent_turns(spark, d):
     return A.recent(table(spark, d, "conversations"), 4).select("conv_id", "turn", "role", "back")
 
 
-@query(
-    "history_split",
-    """with c as (select *, row_number() over (partition by conv_id order by turn desc) back, count(*) over (partition by conv_id) n from conversations)
-select conv_id, string_agg(left(text, 10), '|' order by turn) summary, count(*) older from c where n > 4 and back > 3 group by conv_id""",
-)
-def history_split(spark, d):
-    """Of conversations beyond four messages: what lies before the last three, in short."""
-    c = A.recent(table(spark, d, "conversations"), 1 << 30)
-    n = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("back") > 3, F.struct("turn", F.substring("text", 1, 10).alias("t"))))).alias("o"))
-    return n.where("n > 4 and size(o) > 0").select("conv_id", F.array_join("o.t", "|").alias("summary"), F.size("o").alias("older"))
-
-
 @query("session_counts", "select s.conv_id, coalesce(n, 0) users from (select distinct conv_id from conversations) s left join (select conv_id, count(*) n from conversations where role = 'user' group by all) using (conv_id)")
 def session_counts(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"))
@@ -125,15 +114,16 @@ def message_page(spark, d):
     """with f as (select round(count(*) filter (event_type = 'click') / count(*), 6) active_ratio from events where ts >= timestamp '2024-01-24'),
 c as (select round(count(*) filter (quality = 1) / count(*), 6) card_ratio from labels),
 a as (select count(*) filter (event_type = 'view') dismissed, round(count(*) filter (event_type in ('click', 'purchase')) / count(*), 6) attempted_ratio from events),
-r as (select round(avg(value), 6) rating_mean from (select value from events order by ts desc, event_id desc limit 10))
-select * from f, c, a, r""",
+r as (select round(avg(value), 6) rating_mean from (select value from events order by ts desc, event_id desc limit 10)),
+m as (select round(avg((event_id % 10) / 10), 6) citation_mean from (select event_id from events order by event_id desc limit 50) where event_id % 7 <> 0)
+select * from f, c, a, r, m""",
 )
 def gate_report(spark, d):
     e = table(spark, d, "events")
     week = e.where(F.col("ts") >= F.lit("2024-01-24").cast("timestamp_ntz")).select(F.when(F.col("event_type") == "click", "active").otherwise("archived").alias("status"))
     cards = table(spark, d, "labels").select(F.lit("deterministic_cloze").alias("method"), F.col("quality").alias("citation"))
     outcome = F.when(F.col("event_type") == "view", "dismissed").when(F.col("event_type") == "click", "correct").when(F.col("event_type") == "purchase", "incorrect").otherwise("timeout")
-    return A.gates(week, cards, e.select(outcome.alias("outcome")), e.select("ts", F.col("event_id").alias("id"), F.col("value").alias("rating")))
+    return A.gates(week, cards, e.select(outcome.alias("outcome")), e.select("ts", F.col("event_id").alias("id"), F.col("value").alias("rating")), _contexts(spark, d))
 
 
 _CTX = """case when event_id % 7 = 0 then 'broken {' else '{"kind":"hybrid","citation_scores":[{"source_idx":1,"score":' || (event_id % 10) / 10 || ',"verdict":"' || case when event_id % 10 >= 5 then 'pass' when event_id % 10 >= 4 then 'low' else 'no_match' end || '"}]}' end"""
@@ -145,10 +135,14 @@ _CTX = """case when event_id % 7 = 0 then 'broken {' else '{"kind":"hybrid","cit
 select count(distinct id) messages, count(*) markers, count(*) filter (v = 'pass') passes, count(*) filter (v = 'low') lows, count(*) filter (v = 'no_match') no_matches, round(count(*) filter (v = 'pass') / count(*), 6) pass_ratio, round(avg(s), 6) avg_score from v""",
 )
 def citation_accuracy(spark, d):
+    return A.citation_accuracy(_contexts(spark, d))
+
+
+def _contexts(spark, d):
+    """Messages with a JSON context, each seventh one malformed."""
     k = F.col("event_id") % 10
     good = F.format_string('{"kind":"hybrid","citation_scores":[{"source_idx":1,"score":%s,"verdict":"%s"}]}', (k / 10).cast("string"), F.when(k >= 5, "pass").when(k >= 4, "low").otherwise("no_match"))
-    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 == 0, "broken {").otherwise(good).alias("context_json"))
-    return A.citation_accuracy(rows)
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 == 0, "broken {").otherwise(good).alias("context_json"))
 
 
 @query("ab_votes", "select count(*) filter (event_id % 3 = 0) baseline, count(*) filter (event_id % 3 = 1) v041, count(*) filter (event_id % 3 = 2) tie, count(*) total from events")
@@ -160,9 +154,8 @@ def ab_votes(spark, d):
 
 @query("last_n_mean", "select user_id, round(avg(value), 6) mean from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from events) where k <= 10 group by user_id")
 def last_n_mean(spark, d):
-    last = F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")), asc=False), 1, 10)
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.value, lambda s: s / F.size("v"))
-    return table(spark, d, "events").groupBy("user_id").agg(last.alias("v")).select("user_id", F.round(mean, 6).alias("mean"))
+    last = A.latest(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 10)
+    return last.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("prefix_cache_ratio", "select round(sum(greatest(c, 0)) / (sum(greatest(c, 0)) + sum(greatest(f, 0))), 6) ratio, count(*) rows_used from (select event_id % 13 - 3 c, user_id % 7 - 2 f from events) where c > 0 or f > 0")
@@ -177,14 +170,13 @@ def timing_statistics(spark, d):
 
 @query("trace_totals", "select user_id trace, round(sum(value), 4) total_ms, count(*) spans, max(json_extract_string(props, '$.k')::int) top_k from events group by user_id")
 def trace_totals(spark, d):
-    spans = table(spark, d, "events").groupBy(F.col("user_id").alias("trace")).agg(F.collect_list(F.struct("value", F.try_parse_json("props").alias("f"))).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x.value)
-    return spans.select("trace", F.round(total, 4).alias("total_ms"), F.size("s").alias("spans"), F.array_max(F.transform("s", lambda x: F.try_variant_get(x.f, "$.k", "int"))).alias("top_k"))
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("trace")).agg(F.round(F.sum("value"), 4).alias("total_ms"), F.count("*").alias("spans"), F.max(k).alias("top_k"))
 
 
 @query(
     "memory_injection",
-    """with f as (select conv_id % 10 study, turn, conv_id * 100 + turn id, case when role = 'user' then 'preference' else 'goal' end kind, left(regexp_replace(text, E'\\n', ' ', 'g'), 20) content from conversations where (conv_id + turn) % 3 > 0),
+    """with f as (select conv_id % 10 study, turn, conv_id * 100 + turn id, case when role = 'user' then 'preference' else 'goal' end kind, regexp_replace(text, E'\\n', ' ', 'g') content from conversations where (conv_id + turn) % 3 > 0),
 g as (select study, kind, string_agg('- ' || content, E'\\n' order by turn, id) t from f group by all),
 x as (select study, kind, case when length(t) <= lim then t else regexp_replace(left(t, lim), E'\\n[^\\n]*$', '') || E'\\n…' end t from (select *, case when kind = 'preference' then 2000 else 4000 end lim from g))
 select study, coalesce(max(t) filter (kind = 'preference'), '') l1, coalesce(max(t) filter (kind = 'goal'), '') l2 from x group by study""",
@@ -193,20 +185,20 @@ def memory_injection(spark, d):
     c = table(spark, d, "conversations")
     kind = F.when(F.col("role") == "user", "preference").otherwise("goal")
     status = F.when((F.col("conv_id") + F.col("turn")) % 3 > 0, "active").otherwise("archived")
-    content = F.substring(F.regexp_replace("text", "\n", " "), 1, 20)
+    content = F.regexp_replace("text", "\n", " ")
     return A.memory_levels(c.select((F.col("conv_id") % 10).alias("study"), F.col("turn").alias("created"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), kind.alias("kind"), status.alias("status"), F.lit(0.9).alias("confidence"), content.alias("content")))
 
 
 @query(
     "conflict_pairs",
-    r"""with t as (select conv_id % 10 study, conv_id * 100 + turn id, role, regexp_extract_all(left(text, 60), '[\p{L}\p{N}]{2,}') k from conversations),
+    r"""with t as (select conv_id % 10 study, conv_id * 100 + turn id, role, regexp_extract_all(text, '[\p{L}\p{N}]{2,}') k from conversations),
 p as (select study, id pref_id, unnest(k) token, unnest(range(len(k))) pos from t where role = 'user'),
 c as (select distinct study, id corr_id, unnest(k) token from t where role = 'system'),
 s as (select * from p where token not in ('active', 'deprecated', 'resolved', 'achieved', 'since', '지적', '회'))
 select study, pref_id, corr_id, arg_min(s.token, pos) token from s join c using (study, token) group by all""",
 )
 def conflict_pairs(spark, d):
-    c = table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("study"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", F.substring("text", 1, 60).alias("text"))
+    c = table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("study"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", "text")
     return A.conflicts(c.where("role = 'user'"), c.where("role = 'system'"))
 
 
@@ -267,7 +259,7 @@ def embed_failures(spark, d):
     return A.embed_failures(rows)
 
 
-@query("cascade_delete", "select 'messages' t, count(*) n from conversations where conv_id % 5 <> 0 union all select 'vectors', count(*) from embeddings where vec_id % 5 <> 0")
+@query("cascade_delete", "select 'messages' t, count(*) n from conversations where conv_id % 5 <> 0 union all select 'vectors', count(*) from embeddings where vec_id not in (select doc_id from documents where doc_id % 5 = 0 union select conv_id from conversations where conv_id % 5 = 0)")
 def cascade_delete(spark, d):
     gone = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id").union(table(spark, d, "conversations").where("conv_id % 5 = 0").select("conv_id")).distinct()
     left = A.cascade(gone, {"messages": (table(spark, d, "conversations"), "conv_id"), "vectors": (table(spark, d, "embeddings"), "vec_id")}, "doc_id")
@@ -275,11 +267,21 @@ def cascade_delete(spark, d):
     return parts[0].union(parts[1])
 
 
-@query("markdown_export", "select string_agg('- ' || event_id || ': ' || event_type, E'\\n' order by event_id desc) report from (select * from events order by event_id desc limit 200)")
+@query(
+    "markdown_export",
+    """with l as (select string_agg('- ' || event_id || ': ' || event_type, E'\\n' order by event_id desc) rows from (select * from events order by event_id desc limit 200)),
+s as (select 'total ' || count(*) || ', view ' || count(*) filter (event_type = 'view') || ', click ' || count(*) filter (event_type = 'click') stats from events)
+select '## Votes' || E'\\n\\n' || stats || E'\\n\\n## Last' || E'\\n\\n' || rows report from l, s""",
+)
 def markdown_export(spark, d):
-    last = table(spark, d, "events").orderBy(F.desc("event_id")).limit(200)
+    """The votes' statistics, then the last 200 rows, as one text."""
+    e = table(spark, d, "events")
+    last = e.orderBy(F.desc("event_id")).limit(200)
     line = F.concat(F.lit("- "), F.col("event_id").cast("string"), F.lit(": "), F.col("event_type"))
-    return last.agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l"))), asc=False).alias("r")).select(F.array_join("r.l", "\n").alias("report"))
+    rows = last.agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l"))), asc=False).alias("r"), F.lit(1).alias("one"))
+    count = lambda c: c.cast("string")
+    stats = e.agg(F.concat(F.lit("total "), count(F.count("*")), F.lit(", view "), count(F.count_if(F.col("event_type") == "view")), F.lit(", click "), count(F.count_if(F.col("event_type") == "click"))).alias("s"), F.lit(1).alias("one"))
+    return rows.join(stats, "one").select(F.concat(F.lit("## Votes\n\n"), "s", F.lit("\n\n## Last\n\n"), F.array_join("r.l", "\n")).alias("report"))
 
 
 @query("self_reports", "select conv_id, turn, 0.5 + 0.4 - 0.1 severity from conversations where regexp_matches(lower(text), 'i know|i got it|easy|쉽다|쉬워|이해했다')")
@@ -288,6 +290,10 @@ def self_reports(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", s.alias("severity")).where("severity is not null")
 
 
-@query("reading_progress", "select source, min(doc_id) filter (doc_id >= 100)::double / nullif(max(doc_id), 0) progress from documents group by source")
+@query("reading_progress", "with o as (select source, doc_id // 100 section_no, row_number() over (partition by source order by doc_id) - 1 ord from documents) select source, min(ord) filter (section_no = 1)::double / nullif(max(ord), 0) progress from o group by source")
 def reading_progress(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(T.clamp(F.min(F.when(F.col("doc_id") >= 100, F.col("doc_id"))).cast("double") / F.nullif(F.max("doc_id"), F.lit(0))).alias("progress"))
+    """Where the section that is open begins, as a share of the book."""
+    docs = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 100).alias("section_no"), "doc_id")
+    rows = docs.withColumn("ord", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    at = F.min(F.when(F.col("section_no") == 1, F.col("ord"))).cast("double") / F.nullif(F.max("ord"), F.lit(0))
+    return rows.groupBy("source").agg(F.when(at.isNotNull(), T.clamp(at)).alias("progress"))

@@ -93,7 +93,7 @@ def last_session(spark, d):
     "similar_turns",
     """with t as (select vec_id turn_id, embedding::double[] v from embeddings where vec_id % 100 = 0),
 s as (select turn_id, vec_id chunk_id, round(list_dot_product(v, embedding::double[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) + 0.0 similarity from t, embeddings)
-select turn_id, chunk_id, similarity from (select *, row_number() over (partition by turn_id order by similarity desc, chunk_id) k from s) where k <= 50 and similarity >= 0.3""",
+select turn_id, chunk_id, similarity from (select *, row_number() over (partition by turn_id order by similarity desc, chunk_id) k from s) where similarity >= 0.3""",
 )
 def similar_turns(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
@@ -105,8 +105,9 @@ def similar_turns(spark, d):
     "select user_id, case when v1 >= 50 then i1 when v2 >= 50 then i2 end chunk_id from (select user_id, value v1, event_id i1, lead(value) over w v2, lead(event_id) over w i2, row_number() over w k from events window w as (partition by user_id order by event_id)) where k = 1",
 )
 def first_cited_chunk(spark, d):
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("event_id", "value"))), 1, 2).alias("p"))
-    return rows.select("user_id", L.first_passing(F.col("p.value"), F.col("p.event_id"), 50.0).alias("chunk_id"))
+    """Of the first two rows of a user the first that passes; users without one keep a null."""
+    rows = A.latest(table(spark, d, "events"), "user_id", ["event_id"], 2)
+    return rows.groupBy("user_id").agg(F.min(F.when(F.col("value") >= 50, F.col("event_id"))).alias("chunk_id"))
 
 
 @query(
@@ -120,12 +121,17 @@ def study_phases(spark, d):
     return L.phases(table(spark, d, "events").select(F.col("user_id").alias("study"), F.col("event_id").alias("id"), "ts", kind.alias("kind")))
 
 
+_HIT = r"regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') in ('with', 'und', 'que')"
+
+
 @query(
     "search_snippets",
-    r"""with w as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') w from documents),
-p as (select doc_id, w, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') in ('with', 'und', 'que')), true) h from w),
-s as (select doc_id, w, greatest(1, coalesce(h, 0)) a from p)
-select doc_id, case when a > 1 then '…' else '' end || array_to_string(list_transform(list_slice(w, a, a + 11), lambda x: case when regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') in ('with', 'und', 'que') then '<<' || x || '>>' else x end), ' ') || case when len(w) > a + 11 then '…' else '' end snippet from s""",
+    rf"""with w as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') w from documents),
+m as (select doc_id, w, list_transform(w, lambda x: case when {_HIT} then 1 else 0 end) m from w),
+p as (select doc_id, i, list_sum(list_slice(m, i, i + 11)) n from (select doc_id, m, unnest(range(1, len(m) + 1)) i from m) where m[i] = 1),
+b as (select doc_id, i a from (select *, row_number() over (partition by doc_id order by n desc, i) k from p) where k = 1),
+s as (select w.doc_id, w, coalesce(a, 1) a from w left join b using (doc_id))
+select doc_id, case when a > 1 then '…' else '' end || array_to_string(list_transform(list_slice(w, a, a + 11), lambda x: case when {_HIT} then '<<' || x || '>>' else x end), ' ') || case when len(w) > a + 11 then '…' else '' end snippet from s""",
 )
 def search_snippets(spark, d):
     terms = F.array(F.lit("with"), F.lit("und"), F.lit("que"))
@@ -144,13 +150,6 @@ def route_outputs(spark, d):
     return table(spark, d, "benchmark").select("item_id", rewrite.alias("rewrite"), kind.alias("class"))
 
 
-@query("context_fallback", "select item_id, case when item_id % 3 = 0 then 'hybrid' when item_id % 3 = 1 then 'section' else 'file' end context from benchmark")
-def context_fallback(spark, d):
-    i = F.col("item_id") % 3
-    out = L.context_of(F.when(i == 0, "hybrid").otherwise(" "), F.when(i == 1, "section"), F.lit("file"))
-    return table(spark, d, "benchmark").select("item_id", out.alias("context"))
-
-
 @query("provider_backfill", "select event_id, case event_id % 4 when 0 then 'anthropic' when 1 then 'openai' when 2 then 'gemini' end provider from events")
 def provider_backfill(spark, d):
     model = F.element_at(F.array(F.lit("claude-x"), F.lit("gpt-x"), F.lit("gemini-x"), F.lit("other")), (F.col("event_id") % 4 + 1).cast("int"))
