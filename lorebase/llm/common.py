@@ -118,6 +118,13 @@ def piece(text: Column, key: Column, size: int) -> Column:
     return F.substring(text, start.cast("int") + 1, F.lit(size))
 
 
+def slices(it, rows: int = 512):
+    """Arrow batches cut into smaller ones, so that a task holds the texts of ``rows`` rows as Python objects and no more."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Taken:
     """Which spans meet some of ``spans`` (start, end), by binary search."""
 

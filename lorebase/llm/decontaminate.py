@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, sized
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 5
-#: A side of the join is broadcast up to so many rows of two numbers; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -25,13 +23,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _shingle(w: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(w, at + j) for j in range(size)])
-
-
 def _shingles(w: Column, n: Column, size: int) -> Column:
-    """Hashes of all ``size``-word shingles in order."""
-    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: _shingle(w, i, size))).otherwise(F.array().cast("array<bigint>"))
+    """Structs (pos, h) of all ``size``-word shingles in order."""
+    one = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(w, i + j) for j in range(size)]).alias("h"))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), one)).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
@@ -41,50 +36,41 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return w.select("item_id", F.explode(cut).alias("window")).distinct()
 
 
-def _sized(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
-
+def find(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, n_words) of each row of ``docs(doc_id, text)``, (doc_id, text_hash, found)).
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_words, found): for each row of ``docs(doc_id, text)`` the windows that occur.
-
-    ``found`` holds structs (start, size, window) by position, counted in words from 0.
+    ``found`` holds structs (start, size, window) by position, counted in words from 0, for each distinct
+    document with an occurring window. Every text is split into words once; a second time only those
+    that share a window's rarest shingle.
     """
     distinct = checkpointed(windows(benchmark).select("window").distinct().withColumn("size", F.size("window")))
     sizes = sorted(r[0] for r in distinct.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most SHINGLE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     split = rows.select("doc_id", "text_hash", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    parts, needles = [], []
-    for k in sizes:
-        fits = (F.col("size") >= SHINGLE) if k == SHINGLE else (F.col("size") == k)
-        needles.append(distinct.where(fits).select("window", "size", F.posexplode(_shingles(F.col("window"), F.col("size"), k)).alias("off", "h")))
-        parts.append(split.select("doc_id", "text_hash", F.posexplode(_shingles(F.col("w"), F.col("n"), k)).alias("pos", "h")))
-    if not sizes:
-        return rows.select("doc_id", "text_hash", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,size:int,window:array<string>>>").alias("found"))
-    needles, parts = _union(needles), _union(parts)
-    needles = checkpointed(needles)
-    tokens = checkpointed(needles.select("h").distinct())
-    hits = checkpointed(parts.join(_sized(tokens, tokens.count()), "h", "left_semi"))
+    of_size = lambda k: (F.col("size") >= SHINGLE) if k == SHINGLE else (F.col("size") == k)
+    none = F.array().cast("array<struct<pos:int,h:bigint>>")
+    of_window = F.concat(none, *(F.when(of_size(k), _shingles(F.col("window"), F.col("size"), k)).otherwise(none) for k in sizes))
+    needles = checkpointed(distinct.select("window", "size", F.inline(of_window)).withColumnRenamed("pos", "off"))
+    tokens = checkpointed(needles.select("h").distinct().withColumn("known", F.lit(True)))
+    own = F.array(F.struct(F.lit(-1).alias("pos"), F.col("n").cast("long").alias("h")))  # one row a text tells its words
+    each = split.select("doc_id", "text_hash", F.inline(F.concat(own, *(_shingles(F.col("w"), F.col("n"), k) for k in sizes))))
+    seen = checkpointed(each.join(sized(tokens, tokens.count()), "h", "left").where("pos < 0 or known").select("doc_id", "text_hash", "pos", "h"))
+    counted = seen.where("pos < 0").select("doc_id", "text_hash", F.col("h").alias("n_words"))
+    hits = seen.where("pos >= 0")
     counts = hits.groupBy("h").agg(F.count("*").alias("n"))
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h")).alias("rarest")
-    prefix = needles.join(counts, "h", "left").groupBy("window", "size").agg(rarest).where("rarest.n > 0")
+    rarest = F.min(F.struct("n", "off", "h")).alias("rarest")
+    prefix = needles.join(counts, "h", "left").groupBy("window", "size").agg(F.count_if(F.col("n").isNull()).alias("lacking"), rarest).where("lacking = 0")
     prefix = checkpointed(prefix.select("window", "size", "rarest.off", "rarest.h"))
-    at = hits.join(_sized(prefix, 8 * prefix.count()), "h").select("doc_id", "text_hash", (F.col("pos") - F.col("off")).alias("start"), "size", "window").where("start >= 0")
+    at = hits.join(sized(prefix, 8 * prefix.count()), "h").select("doc_id", "text_hash", (F.col("pos") - F.col("off")).alias("start"), "size", "window").where("start >= 0")
     near = at.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size", "window")).alias("near"))
-    near = near.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
-    both = rows.join(near, rows.doc_id.eqNullSafe(near.d) & rows.text_hash.eqNullSafe(near.t), "left")
+    near = checkpointed(near.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}))
+    texts = rows.join(sized(near.select("d", "t"), near.count()), rows.doc_id.eqNullSafe(F.col("d")) & rows.text_hash.eqNullSafe(F.col("t")), "left_semi").distinct()
+    both = texts.join(near, texts.doc_id.eqNullSafe(near.d) & texts.text_hash.eqNullSafe(near.t))
     both = both.select("doc_id", "text_hash", words(F.col("text")).alias("w"), "near").withColumn("n", F.size("w"))
     holds = lambda c: (c.start + c.size <= F.col("n")) & (F.slice("w", c.start + 1, c.size) == c.window)
-    kept = F.when(F.col("near").isNull(), F.array().cast("array<struct<start:int,size:int,window:array<string>>>")).otherwise(F.array_sort(F.filter("near", holds)))
-    return both.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_words"), kept.alias("found"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    found = both.select("doc_id", "text_hash", F.array_sort(F.filter("near", holds)).alias("found")).where(F.size("found") > 0)
+    return counted, checkpointed(found)
 
 
 def _covered(spans: Column) -> Column:
@@ -103,26 +89,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A document word is hit if it lies in an occurrence of an item's window. Null and empty texts have
     no words. Benchmark rows without item_id or words are left out; rows sharing an item_id are one
-    item. Rows sharing a doc_id are judged each by its own text. An empty benchmark hits nothing; empty
-    documents give no rows; other columns are ignored.
+    item. Rows sharing a doc_id are judged each by its own text; overlapping windows hit a word once.
+    Whole texts are split, however long. An empty benchmark hits nothing; empty documents give no rows;
+    other columns are ignored.
     """
-    found = checkpointed(find(docs, benchmark))
-    hit = found.where(F.size("found") > 0)
-    pairs = hit.select("doc_id", "text_hash", F.explode("found.window").alias("window")).distinct()
+    counted, found = find(docs, benchmark)
+    pairs = found.select("doc_id", "text_hash", F.explode("found.window").alias("window")).distinct()
     items = pairs.join(windows(benchmark), "window").groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     items = items.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
-    both = found.join(items, found.doc_id.eqNullSafe(items.d) & found.text_hash.eqNullSafe(items.t), "left")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
-    n_hit = _covered(F.col("found"))
+    both = found.join(items, found.doc_id.eqNullSafe(items.d) & found.text_hash.eqNullSafe(items.t))
+    both = both.select("d", "t", _covered(F.col("found")).alias("hit"), "items")
+    both = counted.join(both, counted.doc_id.eqNullSafe(both.d) & counted.text_hash.eqNullSafe(both.t), "left")
+    listed, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("hit", F.lit(0).cast("long"))
     return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(listed)), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of the benchmark."""
-    found = find(docs, benchmark).where(F.size("found") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    found = checkpointed(found)
+    """The rows of ``docs``, all columns, that hold no window of the benchmark; null texts hold none."""
+    _, found = find(docs, benchmark)
+    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
     text_hash = F.xxhash64(docs["text"].cast("string"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & text_hash.eqNullSafe(found["_t"]), "left_anti")
+    return docs.join(sized(found, found.count()), docs["doc_id"].eqNullSafe(found["_d"]) & text_hash.eqNullSafe(found["_t"]), "left_anti")
 
 
 ORACLE = r"""

@@ -1,9 +1,8 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, DataFrame operations only.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so sketches of
-texts of any length compare directly and merge by union. A short text's sketch would be empty or a
-matter of luck: the FLOOR least hashes stay in any case, and two sketches are compared only up to the
-hash below which both are complete.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range and no other, so
+sketches of texts of any length compare directly, and the union of two is the sketch of both texts
+together. A text of few shingles may keep none; what that gives is stated with ``likeness``.
 """
 
 from __future__ import annotations
@@ -14,10 +13,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, tasks_for
 
 SHINGLE = 5
-FRACTION = 1 / 8
-FLOOR = 16
-_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
-_EDGE = _LEAST + int(FRACTION * (1 << 64))
+FRACTION = 1 / 4
+_EDGE = -(1 << 63) + int(FRACTION * (1 << 64))
 
 
 def _words(text: Column) -> Column:
@@ -30,22 +27,19 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn("_w", _words(F.col(text))).withColumn("_n", F.size("_w"))
     w = F.col("_w")
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
-    df = df.withColumn("_h", F.when(F.col("_n") == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(each))))
-    kept = F.filter("_h", lambda x, i: (x < F.lit(_EDGE)) | (i < FLOOR))
-    return df.withColumn(name, kept).drop("_w", "_n", "_h")
+    df = df.withColumn("_h", F.when(F.col("_n") == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(F.filter(each, lambda x: x < F.lit(_EDGE))))))
+    return df.withColumnRenamed("_h", name).drop("_w", "_n")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated containment of the smaller in the larger: 0 to 1; 1 for two empty sketches, 0 for one."""
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of the shingles of two texts together."""
+    return F.sort_array(F.array_union(a, b))
 
-    def whole_to(x: Column) -> Column:
-        return F.when(F.size(x) < FLOOR, F.lit(_MOST)).otherwise(F.greatest(F.lit(_EDGE - 1), F.element_at(x, -1)))
 
-    to = F.least(whole_to(a), whole_to(b))
-    up_to = lambda x: F.size(F.filter(x, lambda h: h <= to))
-    shared = F.size(F.filter(F.array_intersect(a, b), lambda h: h <= to))
-    least = F.least(up_to(a), up_to(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(shared / least)
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated containment of the smaller in the larger: 0 to 1; 1 for two empty sketches, 0 for one."""
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def as_text(sketch: Column) -> Column:
@@ -76,8 +70,9 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     The next document is the next distinct (doc_id, text) by descending doc_id, nulls last, then by a
     hash of the text; after the last comes the first, and a lone document is its own next. Rows equal
-    in both get equal results. Null text is empty: its sketch is empty. An empty table gives no rows;
-    other columns are ignored.
+    in both get equal results. Null text is empty: its sketch is empty, as that of a very short text may
+    be; of two empty ones the likeness is 1, of one 0. Whole texts are sketched, however long. An empty
+    table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))

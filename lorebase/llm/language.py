@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import piece
+from .common import piece, slices
 
 #: The labelled sample: for each language the rows with the least hash of doc_id, so many characters of
 #: each (a piece of longer texts), and so many bytes of them all; the languages with the most rows.
@@ -102,7 +102,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def run(it):
         ready = model.build()
-        for batch in it:
+        for batch in slices(it):
             got = [ready.predict(t) for t in batch.column(1).to_pylist()]
             columns = list(zip(*got, strict=True)) or [(), (), ()]
             kinds = (pa.string(), pa.float64(), pa.bool_())

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Where the public vocabulary files are; a parameter of ``load``.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct units remembered by a task, and bytes of units run side by side.
-REMEMBERED, CELLS = 300_000, 1_000_000
+REMEMBERED, CELLS = 200_000, 1_000_000
 #: Below any piece, so that a character falls back to bytes just where nothing covers it.
 PENALTY = 10.0
 
@@ -227,18 +229,6 @@ class Tokenizer:
         return out
 
 
-_BUILT: dict = {}
-
-
-def tokenizer(vocabulary: Vocabulary) -> Tokenizer:
-    """One for each Python worker and vocabulary."""
-    key = (len(vocabulary.pieces), hash(tuple(vocabulary.pieces)), hash(tuple(vocabulary.scores)))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Tokenizer(vocabulary)
-    return _BUILT[key]
-
-
 #: Characters of text encoded at once.
 BLOCK = 1_000_000
 
@@ -247,14 +237,15 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip), one row for each row of ``docs(doc_id, text)``.
 
     ``ids`` is the best segmentation of the whole text; ``round_trip`` tells that decoding gives the
-    text back (the piece mark U+2581 itself counts as a space). Null and empty texts have no ids. An
+    text back (the piece mark U+2581 itself counts as a space). Null and empty texts have no ids. Whole
+    texts are encoded, however long; of segmentations with one score the automaton's first counts. An
     empty table gives no rows; rows sharing a doc_id are encoded each; other columns are ignored.
     """
     vocabulary = load(model)
 
     def run(it):
-        ready = tokenizer(vocabulary)
-        for batch in it:
+        ready = Tokenizer(vocabulary)  # for this task alone, so that an idle worker holds no memory
+        for batch in slices(it):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):

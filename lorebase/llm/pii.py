@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken, least_hashed, piece
+from .common import Taken, least_hashed, piece, slices
 
 #: The order in which kinds are listed; ``weak`` is the classifier's.
 KINDS = ("email", "ip", "card", "phone", "weak")
@@ -224,7 +224,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(it):
         kinds = (*[pa.int64()] * 4, pa.string(), pa.string())
-        for batch in it:
+        for batch in slices(it):
             out = []
             for text in batch.column(1).to_pylist():
                 spans = model.spans(text)

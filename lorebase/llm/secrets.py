@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken, least_hashed, piece
+from .common import Taken, least_hashed, piece, slices
 
 #: The order in which kinds with the same start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -169,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(it):
         kinds = (*[pa.int64()] * 3, pa.string(), pa.string())
-        for batch in it:
+        for batch in slices(it):
             out = []
             for text in batch.column(1).to_pylist():
                 spans = scanner.spans(text)
@@ -191,7 +191,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def run(it):
         at = names.index("text")
-        for batch in it:
+        for batch in slices(it):
             out = []
             for text in batch.column(at).to_pylist():
                 parts, end = [], 0

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, local_components, shuffle_partitions, sized, tasks_for
+from .common import checkpointed, connected_components, local_components, shuffle_partitions, sized, slices, tasks_for
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -47,7 +47,7 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
 
 
 def _fingerprint_batches(it):
-    for batch in it:
+    for batch in slices(it):
         prints = np.fromiter((simhash(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 

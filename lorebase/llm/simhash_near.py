@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, shuffle_partitions, sized, tasks_for
+from .common import checkpointed, connected_components, shuffle_partitions, sized, slices, tasks_for
 from .simhash import shingle_hashes, standing_rows
 
 SHINGLE = 5
@@ -30,9 +30,9 @@ HALF = WIDTH // 2
 #: Most differing bits of the first word, and of all; 10 and 77 are the expected numbers at 0.8, 32 and 256 those of unrelated sets.
 FIRST_BITS, ALL_BITS = 20, 128
 #: Rows of a bin that are handled together; a larger bin is dealt out as blocks and pairs of blocks.
-CELL = 500_000
+CELL = 200_000
 #: Pairs of one text that are verified in one place, and pairs made at once.
-VERIFIED, AT_ONCE = 256, 2_000_000
+VERIFIED, AT_ONCE = 256, 250_000
 
 _SEEDS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _PRINT = [f"w{k}" for k in range(WORDS)]
@@ -66,7 +66,7 @@ def wide_print(found: np.ndarray) -> np.ndarray:
 
 def _sets(it):
     """(doc_id, text, mark) -> (doc_id, mark, sid, n, words of the fingerprint)."""
-    for batch in it:
+    for batch in slices(it):
         sids, sizes, prints = [], [], np.zeros((batch.num_rows, WORDS), np.uint64)
         for k, text in enumerate(batch.column(1)):
             found = shingles(text.as_py())
@@ -82,12 +82,12 @@ def _numpy(batch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def _halves(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, rest), 2 * WORDS * CUTS columns: the half of a segment that names a bin, and its other half."""
+def _halves(prints: list[np.ndarray], cuts: int = CUTS) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, rest), 2 * WORDS * cuts columns: the half of a segment that names a bin, and its other half."""
     bins, rests = [], []
     for word in prints:
         word = word.view(np.uint64)
-        for k in range(CUTS):
+        for k in range(cuts):
             cut = (word >> np.uint64(WIDTH * k)) & np.uint64((1 << WIDTH) - 1)
             high, low = (cut >> np.uint64(HALF)).astype(np.int64), (cut & np.uint64((1 << HALF) - 1)).astype(np.int64)
             for own, other in ((high, low), (low, high)):
@@ -96,17 +96,20 @@ def _halves(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(bins, axis=1), np.stack(rests, axis=1)
 
 
-def _histogram(it):
-    """Rows of each bin."""
-    total = np.zeros(2 * WORDS * CUTS << HALF, np.int64)
-    for batch in it:
-        bins, _ = _halves(_numpy(batch))
-        total += np.bincount(bins.reshape(-1), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "c"])
+def _histogram(cuts: int):
+    def run(it):
+        """Rows of each bin."""
+        total = np.zeros(2 * WORDS * cuts << HALF, np.int64)
+        for batch in it:
+            bins, _ = _halves(_numpy(batch), cuts)
+            total += np.bincount(bins.reshape(-1), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "c"])
+
+    return run
 
 
-def _dealer(blocks: dict[int, int], crossed: bool):
+def _dealer(blocks: dict[int, int], crossed: bool, cuts: int = CUTS):
     """(sid, n, comp, words) -> (place, rest, n, sid, comp, first word): a row for each half.
 
     Texts of a large bin are dealt to a block, or, if ``crossed``, to all pairs of blocks with theirs.
@@ -116,7 +119,7 @@ def _dealer(blocks: dict[int, int], crossed: bool):
         for whole in it:
             for at in range(0, whole.num_rows, 1024):
                 sid, n, comp, *prints = _numpy(whole.slice(at, 1024))
-                bins, rest = _halves(prints)
+                bins, rest = _halves(prints, cuts)
                 row = np.repeat(np.arange(len(sid)), bins.shape[1])
                 bins, rest = bins.reshape(-1), rest.reshape(-1)
                 place = bins << 32  # bin, lesser and greater block
@@ -226,12 +229,18 @@ def _crossed(it):
     yield from _pairs(found)
 
 
-def _candidates(distinct: DataFrame, comps: DataFrame | None, blocks: dict[int, int], rows: int) -> DataFrame:
-    """Pairs (a, b) that meet at a variant and may be similar by all bits of their fingerprints."""
-    spark, sides = distinct.sparkSession, distinct.select("sid", "n", *_PRINT)
+def _candidates(distinct: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that meet at a variant and may be similar by all bits of their fingerprints.
+
+    Without ``comps`` each text with the least one at a variant, of one segment a word; else all pairs
+    across components, of all segments.
+    """
+    spark, sides, cuts = distinct.sparkSession, distinct.select("sid", "n", *_PRINT), 1 if comps is None else CUTS
+    counts = sides.select(*_PRINT).mapInArrow(_histogram(cuts), "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).where(F.col("c") > CELL)
+    blocks = {r.bin: -(-r.c // CELL) for r in counts.collect()}  # 49,152 bins at most, however many texts
     own = sides.withColumn("comp", F.col("sid")) if comps is None else sides.join(comps, sides.sid == comps.node, "left").withColumn("comp", F.coalesce("root", "sid"))
-    dealt = own.select("sid", "n", "comp", *_PRINT).mapInArrow(_dealer(blocks, comps is not None), "place long, rest long, n long, sid long, comp long, near long")
-    dealt = dealt.repartition(tasks_for(spark, rows, CELL), "place")
+    dealt = own.select("sid", "n", "comp", *_PRINT).mapInArrow(_dealer(blocks, comps is not None, cuts), "place long, rest long, n long, sid long, comp long, near long")
+    dealt = dealt.repartition(tasks_for(spark, 2 * WORDS * cuts * sides.count(), CELL), "place")
     pairs = dealt.mapInArrow(_stars if comps is None else _crossed, "a long, b long").distinct()
     left = sides.select(F.col("sid").alias("a"), *(F.col(w).alias(f"a{k}") for k, w in enumerate(_PRINT)))
     right = sides.select(F.col("sid").alias("b"), *(F.col(w).alias(f"b{k}") for k, w in enumerate(_PRINT)))
@@ -250,7 +259,7 @@ def _texts(marked: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFram
 def _similar_pairs(it):
     """(a, b, text) in order: a's own text (b null), then those of its partners -> the pairs that are similar."""
     owner, found = None, None
-    for batch in it:
+    for batch in slices(it):
         kept = []
         for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
             if b is None:
@@ -274,15 +283,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, marked: DataFrame) -> DataFrame:
     """Edges (a, b) between the sets ``distinct(sid, n, first, words)`` that connect what is linked by similar pairs.
 
-    First each set is compared with the least one at each of its variants, so that large groups of near
-    copies cost what is linear in the group; then, where several components meet, all pairs across them.
+    First sets are compared with the least one at some of their variants, so that large groups of near
+    copies cost what is linear in the group; then, at all variants where several components still meet,
+    all pairs across them. What the first step leaves out only makes the second one's work larger.
     """
-    spark, rows = distinct.sparkSession, 2 * WORDS * CUTS * distinct.count()
-    large = distinct.select(*_PRINT).mapInArrow(_histogram, "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).where(F.col("c") > CELL)
-    blocks = {r.bin: -(-r.c // CELL) for r in large.collect()}  # 49,152 bins at most, however many texts
-    pairs = _candidates(distinct, None, blocks, rows)
+    pairs = _candidates(distinct, None)
     near = _verified(pairs, _texts(marked, distinct, pairs))
-    again = _candidates(distinct, connected_components(near), blocks, rows)
+    again = _candidates(distinct, connected_components(near))
     again = checkpointed(again.join(pairs, ["a", "b"], "left_anti"))
     return near if again.isEmpty() else near.union(_verified(again, _texts(marked, distinct, again)))
 

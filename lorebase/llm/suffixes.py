@@ -1,20 +1,20 @@
 """Removal of repeated byte strings: a depth-limited radix sort of all suffixes.
 
 Two texts share a string of DEPTH bytes just where two suffixes agree through DEPTH bytes, so suffixes
-are ordered no further than that. The order is by most-significant-digit passes:
-
-* the first pass deals every suffix (a window of DEPTH bytes) to a bin by the least hash among the
-  GRAM-byte strings in it, which depends on the window's content only. Neighbouring windows mostly
-  share it, so runs of them travel as one string, compressed, and not as DEPTH bytes each;
-  A gram that is frequent in ever different windows would make its bin large: the windows of such grams
-  are dealt one by one, by a hash of all their bytes. Which grams these are is told by a bounded
-  sample; every window has one place either way, so the result doesn't depend on it;
-* the further passes order a bin's windows by 16-byte digits, each pass only those that are still tied.
-
-Equal groups at the end are exactly the repeated windows; their bytes are compared, so a collision of
-hashes changes nothing. The same passes run inside each chunk of the input first: a window that a
-smaller document of the chunk has is settled there, so that a hot passage reaches a bin once a chunk
-and not once a document.
+are ordered no further than that, by most-significant-digit passes. Suffixes can't be dealt out by
+their leading bytes without sending DEPTH bytes for each, so they are dealt by content first:
+
+* every suffix (a window of DEPTH bytes) goes to a bin by the first of the GRAM-byte strings in it, in
+  an order of hashes that puts common grams last. Neighbouring windows mostly share it, so runs of them
+  travel as one string, compressed. Windows of nothing but common grams would make a bin large: those
+  of the most frequent ones are dealt one by one, by a hash of all their bytes. Which grams are common
+  is told by a bounded sample; every window has one place either way, so the result doesn't depend on it;
+* within a bin, the suffixes are ordered by their bytes: by the first eight, then, only those still
+  tied, by as many of the following as fit a number beside the group's, until DEPTH.
+
+Equal groups at the end are exactly the repeated windows. The same passes run inside each chunk of the
+input first: a window that a smaller document of the chunk has is settled there, so that a hot passage
+reaches a bin once a chunk and not once a document.
 """
 
 from __future__ import annotations
@@ -28,15 +28,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, least_hashed
+from .common import checkpointed, least_hashed, tasks_for
 
 DEPTH = 50
-GRAM = 16
+GRAM = 8
 #: Bytes of text ordered at once before the exchange, and aimed at in each bin after it.
 CHUNK_BYTES = 1_000_000
 #: Chunks whose runs for a bin travel together.
 CHUNKS_A_BLOB = 8
 BIN_BYTES = 4_000_000
+#: A task takes bins of about so many bytes in all; a bin of more than MOST_BYTES is ordered in several turns.
+TASK_BYTES, MOST_BYTES = 64_000_000, 16_000_000
+#: The zstandard dictionary of what travels: raw content, from the sample.
+DICTIONARY_BYTES = 110_000
 #: The sample that tells frequent grams: documents (least hash) and bytes of them.
 SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 2_000_000
 #: Stands for a null doc_id: larger than all others, so it never takes a string from a document with an id.
@@ -53,16 +57,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on, as one number."""
-    return np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf), 0, (1,)).astype(np.uint64)
+    """The eight bytes from each position on as one big-endian number, so that numbers order as bytes do."""
+    return np.ndarray((len(buf) - 7,), ">u8", np.ascontiguousarray(buf), 0, (1,)).astype(np.uint64)
 
 
-def _digits(words: np.ndarray) -> np.ndarray:
-    """A hash of the sixteen bytes from each position on."""
-    h = words[:-8] * _A
-    h += words[8:]
-    h *= _B
-    return _mixed(h)
+def _maybe_repeated(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``at`` without the windows that are alone in their cell of a table of hashes: those can't be repeated."""
+    bits = max(8, len(at).bit_length() + 1)
+    h = words[at] * _A
+    h ^= words[at + (DEPTH - 8) // 2] * _B
+    h += words[at + DEPTH - 8]
+    h *= _A
+    cell = (h >> np.uint64(64 - bits)).astype(np.int32)
+    last, own = np.empty(1 << bits, np.int32), np.arange(len(at), dtype=np.int32)
+    last[cell] = own
+    shared = np.zeros(1 << bits, bool)
+    shared[cell[last[cell] != own]] = True
+    return at[shared[cell]]
+
+
+#: Grams fall into so many cells; a cell is common from so many times its share of a sample on.
+CELLS, COMMON = 1 << 16, 8
+
+
+def _hashed(words: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position on."""
+    return _mixed(words * _A * _B)
+
+
+def _grams(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The rank of the gram at each position: its hash, behind all others if its cell is ``common``."""
+    h = _hashed(words)
+    late = common[(h & np.uint64(CELLS - 1)).astype(np.uint16)].astype(np.uint64)
+    h >>= np.uint64(1)
+    h |= late << np.uint64(63)
+    return h
+
+
+def common_cells(texts: list[bytes]) -> np.ndarray:
+    """Which cells of grams are common in ``texts``."""
+    total = np.zeros(CELLS, np.int64)
+    for text in texts:
+        if len(text) >= GRAM:
+            total += np.bincount((_hashed(_words(np.frombuffer(text, np.uint8))) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return total * CELLS > COMMON * max(int(total.sum()), CELLS)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -74,56 +112,75 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (width - have)], m[width - have :]) if width > have else m
 
 
-def _equal_groups(words: np.ndarray, digits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, group) of the windows among those starting ``at`` whose DEPTH bytes occur twice or more."""
-    key = np.zeros(len(at), np.uint64)
-    for offset in (0, 16, 32, DEPTH - GRAM):
-        key = key * _A + digits[at + offset]
+def _equal_groups(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, group) of the windows among those starting ``at`` whose DEPTH bytes occur twice or more.
+
+    Each pass orders what is tied by its next bytes. Groups that are equal through DEPTH already are
+    told by comparing them with their first window, and need no further pass.
+    """
+    done, group, reach, found, at = 0, None, 0, [], _maybe_repeated(words, at)
+    steps = (*range(0, DEPTH - 8, 8), DEPTH - 8)
+    while len(at):
+        if group is None:
+            width, key = 8, words[at]
+        else:
+            width = min(DEPTH - reach, (64 - max(1, int(group[-1]).bit_length())) // 8)
+            start = min(reach, DEPTH - 8)  # the number that holds the next bytes lies inside the window
+            drop = np.uint64(8 * (8 - width - (reach - start)))
+            key = group.astype(np.uint64) << np.uint64(8 * width)
+            key |= (words[at + start] >> drop) & np.uint64((1 << 8 * width) - 1)
+        reach += width
         order = np.argsort(key)
-        key = key[order]
+        key, at = key[order], at[order]
         same = key[1:] == key[:-1]
         tied = np.zeros(len(key), bool)
         tied[1:] |= same
         tied[:-1] |= same
-        at, key = at[order][tied], key[tied]
+        first = np.concatenate([[True], ~same])[tied]
+        at, group = at[tied], np.cumsum(first) - 1
         if not len(at):
-            return at, at
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(new) - 1
-    first = at[new][group]
-    steps = (*range(0, DEPTH - 8, 8), DEPTH - 8)
-    if any((words[at + s] != words[first + s]).any() for s in steps):  # hashes collided: order by the bytes
-        columns = [words[at + s] for s in steps]
-        order = np.lexsort(columns)
-        at = at[order]
-        new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)])
-        group = np.cumsum(new) - 1
-    return at, group
-
-
-def _later(words, digits, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Those of the windows ``at`` (of documents ``doc``) that a smaller document among them has too, ascending."""
-    where = np.zeros(int(at[-1]) + 1 if len(at) else 0, np.int64)
+            break
+        if reach < 16:
+            continue
+        heads, equal = at[first][group], np.ones(len(at), bool)
+        if reach < DEPTH:
+            for s in steps[1:]:
+                equal &= words[at + s] == words[heads + s]
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[~equal]] = True
+        ended = ~mixed[group]
+        if ended.any():
+            found.append((at[ended], (np.cumsum(~mixed) - 1)[group[ended]] + done))
+            done += int((~mixed).sum())
+        at, group = at[~ended], (np.cumsum(mixed) - 1)[group[~ended]]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _later(words, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Those of the windows ``at`` (ascending, of documents ``doc``) that a smaller document among them has too, ascending."""
+    tied, group = _equal_groups(words, at)
+    if not len(tied):
+        return tied
+    where = np.zeros(int(at[-1]) + 1, np.int64)
     where[at] = doc
-    at, group = _equal_groups(words, digits, at)
-    if not len(at):
-        return at
-    own = where[at]
-    least = np.full(int(group[-1]) + 1, NO_ID)
+    own = where[tied]
+    least = np.full(int(group.max()) + 1, NO_ID)
     np.minimum.at(least, group, own)
-    return np.sort(at[own > least[group]])
+    return np.sort(tied[own > least[group]])
 
 
-def _whole(digits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _whole(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of all bytes of the windows starting ``at``."""
     key = np.zeros(len(at), np.uint64)
-    for offset in (0, 16, 32, DEPTH - GRAM):
-        key = key * _A + digits[at + offset]
-    return _mixed(key)
+    for offset in (*range(0, DEPTH - 8, 8), DEPTH - 8):
+        key = _mixed(key * _A + words[at + offset])
+    return key
 
 
-def frequent_grams(texts: list[bytes], bins: int) -> np.ndarray:
-    """Grams that half a bin's share of the different windows of ``texts`` are dealt by, ascending."""
+def frequent_grams(texts: list[bytes], bins: int, common: np.ndarray) -> np.ndarray:
+    """Ranks of the grams that half a bin's share of the different windows of ``texts`` are dealt by, ascending."""
     texts = [t for t in texts if len(t) >= DEPTH]
     if not texts:
         return np.zeros(0, np.uint64)
@@ -132,9 +189,8 @@ def frequent_grams(texts: list[bytes], bins: int) -> np.ndarray:
     piece = np.repeat(np.arange(len(texts)), sizes)[: len(buf) - DEPTH + 1]
     at = np.flatnonzero(np.arange(len(piece)) + DEPTH <= np.cumsum(sizes)[piece])
     words = _words(buf)
-    digits = _digits(words)
-    gone = _later(words, digits, at, piece[at].astype(np.int64))
-    grams, counts = np.unique(_least(digits, DEPTH - GRAM + 1)[np.setdiff1d(at, gone, assume_unique=True)], return_counts=True)
+    gone = _later(words, at, piece[at].astype(np.int64))
+    grams, counts = np.unique(_least(_grams(words, common), DEPTH - GRAM + 1)[np.setdiff1d(at, gone, assume_unique=True)], return_counts=True)
     return grams[counts * bins * 2 > counts.sum()] if bins > 1 else grams[:0]
 
 
@@ -169,11 +225,16 @@ def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).reshape(-1).view(np.int64)
 
 
-def _cutter(bins: int, frequent: np.ndarray):
+def _packing(content: bytes) -> dict:
+    """Arguments for zstandard's two sides."""
+    return {"dict_data": zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(content) >= 8 else {}
+
+
+def _cutter(bins: int, frequent: np.ndarray, common: np.ndarray, content: bytes = b""):
     """Batches of (doc_id, variant, text bytes) -> rows for bins: blobs of window runs, and spans already settled."""
 
     def cut(it):
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=3, **_packing(content))
         for batch in it:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             variants = batch.column(1).to_numpy(zero_copy_only=False)
@@ -192,9 +253,8 @@ def _cutter(bins: int, frequent: np.ndarray):
                 row = np.array([r for r, _, _ in chunk])[piece]
                 shift = np.array([lo - offsets[r] for r, lo, _ in chunk]) - (ends - sizes)
                 words = _words(buf)
-                digits = _digits(words)
-                least = _least(digits, DEPTH - GRAM + 1)
-                gone = _later(words, digits, at, ids[row[at]])
+                least = _least(_grams(words, common), DEPTH - GRAM + 1)
+                gone = _later(words, at, ids[row[at]])
                 if len(gone):
                     a, b = _runs(gone, piece[gone])
                     r, move = row[gone[a]], shift[piece[gone[a]]]
@@ -208,7 +268,7 @@ def _cutter(bins: int, frequent: np.ndarray):
                 cuts = np.flatnonzero((np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (piece[at[1:]] != piece[at[:-1]]) | own_place[1:])
                 a, b = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(at) - 1]])
                 start, count = at[a], b - a + 1
-                place = np.where(own_place[a], _whole(digits, start), _mixed(least[start].copy())) if len(frequent) else _mixed(least[start].copy())
+                place = np.where(own_place[a], _whole(words, start), _mixed(least[start].copy())) if len(frequent) else _mixed(least[start].copy())
                 home = (place % np.uint64(bins)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
                 start, count, home = start[order], count[order], home[order]
@@ -244,44 +304,67 @@ def _rows(home, ids, variants, lo, hi, blobs):
     return pa.RecordBatch.from_arrays(columns, names=["bin", "doc_id", "variant", "lo", "hi", "blob"])
 
 
-def _bin_spans(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bin: the spans that came settled, and those of windows that a smaller document has."""
-    settled = rows[rows.blob.isnull()][["doc_id", "variant", "lo", "hi"]]
-    unpacker, heads, bodies = zstandard.ZstdDecompressor(), [], []
-    for blob in rows.blob.dropna():
-        raw = unpacker.decompress(blob)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        head = np.stack([_numbers(raw, n, 8 + 8 * n * k) for k in range(4)])
-        head[0] = np.cumsum(head[0])
-        heads.append(head)
-        bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 32 * n))
-    if not heads:
-        return settled
-    own, kind, begin, count = np.concatenate(heads, axis=1)
-    buf = np.concatenate(bodies)
-    n = count + DEPTH - 1
-    total = np.cumsum(n)
-    unit = np.repeat(np.arange(len(n)), count)
-    at = np.arange(len(unit)) + unit * (DEPTH - 1)
-    words = _words(buf)
-    gone = _later(words, _digits(words), at, own[unit])
-    if not len(gone):
-        return settled
-    unit = unit[np.searchsorted(at, gone)]
-    a, b = _runs(gone, unit)
-    u = unit[a]
-    move = begin[u] - (total - n)[u]
-    found = pd.DataFrame({"doc_id": own[u], "variant": kind[u], "lo": gone[a] + move, "hi": gone[b] + move + DEPTH})
-    return pd.concat([settled, found], ignore_index=True)
-
-
-def _finish(it):
-    """(doc_id, text, lo, hi) -> the removed runs' figures and the hash of what is left."""
+def _bin_later(buf: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``_later`` of a whole bin; a large one in turns, each of the windows with certain first bytes."""
+    words, turns = _words(buf), -(-len(buf) // MOST_BYTES)
+    if turns == 1:
+        return _later(words, at, doc)
+    turn = np.concatenate([(_mixed(words[at[k : k + MOST_BYTES]]) % np.uint64(turns)).astype(np.int32) for k in range(0, len(at), MOST_BYTES)])
+    return np.sort(np.concatenate([_later(words, at[own], doc[own]) for own in (turn == k for k in range(turns))]))
+
+
+def _binned(content: bytes):
+    def spans(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of one bin: the spans that came settled, and those of windows that a smaller document has."""
+        settled = rows[rows.blob.isnull()][["doc_id", "variant", "lo", "hi"]]
+        unpacker, heads, bodies = zstandard.ZstdDecompressor(**_packing(content)), [], []
+        for blob in rows.blob.dropna():
+            raw = unpacker.decompress(blob)
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            head = np.stack([_numbers(raw, n, 8 + 8 * n * k) for k in range(4)])
+            head[0] = np.cumsum(head[0])
+            heads.append(head)
+            bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 32 * n))
+        if not heads:
+            return settled
+        own, kind, begin, count = np.concatenate(heads, axis=1)
+        buf = np.concatenate(bodies)
+        n = count + DEPTH - 1
+        total = np.cumsum(n)
+        unit = np.repeat(np.arange(len(n), dtype=np.int32), count)
+        at = np.arange(len(unit)) + unit * np.int64(DEPTH - 1)
+        gone = _bin_later(buf, at, own[unit])
+        if not len(gone):
+            return settled
+        unit = unit[np.searchsorted(at, gone)]
+        a, b = _runs(gone, unit)
+        u = unit[a]
+        move = begin[u] - (total - n)[u]
+        found = pd.DataFrame({"doc_id": own[u], "variant": kind[u], "lo": gone[a] + move, "hi": gone[b] + move + DEPTH})
+        return pd.concat([settled, found], ignore_index=True)
+
+    return spans
+
+
+def _packed(content: bytes):
+    """(doc_id, key, kind, raw) -> the same with compressed bytes."""
+
+    def run(it):
+        packer = zstandard.ZstdCompressor(level=3, **_packing(content))
+        for batch in it:
+            raw = [packer.compress(memoryview(x.as_buffer())) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["doc_id", "key", "kind", "packed"])
+
+    return run
+
+
+def _finisher(content: bytes):
+    """(doc_id, packed, lo, hi) -> the removed runs' figures and the hash of what is left."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    for batch in it:
-        out = []
+
+    def figures(unpacker, batch):
         for text, lo, hi in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-            text, lo, hi = memoryview(text.as_buffer()), lo.values, hi.values
+            text, lo, hi = memoryview(unpacker.decompress(text.as_buffer())), lo.values, hi.values
             digest, at, removed, spans = hashlib.sha256(), 0, 0, 0
             if lo is not None and len(lo):
                 lo, hi = lo.to_numpy(), hi.to_numpy()
@@ -292,22 +375,33 @@ def _finish(it):
                     digest.update(text[at:a])
                     at, removed, spans = b, removed + b - a, spans + 1
             digest.update(text[at:])
-            out.append((len(text), removed, spans, digest.hexdigest()))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+            yield len(text), removed, spans, digest.hexdigest()
 
+    def run(it):
+        unpacker = zstandard.ZstdDecompressor(**_packing(content))
+        for batch in it:
+            columns = list(zip(*figures(unpacker, batch), strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+
+    return run
 
-def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
+
+def sampled(docs: DataFrame) -> list[bytes]:
+    """Texts of SAMPLE_ROWS documents (least hash; pieces of longer ones), SAMPLE_BYTES of them at most."""
+    some = least_hashed(docs.select("doc_id", F.substring("raw", 1, SAMPLE_BYTES // 100).alias("raw")), "doc_id", SAMPLE_ROWS, "raw").collect()
+    sizes = np.cumsum([len(r.raw) for r in some])
+    return [bytes(r.raw) for r, n in zip(some, sizes, strict=True) if n <= SAMPLE_BYTES]
+
+
+def repeated_spans(docs: DataFrame, total_bytes: int, texts: list[bytes], content: bytes) -> DataFrame:
     """(doc_id, variant, lo, hi): byte ranges of ``docs(doc_id, variant, raw)`` to remove; they may overlap."""
-    bins = max(1, -(-int(3.7 * total_bytes) // BIN_BYTES))
+    carried, common = int(3.3 * total_bytes), common_cells(texts)
+    bins = max(1, -(-carried // BIN_BYTES))
     schema = "bin long, doc_id long, variant long, lo long, hi long, blob binary"
-    some = docs.where(F.octet_length("raw") <= SAMPLE_BYTES // 100).select("doc_id", "raw")
-    some = least_hashed(some, "doc_id", SAMPLE_ROWS, "raw").collect()
-    sizes = np.cumsum([len(r.raw) for r in some])
-    frequent = frequent_grams([bytes(r.raw) for r, n in zip(some, sizes, strict=True) if n <= SAMPLE_BYTES], bins)
-    dealt = docs.select("doc_id", "variant", "raw").mapInArrow(_cutter(bins, frequent), schema)
-    return dealt.groupBy("bin").applyInPandas(_bin_spans, "doc_id long, variant long, lo long, hi long")
+    dealt = docs.select("doc_id", "variant", "raw").mapInArrow(_cutter(bins, frequent_grams(texts, bins, common), common, content), schema)
+    dealt = dealt.repartition(tasks_for(docs.sparkSession, carried, TASK_BYTES), "bin")
+    return dealt.groupBy("bin").applyInPandas(_binned(content), "doc_id long, variant long, lo long, hi long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -325,12 +419,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated = not rows.groupBy("key").count().where("count > 1").isEmpty()
     variant = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     rows = rows.withColumn("variant", variant)
-    spans = repeated_spans(rows.select(F.col("key").alias("doc_id"), "variant", F.col("text").cast("binary").alias("raw")), size)
-    spans = spans.distinct() if repeated else spans
-    spans = checkpointed(spans)
+    raw = rows.select(F.col("key").alias("doc_id"), "variant", F.col("text").cast("binary").alias("raw"))
+    texts = sampled(raw)
+    content = b"\n".join(texts)[:DICTIONARY_BYTES]
+    spans = repeated_spans(raw, size, texts, content)
+    spans = checkpointed(spans.distinct() if repeated else spans)
     spans = spans.groupBy("doc_id", "variant").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    spans = spans.withColumnsRenamed({"doc_id": "key", "variant": "kind"})
-    joined = rows.join(spans, (rows.key == spans.key) & (rows.variant == spans.kind), "left")
+    packed = rows.select("doc_id", "key", "variant", F.col("text").cast("binary").alias("raw")).mapInArrow(_packed(content), "doc_id long, key long, kind long, packed binary")
+    joined = packed.join(spans, (packed.key == spans.doc_id) & (packed.kind == spans.variant), "left")
     none = F.array().cast("array<bigint>")
-    joined = joined.select("doc_id", F.col("text").cast("binary").alias("raw"), F.coalesce("lo", none).alias("lo"), F.coalesce("hi", none).alias("hi"))
-    return joined.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = joined.select(packed.doc_id, "packed", F.coalesce("lo", none).alias("lo"), F.coalesce("hi", none).alias("hi"))
+    return joined.mapInArrow(_finisher(content), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

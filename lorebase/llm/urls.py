@@ -1,6 +1,6 @@
 """URL filters: rules first, then empirical-Bayes host reputation, DataFrame operations only.
 
-Pages that a rule decides are the labelled outcomes. A host's share of blocked pages is shrunk towards
+Pages that a rule decides, and whatever else is labelled, are the outcomes. A host's share of blocked pages is shrunk towards
 its registered domain's, that towards its suffix's, and that towards the overall share: at each level
 the parent's mean and a strength fitted by the method of moments make a beta prior. A page without a
 rule is blocked if the lower posterior bound of its host's share exceeds a half.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, checkpointed
 
 #: (host, path, verdict), fixed by the contract.
 RULES = (
@@ -21,7 +21,7 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Suffixes of two labels that are registered below.
+#: Suffixes of two labels that are registered below; a parameter, as there is no end to them.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 LIMIT, Z = 0.5, 1.6449
 LEAST_STRENGTH, MOST_STRENGTH, PLAIN_STRENGTH = 1.0, 1000.0, 10.0
@@ -42,12 +42,14 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host without its port."""
+def levels(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host without its port; an address is its own domain, of suffix ``ip``."""
     bare = F.regexp_replace(host, r":[0-9]*$", "")
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$") | bare.startswith("[")
     two = F.substring_index(bare, ".", -2)
-    long = two.isin(*SUFFIXES)
-    return F.when(long, F.substring_index(bare, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(bare, ".", -1))
+    long = two.isin(*suffixes)
+    domain = F.when(address, bare).when(long, F.substring_index(bare, ".", -3)).otherwise(two)
+    return domain, F.when(address, "ip").when(long, two).otherwise(F.substring_index(bare, ".", -1))
 
 
 def _strength(children: DataFrame) -> float:
@@ -63,13 +65,13 @@ def _strength(children: DataFrame) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, strength))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """(host, a, b): the beta posterior of each host's share of bad pages, from ``outcomes(host, n, k)``.
 
-    n pages are labelled, k of them bad. Three aggregations on ever fewer keys; from each level one row
+    n pages are labelled, k of them bad; a host has one row. Three aggregations on ever fewer keys; from each level one row
     of moments reaches the driver.
     """
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), suffixes)
     hosts = outcomes.select("host", "n", "k", domain.alias("domain"), suffix.alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -88,18 +90,23 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return level.select("host", a.alias("a"), b.alias("b"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, suffixes=SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block), one row for each row of ``pages(page_id, url)``.
 
-    A null url, and one without ``://``, has an empty host and path and gets the overall prior's
-    verdict. p_block is the posterior mean of the host's share of blocked pages. An empty table gives
-    no rows; repeated rows count as outcomes each; other columns are ignored.
+    Labelled outcomes are the verdicts of the rules, and those of ``labels(host, blocked boolean)``, if
+    given. A null url, and one without ``://``, has an empty host and path and gets the overall prior's
+    verdict; so does a host of which nothing is known at any level. p_block is the posterior mean of the
+    host's share of blocked pages. An empty table gives no rows; repeated rows count as outcomes each;
+    of rules that fit equally long the last listed wins; other columns are ignored.
     """
-    host, path = parts(F.col("url"))
+    host, path = parts(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules))
-    counts = rows.groupBy("host").agg(F.count("found").alias("n"), F.count_if(F.col("found.verdict") == "block").alias("k"))
-    known = reputation(counts)
+    seen = rows.select("host", F.when(F.col("found").isNotNull(), F.col("found.verdict") == "block").alias("bad"))
+    if labels is not None:
+        seen = seen.union(labels.select("host", "blocked"))
+    counts = checkpointed(seen.groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("k")))  # read for every level
+    known = reputation(counts, suffixes)
     mean = F.col("a") / (F.col("a") + F.col("b"))
     bound = mean - Z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
     known = known.select("host", mean.alias("p_block"), F.when(bound > LIMIT, "block").otherwise("allow").alias("judged"))
@@ -119,9 +126,10 @@ f as (select *, case
 g as (select *, case when rule is null then null when rule in ('com/', 'www.example.com/en/') then 'allow' else 'block' end ruled from f),
 h0 as (select host, count(ruled) n, count(*) filter (ruled = 'block') k, regexp_replace(host, ':[0-9]*$', '') bare from g group by host),
 h1 as (select *, array_to_string(string_split(bare, '.')[-2:], '.') two from h0),
+h2 as (select *, regexp_matches(bare, '^[0-9]+([.][0-9]+){3}$') or starts_with(bare, '[') address from h1),
 h as (select host, n, k,
-  case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') then array_to_string(string_split(bare, '.')[-3:], '.') else two end as "domain",
-  case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') then two else string_split(bare, '.')[-1] end as suffix from h1),
+  case when address then bare when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') then array_to_string(string_split(bare, '.')[-3:], '.') else two end as "domain",
+  case when address then 'ip' when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') then two else string_split(bare, '.')[-1] end as suffix from h2),
 d as (select "domain", suffix, sum(n) n, sum(k) k from h group by all),
 t as (select suffix, sum(n) n, sum(k) k from d group by all),
 tm as (select t.*, coalesce((select sum(k) / nullif(sum(n), 0) from t), 0) mean from t),

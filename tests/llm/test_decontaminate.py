@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from lorebase.llm import common
 from lorebase.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -39,10 +40,20 @@ def test_against_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as w", "2 as h", "3 as window", "4 as n").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as size")
     assert sorted(map(tuple, D.decontaminate(d, b).collect()), key=str) == brute(docs, items)
-    D.BROADCAST_ROWS, held = 0, D.BROADCAST_ROWS
+    common.BROADCAST_ROWS, held = 0, common.BROADCAST_ROWS
     try:
         assert sorted(map(tuple, D.decontaminate(d, b).collect()), key=str) == brute(docs, items)
     finally:
-        D.BROADCAST_ROWS = held
+        common.BROADCAST_ROWS = held
     assert sorted(map(tuple, D.decontaminate(d, b.limit(0)).collect()), key=str) == brute(docs, [])
     assert D.decontaminate(d.limit(0), b).count() == 0
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i * i % 9973}" for i in range(150_000)]
+    words[120_000:120_000] = [f"item{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "item3 " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(f"item{k}" for k in range(12)))], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in D.decontaminate(docs, items).collect())
+    assert got == [(1, 150_012, 12, 1), (2, 20, 0, 0)]
+    assert [r.doc_id for r in D.clean(docs, items).collect()] == [2]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from lorebase.llm import fingerprint as P
+from pyspark.sql import functions as F
 
 
 def brute_next(rows):
@@ -30,7 +31,7 @@ def test_edits_and_order(spark):
     assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == want
     assert got[1007].fingerprint == got[35].fingerprint
     assert got[1000].fingerprint == got[-3].fingerprint == ""
-    assert got[1000].near_next == 0.0 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
     long = [r for r in got.values() if r.n_chars > 3000]
     assert long and all(0.5 < r.near_edited <= 1 and r.near_next < 0.1 for r in long)
 
@@ -40,18 +41,51 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_estimates_and_retained_hashes(spark):
-    rows = made()
-    texts = spark.createDataFrame([(t or "",) for _, t in rows], "text string")
-    for r in P.with_sketch(texts, "text", "s").collect():
-        n = len(shingles(r.text))
-        below = [h for h in r.s if h < P._EDGE]
-        assert r.s == sorted(set(r.s)) and len(r.s) >= min(n, P.FLOOR) and len(r.s) == max(len(below), min(n, P.FLOOR))
-        if n > 500:
-            assert abs(len(below) / n - P.FRACTION) < 0.06
+def hashes(spark, texts):
+    """Of all shingles of ``texts``: its hash."""
+    each = sorted({x for t in texts for x in shingles(t)})
+    by = {}
+    for size in {len(x) for x in each}:
+        some = spark.createDataFrame([x for x in each if len(x) == size], [f"c{k}" for k in range(size)])
+        row = [F.col(f"c{k}") if k < size else F.lit(None).cast("string") for k in range(P.SHINGLE)]
+        by |= {tuple(r[:size]): r[size] for r in some.select("*", F.xxhash64(*row)).collect()}
+    return by
+
+
+def test_sketches_and_likeness_against_sets(spark):
+    rows = sorted(made(), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    edited = {}
+    for k, (i, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        edited[i] = (t, t[: len(t) - len(t) // 3] + nxt[: len(t) // 3], nxt)
+    by = hashes(spark, [t for x in edited.values() for t in x])
+    sketch = lambda t: {by[x] for x in shingles(t) if by[x] < P._EDGE}
+    like = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else float(a == b)
+    text = lambda s: ",".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(s))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in P.fingerprint(docs).collect():
+        a, b, c = map(sketch, edited[r.doc_id])
+        assert (r.fingerprint, r.edited_fingerprint) == (text(a), text(b))
+        assert abs(r.near_edited - like(a, b)) < 1e-12 and abs(r.near_next - like(a, c)) < 1e-12
+
+
+def test_estimates_and_merging(spark):
     a, b = " ".join(map(str, range(4000))), " ".join(map(str, range(3000, 3600)))
-    pair = P.with_sketch(P.with_sketch(spark.createDataFrame([(a, b), (a, "no such words are in here"), ("a", "b"), ("a", "a")], "a string, b string"), "a", "x"), "b", "y")
-    assert [r[0] for r in pair.select(P.likeness(pair.x, pair.y)).collect()] == [1.0, 0.0, 0.0, 1.0]
+    pair = P.with_sketch(P.with_sketch(spark.createDataFrame([(a, b), (a, "no such words are in here"), ("", ""), ("", a)], "a string, b string"), "a", "x"), "b", "y")
+    got = pair.select("a", "b", "x", "y", P.likeness(pair.x, pair.y).alias("like"), P.merged(pair.x, pair.y).alias("both")).collect()
+    assert [r.like for r in got] == [1.0, 0.0, 1.0, 0.0]
+    assert abs(len(got[0].x) / len(shingles(a)) - P.FRACTION) < 0.03
+    by = hashes(spark, [a, b, got[1].b])
+    for r in got:
+        want = shingles(r.a) | shingles(r.b)
+        assert r.both == sorted(by[x] for x in want if by[x] < P._EDGE)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(str(i * i % 100_003) for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, long[:600_000])], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.fingerprint(docs).collect()}
+    assert got[1].n_chars == len(long) and got[2].near_next > 0.99 and got[1].near_edited > 0.6
 
 
 def test_repeats_and_empty(spark):

@@ -54,11 +54,13 @@ def test_small_chunks_and_many_bins(share):
         import pandas as pd
         import pyarrow as pa
 
-        grams = S.frequent_grams([(t or "").encode() for _, t in rows], share)
+        raws = [(t or "").encode() for _, t in rows]
+        common = S.common_cells(raws)
+        grams = S.frequent_grams(raws, share, common)
         assert (len(grams) > 0) == (share == 1000) or share == 3
         batch = pa.RecordBatch.from_arrays([pa.array([S.NO_ID if i is None else i for i, _ in rows]), pa.array([hash(t) % 9999 for _, t in rows]), pa.array([(t or "").encode() for _, t in rows], pa.binary())], names=["doc_id", "variant", "raw"])
-        dealt = pd.concat([b.to_pandas() for b in S._cutter(7, grams)([batch.slice(0, 20), batch.slice(20)])])
-        spans = pd.concat([S._bin_spans(g) for _, g in dealt.groupby("bin")])
+        dealt = pd.concat([b.to_pandas() for b in S._cutter(7, grams, common)([batch.slice(0, 20), batch.slice(20)])])
+        spans = pd.concat([S._binned(b'')(g) for _, g in dealt.groupby("bin")])
     finally:
         S.CHUNK_BYTES = cut
     want = {(r[0], r[1], r[2]) for r in brute(rows)}
@@ -81,15 +83,32 @@ def test_repeated_ids_and_empty(spark):
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_colliding_hashes(monkeypatch):
-    rng = np.random.default_rng(1)
-    buf = np.concatenate([rng.integers(97, 99, 400, np.uint8)] * 2)
-    words = S._words(buf)
+@pytest.mark.parametrize("letters", [2, 3, 26])
+def test_groups_are_the_equal_windows(letters):
+    rng = np.random.default_rng(letters)
+    part = rng.integers(97, 97 + letters, 400, np.uint8)
+    near = part.copy()
+    near[45::60] ^= 1  # windows that agree in their first bytes only
+    buf = np.concatenate([part, near, part[:200], np.full(300, 97, np.uint8), part])
     at = np.arange(len(buf) - S.DEPTH + 1)
-    flat = np.zeros(len(words) - 8, np.uint64)
-    a1, g1 = S._equal_groups(words, flat, at)
-    windows = {}
-    for p, g in zip(a1.tolist(), g1.tolist(), strict=True):
-        windows.setdefault(g, set()).add(buf[p : p + 50].tobytes())
-    assert all(len(w) == 1 for w in windows.values())
-    assert len({next(iter(w)) for w in windows.values()}) == len(windows)
+    got, group = S._equal_groups(S._words(buf), at)
+    found, want = {}, {}
+    for p, g in zip(got.tolist(), group.tolist(), strict=True):
+        found.setdefault(g, set()).add(p)
+    for p in at.tolist():
+        want.setdefault(buf[p : p + 50].tobytes(), set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(w) for w in want.values() if len(w) > 1)
+
+
+def test_bins_in_turns_and_a_long_text(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    buf = np.concatenate([rng.integers(97, 100, 700, np.uint8)] * 3)
+    at, doc = np.arange(len(buf) - S.DEPTH + 1), np.arange(len(buf) - S.DEPTH + 1) // 700
+    whole = S._bin_later(buf, at, doc)
+    monkeypatch.setattr(S, "MOST_BYTES", 100)
+    assert len(whole) and S._bin_later(buf, at, doc).tolist() == whole.tolist()
+    monkeypatch.undo()
+    long = "".join(map(chr, rng.integers(97, 123, 2_500_000)))
+    docs = spark.createDataFrame([(1, long[1_000_000:1_000_200]), (2, long), (3, long[-300:])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.remove_repeats(docs).collect()}
+    assert got == {1: (0, 0), 2: (200, 1), 3: (300, 1)}

@@ -1,4 +1,5 @@
 from lorebase.llm import urls as U
+from pyspark.sql import functions as F
 
 
 def test_parts_and_rules(spark):
@@ -36,3 +37,13 @@ def test_method_decides_and_empty(spark):
     got = {r.page_id: r.verdict for r in U.judge(pages).collect()}
     assert got[100] == got[102] == "block" and got[None] == "allow" and len(got) == 64 - 0
     assert U.judge(pages.limit(0)).count() == 0
+
+
+def test_addresses_suffixes_and_labels(spark):
+    hosts = spark.createDataFrame([("10.1.3.4",), ("10.2.3.4:80",), ("[::1]:8080",), ("a.b.co.uk",), ("x.y.city.kawa.jp",), ("",), ("localhost",)], "host string")
+    got = [tuple(r) for r in hosts.select(*U.levels(F.col("host"), (*U.SUFFIXES, "kawa.jp"))).collect()]
+    assert got == [("10.1.3.4", "ip"), ("10.2.3.4", "ip"), ("[::1]", "ip"), ("b.co.uk", "co.uk"), ("city.kawa.jp", "kawa.jp"), ("", ""), ("localhost", "localhost")]
+    pages = spark.createDataFrame([(1, "http://a.bad.org/x"), (2, "http://b.bad.org/"), (3, "http://c.good.org/"), (4, "http://" + "l" * 200_000 + ".org/")], "page_id long, url string")
+    labels = spark.createDataFrame([(f"h{k}.{name}.org", name == "bad") for k in range(6) for name in ("bad", "good") for _ in range(9)], "host string, blocked boolean")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(pages, labels=labels).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [(None, "block"), (None, "block"), (None, "allow"), (None, "allow")]
