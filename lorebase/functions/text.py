@@ -265,6 +265,33 @@ def pause_priority(reason: Column) -> Column:
     return F.when(reason == "user", 4).when(reason == "quit", 3).when(reason == "thermal", 2).when(reason == "battery", 1).when(reason == "chat", 0)
 
 
+def may_pause(current: Column, new: Column) -> Column:
+    """Whether a new reason to pause overrides the current one: only a strictly higher priority does, or any if there is none."""
+    return F.coalesce(pause_priority(new) > F.coalesce(pause_priority(current), F.lit(-1)), F.lit(False))
+
+
+def blank_null(text: Column) -> Column:
+    """Null for a blank string: a blank section path reads as none."""
+    return F.when(F.btrim(text, F.lit(" \t\n\r")) != "", text)
+
+
+def query_prefixed(text: Column, tier: int) -> Column:
+    """A query as the first tier's embedder wants it; the second takes it as it is."""
+    return F.concat(F.lit("query: "), text) if tier == 1 else text
+
+
+def passage_prefixed(text: Column, tier: int) -> Column:
+    return F.concat(F.lit("passage: "), text) if tier == 1 else text
+
+
+def heading_plan(text: Column) -> Column:
+    """Array of (level, label) of the ATX headings of a text, fences and underlined headings not looked at."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(r"^ {0,3}#{1,6}([ \t]|$)"))
+    mark = lambda x: F.regexp_extract(x, r"^ {0,3}(#{1,6})", 1)
+    label = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"^ {0,3}#{1,6}[ \t]*", ""), r"(^|[ \t]+)#+[ \t]*$", ""))
+    return F.transform(lines, lambda x: F.struct(F.length(mark(x)).alias("level"), label(x).alias("label")))
+
+
 def json_object(text: Column) -> Column:
     """From the first brace to the last, or null."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

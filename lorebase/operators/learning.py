@@ -38,7 +38,7 @@ def cloze(docs: DataFrame) -> DataFrame:
 
 
 def label(doc_id: Column, section: Column) -> Column:
-    return F.concat(F.lit("청크 #"), doc_id.cast("string"), F.lit(" ("), F.coalesce(section, F.lit("unknown")), F.lit(")"))
+    return F.concat(F.lit("청크 #"), doc_id.cast("string"), F.lit(" ("), F.coalesce(T.blank_null(section), F.lit("unknown")), F.lit(")"))
 
 
 def match(chunks: DataFrame, seed: int = 7) -> DataFrame:

@@ -58,7 +58,7 @@ MOST_NAMES = 999
 
 def free_names(wanted: DataFrame, taken: DataFrame, group: str, name: str) -> DataFrame:
     """``wanted`` with ``free``: the name, or the first of ``name (2)`` to ``name (999)`` that ``taken(group, name)`` lacks; an error beyond."""
-    number = r" \\(([0-9]{1,3})\\)$"
+    number = r" \(([0-9]{1,3})\)$"
     used = taken.select(group, F.regexp_replace("name", number, "").alias("_base"), F.coalesce(F.nullif(F.regexp_extract("name", number, 1), F.lit("")).cast("int"), F.lit(1)).alias("_n"))
     sets = used.groupBy(group, "_base").agg(F.collect_set("_n").alias("_used"))  # 999 at most
     out = wanted.join(sets.withColumnRenamed("_base", name), [group, name], "left")

@@ -61,5 +61,54 @@ def rewritten(query: Column, answer: Column, label: str = "rewrite") -> Column:
     return F.coalesce(T.unquoted_line(answer, label), query)
 
 
-#: What each strength level runs besides retrieval and packing.
-STRENGTH = {"fast": (), "balanced": ("rewrite", "window", "merge", "diverse"), "accurate": ("rewrite", "hyde", "window", "merge", "diverse")}
+#: A text-generation model: request in, answer out; an exception or a blank answer means that the fallback holds.
+Generator = Callable[[str], str]
+
+
+def generated(prompt: Column, make: Callable[[], Generator] | None) -> Column:
+    """A model's answers, made once in each task; null without a model, and where it fails."""
+    if make is None:
+        return F.lit(None).cast("string")
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+
+        def one(text):
+            try:
+                return model(text) if text is not None else None
+            except Exception:  # a model's failure is the fallback's turn
+                return None
+
+        for s in batches:
+            yield s.map(one)
+
+    return run(prompt)
+
+
+def hypothetical(query: Column, answer: Column) -> Column:
+    """A hypothetical answer to search by: all lines, label and quotes off; the query itself if it is missing or blank."""
+    text = F.btrim(F.regexp_replace(F.btrim(answer, F.lit(" \n\r\t")), r"^(?i:hypothetical answer|answer|hyde)\s*:\s*", ""), F.lit(" \n\r\t"))
+    return F.coalesce(F.nullif(F.regexp_replace(text, r'(?s)^"(.*)"$', "$1"), F.lit("")), query)
+
+
+def summary(answer: Column, older: Column, limit: int = 600) -> Column:
+    """A history summary in one line; without one, the older text cut at ``limit`` characters."""
+    cut = F.when(F.length(older) > limit, F.concat(F.substring(older, 1, limit), F.lit("…"))).otherwise(older)
+    return F.coalesce(T.unquoted_line(answer, "summary"), cut)
+
+
+def choice_card(answer: Column) -> Column:
+    """Struct (question, options, correct) of a model's JSON card; null unless it has four options and a valid place among them."""
+    card = F.from_json(T.json_object(answer), "question string, options array<string>, correct int")
+    whole = (F.btrim(card["question"]) != "") & (F.size(card["options"]) == 4) & card["correct"].between(0, 3) & ~F.exists(card["options"], lambda o: o.isNull() | (F.btrim(o) == ""))
+    return F.when(whole, card)
+
+
+def titled(answer: Column, first_message: Column) -> Column:
+    """A model's title for a session, or one made of its first message."""
+    return F.coalesce(T.unquoted_line(answer, "title"), T.title_of(first_message))
+
+
+#: What each strength level runs besides retrieval and packing; read by the answering pipeline.
+STRENGTH = {"fast": (), "balanced": ("rewrite", "expand", "merge", "diverse", "window", "clean"), "accurate": ("rewrite", "hyde", "expand", "merge", "diverse", "window", "clean")}

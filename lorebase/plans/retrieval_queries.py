@@ -10,7 +10,9 @@ from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..session import materialised
+from . import plugins as P
 from .base import query, table
+from .plugins import STRENGTH
 
 
 def questions(spark, d: str) -> DataFrame:
@@ -306,19 +308,50 @@ def entity_expand(spark, d):
     return G.expand(materialised(text_hits(spark, d, 10).select("query_id", "doc_id")), edges)
 
 
-@query("answer_contexts")
-def answer_contexts(spark, d):
-    """The whole path: fuse, expand by shared terms, widen, merge, diversify, clean, pack, cite."""
-    hits = materialised(hybrid(spark, d).select("query_id", "doc_id", F.col("rrf_score").alias("score")))
-    docs, chain = table(spark, d, "documents"), links(spark, d)
-    edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
-    grown = R.ranked(G.append(hits, G.expand(hits, edges)), "score", "doc_id", 12)
-    merged = R.merge_parents(grown, chain).withColumnRenamed("pos", "rnk")
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    q = e.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    few = materialised(R.diverse(merged.select("query_id", "doc_id", F.col("score").alias("relevance")).join(e, "doc_id", "left").join(q, "query_id", "left")))
-    rows = R.sentence_window(few, chain, docs).withColumnRenamed("window_text", "text").join(docs.select("doc_id", "source"), "doc_id")
-    kept = R.pack(R.clean_passages(rows), 4000, 24, order="pick")
-    none = F.lit(None)
+def answers(spark, d: str, strength: str = "balanced", generator=None) -> DataFrame:
+    """(query_id, sources_block, kept, used_tokens): fuse, then what ``strength`` says, then pack and cite.
+
+    Steps: rewrite the questions (without a model they stay), search by a hypothetical answer too, expand
+    by shared terms, merge siblings, diversify, widen to neighbours, clean.
+    """
+    steps = STRENGTH[strength]
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    if "rewrite" in steps:
+        asked = asked.withColumn("text", P.rewritten(F.col("text"), P.generated(F.col("text"), generator)))
+    if "hyde" in steps:
+        asked = asked.withColumn("text", F.concat_ws(" ", "text", F.nullif(P.hypothetical(F.col("text"), P.generated(F.col("text"), generator)), F.col("text"))))
+    terms = asked.select("query_id", F.explode(T.chunk_terms(F.col("text"))).alias("term"))
+    hits = materialised(R.fuse(vector_hits(spark, d), R.bm25(docs, terms)).select("query_id", "doc_id", F.col("rrf_score").alias("score"), "rnk"))
+    if "expand" in steps:
+        edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
+        hits = R.ranked(G.append(hits, G.expand(hits, edges)), "score", "doc_id", 12)
+    if "merge" in steps:
+        hits = R.merge_parents(hits, links(spark, d)).withColumnRenamed("pos", "rnk")
+    if "diverse" in steps:
+        e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+        q = e.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+        hits = R.diverse(hits.select("query_id", "doc_id", F.col("score").alias("relevance")).join(e, "doc_id", "left").join(q, "query_id", "left")).withColumnRenamed("pick", "rnk")
+    few = materialised(hits.select("query_id", "doc_id", "rnk"))
+    rows = R.sentence_window(few, links(spark, d), docs).withColumnRenamed("window_text", "text") if "window" in steps else R.with_texts(few, docs)
+    rows = rows.join(docs.select("doc_id", "source").join(R.sized(few.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id")
+    rows = R.clean_passages(rows) if "clean" in steps else rows.withColumn("token_count", T.token_estimate(F.col("text")))
+    kept, none = R.pack(rows, 4000, 24), F.lit(None)
     kept = kept.withColumn("block", R.source_block(F.col("marker"), F.col("source"), none.cast("int"), none.cast("string"), F.lit(1), F.col("text")))
     return R.context(kept).select("query_id", "sources_block", "kept", "used_tokens")
+
+
+@query("answer_contexts")
+def answer_contexts(spark, d):
+    """The whole path at balanced strength."""
+    return answers(spark, d)
+
+
+@query(
+    "answer_fast",
+    f"""{_HYBRID}, pk as (select query_id, doc_id, text, source, rk.rnk, sum((length(text) * 30 + 99) // 100 + 24) over (partition by query_id order by rk.rnk, doc_id) used from rk join documents using (doc_id) where rk.rnk <= 10),
+kp as (select *, row_number() over (partition by query_id order by rnk desc, doc_id desc) marker from pk where used <= 4000)
+select query_id, string_agg('[S' || marker || '] (책: ' || source || E')\\n' || text, E'\\n\\n' order by marker) sources_block, count(*) kept, max(used)::bigint used_tokens from kp group by query_id""",
+)
+def answer_fast(spark, d):
+    """At the fast strength: fused hits as they are, packed and cited."""
+    return answers(spark, d, "fast")

@@ -40,6 +40,34 @@ def register_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.expr("uuid()").alias("id"), F.col("path").alias("source_path"), "file_format", F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"), F.col("modificationTime").alias("last_modified"), "content")
 
 
+#: A file that is read as plain text has so many bytes at most.
+PLAIN_LARGEST = 1024 * 1024
+
+
+def plain_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, text, error): md, txt and docx files as text; too large ones and ones that aren't UTF-8 have an error instead.
+
+    A docx is given back as Markdown.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).withColumn("kind", file_format(F.col("path"))).where("kind in ('md', 'txt', 'docx')")
+    large = F.col("length") > PLAIN_LARGEST
+
+    @F.pandas_udf("string")
+    def markdown(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: "\n\n".join("#" * level + " " * bool(level) + t for level, t in read_docx(bytes(b)) if t.strip()), na_action="ignore")
+
+    whole = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(large, None).when(F.col("kind") == "docx", markdown(F.when(~large & (F.col("kind") == "docx"), F.col("content")))).when(whole, F.col("content").cast("string"))
+    error = F.when(large, "larger than 1 MB").when((F.col("kind") != "docx") & ~whole, "not UTF-8")
+    return files.select(F.col("path").alias("source_path"), text.alias("text"), error.alias("error"))
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_texts) of ``pages(doc_id, page, text)``: texts in page order, an unreadable page (null) as the empty string."""
+    rows = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    return pages.groupBy("doc_id").agg(rows.alias("p")).select("doc_id", F.col("p.text").alias("page_texts"))
+
+
 def stale(books: DataFrame, now: DataFrame, key: str) -> DataFrame:
     """(key, status): registered files whose hash changed or that are missing."""
     both = books.join(now, key, "left")
@@ -300,3 +328,30 @@ def sse_events(text: Column) -> Column:
         return F.array_join(F.transform(lines, lambda s: F.regexp_replace(s, f"^{name}: ?", "")), "\n")
 
     return F.filter(F.transform(blocks, lambda b: F.struct(field(b, "event").alias("event"), field(b, "data").alias("data"))), lambda e: e.data != "")
+
+
+class EventFeed:
+    """Server-sent events from bytes in pieces of any size: what an unfinished block holds is carried over."""
+
+    def __init__(self):
+        self.held = b""
+
+    def feed(self, piece: bytes) -> list[tuple[str, str]]:
+        """(event, data) of the blocks that ``piece`` ends. Comments and blocks without data go; a line without a colon is an error."""
+        self.held += piece
+        whole = self.held.replace(b"\r\n", b"\n")
+        *blocks, rest = whole.split(b"\n\n")
+        self.held = rest if not self.held.endswith(b"\r") or rest.endswith(b"\r") else rest + b"\r"
+        out = []
+        for block in blocks:
+            fields: dict[str, list[str]] = {"event": [], "data": []}
+            for line in block.decode().split("\n"):
+                if not line or line.startswith(":"):
+                    continue
+                name, colon, value = line.partition(":")
+                if not colon:
+                    raise ValueError(f"no colon in line: {line}")
+                fields.setdefault(name, []).append(value.removeprefix(" "))
+            if fields["data"]:
+                out.append(("\n".join(fields["event"]), "\n".join(fields["data"])))
+        return out
