@@ -67,7 +67,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = checkpointed(near.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}))
     texts = rows.join(sized(near.select("d", "t"), near.count()), rows.doc_id.eqNullSafe(F.col("d")) & rows.text_hash.eqNullSafe(F.col("t")), "left_semi").distinct()
     both = texts.join(near, texts.doc_id.eqNullSafe(near.d) & texts.text_hash.eqNullSafe(near.t))
-    both = both.select("doc_id", "text_hash", words(F.col("text")).alias("w"), "near").withColumn("n", F.size("w"))
+    both = checkpointed(both.select("doc_id", "text_hash", words(F.col("text")).alias("w"), "near"))  # else each comparison would split the text again
+    both = both.withColumn("n", F.size("w"))
     holds = lambda c: (c.start + c.size <= F.col("n")) & (F.slice("w", c.start + 1, c.size) == c.window)
     found = both.select("doc_id", "text_hash", F.array_sort(F.filter("near", holds)).alias("found")).where(F.size("found") > 0)
     return counted, checkpointed(found)
