@@ -24,6 +24,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas that name a column's expression would compute it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _folding() -> tuple[str, str]:
     """Lower-case Latin letters with marks, and what is left of them without."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]

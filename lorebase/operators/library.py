@@ -121,15 +121,20 @@ def snippet(text: Column, terms: Column, width: int = 12) -> Column:
 
     A window begins at a hit; of equal ones the first counts. Without a hit, the text's first tokens.
     """
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
-    marks = F.transform(words, lambda w: F.array_contains(terms, plain(w)).cast("int"))
-    count = lambda i: F.aggregate(F.slice(marks, i, F.lit(width)), F.lit(0), lambda s, x: s + x)
-    starts = F.filter(F.transform(marks, lambda m, i: F.when(m == 1, i + 1)), lambda i: i.isNotNull())
-    best = F.array_max(F.transform(starts, lambda i: F.struct(count(i).alias("n"), (-i).alias("i"))))
-    start = F.coalesce(-best["i"], F.lit(1)).cast("int")
-    shown = F.transform(F.slice(words, start, width), lambda w: F.when(F.array_contains(terms, plain(w)), F.concat(F.lit("<<"), w, F.lit(">>"))).otherwise(w))
-    return F.concat(F.when(start > 1, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > start + width - 1, "…").otherwise(""))
+    marked = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.struct(w.alias("w"), F.array_contains(terms, plain(w)).cast("int").alias("m")))
+
+    def shown(words: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda x, i: F.when(x["m"] == 1, i + 1)), lambda i: i.isNotNull())
+        count = lambda i: F.aggregate(F.slice(words, i, F.lit(width)), F.lit(0), lambda s, x: s + x["m"])
+        best = F.array_max(F.transform(hits, lambda i: F.struct(count(i).alias("n"), (-i).alias("i"))))
+        return T.let(F.coalesce(-best["i"], F.lit(1)).cast("int"), lambda start: cut(words, start))
+
+    def cut(words: Column, start: Column) -> Column:
+        some = F.transform(F.slice(words, start, F.lit(width)), lambda x: F.when(x["m"] == 1, F.concat(F.lit("<<"), x["w"], F.lit(">>"))).otherwise(x["w"]))
+        return F.concat(F.when(start > 1, "…").otherwise(""), F.array_join(some, " "), F.when(F.size(words) > start + width - 1, "…").otherwise(""))
+
+    return T.let(marked, shown)
 
 
 def similar_pairs(turns: DataFrame, chunks: DataFrame, floor: float = 0.85) -> DataFrame:
