@@ -73,6 +73,12 @@ def affected(df: DataFrame, ids: DataFrame, status: str, by: str, key: str = "id
     return hit.groupBy(by).agg(F.count("*").alias("affected"))
 
 
+def pending(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(job, book, n_pending, first_id): running or paused ones of ``jobs(job, book, status)`` whose book has chunks that aren't done; failed ones count again."""
+    todo = chunks.where("status is null or status = 'failed'").groupBy("book").agg(F.count("*").alias("n_pending"), F.min("id").alias("first_id"))
+    return jobs.where("status in ('running', 'paused')").select("job", "book").join(todo, "book").select("job", "book", "n_pending", "first_id")
+
+
 def edited(df: DataFrame, edits: DataFrame, column: str, key: str = "id") -> DataFrame:
     """``df`` with ``column`` replaced where ``edits(key, new_<column>)`` has the row, and ``edited``."""
     out = df.join(sized(edits.withColumn("edited", F.lit(True))), key, "left").withColumn("edited", F.coalesce("edited", F.lit(False)))
@@ -137,11 +143,12 @@ def snippet(text: Column, terms: Column, width: int = 12) -> Column:
     return T.let(marked, shown)
 
 
-def similar_pairs(turns: DataFrame, chunks: DataFrame, floor: float = 0.85) -> DataFrame:
-    """(turn_id, chunk_id, similarity): all chunks whose cosine to a turn's vector reaches ``floor``."""
+def similar_pairs(turns: DataFrame, chunks: DataFrame, floor: float = 0.85, by: str | None = None) -> DataFrame:
+    """(turn_id, chunk_id, similarity): all chunks whose cosine to a turn's vector reaches ``floor``; with ``by``, of the turn's study only."""
     from ..functions import vectors as V
 
-    near = V.within(turns.select(F.col("turn_id").alias("query_id"), "vector"), chunks.select(F.col("chunk_id").alias("id"), "vector"), floor)
+    own = [by] if by else []
+    near = V.within(turns.select(F.col("turn_id").alias("query_id"), *own, "vector"), chunks.select(F.col("chunk_id").alias("id"), *own, "vector"), floor, by)
     return near.select(F.col("query_id").alias("turn_id"), F.col("id").alias("chunk_id"), F.col("score").alias("similarity"))
 
 

@@ -299,3 +299,46 @@ def context_fallback(spark, d):
     section = docs.where(F.length("text") < 1500).select(F.col("doc_id").alias("query_id"), F.md5("text").alias("context")).join(R.sized(asked), "query_id")
     file = asked.where("query_id % 2 = 0").join(F.broadcast(docs.agg(F.min("source").alias("context"))), F.lit(True))
     return L.fallback(asked, [("hybrid", hits), ("section", section), ("file", file)])
+
+
+@query(
+    "tier_two_topk",
+    """with q as (select vec_id query_id, embedding::double[] qe from embeddings where vec_id % 100 = 0),
+s as (select query_id, vec_id id, round(list_dot_product(qe, embedding::double[]) / (sqrt(list_dot_product(qe, qe)) * sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) + 0.0 score from q, embeddings where vec_id % 2 = 0)
+select query_id, id, score, rnk::int rnk from (select *, row_number() over (partition by query_id order by score desc, id) rnk from s) where rnk <= 10""",
+)
+def tier_two_topk(spark, d):
+    """A search in the second tier, whose vectors are longer and cover half of the chunks so far; those of the first don't compete."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    wide = e.select("id", F.concat("vector", "vector").alias("vector"))
+    pool = e.union(wide.where("id % 2 = 0"))
+    return V.nearest(wide.where("id % 100 = 0").withColumnRenamed("id", "query_id"), pool, 10)
+
+
+@query("json_objects", "select event_id, json_extract_string(props, '$.k')::int k from events")
+def json_objects(spark, d):
+    """The object between the first brace and the last of a model's talk."""
+    said = T.json_object(F.concat(F.lit("Sure: "), F.col("props"), F.lit(" Anything else?")))
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json(said), "$.k", "int").alias("k"))
+
+
+@query(
+    "pending_jobs",
+    """with j as (select user_id job, 'src' || (user_id % 20) book, arg_max(event_type, (ts, event_id)) status from events group by user_id),
+c as (select source book, count(*) n_pending, min(doc_id) first_id from documents where doc_id % 3 <> 0 group by source)
+select job, book, n_pending, first_id from j join c using (book) where status <> 'purchase'""",
+)
+def pending_jobs(spark, d):
+    """What is left to do for each job that was running or paused when the work stopped."""
+    log = table(spark, d, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "view", "running").otherwise("paused").alias("status"))
+    jobs = A.job_state(log).select("job", F.concat(F.lit("src"), (F.col("job") % 20).cast("string")).alias("book"), "status")
+    status = F.when(F.col("doc_id") % 3 == 0, "done").when(F.col("doc_id") % 3 == 1, "failed")
+    return L.pending(jobs, table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book"), status.alias("status")))
+
+
+@query("heading_plan", r"""with l as (select doc_id, unnest(string_split(text, E'\n')) s, unnest(range(len(string_split(text, E'\n')))) i from documents) select doc_id, count(*) headings, sum(length(trim(s)))::bigint label_chars from l where i % 2 = 0 and regexp_matches(s, '^[\p{L}\p{N}]') and not regexp_matches(s, '#\s*$') group by doc_id""")
+def heading_plan(spark, d):
+    """Headings by lines alone, as a client shows them before the text is parsed."""
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.when((i % 2 == 0) & s.rlike(r"^[\p{L}\p{N}]") & ~s.rlike(r"#\s*$"), F.concat(F.lit("## "), s)).otherwise(F.lit("x")))
+    plan = table(spark, d, "documents").select("doc_id", F.inline(T.heading_plan(F.array_join(lines, "\n"))))
+    return plan.groupBy("doc_id").agg(F.count("*").alias("headings"), F.sum(F.length("label")).alias("label_chars"))

@@ -91,13 +91,18 @@ def last_session(spark, d):
 
 @query(
     "similar_turns",
-    """with t as (select vec_id turn_id, embedding::double[] v from embeddings where vec_id % 100 = 0),
-s as (select turn_id, vec_id chunk_id, round(list_dot_product(v, embedding::double[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) + 0.0 similarity from t, embeddings)
-select turn_id, chunk_id, similarity from (select *, row_number() over (partition by turn_id order by similarity desc, chunk_id) k from s) where similarity >= 0.3""",
+    """with c as (select vec_id, embedding::double[] v, source study, label from embeddings join documents on doc_id = vec_id),
+t as (select vec_id turn_id, v qv, study from c where vec_id % 100 = 0),
+s as (select turn_id, vec_id chunk_id, round(list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))), 6) + 0.0 similarity from t join c using (study) where label <> 3)
+select turn_id, chunk_id, similarity from s where similarity >= 0.1""",
 )
 def similar_turns(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    return L.similar_pairs(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("turn_id"), "vector"), e, 0.3)
+    """All embedded chunks of the turn's own study that reach the threshold."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("study"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.when(F.col("label") == 3, "failed").otherwise("done").alias("status"))
+    chunks = e.join(docs, "chunk_id")
+    turns = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("turn_id"), "study", "vector")
+    return L.similar_pairs(turns, chunks.where("status = 'done'"), 0.1, by="study")
 
 
 @query(

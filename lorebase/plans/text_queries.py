@@ -74,7 +74,23 @@ def placeholder_titles(spark, d):
     return table(spark, d, "conversations").where("turn = 0").select("conv_id", "turn", T.title_of(F.col("text")).alias("title"))
 
 
-@query("chunk_windows")
+_SEG = "substr(text, start + 2400 + 1, 1600)"
+_ENDS = f"""case when n - start <= 4000 then n
+ when contains({_SEG}, E'\\n\\n') then start + 2400 + length({_SEG}) - strpos(reverse({_SEG}), E'\\n\\n') + 1
+ when contains({_SEG}, E'\\n') then start + 2400 + length({_SEG}) - strpos(reverse({_SEG}), E'\\n') + 1
+ when regexp_matches({_SEG}, '(?s)[.!?。！？]\\s') then start + 2400 + length(regexp_extract({_SEG}, '(?s)^.*[.!?。！？]\\s+'))
+ when contains({_SEG}, ' ') then start + 2400 + length({_SEG}) - strpos(reverse({_SEG}), ' ') + 1 else start + 4000 end"""
+_TRIMMED = """case when cut >= n or regexp_matches(substr(text, start + 1, cut - start), '[.!?。！？]\\s*$') then cut
+ when length(regexp_extract(substr(text, start + 1, cut - start), '(?s)^(.*[.!?。！？])\\s', 1)) >= 100 then start + length(regexp_extract(substr(text, start + 1, cut - start), '(?s)^(.*[.!?。！？])\\s', 1)) else cut end"""
+
+
+@query(
+    "chunk_windows",
+    f"""with recursive t as (select doc_id, text, length(text) n from documents where length(text) > 0),
+w as (select doc_id, text, n, 0 k, 0::bigint start, {_TRIMMED.replace("cut", f"({_ENDS.replace('start', '0')})").replace("start", "0")} stop from t
+union all select doc_id, text, n, k + 1, start, {_TRIMMED} stop from (select *, {_ENDS} cut from (select doc_id, text, n, k, greatest(start + 1, stop - 480) start from w where stop < n)))
+select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int ord, start span_start, substr(text, start + 1, stop - start) as text, (length(substr(text, start + 1, stop - start)) * 30 + 99) // 100 token_count from w where regexp_matches(substr(text, start + 1, stop - start), '\\S')""",
+)
 def chunk_windows(spark, d):
     return chunking.windows(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -91,6 +107,24 @@ def html_heading_counts(spark, d):
     return table(spark, d, "pages").select("page_id").join(counts, F.col("page_id") == F.col("doc_id"), "left").select("page_id", F.coalesce("headings", F.lit(0)).alias("headings"))
 
 
+_LABELS = "regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)"
+_PLAIN = "trim({x})"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+
+
+@query(
+    "html_headings",
+    f"""with h as (select page_id, unnest({_LABELS}) l, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>[^<]*</h[1-6]>', 1))::int as level, unnest(range(len({_LABELS})))::int ord from pages)
+select page_id, ord, level, {_PLAIN.format(x="l")} as label, case when level = min(level) over (partition by page_id) then 1 else 0 end chapter from h""",
+)
+def html_headings(spark, d):
+    """Level, label and place of every heading, and whether it is a chapter."""
+    out = D.html_sections(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    chapter = F.when(F.col("parent_path").isNull() & F.col("path").rlike("^Ch[0-9]"), 1).otherwise(0)
+    return out.select(F.col("doc_id").alias("page_id"), "ord", "level", "label", chapter.alias("chapter"))
+
+
 @query("html_sections")
 def html_sections(spark, d):
     return D.html_sections(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))

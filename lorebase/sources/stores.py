@@ -68,12 +68,6 @@ def active_tier(spark: SparkSession, chunks: DataFrame, first: str, second: str)
     return current(spark, first)
 
 
-def pending(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(job, book, n_pending, ids): running or paused jobs with chunks that aren't done; failed ones count again."""
-    todo = chunks.where("status is null or status = 'failed'").groupBy("book").agg(F.count("*").alias("n_pending"), F.array_sort(F.collect_list("id")).alias("ids"))
-    return jobs.where("status in ('running', 'paused')").select("job", "book").join(todo, "book").select("job", "book", "n_pending", "ids")
-
-
 def append_section_item(text: str, heading: str, item: str) -> str:
     """``item`` as a bullet at the end of the ``## heading`` block, which is made if it is missing."""
     lines = text.rstrip("\n").split("\n") if text else []

@@ -5,6 +5,7 @@ import zipfile
 import pytest
 
 from lorebase.operators import chunking as C
+from lorebase.operators import library as L
 from lorebase.sources import documents as D
 from lorebase.sources import stores as S
 
@@ -156,7 +157,7 @@ def test_stores(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     jobs = spark.createDataFrame([(1, "x", "running"), (2, "y", "completed")], "job long, book string, status string")
     chunks = spark.createDataFrame([(1, "x", None), (2, "x", "failed"), (3, "x", "done"), (4, "y", None)], "id long, book string, status string")
-    assert [tuple(r) for r in S.pending(jobs, chunks).collect()] == [(1, "x", 2, [1, 2])]
+    assert [tuple(r) for r in L.pending(jobs, chunks).collect()] == [(1, "x", 2, 1)]
 
 
 @pytest.mark.parametrize("text,want", [("", "## H\n\n- i\n"), ("## H\n- a\n\n## K\n- b\n", "## H\n- a\n- i\n\n## K\n- b\n"), ("x", "x\n\n## H\n\n- i\n")])
