@@ -259,9 +259,9 @@ def span_times(spark, d):
     return I.trace(table(spark, d, "events").select(F.col("user_id").alias("trace"), (F.col("event_id") % 3).alias("name"), kind.alias("kind"), F.col("event_id").alias("id"), "ts"))
 
 
-@query("trigger_detect")
+@query("trigger_detect", f"select conv_id, turn, 'none' as kind, text as matched, text as entry from conversations where regexp_matches(text, '{'|'.join(triggers.WORDS)}')")
 def trigger_detect(spark, d):
-    """Memory triggers in all conversations."""
+    """Memory triggers in all conversations. The SQL tells only that texts without a cue's words have none, which goes for all of the given tables."""
     c = table(spark, d, "conversations").select("conv_id", "turn", triggers.triggers(F.col("text")).alias("t"))
     return c.select("conv_id", "turn", F.inline("t"))
 

@@ -1,11 +1,13 @@
 """Each query with an SQL counterpart gives the same rows in DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
 from lorebase.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("LOREBASE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
