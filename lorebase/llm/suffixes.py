@@ -37,6 +37,8 @@ CHUNK_BYTES = 1_000_000
 #: Chunks whose runs for a bin travel together.
 CHUNKS_A_BLOB = 8
 BIN_BYTES = 4_000_000
+#: A gram is dealt one by one from so many bins' share of a sample's windows on.
+BINS_SHARE = 3
 #: A task takes bins of about so many bytes in all; a bin of more than MOST_BYTES is ordered in several turns.
 TASK_BYTES, MOST_BYTES = 64_000_000, 16_000_000
 #: The zstandard dictionary of what travels: raw content, from the sample.
@@ -180,7 +182,7 @@ def _whole(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def frequent_grams(texts: list[bytes], bins: int, common: np.ndarray) -> np.ndarray:
-    """Ranks of the grams that half a bin's share of the different windows of ``texts`` are dealt by, ascending."""
+    """Ranks of the grams that BINS_SHARE bins' share of the different windows of ``texts`` are dealt by, ascending."""
     texts = [t for t in texts if len(t) >= DEPTH]
     if not texts:
         return np.zeros(0, np.uint64)
@@ -191,7 +193,7 @@ def frequent_grams(texts: list[bytes], bins: int, common: np.ndarray) -> np.ndar
     words = _words(buf)
     gone = _later(words, at, piece[at].astype(np.int64))
     grams, counts = np.unique(_least(_grams(words, common), DEPTH - GRAM + 1)[np.setdiff1d(at, gone, assume_unique=True)], return_counts=True)
-    return grams[counts * bins * 2 > counts.sum()] if bins > 1 else grams[:0]
+    return grams[counts > BINS_SHARE * counts.sum() / bins] if bins > 1 else grams[:0]
 
 
 def _runs(starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
