@@ -27,12 +27,17 @@ SIMILARITY = (4, 5)
 #: 64-bit words of a fingerprint, segments of each, bits of a segment.
 WORDS, CUTS, WIDTH = 8, 3, 20
 HALF = WIDTH // 2
-#: Most differing bits of the first word, and of all; 10 and 77 are the expected numbers at 0.8, 32 and 256 those of unrelated sets.
-FIRST_BITS, ALL_BITS = 20, 128
+#: Most differing bits of the first word, and of all; 10 and 78 are the expected numbers at 0.8, 32 and 256 those of
+#: unrelated sets. Small sets scatter more: SMALL_BITS of them more are allowed, divided by the smaller set's size.
+FIRST_BITS, ALL_BITS, MORE_BITS, SMALL_BITS = 20, 104, 24, 400
+#: Rounds of joining each component to what is nearest to it, at most, and texts that each is compared with at a variant.
+ROUNDS, NEIGHBOURS = 6, 8
 #: Rows of a bin that are handled together; a larger bin is dealt out as blocks and pairs of blocks.
 CELL = 200_000
 #: Pairs of one text that are verified in one place, and pairs made at once.
 VERIFIED, AT_ONCE = 256, 250_000
+#: In the last step texts with more than DENSE candidates are verified by groups of so many pairs, the others by groups of so many texts.
+DENSE, GROUP_PAIRS, GROUP_TEXTS = 64, 50_000, 2_000
 
 _SEEDS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _PRINT = [f"w{k}" for k in range(WORDS)]
@@ -158,42 +163,62 @@ def _may(n, m, near, other) -> np.ndarray:
     return (q * n >= p * m) & (q * m >= p * n) & (np.bitwise_count((near ^ other).view(np.uint64)) <= FIRST_BITS)
 
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]):
-    """The distinct ones of lists of pairs, the smaller first."""
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of lists of pairs, the smaller first, in order."""
     if not found:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     a, b = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    a, b = a[new], b[new]
+    return a[new], b[new]
+
+
+def _lists(found: list[tuple[np.ndarray, np.ndarray]]):
+    """The distinct pairs as a row for each smaller one, with the list of its partners."""
+    a, b = _distinct(found)
+    if len(a):
+        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(a)]]).astype(np.int32)), pa.array(b))
+        yield pa.RecordBatch.from_arrays([pa.array(a[starts]), lists], names=["a", "bs"])
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]):
+    a, b = _distinct(found)
     for at in range(0, len(a), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
 
 
-def _stars(it):
-    """Of one partition: the texts that may be similar to the least one at a variant of theirs."""
-    got, found = _gathered(it, 3), []
+def _nearest(it):
+    """Of one partition: for each row the text of another component that is nearest by the first word, of some at its variants."""
+    got = _gathered(it, 3)
     if got is None:
         return
-    place, rest, n, sid, _, near = got
+    place, rest, n, sid, comp, near = got
     rest = rest & (1 << HALF) - 1
+    best = np.full(len(sid), np.iinfo(np.int64).max)
     for bit in range(HALF):
         key = place << HALF | rest & ~(1 << bit)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        hub = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        order, hub = order[~new], hub[~new]
-        kept = _may(n[order], n[hub], near[order], near[hub])
-        if kept.any():
-            found.append((sid[hub[kept]], sid[order[kept]]))
-    yield from _pairs(found)
+        for lag in range(1, NEIGHBOURS + 1):
+            at = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(at):
+                break
+            x, y = order[at], order[at + lag]
+            kept = (comp[x] != comp[y]) & _may(n[x], n[y], near[x], near[y])
+            x, y = x[kept], y[kept]
+            far = np.bitwise_count((near[x] ^ near[y]).view(np.uint64)).astype(np.int64) << 32
+            best[x] = np.minimum(best[x], far | y)  # neither x nor y has a row twice
+            best[y] = np.minimum(best[y], far | x)
+    x = np.flatnonzero(best < np.iinfo(np.int64).max)
+    y = best[x] & 0xFFFFFFFF
+    yield from _pairs([(sid[x], sid[y])] if len(x) else [])
 
 
 def _crossed(it):
-    """Of one partition: all pairs at a variant that may be similar and aren't in one component yet."""
+    """Of one partition: (a, bs), all pairs at a variant that may be similar and aren't in one component yet."""
     got, found, held = _gathered(it, 4), [], 0
     if got is None:
         return
@@ -224,33 +249,44 @@ def _crossed(it):
             if len(x):
                 found.append((sid[x], sid[y]))
                 if (held := held + len(x)) > AT_ONCE:
-                    yield from _pairs(found)
+                    yield from _lists(found)
                     found, held = [], 0
-    yield from _pairs(found)
+    yield from _lists(found)
 
 
-def _candidates(distinct: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that meet at a variant and may be similar by all bits of their fingerprints.
+def _with_components(distinct: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(sid, n, comp, words): a text's component is its own until it is linked."""
+    if comps is None:
+        return distinct.select("sid", "n", F.col("sid").alias("comp"), *_PRINT)
+    return distinct.join(comps, distinct.sid == comps.node, "left").select("sid", "n", F.coalesce("root", "sid").alias("comp"), *_PRINT)
 
-    Without ``comps`` each text with the least one at a variant, of one segment a word; else all pairs
-    across components, of all segments.
-    """
-    spark, sides, cuts = distinct.sparkSession, distinct.select("sid", "n", *_PRINT), 1 if comps is None else CUTS
-    counts = sides.select(*_PRINT).mapInArrow(_histogram(cuts), "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).where(F.col("c") > CELL)
+
+def _dealt(own: DataFrame, every: bool) -> DataFrame:
+    """Rows for the bins of all segments, or of one a word."""
+    spark, cuts = own.sparkSession, CUTS if every else 1
+    counts = own.select(*_PRINT).mapInArrow(_histogram(cuts), "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).where(F.col("c") > CELL)
     blocks = {r.bin: -(-r.c // CELL) for r in counts.collect()}  # 49,152 bins at most, however many texts
-    own = sides.withColumn("comp", F.col("sid")) if comps is None else sides.join(comps, sides.sid == comps.node, "left").withColumn("comp", F.coalesce("root", "sid"))
-    dealt = own.select("sid", "n", "comp", *_PRINT).mapInArrow(_dealer(blocks, comps is not None, cuts), "place long, rest long, n long, sid long, comp long, near long")
-    dealt = dealt.repartition(tasks_for(spark, 2 * WORDS * cuts * sides.count(), CELL), "place")
-    pairs = dealt.mapInArrow(_stars if comps is None else _crossed, "a long, b long").distinct()
-    left = sides.select(F.col("sid").alias("a"), *(F.col(w).alias(f"a{k}") for k, w in enumerate(_PRINT)))
-    right = sides.select(F.col("sid").alias("b"), *(F.col(w).alias(f"b{k}") for k, w in enumerate(_PRINT)))
-    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
-    return checkpointed(pairs.join(left, "a").join(right, "b").where(differing <= ALL_BITS).select("a", "b"))
-
-
-def _texts(marked: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, text) of the texts in ``pairs``; the others don't move if these are few enough to be broadcast."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    dealt = own.mapInArrow(_dealer(blocks, every, cuts), "place long, rest long, n long, sid long, comp long, near long")
+    return dealt.repartition(tasks_for(spark, 2 * WORDS * cuts * own.count(), CELL), "place")
+
+
+def _nearest_pairs(own: DataFrame) -> DataFrame:
+    """(a, b): for each component the pair with another one that is nearest by all bits, of those that meet and may be similar."""
+    pairs = _dealt(own, False).mapInArrow(_nearest, "a long, b long").distinct()
+    side = lambda x: own.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), *(F.col(w).alias(f"{x}{k}") for k, w in enumerate(_PRINT)))
+    far = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
+    most = ALL_BITS + F.least(F.lit(MORE_BITS), SMALL_BITS / F.least("na", "nb"))
+    found = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("far", far).where(F.col("far") <= most).select("a", "b", "ca", "cb", "far"))
+    ends = found.select(F.col("ca").alias("c"), "far", "a", "b").union(found.select("cb", "far", "a", "b"))
+    return checkpointed(ends.groupBy("c").agg(F.min(F.struct("far", "a", "b")).alias("e")).select("e.a", "e.b").distinct())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+
+
+def _texts(marked: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text) of the texts ``wanted(sid)``; the others don't move if these are few enough to be broadcast."""
     wanted = checkpointed(distinct.join(wanted, "sid", "left_semi").select("sid", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_own")))
     both = marked.join(sized(wanted, wanted.count()), marked["doc_id"].eqNullSafe(wanted["_id"]) & (marked["mark"] == wanted["_own"]))
     return both.select("sid", "text").dropDuplicates(["sid"])
@@ -280,18 +316,116 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(rows.mapInArrow(_similar_pairs, "a long, b long"))
 
 
+def _members(it):
+    """(q, a, bs), ordered by q: the texts of each q, once."""
+    held, last = set(), None
+    for batch in slices(it):
+        for q, a, bs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if q != last and held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last)), pa.array(sorted(held))], names=["q", "sid"])
+                held = set()
+            last = q
+            held.add(a)
+            held.update(bs)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last)), pa.array(sorted(held))], names=["q", "sid"])
+
+
+class _Group:
+    """The texts of one q, and which of them are linked so far."""
+
+    def __init__(self):
+        self.place, self.texts, self.sets, self.sizes, self.prints, self.root = {}, [], {}, [], [], {}
+
+    def add(self, sid: int, text: str, n: int, words: list[int]) -> None:
+        self.place[sid] = len(self.texts)
+        self.texts.append(text)
+        self.sizes.append(n)
+        self.prints.append(words)
+
+    def found(self, sid: int) -> np.ndarray:
+        if sid not in self.sets:
+            self.sets[sid] = shingles(self.texts[self.place[sid]])
+        return self.sets[sid]
+
+    def top(self, sid: int) -> int:
+        while (up := self.root.get(sid, sid)) != sid:
+            self.root[sid] = self.root.get(up, up)
+            sid = up
+        return sid
+
+    def links(self, a: int, bs: list[int]):
+        """The similar ones of a's candidates that nothing links to it yet."""
+        if isinstance(self.prints, list):
+            self.prints, self.sizes = np.array(self.prints, np.int64).view(np.uint64), np.array(self.sizes, np.int64)
+        at, own = np.array([self.place[b] for b in bs]), self.place[a]
+        far = np.bitwise_count(self.prints[at] ^ self.prints[own]).sum(axis=1)
+        for b in np.array(bs)[far <= ALL_BITS + np.minimum(MORE_BITS, SMALL_BITS / np.minimum(self.sizes[at], self.sizes[own]))].tolist():
+            if self.top(a) != self.top(b) and similar(self.found(a), self.found(b)):
+                self.root[self.top(b)] = self.top(a)
+                yield b
+
+
+def _verified_lists(it):
+    """(q, sid, bs, n, words, text), ordered by q, texts (bs null) before lists -> links that connect what is similar."""
+    group, last = _Group(), None
+    for batch in slices(it):
+        a_out, b_out = [], []
+        for q, sid, bs, n, *words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if q != last:
+                group, last = _Group(), q
+            if bs is None:
+                group.add(sid, text, n, words)
+            else:
+                for b in group.links(sid, bs):
+                    a_out.append(sid)
+                    b_out.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
+def _across(own: DataFrame, distinct: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is linked by similar pairs across components; all candidates are looked at.
+
+    Candidates travel as lists; where a group's texts nearly all are candidates of each other, each text
+    travels once for many pairs.
+    """
+    spark = own.sparkSession
+    lists = _dealt(own, True).mapInArrow(_crossed, "a long, bs array<long>")
+    lists = checkpointed(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")))
+    dense = F.size("bs") > DENSE
+    size = lists.agg(F.sum(F.when(dense, F.size("bs"))).alias("pairs"), F.count_if(~dense).alias("texts")).first()
+    groups, few = max(1, -(-(size.pairs or 0) // GROUP_PAIRS)), max(1, -(-(size.texts or 0) // GROUP_TEXTS))
+    q = F.when(dense, F.pmod(F.xxhash64("a"), F.lit(groups)) * 2 + 1).otherwise(F.pmod(F.xxhash64("a"), F.lit(few)) * 2)
+    lists = lists.select(q.cast("long").alias("q"), "a", "bs")
+    members = lists.repartition(max(1, min(groups + few, tasks_for(spark, 0, 1))), "q").sortWithinPartitions("q")
+    members = checkpointed(members.mapInArrow(_members, "q long, sid long"))
+    texts = _texts(marked, distinct, members.select("sid").distinct()).join(own.select("sid", "n", *_PRINT), "sid")
+    heads = members.join(texts, "sid").select("q", "sid", F.lit(None).cast("array<long>").alias("bs"), "n", *_PRINT, "text")
+    none = [F.lit(None).cast("long").alias(c) for c in ("n", *_PRINT)]
+    rows = heads.union(lists.select("q", "a", "bs", *none, F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition(tasks_for(spark, groups + few, 1), "q").sortWithinPartitions("q", F.col("bs").isNotNull())
+    return checkpointed(rows.mapInArrow(_verified_lists, "a long, b long"))
+
+
 def links(distinct: DataFrame, marked: DataFrame) -> DataFrame:
     """Edges (a, b) between the sets ``distinct(sid, n, first, words)`` that connect what is linked by similar pairs.
 
-    First sets are compared with the least one at some of their variants, so that large groups of near
-    copies cost what is linear in the group; then, at all variants where several components still meet,
-    all pairs across them. What the first step leaves out only makes the second one's work larger.
+    In rounds, each component is compared with what looks nearest to it, so that a large group of near
+    copies grows together at a cost linear in the group; once a round links little, all candidates across
+    components are compared. What the rounds leave out only makes that last step's work larger.
     """
-    pairs = _candidates(distinct, None)
-    near = _verified(pairs, _texts(marked, distinct, pairs))
-    again = _candidates(distinct, connected_components(near))
-    again = checkpointed(again.join(pairs, ["a", "b"], "left_anti"))
-    return near if again.isEmpty() else near.union(_verified(again, _texts(marked, distinct, again)))
+    own, edges = checkpointed(_with_components(distinct, None)), None
+    for _ in range(ROUNDS):
+        pairs = _nearest_pairs(own)
+        near = _verified(pairs, _texts(marked, distinct, _ends(pairs)))
+        linked = near.count()
+        if linked:
+            edges = near if edges is None else edges.union(near)
+            own = checkpointed(_with_components(distinct, connected_components(edges)))
+        if 4 * linked < pairs.count() or not linked:
+            break
+    rest = _across(own, distinct, marked)
+    return rest if edges is None else edges.union(rest)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
