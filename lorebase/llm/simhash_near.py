@@ -335,10 +335,11 @@ class _Group:
     """The texts of one q, and which of them are linked so far."""
 
     def __init__(self):
-        self.place, self.texts, self.sets, self.sizes, self.prints, self.root = {}, [], {}, [], [], {}
+        self.place, self.texts, self.sets, self.sizes, self.prints, self.comp, self.root = {}, [], {}, [], [], {}, {}
 
-    def add(self, sid: int, text: str, n: int, words: list[int]) -> None:
+    def add(self, sid: int, text: str, n: int, comp: int, words: list[int]) -> None:
         self.place[sid] = len(self.texts)
+        self.comp[sid] = comp
         self.texts.append(text)
         self.sizes.append(n)
         self.prints.append(words)
@@ -349,10 +350,11 @@ class _Group:
         return self.sets[sid]
 
     def top(self, sid: int) -> int:
-        while (up := self.root.get(sid, sid)) != sid:
-            self.root[sid] = self.root.get(up, up)
-            sid = up
-        return sid
+        comp = self.comp[sid]
+        while (up := self.root.get(comp, comp)) != comp:
+            self.root[comp] = self.root.get(up, up)
+            comp = up
+        return comp
 
     def links(self, a: int, bs: list[int]):
         """The similar ones of a's candidates that nothing links to it yet."""
@@ -367,15 +369,15 @@ class _Group:
 
 
 def _verified_lists(it):
-    """(q, sid, bs, n, words, text), ordered by q, texts (bs null) before lists -> links that connect what is similar."""
+    """(q, sid, bs, n, comp, words, text), ordered by q, texts (bs null) before lists -> links that connect what is similar."""
     group, last = _Group(), None
     for batch in slices(it):
         a_out, b_out = [], []
-        for q, sid, bs, n, *words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for q, sid, bs, n, comp, *words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if q != last:
                 group, last = _Group(), q
             if bs is None:
-                group.add(sid, text, n, words)
+                group.add(sid, text, n, comp, words)
             else:
                 for b in group.links(sid, bs):
                     a_out.append(sid)
@@ -399,9 +401,9 @@ def _across(own: DataFrame, distinct: DataFrame, marked: DataFrame) -> DataFrame
     lists = lists.select(q.cast("long").alias("q"), "a", "bs")
     members = lists.repartition(max(1, min(groups + few, tasks_for(spark, 0, 1))), "q").sortWithinPartitions("q")
     members = checkpointed(members.mapInArrow(_members, "q long, sid long"))
-    texts = _texts(marked, distinct, members.select("sid").distinct()).join(own.select("sid", "n", *_PRINT), "sid")
-    heads = members.join(texts, "sid").select("q", "sid", F.lit(None).cast("array<long>").alias("bs"), "n", *_PRINT, "text")
-    none = [F.lit(None).cast("long").alias(c) for c in ("n", *_PRINT)]
+    texts = _texts(marked, distinct, members.select("sid").distinct()).join(own.select("sid", "n", "comp", *_PRINT), "sid")
+    heads = members.join(texts, "sid").select("q", "sid", F.lit(None).cast("array<long>").alias("bs"), "n", "comp", *_PRINT, "text")
+    none = [F.lit(None).cast("long").alias(c) for c in ("n", "comp", *_PRINT)]
     rows = heads.union(lists.select("q", "a", "bs", *none, F.lit(None).cast("string").alias("text")))
     rows = rows.repartition(tasks_for(spark, groups + few, 1), "q").sortWithinPartitions("q", F.col("bs").isNotNull())
     return checkpointed(rows.mapInArrow(_verified_lists, "a long, b long"))
