@@ -58,3 +58,11 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted(map(tuple, S.simhash_components(docs).select("doc_id", "component_id").collect()), key=str)
     assert got == sorted([(None, 3), (3, 3), (3, 3), (None, None)], key=str)
     assert S.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i * i % 7919}" for i in range(150_000)]
+    want = brute(" ".join(words))
+    docs = spark.createDataFrame([(2, " ".join(words)), (1, "\t".join(words).upper()), (3, "other words of a short text")], "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.simhash_components(docs).collect()}
+    assert got[2] == got[1] == (f"{want:016x}", 1) and got[3][1] == 3
