@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from lorebase.llm import common
 from lorebase.llm import simhash as S
 
 
@@ -66,3 +67,16 @@ def test_a_very_long_text(spark):
     docs = spark.createDataFrame([(2, " ".join(words)), (1, "\t".join(words).upper()), (3, "other words of a short text")], "doc_id long, text string")
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.simhash_components(docs).collect()}
     assert got[2] == got[1] == (f"{want:016x}", 1) and got[3][1] == 3
+
+
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges * 60:
+        root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(edges, "a long, b long")
+    want = sorted((x, r) for x, r in root.items() if x != r)
+    assert sorted(map(tuple, common.connected_components(table).collect())) == want
+    monkeypatch.setattr(common, "SINGLE_EDGES", 0)
+    assert sorted(map(tuple, common.connected_components(table).collect())) == want
