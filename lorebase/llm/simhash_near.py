@@ -263,11 +263,13 @@ def _with_components(distinct: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _dealt(own: DataFrame, every: bool) -> DataFrame:
     """Rows for the bins of all segments, or of one a word."""
-    spark, cuts = own.sparkSession, CUTS if every else 1
-    counts = own.select(*_PRINT).mapInArrow(_histogram(cuts), "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).where(F.col("c") > CELL)
-    blocks = {r.bin: -(-r.c // CELL) for r in counts.collect()}  # 49,152 bins at most, however many texts
+    spark, cuts, n, blocks = own.sparkSession, CUTS if every else 1, own.count(), {}
+    if n > CELL:  # a bin has a row of each text at most
+        counts = own.select(*_PRINT).repartition(-(-n // CELL)).mapInArrow(_histogram(cuts), "bin long, c long")
+        counts = counts.groupBy("bin").agg(F.sum("c").alias("c")).where(F.col("c") > CELL)
+        blocks = {r.bin: -(-r.c // CELL) for r in counts.collect()}  # 49,152 bins at most, however many texts
     dealt = own.mapInArrow(_dealer(blocks, every, cuts), "place long, rest long, n long, sid long, comp long, near long")
-    return dealt.repartition(tasks_for(spark, 2 * WORDS * cuts * own.count(), CELL), "place")
+    return dealt.repartition(tasks_for(spark, 2 * WORDS * cuts * n, CELL), "place")
 
 
 def _nearest_pairs(own: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def rows():
     return [(i, " ".join(w)) for i, w in enumerate(out)] + [(900, None), (901, ""), (902, " ")]
 
 
-@pytest.mark.parametrize("cell, verified", [(N.CELL, N.VERIFIED), (2000, 3)])
+@pytest.mark.parametrize("cell, verified", [(N.CELL, N.VERIFIED), (150, 3)])
 def test_stage_against_all_pairs(spark, monkeypatch, cell, verified):
     monkeypatch.setattr(N, "CELL", cell)
     monkeypatch.setattr(N, "DENSE", verified)
