@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, patterns, pieces, pii, secrets, simhash, suffixes, toxicity, urls
+from . import decontaminate, fingerprint, html_blocks, language, patterns, pieces, pii, secrets, simhash, spelling, suffixes, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(_table(spark, sf_dir, "documents"))
+
+
 def op12_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.recoveries(_table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_pii, op4_language, op5_fingerprint, op6_pieces, op7_toxicity, op8_simhash, op9_suffixes, op10_urls, op12_patterns)}
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_pii, op4_language, op5_fingerprint, op6_pieces, op7_toxicity, op8_simhash, op9_suffixes, op10_urls, op11_spelling, op12_patterns, op13_html)}
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op10_urls": urls.ORACLE, "op12_patterns": patterns.ORACLE}
