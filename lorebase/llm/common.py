@@ -73,8 +73,8 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return nodes[moved], nodes[label[moved]]
 
 
-#: So many edges at most are settled by one task; more go through the rounds.
-SINGLE_EDGES = 500_000
+#: Edges that one task settles among themselves at the start of a round, some eight megabytes.
+TASK_EDGES = 500_000
 
 
 def _settled(it):
@@ -86,30 +86,29 @@ def _settled(it):
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``, long; root is the smallest node reachable.
+    """(node, root) for every node of ``edges(a, b)``, long, that isn't its own root; the root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each round is a few joins and aggregations on the
-    edge list, checkpointed, and nothing is collected. A hub's neighbours meet only in aggregations
-    with map-side combine and in joins that AQE can split. Nulls and self-loops are ignored; a node
-    without an edge to another node isn't returned. A table of SINGLE_EDGES edges or fewer, which is
-    some ten megabytes, goes to one task instead, with the same result.
+    In every round tasks of TASK_EDGES edges each replace theirs by the stars of their components, then
+    a large-star and a small-star step (joins and aggregations with map-side combine, checkpointed)
+    bring the tasks' stars together. It ends with the round whose edges one task has settled, or which
+    changes nothing. A round leaves an edge a node and task at most, and nothing is collected. Nulls and
+    self-loops are ignored.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, seen = checkpointed(e), None
-    if e.count() <= SINGLE_EDGES:
-        return checkpointed(e.repartition(1).mapInArrow(_settled, "node long, root long"))
+    e, seen = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         mark = e.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+        if mark == seen:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        seen, tasks = mark, max(1, -(-mark[0] // TASK_EDGES))
+        stars = checkpointed(e.repartition(tasks, "a", "b").mapInArrow(_settled, "node long, root long"))
+        if tasks == 1 and stars.rdd.getNumPartitions() == 1:
+            return stars
+        both = stars.select(F.col("node").alias("u"), F.col("root").alias("v")).union(stars.select("root", "node"))
         low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # so that AQE can split a hub
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = checkpointed(small.union(least.select("a", "m")).distinct())
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 _RANGE = 1 << 30

@@ -8,27 +8,25 @@ and a narrow one is marked as rejected.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import piece, slices
+from .common import checkpointed, piece, sized, slices
 
 #: The labelled sample: for each language the rows with the least hash of doc_id, so many characters of
-#: each (a piece of longer texts), and so many bytes of them all; the languages with the most rows.
+#: each (a piece of longer texts), and so many bytes of them all. With more than SAMPLE_TOTAL / SAMPLE_ROWS
+#: languages each brings fewer rows, one at least, so that SAMPLE_TOTAL bounds the rows of them all.
 SAMPLE_ROWS = 400
+SAMPLE_TOTAL = 102_400
 PIECE_CHARS = 2_000
-MOST_LANGUAGES = 256
 DICTIONARY_BYTES = 98_304
 LEVEL = 6
 SEGMENT_BYTES = 2048
 #: A margin under this share of the least size (and at least two bytes) is narrow.
 NARROW = 0.01
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,19 +37,18 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of the rows that may be learned from; a bounded sample reaches the driver."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    counts = {r.lang: r["count"] for r in top.collect()}
-    place, reach = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(0)
-    for lang, n in counts.items():  # about twice the sample meets in the ranking, whatever the number of tasks
-        reach = F.when(F.col("lang") == lang, min(1 << 30, int(2 * SAMPLE_ROWS / n * (1 << 30)))).otherwise(reach)
+    counts = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    each = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // max(languages, 1)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
-    some = rows.where(place < reach).select("doc_id", "lang", piece(F.col("text"), F.col("doc_id"), PIECE_CHARS).alias("text"))
-    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)
+    some = rows.join(sized(counts, languages), "lang").where(place < 2 * each / F.col("n") * (1 << 30))  # about twice the sample meets in the ranking, whatever the number of tasks
+    some = some.select("doc_id", "lang", "n", piece(F.col("text"), F.col("doc_id"), PIECE_CHARS).alias("text"))
+    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).orderBy("k", "lang").limit(SAMPLE_TOTAL)
     texts: dict[str, list[str]] = {}
-    for r in sorted(some.select("lang", "k", "text").collect(), key=lambda r: (r.lang, r.k)):
+    for r in sorted(some.select("lang", "n", "k", "text").collect(), key=lambda r: (-r.n, r.lang, r.k)):
         texts.setdefault(r.lang, []).append(r.text)
-    common = [lang for lang in counts if lang in texts]
-    return {lang: b" " * 8 + "\n".join(dict.fromkeys(texts[lang])).lower().encode()[-DICTIONARY_BYTES:] for lang in common}
+    return {lang: b" " * 8 + "\n".join(dict.fromkeys(own)).lower().encode()[-DICTIONARY_BYTES:] for lang, own in texts.items()}
 
 
 class Classifier:
@@ -76,7 +73,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected); ``und`` for null, for texts without a letter, and if nothing was learned."""
-        if not text or not self.names or not LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         raw = text.lower().encode()
         cut = [raw[at : at + SEGMENT_BYTES] for at in range(0, len(raw), SEGMENT_BYTES)]
@@ -94,7 +91,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     ``lang_pred`` is the language of the least size even where ``rejected`` marks its margin as narrow;
     ties go to the language with more labelled rows, then the first in the alphabet. Null texts and
-    texts without a letter are ``und``, and so is everything if there is nothing to learn from. A very
+    texts without a letter (Unicode category L) are ``und``, and so is everything if there is nothing to learn from. A very
     long text is compressed whole, SEGMENT_BYTES at a time; repeated rows are judged each by itself. A null doc_id isn't held out, nor learned from.
     An empty table gives no rows; other columns are ignored.
     """

@@ -69,7 +69,7 @@ def test_a_very_long_text(spark):
     assert got[2] == got[1] == (f"{want:016x}", 1) and got[3][1] == 3
 
 
-def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
+def test_components_of_many_tasks_and_of_one(spark, monkeypatch):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5)]
     root = {x: x for e in edges for x in e}
@@ -78,5 +78,5 @@ def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
     table = spark.createDataFrame(edges, "a long, b long")
     want = sorted((x, r) for x, r in root.items() if x != r)
     assert sorted(map(tuple, common.connected_components(table).collect())) == want
-    monkeypatch.setattr(common, "SINGLE_EDGES", 0)
+    monkeypatch.setattr(common, "TASK_EDGES", 30)
     assert sorted(map(tuple, common.connected_components(table).collect())) == want
