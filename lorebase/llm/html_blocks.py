@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import least_hashed, slices
 
 #: The sample that trains the network: pages, characters of a page, pages laid out anew for each.
-SAMPLE, SAMPLE_CHARS, ANEW = 200, 20_000, 6
+SAMPLE, SAMPLE_CHARS, ANEW = 200, 20_000, 8
 #: Hashed places for path and words, plain figures, state of each direction.
-PATH, WORDS, PLAIN, HIDDEN = 256, 48, 12, 32
+PATH, WORDS, PLAIN, HIDDEN = 320, 48, 12, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style title template noscript svg math textarea select iframe object canvas audio video".split())
@@ -171,44 +171,68 @@ _MAIN = frozenset(MAIN_NAMES)
 
 
 class Vectors:
-    """Blocks as vectors; hashes of names and words are kept as long as they are few."""
+    """Blocks as vectors; places of words and vectors of paths are kept as long as they are few."""
 
     def __init__(self):
-        self.kept: dict[str, int] = {}
-
-    def hashed(self, words: list[str]) -> np.ndarray:
-        kept = self.kept
+        self.words: dict[str, int] = {}
+        self.paths: dict[tuple, np.ndarray] = {}
+
+    def path(self, path: list[list[str]]) -> np.ndarray:
+        """The hashed names of a path, each element weaker than the one within it."""
+        v, weight = np.zeros(PATH, np.float32), 1.0
+        for depth, names in enumerate(reversed(path[-12:])):
+            for name in names if depth else [*names, "leaf " + names[0]]:
+                h = crc32(name.encode("utf-8", "replace"))
+                v[h % PATH] += weight if h >> 20 & 1 else -weight
+            weight *= 0.85
+        return v
+
+    def places(self, words: list[str]) -> list[int]:
+        """A word's place among WORDS, and WORDS more if it counts as negative."""
+        kept = self.words
         if len(kept) > 300_000:
             kept.clear()
-        return np.array([kept[w] if w in kept else kept.setdefault(w, crc32(w.encode("utf-8", "replace"))) for w in words], np.int64)
+        found = [kept.get(w, -1) for w in words]
+        if -1 in found:
+            for i, at in enumerate(found):
+                if at < 0:
+                    h = crc32(words[i].encode("utf-8", "replace"))
+                    found[i] = kept[words[i]] = h % WORDS + (0 if h >> 20 & 1 else WORDS)
+        return found
 
     def page(self, blocks: list[Block]) -> np.ndarray:
         n = len(blocks)
         out = np.zeros((n, PATH + WORDS + PLAIN), np.float32)
-        paths: dict[tuple, np.ndarray] = {}
-        keys = [tuple(map(tuple, b.path)) for b in blocks]
-        same = {k: 0 for k in keys}
-        for k in keys:
-            same[k] += 1
+        keys, same = [tuple(map(tuple, b.path)) for b in blocks], {}
+        if len(self.paths) > 20_000:
+            self.paths.clear()
         for i, (b, key) in enumerate(zip(blocks, keys, strict=True)):
-            if key not in paths:
-                v, weight = np.zeros(PATH, np.float32), 1.0
-                for depth, names in enumerate(reversed(b.path[-12:])):
-                    h = self.hashed(names if depth else [*names, "leaf " + names[0]])
-                    np.add.at(v, h % PATH, weight * np.where(h >> 20 & 1, 1, -1))
-                    weight *= 0.85
-                paths[key] = v
-            out[i, :PATH] = paths[key]
-            words = b.text.split(" ")
-            h = self.hashed(words)
-            v = np.bincount(h % WORDS, np.where(h >> 20 & 1, 1.0, -1.0), WORDS)
-            out[i, PATH : PATH + WORDS] = v / max(1.0, np.sqrt(v @ v))
-            chars = len(b.text)
-            ends = b.text[-1] in ".!?…\"”»%$#*&"
-            out[i, PATH + WORDS :] = (1, np.log1p(chars) / 5, np.log1p(len(words)) / 4, b.links, ends, min(1, chars / 200), sum(c.isdigit() for c in b.text[:200]) / min(chars, 200), b.text[0].isupper(), i / n, 1 / (1 + i), 1 / (n - i), np.log1p(same[key]) / 4)
+            if (v := self.paths.get(key)) is None:
+                v = self.paths[key] = self.path(b.path)
+            out[i, :PATH] = v
+            same[key] = same.get(key, 0) + 1
+        texts = [b.text for b in blocks]
+        for a in range(0, n, 64):  # so many blocks' words at once
+            split = [t.split(" ") for t in texts[a : a + 64]]
+            places = np.array(self.places([w for words in split for w in words]), np.int64)
+            rows = np.repeat(np.arange(len(split)), [len(words) for words in split])
+            counts = np.bincount(rows * (2 * WORDS) + places, minlength=2 * WORDS * len(split)).reshape(-1, 2 * WORDS)
+            v = (counts[:, :WORDS] - counts[:, WORDS:]).astype(np.float64)
+            out[a : a + 64, PATH : PATH + WORDS] = v / np.maximum(1.0, np.sqrt((v * v).sum(1, keepdims=True)))
+            out[a : a + 64, PATH + WORDS + 2] = np.log1p([len(words) for words in split]) / 4
+        chars, at = np.array([len(t) for t in texts], np.float64), np.arange(n)
+        plain = out[:, PATH + WORDS :]
+        plain[:, 0], plain[:, 1], plain[:, 3] = 1, np.log1p(chars) / 5, [b.links for b in blocks]
+        plain[:, 4], plain[:, 5] = [t[-1] in ".!?…\"”»%$#*&" for t in texts], np.minimum(1, chars / 200)
+        plain[:, 6], plain[:, 7] = [len(_DIGITS.findall(t, 0, 200)) / min(len(t), 200) for t in texts], [t[0].isupper() for t in texts]
+        plain[:, 8], plain[:, 9], plain[:, 10] = at / max(n, 1), 1 / (1 + at), 1 / (n - at)
+        plain[:, 11] = np.log1p([same[k] for k in keys]) / 4
         return out
 
 
+_DIGITS = re.compile(r"\d")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -320,7 +344,7 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]):
 def laid_out(rng: np.random.Generator, main: list[str], others: list[str]) -> list[tuple[Block, int]]:
     """A page laid out anew: the texts ``main`` as its article among other parts, with telling names or without."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    semantic, named = rng.random() < 0.5, rng.random() < 0.75
+    semantic, named = rng.random() < 0.5, rng.random() < 0.9
     around = [["<div>", pick(NEUTRAL)] if rng.random() < 0.7 else ["<div>"] for _ in range(int(rng.integers(0, 4)))]
 
     def words(least: int, most: int) -> str:
@@ -328,39 +352,42 @@ def laid_out(rng: np.random.Generator, main: list[str], others: list[str]) -> li
         n, at = int(rng.integers(least, most + 1)), int(rng.integers(len(found)))
         return " ".join(found[at : at + n]) or found[0]
 
-    def part(role: str, tags: list[str], told: bool, inner: list[tuple[list[str], str, float]]) -> list[tuple[Block, int]]:
+    def part(role: str, tags: list[str], told: bool, inner: list[tuple[list[str], str, float]], within: list[list[str]] | None = None) -> list[tuple[Block, int]]:
         tag = pick(tags) if semantic or not named else "div"
         name = pick(ASIDE_NAMES[role])
         if rng.random() < 0.3:
-            name = f"{name}-{pick(['list', 'box', 'area', 'wrapper', 'top', 'section'])}"
+            name = f"{name}-{pick(['list', 'box', 'area', 'wrapper', 'top', 'section', 'slot', 'unit'])}"
         own = names_of(tag, [("class", name)]) if told or tag == "div" and named else [f"<{tag}>"]
-        return [(Block([*around, own, *([["<div>", pick(NEUTRAL)]] if rng.random() < 0.3 else []), *([x] if isinstance(x[0], str) else x)], text, links), 0) for x, text, links in inner if text]
+        return [(Block([*(around if within is None else within), own, *([["<div>", pick(NEUTRAL)]] if rng.random() < 0.3 else []), *([x] if isinstance(x[0], str) else x)], text, links), 0) for x, text, links in inner if text]
 
     listed = lambda n: [([["<ul>"], ["<li>"]], words(1, 4) if rng.random() < 0.7 else pick(SAYS["menu"]), 1.0) for _ in range(n)]
     lines = lambda role, n, least, most: [(pick([["<p>"], ["<div>"], ["<span>"], ["<h3>"], ["<li>"]]), pick(SAYS[role]) if rng.random() < 0.4 else words(least, most), float(rng.random() < 0.3)) for _ in range(n)]
     some = lambda low, high: int(rng.integers(low, high + 1))
     maybe = lambda share, make: make() if rng.random() < share else []
-    advert = lambda: part("advert", ["div", "aside"], True, lines("advert", some(1, 2), 2, 14))
+    advert = lambda within=None: part("advert", ["div", "aside"], True, lines("advert", some(1, 2), 2, 14), within)
     holder = pick([["<article>"], ["<main>"], ["<article>"]]) if semantic else ["<div>"]
-    if rng.random() < 0.6 and (named or not semantic):
+    if rng.random() < 0.85 and (named or not semantic):
         holder = [*holder, *names_of("x", [("class", pick(MAIN_NAMES))])[1:]]
     inner = [["<div>", pick(NEUTRAL)]] if rng.random() < 0.3 else []
     body: list[tuple[Block, int]] = []
     leaf: list[list[str]] = []
     for k, text in enumerate(main):
-        if k and rng.random() < 0.25:  # short ones occur in articles too
-            text = " ".join(text.split(" ")[: some(1, 9)])
+        if rng.random() < 0.25:  # short ones occur in articles too
+            cut, at = text.split(" "), some(0, 30)
+            text = " ".join(cut[at % len(cut) :][: some(1, 9)])
         head = k == 0 and rng.random() < 0.8
-        leaf = [pick([["<h1>"], ["<h2>"]])] if head else [["<h2>"]] if len(text) < 60 and rng.random() < 0.4 else pick([[["<p>"]]] * 6 + [leaf] * 8 * (k > 1 and leaf != [["<h1>"]]) + [[["<blockquote>"], ["<p>"]], [["<ul>"], ["<li>"]], [["<table>"], ["<tr>"], ["<td>"]], [["<pre>"]], [["<figure>"], ["<figcaption>"]], [["<div>"]], []])
+        leaf = [pick([["<h1>"], ["<h2>"]])] if head else [["<h2>"]] if len(text) < 60 and rng.random() < 0.4 else pick([[["<p>"]]] * 5 + [leaf] * 9 * (k > 1 and leaf != [["<h1>"]]) + [[["<blockquote>"], ["<p>"]], *[[["<ul>"], ["<li>"]]] * 3, [["<table>"], ["<tr>"], ["<td>"]], [["<pre>"]], [["<figure>"], ["<figcaption>"]], [["<div>"]], []])
         if head and rng.random() < 0.2:
             leaf = [["<header>"], *leaf]
         body.append((Block([*around, holder, *inner, *leaf], text, float(rng.random() < 0.1) * 0.3), 1))
-        if rng.random() < 0.05:
-            body += advert()
+        if rng.random() < 0.15:
+            body += advert([*around, holder, *inner])
     top = maybe(0.3, lambda: part("notice", ["div", "dialog", "aside"], True, lines("notice", some(1, 3), 5, 25)))
     top += maybe(0.6, lambda: part("header", ["header"], named, lines("header", some(1, 2), 1, 6)))
     top += maybe(0.9, lambda: part("menu", ["nav"], named, listed(some(3, 12)))) + maybe(0.5, advert)
     side = lambda: maybe(0.5, lambda: part("sidebar", ["aside"], True, lines("sidebar", some(1, 3), 2, 30) + listed(some(0, 6))))
+    if rng.random() < 0.3:  # what follows the article may lie within what holds it
+        around = [*around, holder]
     end = maybe(0.3, lambda: part("share", ["div"], True, lines("share", some(1, 4), 1, 3)))
     end += maybe(0.3, lambda: part("form", ["form"], True, lines("form", some(1, 4), 1, 12)))
     end += maybe(0.5, lambda: part("comments", ["section", "div"], True, [([pick([["<div>", "comment"], ["<li>", "comment"], ["<div>"], ["<article>", "comment"]]), *([["<p>"]] if rng.random() < 0.8 else [])], pick(SAYS["comments"]) if rng.random() < 0.3 else words(3, 60), 0.0) for _ in range(some(1, 8))]))
