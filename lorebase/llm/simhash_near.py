@@ -6,6 +6,9 @@ which 24 segments of 20 are indexed by their one-wildcard variants. A pair at ex
 segment but for one bit with a probability of 0.99, one at 0.85 of 0.999; bits of the fingerprint, then
 whole sets verify what meets, so no pair is linked that isn't similar.
 
+Sets of up to SHORT shingles scatter too much for that. They, and all that can be similar to them, are also
+joined exactly by prefix filter: shingles in order of rarity, of which similar sets share one of the first few.
+
 A variant leaves one half of its segment alone. Texts are therefore dealt by the halves, 48 rows each,
 and a task makes the variants of its bins itself.
 """
@@ -30,6 +33,8 @@ HALF = WIDTH // 2
 #: Most differing bits of the first word, and of all; 10 and 78 are the expected numbers at 0.8, 32 and 256 those of
 #: unrelated sets. Small sets scatter more: SMALL_BITS of them more are allowed, divided by the smaller set's size.
 FIRST_BITS, ALL_BITS, MORE_BITS, SMALL_BITS = 20, 104, 24, 400
+#: Shingles up to which a set is also joined exactly.
+SHORT = 16
 #: Rounds of joining each component to what is nearest to it, at most, and texts that each is compared with at a variant.
 ROUNDS, NEIGHBOURS = 6, 8
 #: Rows of a bin that are handled together; a larger bin is dealt out as blocks and pairs of blocks.
@@ -411,14 +416,84 @@ def _across(own: DataFrame, distinct: DataFrame, marked: DataFrame) -> DataFrame
     return checkpointed(rows.mapInArrow(_verified_lists, "a long, b long"))
 
 
+def _grams(it):
+    """(sid, text) -> (sid, grams), the set of each text."""
+    for batch in slices(it):
+        found = [shingles(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["sid", "grams"])
+
+
+def _linked(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs that connect what is similar among ``sets``, which share a shingle."""
+    m, sizes = len(sids), np.array([len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(tokens, kind="stable")
+    owner = owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0]))
+    at, ends = np.searchsorted(tokens[order][starts], tokens), np.append(starts[1:], len(owner))
+    group, out, first = np.arange(m), [], np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(1, m):
+        own = at[first[i] : first[i + 1]]
+        both = np.bincount(np.concatenate([owner[starts[t] : ends[t]] for t in own]), minlength=m)[:i]
+        near = np.flatnonzero(SIMILARITY[1] * both >= SIMILARITY[0] * (sizes[i] + sizes[:i] - both))
+        for g in np.unique(group[near]):
+            if g != group[i]:
+                out.append((sids[int(near[group[near] == g][0])], sids[i]))
+        if len(near):
+            group[np.isin(group, np.append(group[near], group[i]))] = group[near].min()
+    return out
+
+
+def _alike(it):
+    """(g, sid, grams) in order of g -> links between the similar sets of each g."""
+    now, sids, sets, out = None, [], [], []
+
+    def batch():
+        a, b = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for whole in it:
+        for g, sid, grams in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), whole.column(2), strict=True):
+            if g != now:
+                if len(sids) > 1:
+                    out += _linked(sids, sets)
+                now, sids, sets = g, [], []
+            sids.append(sid)
+            sets.append(grams.values.to_numpy())
+        if out:
+            yield batch()
+            out = []
+    if len(sids) > 1 and (out := _linked(sids, sets)):
+        yield batch()
+
+
+def short_links(distinct: DataFrame, marked: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is similar among sets of up to SHORT shingles and those that can be similar to them, exactly.
+
+    Of n shingles in order of rarity, two similar sets share one of the first n - ceil(0.8 n) + 1: these are
+    dealt out, five rows a set at most, and whole sets compared where they meet.
+    """
+    p, q = SIMILARITY
+    spark, most = distinct.sparkSession, SHORT * q // p
+    sets = checkpointed(_texts(marked, distinct, distinct.where(F.col("n") <= most).select("sid")).mapInArrow(_grams, "sid long, grams array<long>"))
+    each = sets.select("sid", F.explode("grams").alias("g"))
+    ranked = each.join(each.groupBy("g").agg(F.count("*").alias("c")), "g").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("r"))  # a set's few
+    n = F.size("r")
+    tokens = ranked.select("sid", F.explode(F.slice("r", F.lit(1), n - F.ceil(n * p / q).cast("int") + 1)).alias("r")).where("r.c > 1").select(F.col("r.g").alias("g"), "sid")
+    rows = tokens.join(sets, "sid").select("g", "sid", "grams").repartition(tasks_for(spark, 5 * sets.count(), CELL), "g").sortWithinPartitions("g", "sid")
+    return checkpointed(rows.mapInArrow(_alike, "a long, b long").distinct())
+
+
 def links(distinct: DataFrame, marked: DataFrame) -> DataFrame:
     """Edges (a, b) between the sets ``distinct(sid, n, first, words)`` that connect what is linked by similar pairs.
 
-    In rounds, each component is compared with what looks nearest to it, so that a large group of near
+    Short sets are joined first. In rounds, each component is compared with what looks nearest to it, so that a large group of near
     copies grows together at a cost linear in the group; once a round links little, all candidates across
     components are compared. What the rounds leave out only makes that last step's work larger.
     """
-    own, edges = checkpointed(_with_components(distinct, None)), None
+    edges = short_links(distinct, marked)
+    edges = None if edges.isEmpty() else edges
+    own = checkpointed(_with_components(distinct, None if edges is None else connected_components(edges)))
     for _ in range(ROUNDS):
         pairs = _nearest_pairs(own)
         near = _verified(pairs, _texts(marked, distinct, _ends(pairs)))

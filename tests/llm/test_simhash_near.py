@@ -78,6 +78,36 @@ def test_pairs_at_the_threshold_meet():
     assert met / 400 >= 0.97 and below / 400 >= 0.99
 
 
+def test_links_at_exactly_the_threshold_by_size(spark):
+    """Pairs of n and 5n/4 shingles, the smaller set within the larger: a similarity of 0.8; short ones are all found."""
+    rng, table, sizes = random.Random(3), [], [4, 8, 12, 16, 20, 100, 400]
+    for n in sizes:
+        for _ in range(60):
+            words = [f"x{rng.randrange(10**9)}" for _ in range(n + 4 + n // 4)]
+            table += [(len(table), " ".join(words[: n + 4])), (len(table) + 1, " ".join(words))]
+    got = {r.doc_id for r in N.representatives(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert set(range(0, len(table), 2)) <= got
+    lost = {n: sum(120 * k <= i < 120 * (k + 1) for i in got) - 60 for k, n in enumerate(sizes)}
+    assert all(x == 0 if n <= N.SHORT else x <= 3 for n, x in lost.items())
+
+
+def test_short_sets_sharing_much_are_linked_exactly():
+    """Against all pairs, in a group that shares a shingle: what is connected is the same."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.append(rng.choice(14, rng.integers(3, 12), replace=False), 99)).astype(np.int64) for _ in range(120)]
+    root = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if N.similar(sets[i], sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    own = list(range(120))
+    for a, b in N._linked(list(range(120)), sets):
+        assert N.similar(sets[a], sets[b])
+        own = [own[a] if r == own[b] else r for r in own]
+    same = lambda r: {tuple(i for i in range(120) if r[i] == x) for x in set(r)}
+    assert same(own) == same(root) and 1 < len(same(root)) < 120
+
+
 def test_cells_cover_all_pairs():
     rng = np.random.default_rng(5)
     prints = [np.full(60, 7, np.int64) + rng.integers(0, 2, 60) for _ in range(N.WORDS)]
