@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
-META = "\"*():^-"
+META = "\"*^():\\"
 
 # Word lists that the results depend on.
 CONCEPT_MARKERS = ("왜", "어떻게", "무엇", "뭐", "차이", "비교", "관계", "설명", "이유", "원리", "why", "how", "what", "explain", "difference", "compare", "relationship", "concept")
@@ -65,14 +65,15 @@ def phrase_terms(query: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda x: x != "")
 
 
-def chunk_terms(query: Column) -> Column:
-    """The distinct index tokens of a chunk search's terms."""
-    return F.array_distinct(F.flatten(F.transform(phrase_terms(query), index_tokens)))
+def chunk_units(query: Column) -> Column:
+    """A chunk search's terms in order, each as its index tokens with one space between: what has to follow each other in a text."""
+    units = F.transform(phrase_terms(query), lambda t: F.array_join(index_tokens(t), " "))
+    return F.filter(units, lambda u: u != "")
 
 
 def prefix_terms(query: Column) -> Column:
-    """Terms of a section search; each stands for all tokens that begin with it. A query without one is an error."""
-    terms = F.array_distinct(index_tokens(F.coalesce(query, F.lit(""))))
+    """Terms of a section search in order; each stands for all tokens that begin with it. A query without one is an error."""
+    terms = index_tokens(F.coalesce(query, F.lit("")))
     return F.when(F.size(terms) > 0, terms).otherwise(F.raise_error(F.lit("empty search")).cast("array<string>"))
 
 
@@ -259,7 +260,8 @@ def valid_name(name: Column) -> Column:
 
 def provider_of(model: Column) -> Column:
     """Back-fill: a model name's prefix tells its provider."""
-    return F.when(model.startswith("claude"), "anthropic").when(model.startswith("gpt"), "openai").when(model.startswith("gemini"), "gemini")
+    of = lambda *starts: F.coalesce(model.rlike(f"^({'|'.join(starts)})-"), F.lit(False))
+    return F.when(of("claude"), "anthropic").when(of("gpt", "o1", "o3"), "openai").when(of("gemini"), "gemini")
 
 
 def hardware_tier(cores: Column, ram_gb: Column) -> Column:

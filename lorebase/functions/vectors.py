@@ -1,17 +1,16 @@
-"""Vector functions as column expressions, and the nearest-neighbour operator."""
+"""Vector functions as column expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query vectors are held by every task: so many at once, the rest in further blocks.
-BLOCK_QUERIES = 4096
-#: Vectors scored at once, so that a block's scores take some 16 MB.
-BATCH = 512
+#: An embedding model: texts in, vectors out.
+Embedder = Callable[[list[str]], list[np.ndarray]]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,137 +37,20 @@ def mean(a: Column, b: Column) -> Column:
 
 
 def from_bytes(blob: Column, dimension: int) -> Column:
-    """Little-endian float32 bytes to an array of ``dimension``; null for null or another length.
-
-    Byte arithmetic on the bytes' hexadecimal form: sign, exponent and fraction of each four bytes.
-    """
+    """Little-endian float32 bytes to an array of ``dimension``; null for null or another length."""
 
-    def number(k: Column) -> Column:
-        text = F.substring(F.hex(blob), k * 8 + 1, F.lit(8))
-        low = F.concat(*[F.substring(text, 7 - 2 * i, 2) for i in range(4)])
-        bits = F.conv(low, 16, 10).cast("long")
-        exponent, fraction = F.shiftright(bits, 23).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit((1 << 23) - 1)).cast("double")
-        plain = F.when(exponent == 0, fraction * 2.0**-149).otherwise((fraction / 2.0**23 + 1) * F.pow(F.lit(2.0), exponent - 127))
-        odd = F.when(fraction > 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
-        size = F.when(exponent == 255, odd).otherwise(plain)
-        return F.when(bits >= 1 << 31, -size).otherwise(size).cast("float")
+    @F.pandas_udf("array<float>")
+    def floats(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) == 4 * dimension else None)
 
-    return F.when(F.octet_length(blob) == 4 * dimension, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), number))
+    return floats(blob)
 
 
 def to_bytes(vector: Column) -> Column:
-    """An array of float as little-endian float32 bytes: the other way, for normal numbers and zero."""
-
-    def word(x: Column) -> Column:
-        size = F.abs(x.cast("double"))
-        exponent = F.floor(F.log2(size))
-        exponent = F.when(F.pow(F.lit(2.0), exponent) > size, exponent - 1).when(F.pow(F.lit(2.0), exponent + 1) <= size, exponent + 1).otherwise(exponent)
-        fraction = F.round((size / F.pow(F.lit(2.0), exponent) - 1) * 2.0**23).cast("long")
-        bits = F.when(size == 0, F.lit(0)).otherwise((exponent + 127) * (1 << 23) + fraction) + F.when(x < 0, F.lit(1 << 31)).otherwise(F.lit(0))
-        text = F.lpad(F.hex(bits.cast("long")), 8, "0")
-        return F.concat(*[F.substring(text, 7 - 2 * i, 2) for i in range(4)])
-
-    return F.unhex(F.array_join(F.transform(vector, word), ""))
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", by: str | None = None) -> DataFrame:
-    """(query_id, id, score, rnk): for each of ``queries(query_id, vector)`` its k nearest of ``vectors(id, vector)``.
-
-    The stated queries are multiplied with the vectors block by block where these lie; each task keeps
-    its own k best of a query, so k rows a task and query meet in the ranking. Score is cosine
-    (descending) or l2 (ascending), rounded to six digits; ties go to the smaller id. Vectors of
-    another length than the query's, and nulls, are left out; k < 1 gives nothing. With ``by``, a column
-    of both sides, only vectors of the query's group compete.
-    """
-    out = _scored(queries, vectors, k, metric, by=by)
-    order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
-    return out.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rnk") <= k)
-
-
-def within(queries: DataFrame, vectors: DataFrame, floor: float, by: str | None = None) -> DataFrame:
-    """(query_id, id, score): for each of ``queries(query_id, vector)`` all of ``vectors(id, vector)`` whose cosine reaches ``floor``.
-
-    Blocks, scores, groups and what is left out as in ``nearest``; each task gives every pair that it finds.
-    """
-    return _scored(queries, vectors, None, "cosine", floor, by)
-
-
-def _scored(queries: DataFrame, vectors: DataFrame, k: int | None, metric: str, floor: float | None = None, by: str | None = None) -> DataFrame:
-    """(query_id, id, score): each task's k best of a query, or all of its pairs from ``floor`` on."""
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    spark = vectors.sparkSession
-    own = F.col(by).alias("group") if by else F.lit(None).cast("string").alias("group")
-    rows = queries.select("query_id", own, "vector").where("vector is not null").orderBy("query_id").toLocalIterator()
-    against = vectors.select("id", own, "vector").where("vector is not null")
-    parts, block = [], []
-
-    def flush() -> None:
-        by_length: dict[int, list[int]] = {}
-        for at, r in enumerate(block):
-            by_length.setdefault(len(r.vector), []).append(at)
-        groups = [(n, at, np.array([block[i].vector for i in at], np.float64)) for n, at in by_length.items()]
-        parts.append(against.mapInArrow(_scorer([r.query_id for r in block], [r.group for r in block] if by else None, groups, k, metric, floor), schema))
-
-    if k is None or k > 0:
-        for row in rows:
-            block.append(row)
-            if len(block) == BLOCK_QUERIES:
-                flush()
-                block = []
-        if block:
-            flush()
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
-
-
-def _low(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """Of each query and vector what is to be small: the distance, or the cosine with its sign turned; to six digits."""
-    dots = q @ x.T
-    if metric == "cosine":
-        norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
-        return -np.round(np.clip(np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), -1, 1), 6)
-    square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None]
-    far = np.maximum(square - 2 * dots, 0.0)
-    close = np.argwhere(far < 1e-6 * square)  # where the difference of large numbers says little
-    for i, j in close:
-        far[i, j] = ((q[i] - x[j]) ** 2).sum()
-    return np.round(np.sqrt(far), 6)
-
-
-def _scorer(ids, groups, parts, k: int | None, metric: str, floor: float | None = None):
-    def run(it):
-        for whole in it:
-            for start in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(start, BATCH)
-                column = batch.column(2)
-                lengths, flat = pa.compute.list_value_length(column).to_numpy(), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-                own = np.array(batch.column(1).to_pylist(), object) if groups else None
-                for n, at, q in parts:
-                    rows = np.flatnonzero(lengths == n)
-                    if not len(rows) or not n:
-                        continue
-                    low = _low(q, flat[starts[rows][:, None] + np.arange(n)], metric)
-                    if groups:
-                        low[np.array([own[rows] != groups[p] for p in at])] = np.inf
-                    names = batch.column(0).take(pa.array(rows))
-                    if k is None:
-                        who, what = np.nonzero(low <= -floor)
-                    else:
-                        limit = np.partition(low, min(k, low.shape[1]) - 1, axis=1)[:, min(k, low.shape[1]) - 1]
-                        who, what = np.nonzero((low <= limit[:, None]) & (low < np.inf))
-                        order = np.lexsort((np.array(names.take(pa.array(what)).to_pylist()), low[who, what], who))
-                        who, what = who[order], what[order]
-                        first = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1]) if len(who) else np.zeros(0, int)
-                        place = np.arange(len(who)) - np.repeat(first, np.diff(np.concatenate([first, [len(who)]])))
-                        who, what = who[place < k], what[place < k]
-                    if len(who):
-                        score = low[who, what]
-                        columns = [pa.array([ids[at[i]] for i in who]), names.take(pa.array(what)), pa.array((-score if metric == "cosine" else score) + 0.0)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
-
-    return run
+    """An array of float as little-endian float32 bytes, any value; null for null."""
+
+    @F.pandas_udf("binary")
+    def blobs(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return blobs(vector)

@@ -9,51 +9,64 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def haloed(rows: DataFrame, seconds: int) -> DataFrame:
+    """``rows(ts, ...)`` with _sec, dealt to spans of time (_span): each row in its own, and as halo (not _own) in the next.
+
+    A window of up to ``seconds`` before a row then lies within the row's span, so that one key's rows are
+    spread over as many tasks as it has spans.
+    """
+    sec = F.col("ts").cast("timestamp").cast("long")
+    spans = F.array(F.struct(F.lit(0).alias("d"), F.lit(True).alias("own")), F.struct(F.lit(1).alias("d"), F.lit(False).alias("own")))
+    out = rows.withColumn("_sec", sec).withColumn("_p", F.explode(spans))
+    return out.withColumn("_span", F.floor(F.col("_sec") / seconds) + F.col("_p.d")).withColumn("_own", F.col("_p.own")).drop("_p")
+
+
 def repeat_signals(searches: DataFrame, least: int = 3, minutes: int = 30) -> DataFrame:
     """A signal for the third and every further search with the same key within the window before it.
 
     ``searches(study, key, id, ts)`` -> (study, key, id, cnt, severity).
     """
-    near = Window.partitionBy("study", "key").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-60 * minutes, 0)
-    out = searches.withColumn("cnt", F.count("*").over(near)).where(F.col("cnt") >= least)
+    near = Window.partitionBy("study", "key", "_span").orderBy("_sec").rangeBetween(-60 * minutes, 0)
+    rows = haloed(searches.select("study", "key", "id", "ts"), 60 * minutes)
+    out = rows.withColumn("cnt", F.count("*").over(near)).where(F.col("_own") & (F.col("cnt") >= least))
     return out.select("study", "key", "id", "cnt", F.least(F.lit(1.0), F.col("cnt") / 10).alias("severity"))
 
 
 def alerts(signals: DataFrame, minutes: int = 5) -> DataFrame:
     """Undismissed signals with two or more types in the window before them: (study, id, ts, combo, n_types)."""
-    near = Window.partitionBy("study").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-60 * minutes, 0)
+    near = Window.partitionBy("study", "_span").orderBy("_sec").rangeBetween(-60 * minutes, 0)
     types = F.array_sort(F.collect_set("type").over(near))
-    out = signals.where("not dismissed").withColumn("types", types).where(F.size("types") >= 2)
+    rows = haloed(signals.where("not dismissed").select("study", "id", "ts", "type"), 60 * minutes)
+    out = rows.withColumn("types", types).where(F.col("_own") & (F.size("types") >= 2))
     return out.select("study", "id", "ts", F.array_join("types", "+").alias("combo"), F.size("types").alias("n_types"))
 
 
 def cooldown(events: DataFrame, seconds: int = 300) -> DataFrame:
-    """(key, id, ts) of the events that pass: the first of a key, and those ``seconds`` after the last that passed.
+    """The rows of ``events(key, id, ts, ...)`` that pass: the first of a key, and those ``seconds`` after the last that passed.
 
     Each key's rows stream through one task in order of time, and its state is one time; no key's
     history is gathered.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    names = events.columns
 
     def run(it):
         key, last, empty = None, None, True
         for batch in it:
-            keys, times, kept = batch.column(0).to_pylist(), batch.column(3).to_pylist(), []
+            keys, times, kept = batch.column("key").to_pylist(), batch.column("_at").to_pylist(), []
             for at, (k, t) in enumerate(zip(keys, times, strict=True)):
                 if empty or k != key or t >= last + 1_000_000 * seconds:
                     key, last, empty = k, t, False
                     kept.append(at)
-            yield batch.take(pa.array(kept, pa.int64())).select(["key", "id", "ts"])
+            yield batch.take(pa.array(kept, pa.int64())).select(names)
 
-    rows = events.where("ts is not null").select("key", "id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "at", "id")
-    return rows.mapInArrow(run, f"key {kinds['key']}, id {kinds['id']}, ts {kinds['ts']}")
+    rows = events.where("ts is not null").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = rows.repartition("key").sortWithinPartitions("key", "_at", "id")
+    return rows.mapInArrow(run, events.schema)
 
 
 def cooled_alerts(alerts: DataFrame, minutes: int = 30) -> DataFrame:
     """``alerts(study, id, ts, combo, ...)`` without those of a combination that fired in the study ``minutes`` before."""
-    keyed = alerts.withColumn("key", F.to_json(F.struct("study", "combo")))
-    return alerts.join(cooldown(keyed.select("key", "id", "ts"), 60 * minutes).select("id"), "id", "left_semi")
+    return cooldown(alerts.withColumn("key", F.to_json(F.struct("study", "combo"))), 60 * minutes).drop("key")
 
 
 def alert_facts(alerts: DataFrame, message: Column, types: int = 5) -> DataFrame:
@@ -124,12 +137,18 @@ def citation_accuracy(messages: DataFrame, last: int = 200) -> DataFrame:
     return rows.agg(F.countDistinct("id").alias("messages"), F.count("*").alias("markers"), count("pass").alias("passes"), count("low").alias("lows"), count("no_match").alias("no_matches"), F.round(F.try_divide(count("pass"), F.count("*")), 6).alias("pass_ratio"), F.round(F.avg("s.score"), 6).alias("avg_score"))
 
 
-def memory_levels(facts: DataFrame) -> DataFrame:
-    """(study, l1, l2): active facts with confidence 0.5 or more as bullet lists, cut at 2000 and 4000 characters."""
+def memory_levels(facts: DataFrame, first: int = 2000, second: int = 4000) -> DataFrame:
+    """(study, l1, l2): active facts with confidence 0.5 or more as bullet lists, cut at ``first`` and ``second`` characters.
+
+    A running sum of lengths leaves out, before anything is gathered, the facts that begin behind the cut.
+    """
     rows = facts.where("status = 'active' and confidence >= 0.5").withColumn("level", F.when(F.col("kind").isin("preference", "correction"), "l1").otherwise("l2"))
-    lists = rows.groupBy("study", "level").agg(F.array_sort(F.collect_list(F.struct("kind", "created", "id", "content"))).alias("f"))
-    text = F.array_join(F.transform("f", lambda x: F.concat(F.lit("- "), x.content)), "\n")
-    cut = F.when(F.col("level") == "l1", T.truncate_lines(text, 2000)).otherwise(T.truncate_lines(text, 4000))
+    rows = rows.withColumn("most", F.when(F.col("level") == "l1", first).otherwise(second)).withColumn("line", F.concat(F.lit("- "), "content"))
+    before = F.sum(F.length("line") + 1).over(Window.partitionBy("study", "level").orderBy("kind", "created", "id").rowsBetween(Window.unboundedPreceding, -1))
+    kept = rows.where("line is not null").withColumn("before", F.coalesce(before, F.lit(0))).where("before <= most")
+    lists = kept.groupBy("study", "level").agg(F.array_sort(F.collect_list(F.struct("kind", "created", "id", "line"))).alias("f"))
+    text = F.array_join("f.line", "\n")
+    cut = F.when(F.col("level") == "l1", T.truncate_lines(text, first)).otherwise(T.truncate_lines(text, second))
     level = lambda k: F.coalesce(F.max(F.when(F.col("level") == k, F.col("t"))), F.lit("")).alias(k)
     return lists.select("study", "level", cut.alias("t")).groupBy("study").agg(level("l1"), level("l2"))
 

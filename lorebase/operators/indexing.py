@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.plugins import Embedder
+from ..functions.vectors import Embedder
 
 #: Chunks that are embedded, and lost at most, at once; attempts after which a chunk has failed.
 BATCH, ATTEMPTS = 32, 3
@@ -21,12 +21,6 @@ def postings(docs: DataFrame) -> DataFrame:
     return toks.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def refreshed(index: DataFrame, gone: DataFrame, changed: DataFrame) -> DataFrame:
-    """Postings after rows ``gone(doc_id)`` were deleted and ``changed(doc_id, text)`` inserted or rewritten."""
-    touched = gone.select("doc_id").union(changed.select("doc_id")).distinct()
-    return index.join(touched, "doc_id", "left_anti").select("term", "doc_id", "tf", "doc_len").unionByName(postings(changed))
-
-
 def replaced(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Insert-or-replace on several key columns: the row of each key with the latest ``version``; of equal ones the new."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -47,6 +41,19 @@ def cache_put(cache: DataFrame, new: DataFrame, as_of: Column, dimension: int |
     return cache.join(new.select("key"), "key", "left_anti").unionByName(fresh.select(*cache.columns))
 
 
+def read_through(lookups: DataFrame, made: Callable[[Column], Column], seconds: int) -> DataFrame:
+    """(key, id, ts, hit, value) of ``lookups(key, id, ts, text)`` in order of time: a value used in the ``seconds`` before is a hit, which refreshes it.
+
+    A miss has its value made of its own text; ``made`` sees null for hits, so a model works on misses alone.
+    """
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = lookups.withColumn("hit", F.coalesce(at - F.lag(at).over(w) <= 1_000_000 * seconds, F.lit(False)))
+    rows = rows.withColumn("made", made(F.when(~F.col("hit"), F.col("text"))))
+    value = F.last("made", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("key", "id", "ts", "hit", value.alias("value"))
+
+
 def embed_pending(chunks: DataFrame, cache: DataFrame, make: Callable[[], Embedder], model: str, dimension: int) -> DataFrame:
     """(chunk_id, book, embedding, status, attempts, cached) of the pending ones of ``chunks(chunk_id, book, text, status, attempts)``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,13 @@ def cloze(docs: DataFrame) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.size("toks") / CLOZE).cast("int"))
     picks = F.slice(F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.i % step == 0), 1, CLOZE)
     rows = toks.select("doc_id", "text", F.posexplode(picks).alias("n", "pick")).select("doc_id", "text", "n", F.col("pick.t").alias("back"))
-    return rows.select("doc_id", "n", F.overlay("text", F.lit("[___]"), F.instr("text", F.col("back")), F.length("back")).alias("front"), "back").where(T.answer_in_source(F.col("back"), F.col("text")) >= 0.5)
+    return rows.select("doc_id", "n", F.overlay("text", F.lit("[___]"), F.instr("text", F.col("back")), F.length("back")).alias("front"), "back")
+
+
+def sourced(cards: DataFrame, sources: DataFrame) -> DataFrame:
+    """``cards(doc_id, n, back)`` with the score of each answer against its source ``sources(doc_id, text)``, and whether it is kept."""
+    score = T.answer_in_source(F.col("back"), F.col("text"))
+    return cards.join(sources.select("doc_id", "text"), "doc_id").select("doc_id", "n", "back", score.alias("score"), (score >= 0.5).alias("kept"))
 
 
 def label(doc_id: Column, section: Column) -> Column:
@@ -74,20 +81,54 @@ def order(chunks: DataFrame) -> DataFrame:
     return sets.select("book", "section", F.col("c")[0].doc_id.alias("doc_id"), F.concat(F.lit("다음 단락들을 원래 순서대로 정렬하시오.\n\n"), shown).alias("front"), F.concat(F.lit("정답 순서: "), letters, F.lit("\n\n(각 알파벳이 위 선택지의 단락)")).alias("back"))
 
 
-def sm2(ef: Column, interval: Column, reps: Column, q: Column) -> Column:
-    """One review: struct (ef, interval, reps)."""
-    ef2 = F.greatest(F.lit(1.3), ef + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))
-    grown = F.greatest(F.round(interval * ef2).cast("long"), interval + 1)
-    next_interval = F.when(q < 3, 1).when(reps == 0, 1).when(reps == 1, 6).otherwise(grown).cast("long")
-    return F.struct(ef2.alias("ef"), next_interval.alias("interval"), F.when(q < 3, 0).otherwise(reps + 1).cast("long").alias("reps"))
+#: Intervals in days stay below this.
+MOST_DAYS = 1 << 62
+
+
+def sm2(ef: float, interval: int, reps: int, q: int) -> tuple[float, int, int]:
+    """(ef, interval, reps) after one review of quality ``q``."""
+    ef = max(1.3, ef + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))
+    if q < 3:
+        return ef, 1, 0
+    grown = 1 if reps == 0 else 6 if reps == 1 else max(int(interval * ef + 0.5), interval + 1)
+    return ef, min(grown, MOST_DAYS), reps + 1
 
 
 def replay(reviews: DataFrame) -> DataFrame:
-    """(card, n, ef, interval, reps): the state of each card after all its ``reviews(card, seq, q)`` in order."""
-    lists = reviews.groupBy("card").agg(F.array_sort(F.collect_list(F.struct("seq", "q"))).alias("r"))
-    start = F.struct(F.lit(2.5).alias("ef"), F.lit(0).cast("long").alias("interval"), F.lit(0).cast("long").alias("reps"))
-    state = F.aggregate("r", start, lambda s, x: sm2(s.ef, s.interval, s.reps, x.q.cast("double")))
-    return lists.select("card", F.size("r").alias("n"), state.alias("s")).select("card", "n", F.round("s.ef", 6).alias("ef"), F.col("s.interval").alias("interval"), F.col("s.reps").alias("reps"))
+    """(card, n, ef, interval, reps): the state of each card after all its ``reviews(card, seq, q)`` in order.
+
+    A card's reviews stream through one task; its state is three numbers, however many it has.
+    """
+
+    def run(it):
+        card, n, state = None, 0, None
+        out: list = []
+
+        def rows():
+            cards, ns, states = zip(*out, strict=True)
+            ef, interval, reps = zip(*states, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(cards, kind), pa.array(ns, pa.int32()), pa.array([round(x, 6) for x in ef]), pa.array(interval, pa.int64()), pa.array(reps, pa.int64())], names=["card", "n", "ef", "interval", "reps"])
+
+        kind = None
+        for batch in it:
+            kind = batch.schema.field("card").type
+            for c, q in zip(batch.column("card").to_pylist(), batch.column("q").to_pylist(), strict=True):
+                if n and c != card:
+                    out.append((card, n, state))
+                    n = 0
+                if not n:
+                    card, state = c, (2.5, 0, 0)
+                n, state = n + 1, sm2(*state, q)
+            if out:
+                yield rows()
+                out = []
+        if n:
+            out.append((card, n, state))
+            yield rows()
+
+    kind = reviews.schema["card"].dataType.simpleString()
+    rows = reviews.where("q is not null").select("card", "seq", F.col("q").cast("int").alias("q")).repartition("card").sortWithinPartitions("card", "seq")
+    return rows.mapInArrow(run, f"card {kind}, n int, ef double, interval long, reps long")
 
 
 def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
+from . import neighbours as N
 from .retrieval import sized
 
 # Labels of signal types and markers of errors worth a retry.
@@ -101,6 +104,46 @@ def numbered_names(df: DataFrame, group: str, name: str, order: str) -> DataFram
     return df.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), k.cast("string"), F.lit(")"))))
 
 
+def probed(rows: DataFrame, group: str, name: str, order: str) -> DataFrame:
+    """``rows`` with ``path``: in order, a name that its group hasn't used, else the first of name-2, name-3, ... that it hasn't.
+
+    Only names that agree without their numbers can get in each other's way, so these stream through one
+    task in order. Its state is a counter for each distinct name and the names given as they were, not the
+    rows: what a counter has passed is used.
+    """
+    columns = rows.columns
+
+    def run(it):
+        now, given, past = None, set(), {}
+
+        def used(path: str) -> bool:
+            if path in given:
+                return True
+            base, dash, number = path.rpartition("-")
+            return bool(dash) and number.isascii() and number.isdigit() and number[0] != "0" and 2 <= int(number) < past.get(base, 2)
+
+        for batch in it:
+            paths = []
+            for key, base in zip(zip(batch.column("_group").to_pylist(), batch.column("_root").to_pylist(), strict=True), batch.column("_name").to_pylist(), strict=True):
+                if key != now:
+                    now, given, past = key, set(), {}
+                if not used(base):
+                    given.add(base)
+                    paths.append(base)
+                else:
+                    k = past.get(base, 2)
+                    while f"{base}-{k}" in given:
+                        k += 1
+                    past[base] = k + 1
+                    paths.append(f"{base}-{k}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(paths, pa.string())], names=[*columns, "path"])
+
+    root = F.regexp_replace(F.col(name), r"(-[0-9]+)+$", "")
+    dealt = rows.withColumns({"_group": F.col(group).cast("string"), "_root": root, "_name": F.col(name), "_order": F.col(order)})
+    dealt = dealt.repartition("_group", "_root").sortWithinPartitions("_group", "_root", "_order")
+    return dealt.mapInArrow(run, StructType([*rows.schema.fields, StructField("path", StringType())]))
+
+
 def with_status(df: DataFrame, ids: DataFrame, status: str, key: str = "id") -> DataFrame:
     """``df`` with the status of the given ids changed."""
     marked = sized(ids.select(key).distinct().withColumn("_hit", F.lit(True)))
@@ -145,10 +188,8 @@ def snippet(text: Column, terms: Column, width: int = 12) -> Column:
 
 def similar_pairs(turns: DataFrame, chunks: DataFrame, floor: float = 0.85, by: str | None = None) -> DataFrame:
     """(turn_id, chunk_id, similarity): all chunks whose cosine to a turn's vector reaches ``floor``; with ``by``, of the turn's study only."""
-    from ..functions import vectors as V
-
     own = [by] if by else []
-    near = V.within(turns.select(F.col("turn_id").alias("query_id"), *own, "vector"), chunks.select(F.col("chunk_id").alias("id"), *own, "vector"), floor, by)
+    near = N.within(turns.select(F.col("turn_id").alias("query_id"), *own, "vector"), chunks.select(F.col("chunk_id").alias("id"), *own, "vector"), floor, by)
     return near.select(F.col("query_id").alias("turn_id"), F.col("id").alias("chunk_id"), F.col("score").alias("similarity"))
 
 

@@ -1,13 +1,8 @@
-"""Retrieval over a batch of questions: full-text scores, fusion, expansion, packing."""
+"""Retrieval over a batch of questions: fusion, expansion, diversity, packing."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -19,8 +14,6 @@ K1, B = 1.2, 0.75
 RRF_K, DEPTH, TOP = 60, 20, 10
 #: A side is broadcast up to so many rows and bytes; a larger one is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
-#: Questions that are scored in one pass, and cells of a task's scores at once.
-BLOCK_QUERIES, CELLS = 4096, 4_000_000
 
 
 def _bytes(df: DataFrame) -> Column:
@@ -39,132 +32,6 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if got.n <= limit and (got.b or 0) <= BROADCAST_BYTES else df
 
 
-def term_statistics(docs: DataFrame, least: int = 1) -> DataFrame:
-    """(term, df, tf): documents that have a term, and its occurrences; one scan, one aggregation by term with map-side combine."""
-    toks = docs.select(T.index_tokens(F.col("text")).alias("toks"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    of = lambda tokens, df, tf: F.transform(tokens, lambda t: F.struct(t.alias("term"), df.alias("df"), tf.alias("tf")))
-    rows = toks.select(F.inline(F.concat(of(F.col("toks"), zero, one), of(F.array_distinct("toks"), one, zero))))
-    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= least)
-
-
-def _found(wanted: dict[str, int], lengths: list[int] | None):
-    """(doc_id, group, text) -> (doc_id, group, len, terms, f): which wanted terms a text has, and how often."""
-
-    def run(it):
-        find = re.compile(r"[^\W_]+").findall
-        for batch in it:
-            sizes, terms, counts = [], [], []
-            for text in batch.column(2).to_pylist():
-                tokens = find(text or "")
-                seen, got = Counter(tokens), Counter()
-                for token, n in seen.items():
-                    for start in (token,) if lengths is None else (token[:m] for m in lengths if len(token) >= m):
-                        if (term := wanted.get(start)) is not None:
-                            got[term] += n
-                sizes.append(len(tokens))
-                terms.append(list(got.keys()))
-                counts.append(list(got.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "group", "len", "terms", "f"])
-
-    return run
-
-
-def _best(ids: list, groups: list, asking: dict[int, np.ndarray], idf: np.ndarray, mean: float, k: int):
-    """(doc_id, group, len, terms, f) -> each task's k best of a question."""
-
-    def run(it):
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        step, kind = max(1, CELLS // len(ids)), None
-        for whole in it:
-            kind = whole.schema.field(0).type
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                docs = np.array(batch.column(0).to_pylist())
-                sizes = batch.column(2).to_numpy()
-                terms, row = batch.column(3).flatten().to_numpy(), np.repeat(np.arange(len(docs)), pa.compute.list_value_length(batch.column(3)).to_numpy())
-                f = batch.column(4).flatten().to_numpy().astype(np.float64)
-                part = idf[terms] * f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[row] / mean))
-                order = np.argsort(terms, kind="stable")
-                terms, row, part = terms[order], row[order], part[order]
-                cuts = np.flatnonzero(np.diff(terms)) + 1
-                score = np.zeros((len(ids), len(docs)))
-                for t, r, w in zip(terms[np.concatenate([[0], cuts])] if len(terms) else (), np.split(row, cuts), np.split(part, cuts), strict=False):
-                    score[np.ix_(asking[int(t)], r)] += w
-                if groups:
-                    own = np.array(batch.column(1).to_pylist(), object)
-                    score *= np.array([own == g for g in groups])
-                for q in np.flatnonzero(score.any(axis=1)):
-                    at_q = np.flatnonzero(score[q])
-                    value, doc = np.round(score[q, at_q], 6), docs[at_q]
-                    if q in kept:
-                        value, doc = np.concatenate([kept[q][0], value]), np.concatenate([kept[q][1], doc])
-                    if len(value) > k:
-                        near = np.flatnonzero(value >= np.partition(value, len(value) - k)[len(value) - k])
-                        value, doc = value[near], doc[near]
-                    best = np.lexsort((doc, -value))[:k]
-                    kept[q] = value[best], doc[best]
-        if kept:
-            who = [q for q in kept for _ in kept[q][0]]
-            columns = [pa.array([ids[q] for q in who]), pa.array(np.concatenate([kept[q][1] for q in kept]), kind), pa.array(np.concatenate([kept[q][0] for q in kept]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "score"])
-
-    return run
-
-
-def bm25(docs: DataFrame, terms: DataFrame, k: int = DEPTH, prefix: bool = False, by: str | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rnk): the k best of ``docs`` for each query of ``terms(query_id, term)``.
-
-    Statistics span the whole corpus. With ``prefix`` a term stands for all tokens beginning with it.
-    With ``by``, a column of both sides, only documents of the query's group are ranked. Scores are
-    rounded to six digits and ties go to the smaller doc_id.
-
-    The stated questions are held by every task, in blocks. One pass over the texts writes, for each
-    document, the wanted terms that it has; their frequencies come from that table, and a second pass over
-    it scores a block of documents against all questions, so that no row for a document and a question
-    is ever made but the k best of each task.
-    """
-    asked = terms.select("query_id", *([F.col(by).alias("group")] if by else [F.lit(None).alias("group")]), "term").distinct().orderBy("query_id", "term")
-    kind, key = docs.schema["doc_id"].dataType.simpleString(), terms.schema["query_id"].dataType.simpleString()
-    out = None
-    for block in _blocks(asked.toLocalIterator()) if k > 0 else ():
-        wanted: dict[str, int] = {}
-        ids, groups, asking = [], [], {}
-        for query_id, group, term in block:
-            if not ids or ids[-1] != query_id:
-                ids.append(query_id)
-                groups.append(group)
-            asking.setdefault(wanted.setdefault(term, len(wanted)), []).append(len(ids) - 1)
-        asking = {t: np.array(q) for t, q in asking.items()}
-        lengths = sorted({len(t) for t in wanted}) if prefix else None
-        rows = docs.select("doc_id", (F.col(by) if by else F.lit(None).cast("string")).alias("group"), T.index_text(F.col("text").cast("string")).alias("text"))
-        group_kind = rows.schema["group"].dataType.simpleString()
-        found = materialised(rows.mapInArrow(_found(wanted, lengths), f"doc_id {kind}, group {group_kind}, len int, terms array<int>, f array<int>"))
-        size = found.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-        idf = np.full(len(wanted), 1e-6)
-        for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each wanted term
-            idf[r.t] = max(np.log((size.n - r["count"] + 0.5) / (r["count"] + 0.5)), 0.0) or 1e-6
-        scored = found.mapInArrow(_best(ids, groups if by else [], asking, idf, size.mean or 1.0, k), f"query_id {key}, doc_id {kind}, score double")
-        out = scored if out is None else out.union(scored)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], f"query_id {key}, doc_id {kind}, score double")
-    return ranked(out, "score", "doc_id", k)
-
-
-def _blocks(rows):
-    """Lists of rows, ordered by their first column, of BLOCK_QUERIES different ones each."""
-    block, seen, last = [], 0, None
-    for row in rows:
-        if not block or row[0] != last:
-            if seen == BLOCK_QUERIES:
-                yield block
-                block, seen = [], 0
-            seen, last = seen + 1, row[0]
-        block.append(tuple(row))
-    if block:
-        yield block
-
-
 def ranked(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each query_id with their rank; the limit applies in each task before the exchange."""
     order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), tie)
@@ -301,11 +168,14 @@ def boilerplate(passages: DataFrame, least: int = 3, longest: int = 60, scope: s
     return lines.groupBy(scope, "line").agg(F.countDistinct("doc_id").alias("passages")).where(F.col("passages") >= least)
 
 
-def clean_passages(passages: DataFrame, scope: str = "query_id") -> DataFrame:
-    """``passages(scope, doc_id, text)`` with cleaned text and renewed token count; a blank result keeps the old text."""
+def clean_passages(passages: DataFrame, scope: str = "query_id", renew: bool = True) -> DataFrame:
+    """``passages(scope, doc_id, text)`` with cleaned text; a blank result keeps the old text.
+
+    With ``renew`` the token count is that of the text now, as for merged rows; raw rows keep theirs.
+    """
     listed = boilerplate(passages, scope=scope).groupBy(scope).agg(F.collect_set("line").alias("noise"))  # short lines of one scope
     out = passages.join(listed, scope, "left")
     lines = F.filter(T.clean_lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains("noise", x), F.lit(False)))
     clean = T.join_clean(lines)
     out = out.withColumn("text", F.when(F.btrim(clean) == "", F.col("text")).otherwise(clean)).drop("noise")
-    return out.withColumn("token_count", T.token_estimate(F.col("text")))
+    return out.withColumn("token_count", T.token_estimate(F.col("text"))) if renew else out

@@ -284,10 +284,14 @@ def markdown_export(spark, d):
     return rows.join(stats, "one").select(F.concat(F.lit("## Votes\n\n"), "s", F.lit("\n\n## Last\n\n"), F.array_join("r.l", "\n")).alias("report"))
 
 
-@query("self_reports", "select conv_id, turn, 0.5 + 0.4 - 0.1 severity from conversations where regexp_matches(lower(text), 'i know|i got it|easy|쉽다|쉬워|이해했다')")
+# What an event's user says of it, and how well their answers were cited.
+_SAYS = "case event_type when 'view' then 'I Know ' || props when 'click' then props || ' 쉽다' when 'purchase' then 'so EASY' else props end"
+
+
+@query("self_reports", f"select event_id, round(least(1.0, greatest(0.0, 0.5 + 0.4 - coalesce(value / 100, 0))), 6) severity from events where regexp_matches(lower({_SAYS}), 'i know|i got it|easy|쉽다|쉬워|이해했다') and coalesce(value / 100, 0) <= 0.4")
 def self_reports(spark, d):
-    s = T.self_report_severity(F.col("text"), F.lit(0.1))
-    return table(spark, d, "conversations").select("conv_id", "turn", s.alias("severity")).where("severity is not null")
+    s = T.self_report_severity(F.expr(_SAYS), F.col("value") / 100)
+    return table(spark, d, "events").select("event_id", F.round(s, 6).alias("severity")).where("severity is not null")
 
 
 @query("reading_progress", "with o as (select source, doc_id // 100 section_no, row_number() over (partition by source order by doc_id) - 1 ord from documents) select source, min(ord) filter (section_no = 1)::double / nullif(max(ord), 0) progress from o group by source")

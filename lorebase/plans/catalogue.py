@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity_queries, indexing_queries, learning_queries, library_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401
+from . import activity_queries, indexing_queries, learning_queries, library_queries, relational_queries, retrieval_queries, stored_queries, text_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,28 +8,57 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import activity as A
 from ..operators import chunking, triggers
+from ..operators import fulltext as X
 from ..operators import graph as G
 from ..operators import indexing as I
 from ..operators import library as L
+from ..operators import neighbours as N
 from ..operators import retrieval as R
 from ..session import materialised
+from ..sources.snapshots import Store
 from .activity_queries import _signals
 from .base import query, table
 from .plugins import hash_embedder
-from .retrieval_queries import _BM25, _ENT, TOK, questions, text_hits
+from .retrieval_queries import _BM25, _ENT, TOK, edges_of, questions, text_hits
+from .text_queries import _WINDOWS
 
 
 @query(
-    "postings_refresh",
-    f"""with d as (select doc_id, case when doc_id % 7 = 0 then text || ' Réécrit' else text end text from documents where doc_id % 11 <> 0),
-tk as (select doc_id, unnest({TOK}) term from d) select term, count(distinct doc_id) df, count(*) tf from tk group by term""",
+    "cache_read_through",
+    """with e as (select event_type || (user_id % 50) as key, event_id id, ts, coalesce(ts - lag(ts) over w <= interval 1 hour, false) hit, upper(props) made from events window w as (partition by event_type || (user_id % 50) order by ts, event_id)),
+g as (select *, count(*) filter (not hit) over (partition by key order by ts, id) run from e)
+select key, id, hit, first_value(made) over (partition by key, run order by ts, id) as value from g""",
 )
+def cache_read_through(spark, d):
+    """A cache whose values live an hour from their last use; what is missed is made of the row's own text."""
+    key = F.concat("event_type", (F.col("user_id") % 50).cast("string"))
+    log = table(spark, d, "events").select(key.alias("key"), F.col("event_id").alias("id"), "ts", F.col("props").alias("text"))
+    return I.read_through(log, F.upper, 3600).select("key", "id", "hit", "value")
+
+
+_CHANGED = "nd as (select doc_id, case when doc_id % 7 = 0 then text || ' Réécrit' else text end as text from documents where doc_id % 11 <> 0)"
+
+
+def refreshed_index(spark, d):
+    """The index of the documents after deletions and rewrites: only the blocks of touched documents are made anew."""
+    docs, store = table(spark, d, "documents").select("doc_id", "text"), Store.fresh(spark, "fulltext")
+    X.build(store, docs)
+    now = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Réécrit"))).otherwise(F.col("text")))
+    X.refresh(store, now, docs.where("doc_id % 11 = 0 or doc_id % 7 = 0").select("doc_id"))
+    return store
+
+
+@query("postings_refresh", f"with {_CHANGED}, tk as (select doc_id, unnest({TOK}) term from nd) select term, count(distinct doc_id) df, count(*) tf from tk group by term")
 def postings_refresh(spark, d):
-    """The index after deletions and rewrites, without a look at the texts that stayed."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    changed = docs.where("doc_id % 7 = 0 and doc_id % 11 <> 0").withColumn("text", F.concat("text", F.lit(" Réécrit")))
-    index = I.refreshed(I.postings(docs), docs.where("doc_id % 11 = 0"), changed)
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return X.statistics(refreshed_index(spark, d).snapshot())
+
+
+@query("refreshed_topk", f"with {_CHANGED}, {_BM25.replace('from documents', 'from nd')} select query_id, doc_id, score, rnk::int rnk from bm where rnk <= 20")
+def refreshed_topk(spark, d):
+    """A search of the refreshed index, compacted: what was deleted or rewritten counts in no statistic."""
+    store = refreshed_index(spark, d)
+    store.compact("postings")
+    return X.search(store.snapshot(), questions(spark, d), R.DEPTH).select("query_id", "doc_id", "score", "rnk")
 
 
 @query("link_upsert", "select fact_id, chunk_id, similarity from (select user_id fact_id, event_id % 50 chunk_id, value similarity, row_number() over (partition by user_id, event_id % 50 order by ts desc, event_id % 2 desc) k from events) where k = 1")
@@ -145,10 +174,8 @@ nn as (select * from (select *, row_number() over (partition by query_id order b
 select query_id, doc_id, round(score, 6) score from sd union all select query_id, doc_id, round(greatest(lo * 0.9, 1e-6) * strength / most, 6) from nn join (select query_id, min(score) lo from sd group by all) using (query_id) join (select query_id, max(strength) most from nn group by all) using (query_id)""",
 )
 def graph_append(spark, d):
-    docs = table(spark, d, "documents")
-    edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
     hits = materialised(text_hits(spark, d, 10).select("query_id", "doc_id", "score"))
-    return G.append(hits, materialised(G.expand(hits, edges))).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return G.append(hits, materialised(G.expand(hits, edges_of(spark, d)))).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -162,7 +189,7 @@ def mixed_vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     answers = e.select((F.col("id") - 1).alias("id"), F.col("vector").alias("answer"))
     q = e.where("id % 100 = 0").join(answers, "id").select(F.col("id").alias("query_id"), V.mean(F.col("vector"), F.col("answer")).alias("vector"))
-    return V.nearest(q, e, 5)
+    return N.nearest(q, e, 5)
 
 
 @query(
@@ -180,12 +207,16 @@ def turn_window(spark, d):
 
 @query(
     "history_window",
-    """with c as (select *, row_number() over (partition by conv_id order by turn desc) back, count(*) over (partition by conv_id) n from conversations)
+    """with m as (select distinct client_id conv_id, sale_id turn, coalesce(status, '-') || ' ' || coalesce(priority, 0) as text from sales where client_id is not null and sale_id is not null),
+o as (select conv_id, turn, min(text) as text from m group by all),
+c as (select *, row_number() over (partition by conv_id order by turn desc) back, count(*) over (partition by conv_id) n from o)
 select conv_id, count(*) filter (n <= 6 or back <= 12) raw, coalesce(md5(string_agg(text, ' ' order by turn) filter (n > 6 and back > 12)), '') older_md5 from c group by conv_id""",
 )
 def history_window(spark, d):
-    """Short histories raw; of longer ones the last messages raw and what lies before as one summary's input."""
-    out = A.split_history(table(spark, d, "conversations"))
+    """Short histories raw; of longer ones the last messages raw and what lies before as one summary's input. A client's sales are the messages."""
+    text = F.concat(F.coalesce("status", F.lit("-")), F.lit(" "), F.coalesce("priority", F.lit(0)).cast("string"))
+    m = table(spark, d, "sales").where("client_id is not null and sale_id is not null").groupBy(F.col("client_id").alias("conv_id"), F.col("sale_id").alias("turn")).agg(F.min(text).alias("text"))
+    out = A.split_history(m)
     return out.select("conv_id", "raw", F.when(F.col("older") == "", "").otherwise(F.md5("older")).alias("older_md5"))
 
 
@@ -259,23 +290,41 @@ def span_times(spark, d):
     return I.trace(table(spark, d, "events").select(F.col("user_id").alias("trace"), (F.col("event_id") % 3).alias("name"), kind.alias("kind"), F.col("event_id").alias("id"), "ts"))
 
 
-@query("trigger_detect", f"select conv_id, turn, 'none' as kind, text as matched, text as entry from conversations where regexp_matches(text, '{'|'.join(triggers.WORDS)}')")
+# One sentence an item, whose size chooses what it asks for; the other columns are what it is about.
+_SAID = """case size % 8 when 0 then '이제부터 ' || name || ' 써줘. 끝' when 1 then kind || ', 앞으로는 ' || brand || ' 먼저' when 2 then name || ' 스타일로 해줘'
+ when 3 then name || ' 하지 말아줘' when 4 then '그러지 마, ' || name when 5 then brand || ' ' || kind || ' 빼줘' when 6 then brand || '까지 끝내고 싶어' else name || ' ' || brand end"""
+# The whole patterns, in order of precedence.
+_PATTERNS = (
+    ("preference", r"(?:^|\n|\s)이제부터\s+(.+?)(?:[.,!?]|$|\n)"),
+    ("preference", r"(?:^|\n|\s)앞으로(?:는)?\s+(.+?)(?:[.,!?]|$|\n)"),
+    ("preference", r"(.+?)\s*스타일로\s+(?:가자|해줘|부탁)"),
+    ("correction", r"(.+?)\s*하지\s*말아?\s*줘"),
+    ("correction", r"(그러지\s*마)"),
+    ("correction", r"(.+?)\s*빼줘"),
+    ("goal", r"(.+?)(?:까지|을|를)\s*(?:끝내고\s*싶|목표야|마치고\s*싶)"),
+)
+
+
+@query(
+    "trigger_detect",
+    f"with t as (select item_id, {_SAID} as text from items) "
+    + " union all ".join(f"select item_id, '{kind}' as kind, trim(regexp_extract(text, '{p}')) as matched, trim(regexp_extract(text, '{p}', 1)) as entry from t where regexp_matches(text, '{p}')" for kind, p in _PATTERNS),
+)
 def trigger_detect(spark, d):
-    """Memory triggers in all conversations. The SQL tells only that texts without a cue's words have none, which goes for all of the given tables."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", triggers.triggers(F.col("text")).alias("t"))
-    return c.select("conv_id", "turn", F.inline("t"))
+    """Memory triggers in a sentence on each item; no sentence has two."""
+    t = table(spark, d, "items").select("item_id", triggers.triggers(F.expr(_SAID)).alias("t"))
+    return t.select("item_id", F.inline("t"))
 
 
 @query(
     "indexed_books",
-    f"""with t as (select doc_id, source, text from documents where length(text) <= 4000 and trim(text, E' \\t\\n\\r') <> ''),
-c as (select source book, row_number() over (partition by source order by doc_id) - 1 ord, text from t),
+    f"""with recursive {_WINDOWS}, c as (select source book, wi.text from wi join documents using (doc_id)),
 p as (select book, count(distinct term) terms from (select book, unnest({TOK}) term from c) group by book)
-select book, count(*) chunks, max(ord)::int last_ord, sum((length(text) * 30 + 99) // 100)::bigint tokens, any_value(terms) terms, count(*) vectors from c join p using (book) group by book""",
+select book, count(*) chunks, (count(*) - 1)::int last_ord, sum((length(text) * 30 + 99) // 100)::bigint tokens, any_value(terms) terms, count(*) vectors from c join p using (book) group by book""",
 )
 def indexed_books(spark, d):
-    """From sections to an index: chunks in order, their postings and vectors, counted for each book."""
-    docs = table(spark, d, "documents").where(F.length("text") <= 4000)
+    """From sections to an index: chunks of whole texts in order, their terms and vectors, counted for each book."""
+    docs = table(spark, d, "documents")
     parts = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("part"), F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("int").alias("page"), "text")
     chunks = materialised(chunking.sequence(parts))
     rows = chunks.select(F.struct("doc_id", "ord").alias("chunk_id"), F.col("doc_id").alias("book"), "text", F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("attempts"))
@@ -288,15 +337,15 @@ def indexed_books(spark, d):
 
 @query(
     "context_fallback",
-    f"""with {_BM25}, h as (select query_id, min(doc_id) filter (rnk = 1 and score >= 60) hit from bm group by query_id),
-c as (select item_id query_id, h.hit, s.text section, f.file from benchmark left join h on h.query_id = item_id left join (select doc_id, text from documents where length(text) < 1500) s on s.doc_id = item_id left join (select min(source) file from documents) f on item_id % 2 = 0)
+    f"""with {_BM25}, h as (select query_id, min(doc_id) filter (rnk = 1 and score >= 150) hit from bm group by query_id),
+c as (select item_id query_id, h.hit, s.text section, f.file from benchmark left join h on h.query_id = item_id left join (select doc_id, text from documents where text is not null) s on s.doc_id = item_id left join (select min(source) file from documents) f on item_id % 2 = 0)
 select query_id, case when hit is not null then 'hybrid' when section is not null then 'section' when file is not null then 'file' else 'none' end kind, coalesce(hit::varchar, md5(section), file) context from c""",
 )
 def context_fallback(spark, d):
     """Of each question the first of: a hit that scores, the section it was asked in, the open file."""
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    hits = R.bm25(docs, questions(spark, d), 1).where("score >= 60").select("query_id", F.col("doc_id").cast("string").alias("context"))
-    section = docs.where(F.length("text") < 1500).select(F.col("doc_id").alias("query_id"), F.md5("text").alias("context")).join(R.sized(asked), "query_id")
+    hits = text_hits(spark, d, 1).where("score >= 150").select("query_id", F.col("doc_id").cast("string").alias("context"))
+    section = docs.where("text is not null").select(F.col("doc_id").alias("query_id"), F.md5("text").alias("context")).join(R.sized(asked), "query_id")
     file = asked.where("query_id % 2 = 0").join(F.broadcast(docs.agg(F.min("source").alias("context"))), F.lit(True))
     return L.fallback(asked, [("hybrid", hits), ("section", section), ("file", file)])
 
@@ -312,7 +361,7 @@ def tier_two_topk(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     wide = e.select("id", F.concat("vector", "vector").alias("vector"))
     pool = e.union(wide.where("id % 2 = 0"))
-    return V.nearest(wide.where("id % 100 = 0").withColumnRenamed("id", "query_id"), pool, 10)
+    return N.nearest(wide.where("id % 100 = 0").withColumnRenamed("id", "query_id"), pool, 10)
 
 
 @query("json_objects", "select event_id, json_extract_string(props, '$.k')::int k from events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -42,6 +43,22 @@ def cloze_cards(spark, d):
     return L.cloze(table(spark, d, "documents"))
 
 
+@query(
+    "card_sources",
+    r"""with d as (select doc_id, text, lead(text) over (partition by source order by doc_id) nxt, regexp_extract_all(text, '[\p{L}\p{N}]{2,}') k from documents),
+p as (select doc_id, nxt, k, list_slice(list_filter(range(len(k)), lambda i: i % greatest(1, len(k) // 3) = 0), 1, 3) ix from d where nxt is not null),
+r as (select doc_id, nxt, unnest(range(len(ix))) n, unnest(list_transform(ix, lambda i: k[i + 1])) back from p),
+s as (select *, case when length(back) < 6 then contains(nxt, back) else len(list_filter(range(1, length(back) - 4), lambda i: contains(nxt, substr(back, i, 6)))) > 0 end kept from r)
+select doc_id, n::int n, back, case when kept then 0.6 else 0.0 end::double score, kept from s""",
+)
+def card_sources(spark, d):
+    """Cards of each chunk held against the book's next one: an answer that isn't there drops its card."""
+    docs = table(spark, d, "documents")
+    following = docs.select("doc_id", "source").withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))).where("next_id is not null")
+    sources = following.select("doc_id", "next_id").join(docs.select(F.col("doc_id").alias("next_id"), "text"), "next_id")
+    return L.sourced(L.cloze(docs).select("doc_id", "n", "back"), sources)
+
+
 _CH = "ch as (select source book, 's' || (doc_id // 100) section, doc_id, text from documents)"
 
 

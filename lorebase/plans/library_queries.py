@@ -155,10 +155,12 @@ def route_outputs(spark, d):
     return table(spark, d, "benchmark").select("item_id", rewrite.alias("rewrite"), kind.alias("class"))
 
 
-@query("provider_backfill", "select event_id, case event_id % 4 when 0 then 'anthropic' when 1 then 'openai' when 2 then 'gemini' end provider from events")
+_MODEL = "case event_type when 'view' then 'claude-' || user_id when 'click' then 'gpt-' || user_id when 'error' then 'o3-' || user_id when 'signup' then 'gemini-' || user_id else props end"
+
+
+@query("provider_backfill", f"select event_id, case when m like 'claude-%' then 'anthropic' when m like 'gpt-%' or m like 'o1-%' or m like 'o3-%' then 'openai' when m like 'gemini-%' then 'gemini' end provider from (select event_id, {_MODEL} m from events)")
 def provider_backfill(spark, d):
-    model = F.element_at(F.array(F.lit("claude-x"), F.lit("gpt-x"), F.lit("gemini-x"), F.lit("other")), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", T.provider_of(model).alias("provider"))
+    return table(spark, d, "events").select("event_id", T.provider_of(F.expr(_MODEL)).alias("provider"))
 
 
 @query("path_rewrite", "select page_id, replace(url, '/en/', '/english/') url from pages where url like '%/en/%'")

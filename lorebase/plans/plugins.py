@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import Embedder
 
-Embedder = Callable[[list[str]], list[np.ndarray]]
 
 
 def hash_embedder(dim: int) -> Embedder:
@@ -110,5 +110,5 @@ def titled(answer: Column, first_message: Column) -> Column:
     return F.coalesce(T.unquoted_line(answer, "title"), T.title_of(first_message))
 
 
-#: What each strength level runs besides retrieval and packing; read by the answering pipeline.
-STRENGTH = {"fast": (), "balanced": ("rewrite", "expand", "merge", "diverse", "window", "clean"), "accurate": ("rewrite", "hyde", "expand", "merge", "diverse", "window", "clean")}
+#: What each strength level runs besides retrieval and packing, in this order; read by the answering path.
+STRENGTH = {"fast": ("expand", "clean"), "balanced": ("rewrite", "expand", "window", "merge", "diverse", "clean"), "accurate": ("rewrite", "hyde", "expand", "window", "merge", "diverse", "clean")}

@@ -16,10 +16,11 @@ def rel_semi(spark, d):
     return c.join(big, c.c_custkey == big.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("rel_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("rel_anti", "select item_id from items where item_id is not null and item_id not in (select item_id from sale_lines where item_id is not null and flag <> 'kept')")
 def rel_anti(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    """Items of which no line was sent back or changed."""
+    i, lines = table(spark, d, "items").where("item_id is not null"), table(spark, d, "sale_lines").where("flag <> 'kept'")
+    return i.select("item_id").join(lines.select("item_id"), "item_id", "left_anti")
 
 
 @query("rel_full_outer", "select coalesce(a.k, b.k) k, a.n customers, b.n suppliers from (select c_nationkey k, count(*) n from customer where c_nationkey < 15 group by 1) a full join (select s_nationkey k, count(*) n from supplier where s_nationkey > 5 group by 1) b on a.k = b.k")

@@ -7,27 +7,54 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import fulltext as X
 from ..operators import graph as G
+from ..operators import library as L
+from ..operators import neighbours as N
 from ..operators import retrieval as R
 from ..session import materialised
+from ..sources.snapshots import Snapshot, Store
 from . import plugins as P
 from .base import query, table
 from .plugins import STRENGTH
 
 
+_INDEXES: dict[tuple[str, str], Store] = {}
+
+
+def index_of(spark, d: str) -> Snapshot:
+    """The full-text index of the documents, written to the shared folder by the session's first search of them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        store = Store.fresh(spark, "fulltext")
+        X.build(store, table(spark, d, "documents").select("doc_id", "text"))
+        _INDEXES[key] = store
+    return _INDEXES[key].snapshot()
+
+
+def edges_of(spark, d: str) -> DataFrame:
+    """(doc_id, entity, weight, rnk, book): the term graph of the documents, stored beside their index by the session's first use of it."""
+    index_of(spark, d)
+    store = _INDEXES[(spark.sparkContext.applicationId, d)]
+    if "edges" not in store.snapshot().tables:
+        docs = table(spark, d, "documents")
+        store.begin().append("edges", G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id")).commit()
+    return store.read("edges")
+
+
 def questions(spark, d: str) -> DataFrame:
-    """(query_id, term): the distinct tokens of each whole question."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.chunk_terms(F.col("text"))).alias("term"))
+    """(query_id, unit): the terms of each whole question, as often as it has them."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.chunk_units(F.col("text"))).alias("unit"))
 
 
 def text_hits(spark, d: str, k: int = R.DEPTH) -> DataFrame:
-    return R.bm25(table(spark, d, "documents"), questions(spark, d), k)
+    return X.search(index_of(spark, d), questions(spark, d), k)
 
 
 def vector_hits(spark, d: str, k: int = R.DEPTH) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = e.join(table(spark, d, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
-    return V.nearest(q, e, k).withColumnRenamed("id", "doc_id")
+    return N.nearest(q, e, k).withColumnRenamed("id", "doc_id")
 
 
 def chunks(spark, d: str) -> DataFrame:
@@ -40,13 +67,17 @@ def links(spark, d: str) -> DataFrame:
 
 
 TOK = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"
-_Q = f"q as (select item_id query_id, unnest(list_distinct({TOK})) term from benchmark)"
-_TOK = f"tk as (select doc_id, unnest({TOK}) term from documents), dl as (select doc_id, len({TOK}) len from documents), st as (select count(*) n, avg(len) mean from dl)"
-_SCORE = "case when ln((n - n_i + 0.5) / (n_i + 0.5)) > 0 then ln((n - n_i + 0.5) / (n_i + 0.5)) else 1e-6 end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))"
-_BM25 = f"""{_Q}, {_TOK},
-fr as (select term, doc_id, count(*) f from tk where term in (select term from q) group by all),
-df as (select term, count(*) n_i from fr group by all),
-sc as (select query_id, doc_id, round(sum({_SCORE}), 6) score from fr join df using (term) join q using (term) join dl using (doc_id), st group by all),
+_UNITS = """u0 as (select item_id query_id, unnest(string_split_regex(translate(text, '"*^():\\', '       '), '\\s+')) w from benchmark),
+u1 as (select query_id, regexp_extract_all(strip_accents(lower(w)), '[\\p{L}\\p{N}]+') toks from u0),
+q as (select query_id, toks unit, count(*) times from u1 where len(toks) > 0 group by all)"""
+_DOCS = f"dt as (select doc_id, {TOK} ts from documents), tk as (select doc_id, unnest(ts) term, generate_subscripts(ts, 1) pos from dt), dl as (select doc_id, len(ts) len from dt), st as (select count(*) n, avg(len) mean from dl)"
+_SCORE = "times * case when ln((n - n_i + 0.5) / (n_i + 0.5)) > 0 then ln((n - n_i + 0.5) / (n_i + 0.5)) else 1e-6 end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))"
+_SCORED = f"""df as (select unit, count(*) n_i from fr group by all),
+sc as (select query_id, doc_id, round(sum({_SCORE}), 6) score from fr join df using (unit) join q using (unit) join dl using (doc_id), st group by all)"""
+_PHRASES = """un as (select distinct unit from q),
+fr as (select unit, doc_id, count(*) f from un join tk on term = unit[1] where len(unit) = 1 group by all
+ union all select unit, doc_id, count(*) from un join tk on term = unit[1] join dt using (doc_id) where len(unit) > 1 and ts[pos:pos + len(unit) - 1] = unit group by all)"""
+_BM25 = f"""{_UNITS}, {_DOCS}, {_PHRASES}, {_SCORED},
 bm as (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from sc)"""
 _KNN = """qv as (select vec_id query_id, embedding::double[] qe from embeddings where vec_id in (select item_id from benchmark)),
 cs as (select query_id, vec_id doc_id, round(list_dot_product(qe, embedding::double[]) / (sqrt(list_dot_product(qe, qe)) * sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) + 0.0 score from qv, embeddings),
@@ -55,7 +86,8 @@ kn as (select *, row_number() over (partition by query_id order by score desc, d
 
 @query("postings_stats", f"with tk as (select doc_id, unnest({TOK}) term from documents), p as (select term, doc_id, count(*) tf from tk group by all) select term, count(*) df, sum(tf)::bigint tf from p group by term")
 def postings_stats(spark, d):
-    return R.term_statistics(table(spark, d, "documents"))
+    """Off the stored index; the session's first full-text query also builds it."""
+    return X.statistics(index_of(spark, d))
 
 
 @query("bm25_topk", f"with {_BM25} select query_id, doc_id, score, rnk::int rnk from bm where rnk <= 20")
@@ -63,21 +95,20 @@ def bm25_topk(spark, d):
     return text_hits(spark, d).select("query_id", "doc_id", "score", "rnk")
 
 
-_PREFIX = f"""{_Q}, {_TOK},
+_STARTS = f"""q as (select query_id, unit, count(*) times from (select item_id query_id, unnest({TOK}) unit from benchmark) group by all), {_DOCS},
 tc as (select term tok, doc_id, count(*) c from tk group by all),
-vo as (select distinct q.term, tok from (select distinct term from q) q join (select distinct tok from tc) t on starts_with(tok, q.term)),
-fr as (select vo.term, doc_id, sum(c) f from vo join tc using (tok) group by all),
-df as (select term, count(*) n_i from fr group by all),
-sc as (select query_id, doc_id, round(sum({_SCORE}), 6) score from fr join df using (term) join q using (term) join dl using (doc_id), st group by all)"""
+vo as (select distinct q.unit, tok from (select distinct unit from q) q join (select distinct tok from tc) t on starts_with(tok, q.unit)),
+fr as (select vo.unit, doc_id, sum(c) f from vo join tc using (tok) group by all)"""
+_PREFIX = f"{_STARTS}, {_SCORED}"
 
 
 def prefixes(spark, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.prefix_terms(F.col("text"))).alias("term"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.prefix_terms(F.col("text"))).alias("unit"))
 
 
 @query("bm25_prefix_topk", f"with {_PREFIX} select query_id, doc_id, score, rnk::int rnk from (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from sc) where rnk <= 5")
 def bm25_prefix_topk(spark, d):
-    return R.bm25(table(spark, d, "documents"), prefixes(spark, d), 5, prefix=True).select("query_id", "doc_id", "score", "rnk")
+    return X.search(index_of(spark, d), prefixes(spark, d), 5, prefix=True).select("query_id", "doc_id", "score", "rnk")
 
 
 @query(
@@ -90,8 +121,8 @@ def section_search(spark, d):
     """Full text over sections, their books and the asking study: the sections of its books only, with their text."""
     docs = table(spark, d, "documents")
     books = docs.select("source").distinct().select("source", F.right("source", F.lit(1)).alias("study"))
-    sections = docs.join(R.sized(books), "source").select("doc_id", "source", "study", "text")
-    hits = R.bm25(sections, prefixes(spark, d).withColumn("study", (F.col("query_id") % 10).cast("string")), 20, prefix=True, by="study")
+    scope = docs.join(R.sized(books), "source").select("doc_id", F.col("study").alias("group"))
+    hits = X.search(index_of(spark, d), prefixes(spark, d).withColumn("group", (F.col("query_id") % 10).cast("string")), 20, prefix=True, scope=scope)
     few = docs.join(R.sized(hits.select("doc_id").distinct()), "doc_id", "left_semi")
     return hits.join(few, "doc_id").select("query_id", "doc_id", F.col("source").alias("book"), F.md5("text").alias("text_md5"), "score", "rnk")
 
@@ -104,7 +135,7 @@ select query_id, id, score, rnk::int rnk from (select *, row_number() over (part
 )
 def knn_cosine_topk(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return V.nearest(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), e, 10)
+    return N.nearest(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), e, 10)
 
 
 _L2 = """with q as (select vec_id query_id, embedding::double[] qe from embeddings where vec_id % 100 = 0),
@@ -116,7 +147,7 @@ select query_id, id, dist, rnk::int rnk from (select *, row_number() over (parti
 
 def _by_book(spark, d, depth: int) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = V.nearest(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), e, depth, "l2").drop("rnk")
+    near = N.nearest(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), e, depth, "l2").drop("rnk")
     docs = table(spark, d, "documents")
     own = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("book"))
     mine = near.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").join(own, "query_id").where("source = book")
@@ -140,7 +171,7 @@ def knn_l2_prefilter(spark, d):
     """Only vectors of the question's book compete: scored block by block, other books masked."""
     e = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")
     e = e.select(F.col("vec_id").alias("id"), "source", F.col("embedding").alias("vector"))
-    near = V.nearest(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, 10, "l2", by="source")
+    near = N.nearest(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, 10, "l2", by="source")
     return near.select("query_id", "id", F.col("score").alias("dist"), "rnk")
 
 
@@ -278,9 +309,20 @@ def passage_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_passage(F.col("text"))).alias("clean_md5"))
 
 
-@query("boilerplate_lines", rf"with {_LINES} select source, l line, count(distinct doc_id) passages from ln join documents using (doc_id) where l <> '' and length(l) <= 60 and not regexp_matches(l, '([.!?。！？]|다)$') group by all having count(distinct doc_id) >= 3")
+_MENU = "array_to_string(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), chr(10))"
+
+
+@query(
+    "boilerplate_lines",
+    rf"""with p as (select page_id doc_id, regexp_extract(html, 'lang="([a-z]+)"', 1) lang, {_MENU} as text from pages),
+ln as (select doc_id, lang, trim(regexp_replace(regexp_replace(l, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g')) line from (select doc_id, lang, unnest(string_split(text, E'\n')) l from p))
+select lang, line, count(distinct doc_id) passages from ln where line <> '' and length(line) <= 60 and not regexp_matches(line, '([.!?。！？]|다)$') group by all having count(distinct doc_id) >= 3""",
+)
 def boilerplate_lines(spark, d):
-    return R.boilerplate(table(spark, d, "documents").select("source", "doc_id", "text"), scope="source")
+    """The menu entries that pages of a language share."""
+    entries = F.array_join(F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1)), "\n")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), entries.alias("text"))
+    return R.boilerplate(pages, scope="lang")
 
 
 _STOPS = ",".join(f"'{w}'" for w in (*G.PARTICLES, *G.STOPS))
@@ -303,43 +345,102 @@ nb as (select query_id, ed.doc_id, sum(weight) strength from tp join ed using (b
 select query_id, doc_id, strength::bigint strength, rnk::int rnk from (select *, row_number() over (partition by query_id order by strength desc, doc_id) rnk from nb) where rnk <= 2""",
 )
 def entity_expand(spark, d):
-    docs = table(spark, d, "documents")
-    edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
-    return G.expand(materialised(text_hits(spark, d, 10).select("query_id", "doc_id")), edges)
+    return G.expand(materialised(text_hits(spark, d, 10).select("query_id", "doc_id")), edges_of(spark, d))
+
+
+def study_books(spark, d: str) -> DataFrame:
+    """(study, book): the book that a study's questions go to; a source is a book, main if it has English texts, added with its first one."""
+    rows = table(spark, d, "documents").groupBy(F.col("source").alias("book")).agg(F.min("doc_id").alias("added_at"), F.when(F.max(F.col("lang") == "en"), "main").otherwise("sub").alias("role"))
+    return L.main_book(rows.withColumn("study", F.right("book", F.lit(1)))).select("study", "book")
+
+
+def within_book(hits: DataFrame, books: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Of ``hits(query_id, doc_id, score)``, best first by ``score``, the k best of the question's book."""
+    own = hits.join(books, "doc_id").join(R.sized(asked.select("query_id", "book")), ["query_id", "book"])
+    return R.ranked(own, "score", "doc_id", k)
 
 
-def answers(spark, d: str, strength: str = "balanced", generator=None) -> DataFrame:
-    """(query_id, sources_block, kept, used_tokens): fuse, then what ``strength`` says, then pack and cite.
+def answers(spark, d: str, strength: str = "balanced", generator=None, embedder=None) -> DataFrame:
+    """(query_id, sources_block, kept, used_tokens): retrieval in the study's book, then what ``strength`` says, then packing and citing.
 
-    Steps: rewrite the questions (without a model they stay), search by a hypothetical answer too, expand
-    by shared terms, merge siblings, diversify, widen to neighbours, clean.
+    In order: rewrite the question; search its book by text (the rewritten question) and by vector (the
+    hypothetical answer, if there is one); fuse the ten best; add two neighbours of the term graph; widen to the
+    neighbours in the section, replace siblings by their parent (whose own text counts), keep the six most
+    diverse; clean; pack 4,000 tokens, each source with 24 more if siblings were merged at this strength, else
+    20. With ``embedder`` vectors are made of these texts, for diversity the mean of question and
+    hypothetical answer; without one a question has the stored vector of its id.
     """
     steps = STRENGTH[strength]
-    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs, books = table(spark, d, "documents"), table(spark, d, "documents").select("doc_id", F.col("source").alias("book"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 10).cast("string").alias("study"))
+    asked = materialised(asked.join(R.sized(study_books(spark, d)), "study"))
     if "rewrite" in steps:
         asked = asked.withColumn("text", P.rewritten(F.col("text"), P.generated(F.col("text"), generator)))
-    if "hyde" in steps:
-        asked = asked.withColumn("text", F.concat_ws(" ", "text", F.nullif(P.hypothetical(F.col("text"), P.generated(F.col("text"), generator)), F.col("text"))))
-    terms = asked.select("query_id", F.explode(T.chunk_terms(F.col("text"))).alias("term"))
-    hits = materialised(R.fuse(vector_hits(spark, d), R.bm25(docs, terms)).select("query_id", "doc_id", F.col("rrf_score").alias("score"), "rnk"))
+    guess = P.hypothetical(F.col("text"), P.generated(F.col("text"), generator)) if "hyde" in steps else F.col("text")
+    asked = materialised(asked.withColumn("guess", guess))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    if embedder:
+        asked = asked.withColumn("vector", P.embedded(F.col("guess"), embedder))
+        asked = materialised(asked.withColumn("query_vector", V.mean(P.embedded(F.col("text"), embedder), F.col("vector")) if "hyde" in steps else F.col("vector")))
+    else:
+        asked = materialised(asked.join(e.withColumnRenamed("doc_id", "query_id"), "query_id", "left").withColumn("query_vector", F.col("vector")))
+    near = N.nearest(asked.select("query_id", "vector"), e.withColumnRenamed("doc_id", "id"), 4 * R.DEPTH).withColumnRenamed("id", "doc_id").drop("rnk")
+    units = asked.select("query_id", F.col("book").alias("group"), F.explode(T.chunk_units(F.col("text"))).alias("unit"))
+    found = X.search(index_of(spark, d), units, R.DEPTH, scope=books.withColumnRenamed("book", "group"))
+    hits = materialised(R.fuse(within_book(near, books, asked, R.DEPTH), found).select("query_id", "doc_id", F.col("rrf_score").alias("score"), "rnk"))
     if "expand" in steps:
-        edges = materialised(G.entities(docs).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id"))
-        hits = R.ranked(G.append(hits, G.expand(hits, edges)), "score", "doc_id", 12)
-    if "merge" in steps:
-        hits = R.merge_parents(hits, links(spark, d)).withColumnRenamed("pos", "rnk")
+        own = edges_of(spark, d).join(R.sized(asked.select("book").distinct()), "book", "left_semi")
+        hits = materialised(R.ranked(G.append(hits, G.expand(hits, own)), "score", "doc_id", R.TOP + G.NEIGHBOURS))
+    merged = "merge" in steps
+    rows = R.merge_parents(hits, links(spark, d)).withColumnRenamed("pos", "rnk") if merged else hits.withColumn("source_chunks", F.array("doc_id"))
+    rows = materialised(rows)
     if "diverse" in steps:
-        e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-        q = e.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
-        hits = R.diverse(hits.select("query_id", "doc_id", F.col("score").alias("relevance")).join(e, "doc_id", "left").join(q, "query_id", "left")).withColumnRenamed("pick", "rnk")
-    few = materialised(hits.select("query_id", "doc_id", "rnk"))
-    rows = R.sentence_window(few, links(spark, d), docs).withColumnRenamed("window_text", "text") if "window" in steps else R.with_texts(few, docs)
-    rows = rows.join(docs.select("doc_id", "source").join(R.sized(few.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id")
-    rows = R.clean_passages(rows) if "clean" in steps else rows.withColumn("token_count", T.token_estimate(F.col("text")))
-    kept, none = R.pack(rows, 4000, 24), F.lit(None)
-    kept = kept.withColumn("block", R.source_block(F.col("marker"), F.col("source"), none.cast("int"), none.cast("string"), F.lit(1), F.col("text")))
+        pool = rows.select("query_id", "doc_id", F.col("score").alias("relevance")).join(e, "doc_id", "left").join(asked.select("query_id", "query_vector"), "query_id", "left")
+        rows = materialised(rows.drop("rnk").join(R.diverse(pool).withColumnRenamed("pick", "rnk"), ["query_id", "doc_id"]))
+    few = rows.select("query_id", "doc_id", "rnk", F.size("source_chunks").alias("n_sources"))
+    if "window" in steps:  # a parent's text is its own
+        wide = R.sentence_window(few.where("n_sources < 2"), links(spark, d), docs).withColumnRenamed("window_text", "text")
+        few = wide.unionByName(R.with_texts(few.where("n_sources >= 2"), docs))
+    else:
+        few = R.with_texts(few, docs)
+    places = chunks(spark, d).select("doc_id", "source", F.col("section_no").cast("string").alias("section"), "token_count")
+    few = materialised(few.join(places.join(R.sized(rows.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id"))
+    kept = R.pack(R.clean_passages(few, renew=merged), 4000, 24 if merged else 20)
+    kept = kept.withColumn("block", R.source_block(F.col("marker"), F.col("source"), F.lit(None).cast("int"), F.col("section"), F.col("n_sources"), F.col("text")))
     return R.context(kept).select("query_id", "sources_block", "kept", "used_tokens")
 
 
+_BOOK = f"""{_UNITS}, {_DOCS}, {_PHRASES}, {_SCORED},
+bk as (select source book, min(doc_id) added_at, case when bool_or(lang = 'en') then 0 else 1 end sub, right(source, 1) study from documents group by source),
+mb as (select study, book from (select *, row_number() over (partition by study order by sub, added_at, book) k from bk) where k = 1),
+aq as (select item_id query_id, book from benchmark join mb on study = (item_id % 10)::varchar),
+bm as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) rnk from sc join documents using (doc_id) join aq using (query_id) where source = book),
+{_KNN.replace("kn as (", "k0 as (")},
+kn as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) rnk from k0 join documents using (doc_id) join aq using (query_id) where source = book and rnk <= 80),
+rr as (select query_id, doc_id, round(sum(1.0 / (60 + rnk)), 9) score from (select query_id, doc_id, rnk from kn where rnk <= 20 union all select query_id, doc_id, rnk from bm where rnk <= 20) group by all),
+sd as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from rr) where rnk <= 10),
+{_ENT}, ed as (select source book, et.* from et join documents using (doc_id)),
+ow as (select query_id, book, entity, sum(weight) w from sd join ed using (doc_id) group by all),
+tp as (select * from (select *, row_number() over (partition by query_id order by w desc, entity, book) k from ow) where k <= 12),
+nb as (select query_id, ed.doc_id, sum(weight) strength from tp join ed using (book, entity) where (query_id, ed.doc_id) not in (select query_id, doc_id from sd) group by all),
+nn as (select * from (select *, row_number() over (partition by query_id order by strength desc, doc_id) rnk from nb) where rnk <= 2),
+ah as (select query_id, doc_id, score from sd union all select query_id, doc_id, round(greatest(lo * 0.9, 1e-6) * strength / most, 9) from nn join (select query_id, min(score) lo from sd group by all) using (query_id) join (select query_id, max(strength) most from nn group by all) using (query_id)),
+al as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from ah) where rnk <= 12)"""
+_CLEANED = rf"""{_LINES}, no as (select query_id, l from ln join al using (doc_id) where l <> '' and length(l) <= 60 and not regexp_matches(l, '([.!?。！？]|다)$') group by all having count(distinct doc_id) >= 3),
+jn as (select query_id, doc_id, regexp_replace(string_agg(l, E'
+' order by i), '
+{{3,}}', E'
+
+', 'g') t from al join kl using (doc_id) left join no using (query_id, l) where no.query_id is null group by all),
+hy as (select query_id, doc_id, regexp_replace(regexp_replace(t, '([a-z])- *
+ *([a-z])', '', 'g'), '([a-z])- *
+ *([a-z])', '', 'g') t from jn),
+ct as (select query_id, doc_id, rnk, source, text, coalesce(regexp_replace(t, '^[ 
+]+|[ 
+]+$', '', 'g'), '') t from al join documents using (doc_id) left join hy using (query_id, doc_id)),
+fi as (select query_id, doc_id, rnk, source, case when trim(t) = '' then text else t end t, (length(text) * 30 + 99) // 100 raw from ct)"""
+
+
 @query("answer_contexts")
 def answer_contexts(spark, d):
     """The whole path at balanced strength."""
@@ -348,10 +449,10 @@ def answer_contexts(spark, d):
 
 @query(
     "answer_fast",
-    f"""{_HYBRID}, pk as (select query_id, doc_id, text, source, rk.rnk, sum((length(text) * 30 + 99) // 100 + 24) over (partition by query_id order by rk.rnk, doc_id) used from rk join documents using (doc_id) where rk.rnk <= 10),
+    f"""with {_BOOK}, {_CLEANED}, pk as (select *, sum(raw + 20) over (partition by query_id order by rnk, doc_id) used from fi),
 kp as (select *, row_number() over (partition by query_id order by rnk desc, doc_id desc) marker from pk where used <= 4000)
-select query_id, string_agg('[S' || marker || '] (책: ' || source || E')\\n' || text, E'\\n\\n' order by marker) sources_block, count(*) kept, max(used)::bigint used_tokens from kp group by query_id""",
+select query_id, string_agg('[S' || marker || '] (책: ' || source || ', §' || (doc_id // 100) || E')\n' || t, E'\n\n' order by marker) sources_block, count(*) kept, max(used)::bigint used_tokens from kp group by query_id""",
 )
 def answer_fast(spark, d):
-    """At the fast strength: fused hits as they are, packed and cited."""
+    """At the fast strength: the ten best of the book and two neighbours, cleaned, packed raw."""
     return answers(spark, d, "fast")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
+from ..operators import library as L
 from ..sources import documents as D
 from .base import query, table
 
@@ -18,18 +19,21 @@ def query_keys(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.query_key(F.col("text")).alias("key"))
 
 
+_LABEL = "case when p_size <= 10 then split_part(p_brand, '#', 1) else p_brand end"  # a family beside its members: numbers that come by nature
+
+
 @query(
     "slug_paths",
-    rf"""with s as (select doc_id, source, regexp_replace(regexp_replace(trim(left(string_split(text, E'\n')[1], 8)), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-+$', '') s from documents),
-b as (select doc_id, source, '§' || case when s = '' then 'untitled' else s end base from s),
-r as (select *, row_number() over (partition by source, base order by doc_id) k from b)
-select doc_id, case when k = 1 then base else base || '-' || k end path from r""",
+    f"""with recursive b as (select p_partkey, p_type book, '§' || replace({_LABEL}, '#', '-') base, row_number() over (partition by p_type order by p_partkey) n from part),
+r as (select distinct p_type book, 0::bigint n, null::bigint p_partkey, null::varchar path, []::varchar[] used from part
+union all select book, n, p_partkey, path, list_append(used, path) from (select b.book, b.n, b.p_partkey, used,
+  case when not list_contains(used, base) then base else base || '-' || list_filter(range(2, b.n + 2), lambda k: not list_contains(used, base || '-' || k))[1] end path from r join b on b.book = r.book and b.n = r.n + 1))
+select p_partkey, path from r where n > 0""",
 )
 def slug_paths(spark, d):
-    """The first of equal paths in a book keeps its name, the others get a number."""
-    base = table(spark, d, "documents").select("doc_id", "source", T.slug(T.first_line(F.col("text"), 8)).alias("base"))
-    k = F.row_number().over(Window.partitionBy("source", "base").orderBy("doc_id"))
-    return base.withColumn("k", k).select("doc_id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("k").cast("string"))).alias("path"))
+    """Sections of a book in order: a path that is used already gets the first free number, whoever holds the others."""
+    rows = table(spark, d, "part").select("p_partkey", "p_type", T.slug(F.expr(_LABEL)).alias("base"))
+    return L.probed(rows, "p_type", "base", "p_partkey").select("p_partkey", "path")
 
 
 @query(
@@ -84,13 +88,13 @@ _TRIMMED = """case when cut >= n or regexp_matches(substr(text, start + 1, cut -
  when length(regexp_extract(substr(text, start + 1, cut - start), '(?s)^(.*[.!?。！？])\\s', 1)) >= 100 then start + length(regexp_extract(substr(text, start + 1, cut - start), '(?s)^(.*[.!?。！？])\\s', 1)) else cut end"""
 
 
-@query(
-    "chunk_windows",
-    f"""with recursive t as (select doc_id, text, length(text) n from documents where length(text) > 0),
+_WINDOWS = f"""t as (select doc_id, text, length(text) n from documents where length(text) > 0),
 w as (select doc_id, text, n, 0 k, 0::bigint start, {_TRIMMED.replace("cut", f"({_ENDS.replace('start', '0')})").replace("start", "0")} stop from t
-union all select doc_id, text, n, k + 1, start, {_TRIMMED} stop from (select *, {_ENDS} cut from (select doc_id, text, n, k, greatest(start + 1, stop - 480) start from w where stop < n)))
-select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int ord, start span_start, substr(text, start + 1, stop - start) as text, (length(substr(text, start + 1, stop - start)) * 30 + 99) // 100 token_count from w where regexp_matches(substr(text, start + 1, stop - start), '\\S')""",
-)
+union all select doc_id, text, n, k + 1, start, {_TRIMMED} stop from (select *, {_ENDS} cut from (select doc_id, text, n, k, greatest(start + 1, stop - 480) start from w where stop < n))),
+wi as (select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int ord, start span_start, substr(text, start + 1, stop - start) as text from w where regexp_matches(substr(text, start + 1, stop - start), '\\S'))"""
+
+
+@query("chunk_windows", f"with recursive {_WINDOWS} select doc_id, ord, span_start, text, (length(text) * 30 + 99) // 100 token_count from wi")
 def chunk_windows(spark, d):
     return chunking.windows(table(spark, d, "documents").select("doc_id", "text"))
 

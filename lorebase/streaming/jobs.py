@@ -8,7 +8,7 @@ by a timer once it can't matter any more. Each job takes a streaming DataFrame a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -170,6 +170,32 @@ def alerts(signals: DataFrame, minutes: int = 5, quiet_minutes: int = 30) -> Dat
     return rows.groupBy("study").transformWithStateInPandas(_Alerts(60 * minutes, 60 * quiet_minutes), "study long, id long, ts timestamp, combo string", "Append", "EventTime")
 
 
+class _ReadThrough(_Ordered):
+    """A key's cached value, with the time it was last used; it lives ``seconds`` from then on."""
+
+    columns = ["key", "id", "ts", "hit", "value"]
+
+    def __init__(self, make: Callable[[], Callable[[str], str]], seconds: int):
+        self.make, self.span, self.model = make, seconds, None
+
+    def fold(self, key, rows, memory):
+        out, (last, value) = [], max(memory, default=(None, None))
+        for t, i, text in rows:
+            hit = last is not None and t - last <= self.span * 1_000_000
+            if not hit:
+                self.model = self.model or self.make()
+                value = self.model(text)
+            last = t
+            out.append((key[0], i, pd.Timestamp(t, unit="us"), hit, value))
+        return out, [(last, value)] if last is not None else []
+
+
+def read_through(lookups: DataFrame, make: Callable[[], Callable[[str], str]], seconds: int) -> DataFrame:
+    """(key, id, ts, hit, value) of ``lookups(key, id, ts, text)``: a value used in the last ``seconds`` is a hit and is refreshed; a miss asks the model and puts its answer."""
+    rows = lookups.withColumn("tag", F.col("text")).withWatermark("ts", WATERMARK)
+    return rows.groupBy("key").transformWithStateInPandas(_ReadThrough(make, seconds), "key string, id long, ts timestamp, hit boolean, value string", "Append", "EventTime")
+
+
 def commit_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
     """Idempotent sink: each micro-batch is one folder named by its id, so a replay overwrites itself."""
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,14 +11,6 @@ from lorebase.sources import documents as D
 from lorebase.sources import stores as S
 
 
-def test_postings_follow_rewrites(spark):
-    docs = spark.createDataFrame([(1, "tea tea milk"), (2, "tea"), (3, "honey")], "doc_id long, text string")
-    changed = spark.createDataFrame([(2, "Honéy"), (4, "tea")], "doc_id long, text string")
-    got = I.refreshed(I.postings(docs), spark.createDataFrame([(3,)], "doc_id long"), changed)
-    want = I.postings(spark.createDataFrame([(1, "tea tea milk"), (2, "honey"), (4, "tea")], "doc_id long, text string"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_puts(spark):
     cache = spark.createDataFrame([("a", [1.0], 1, 1), ("b", [2.0], 1, 1)], "key string, embedding array<float>, created long, last_hit long")
     new = spark.createDataFrame([("b", [3.0]), ("c", [4.0])], "key string, embedding array<float>")
@@ -98,12 +92,28 @@ def test_generation_falls_back(spark):
 
 
 def test_strengths(spark):
-    fast, balanced = (Q.answers(spark, "/root/testdata/sf0.001", s).collect() for s in ("fast", "balanced"))
-    assert {r.query_id for r in fast} == {r.query_id for r in balanced} or len(fast) >= len(balanced) > 0
-    assert all(r.used_tokens <= 4000 for r in [*fast, *balanced])
+    sf = "/root/testdata/sf0.001"
+    fast, balanced = ({r.query_id: r for r in Q.answers(spark, sf, s).collect()} for s in ("fast", "balanced"))
+    assert fast.keys() == balanced.keys() and fast
+    assert all(r.used_tokens <= 4000 for r in [*fast.values(), *balanced.values()])
+    blocks = [b for r in fast.values() for b in r.sources_block.split("\n\n[S")]
+    assert all(", §" in b.split("\n")[0] for b in blocks)  # each source names its book and section
+    books = [set(re.findall(r"\(책: (\w+), §", r.sources_block)) for r in fast.values()]
+    assert all(len(b) == 1 for b in books)  # one book a question
+    assert any(a.sources_block != balanced[q].sources_block for q, a in fast.items())
+    assert max(r.kept for r in balanced.values()) <= 6 and max(r.kept for r in fast.values()) <= 12
     assert "hyde" in P.STRENGTH["accurate"] and "hyde" not in P.STRENGTH["balanced"]
 
 
+def test_hypothetical_answers_reach_the_vectors(spark):
+    """A model's hypothetical answer changes what is searched by vector and how diversity is judged; the text search keeps the question."""
+    sf = "/root/testdata/sf0.001"
+    width = len(spark.read.parquet(f"{sf}/embeddings.parquet").first().embedding)
+    run = lambda make: {r.query_id: r.sources_block for r in Q.answers(spark, sf, "accurate", make, lambda: P.hash_embedder(width)).collect()}
+    plain, guessed = run(None), run(lambda: lambda t: "answer: the and of to " * 9)
+    assert plain.keys() == guessed.keys() and any(plain[q] != guessed[q] for q in plain)
+
+
 def test_small_text_functions(spark):
     one = spark.range(1)
     first = lambda c: one.select(c).first()[0]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase.operators import activity as A
+from lorebase.operators import indexing as I
 from lorebase.streaming import jobs as J
 
 BASE = dt.datetime(2024, 1, 1)
@@ -114,3 +115,16 @@ def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
     assert want == [0, 1, 2, 3, 4, 5, 6, 100]
     J.commit_batches(stream, out, str(tmp_path / "other"), "id").awaitTermination(120)  # as after a loss of the checkpoint
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == want
+
+
+def test_read_through_cache(spark, events, tmp_path):
+    """The cache as keyed state gives what the batch form gives: hits refresh, what isn't used for the time to live is made anew."""
+    df, stream = events
+    log = lambda x: x.select(F.concat("key", F.col("study").cast("string")).alias("key"), "id", "ts", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    rows = run(J.read_through(log(stream), lambda: lambda t: f"<{t}>", 1200), "cached", tmp_path)
+    got = sorted((r.key, r.id, r.hit, r.value) for r in rows.collect() if r.id != END[0])
+    want = I.read_through(log(df), lambda t: F.concat(F.lit("<"), t, F.lit(">")), 1200)
+    assert got == sorted((r.key, r.id, r.hit, r.value) for r in want.collect())
+    hits = [x[2] for x in got]
+    assert any(hits) and hits.count(False) > 9  # more misses than keys: some have expired
+    assert run.kept <= 2  # nothing but the closing row's state is left
