@@ -100,7 +100,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen, tasks = mark, max(1, -(-mark[0] // TASK_EDGES))
-        stars = checkpointed(e.repartition(tasks, "a", "b").mapInArrow(_settled, "node long, root long"))
+        stars = checkpointed(e.repartition(tasks).mapInArrow(_settled, "node long, root long"))
         if tasks == 1 and stars.rdd.getNumPartitions() == 1:
             return stars
         both = stars.select(F.col("node").alias("u"), F.col("root").alias("v")).union(stars.select("root", "node"))
