@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import Embedder
+from ..session import materialised
+from ..sources.snapshots import Snapshot, Store
 
 #: Chunks that are embedded, and lost at most, at once; attempts after which a chunk has failed.
 BATCH, ATTEMPTS = 32, 3
@@ -100,10 +102,49 @@ def progress(outcome: DataFrame) -> DataFrame:
     return outcome.groupBy("book").agg(F.count("*").alias("chunks"), count(F.col("status") == "done", "done"), count(F.col("status") == "failed", "failed"), count(F.col("status").isNull(), "pending"), count(F.col("cached"), "cached"))
 
 
-def commit(outcome: DataFrame, root: str, batch_id: int) -> None:
-    """One folder a batch holds vectors, status and progress; a replay overwrites it, and an empty outcome writes nothing."""
-    if not outcome.isEmpty():
-        outcome.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+def commit(outcome: DataFrame, store: Store, batch_id: int) -> int:
+    """Vectors, the chunks' status and their books' progress of one batch, published together in the tables vectors, chunks and jobs.
+
+    Progress counts all chunks of a book that have been looked at so far. A batch that was published before
+    changes nothing, and an empty one neither. Returns the version.
+    """
+    outcome, change = materialised(outcome), store.begin()
+    if outcome.isEmpty():
+        return change.base.version
+    state = outcome.select("chunk_id", "book", "status", "attempts", "cached")
+    seen = state
+    if "chunks" in change.base.tables:
+        own = change.base.read("chunks").join(state.select("book").distinct(), "book", "left_semi")
+        seen = own.join(state.select("chunk_id"), "chunk_id", "left_anti").unionByName(state)
+    vectors = outcome.where("status = 'done'").select("chunk_id", "embedding")
+    for name, rows, key in (("vectors", vectors, "chunk_id"), ("chunks", state, "chunk_id"), ("jobs", progress(seen), "book")):
+        (change.upsert(name, rows, (key,)) if name in change.base.tables else change.append(name, rows))
+    return change.reads("chunks").commit(batch=("embedding", batch_id))
+
+
+def build_tier(store: Store, tier: str, chunks: DataFrame, cache: DataFrame, make: Callable[[], Embedder], model: str, dimension: int, most: int | None = None) -> int:
+    """Embed the chunks of ``chunks(chunk_id, book, text)`` that the table ``tier`` lacks (``most`` of them, by id), and drop what has no chunk any more, in one commit.
+
+    Built behind a tier that is complete, a second one may take many calls; ``tier_vectors`` changes over when it is.
+    """
+    change = store.begin().reads(tier)
+    made = change.base.read(tier) if tier in change.base.tables else None
+    open_ = chunks if made is None else chunks.join(made.select("chunk_id"), "chunk_id", "left_anti")
+    open_ = open_ if most is None else open_.orderBy("chunk_id").limit(most)
+    rows = open_.select("chunk_id", "book", "text", F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("attempts"))
+    done = embed_pending(rows, cache, make, model, dimension).where("status = 'done'").select("chunk_id", "embedding")
+    if made is not None:
+        change.delete(tier, made.join(chunks.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id"))
+    return change.append(tier, done).commit()
+
+
+def tier_vectors(snapshot: Snapshot, chunks: DataFrame, first: str, second: str) -> DataFrame:
+    """The second tier's vectors if they cover ``chunks(chunk_id)``, else the first's: both as of one snapshot."""
+    if second in snapshot.tables:
+        vectors = snapshot.read(second)
+        if chunks.select("chunk_id").join(vectors.select("chunk_id"), "chunk_id", "left_anti").isEmpty():
+            return vectors
+    return snapshot.read(first)
 
 
 def paused(events: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..sources.snapshots import Store
 from .activity_queries import _signals
 from .base import query, table
 from .plugins import hash_embedder
-from .retrieval_queries import _BM25, _ENT, TOK, edges_of, questions, text_hits
+from .retrieval_queries import _BM25, _ENT, _PREFIX, TOK, edges_of, index_of, prefixes, questions, text_hits
 from .text_queries import _WINDOWS
 
 
@@ -338,16 +338,19 @@ def indexed_books(spark, d):
 @query(
     "context_fallback",
     f"""with {_BM25}, h as (select query_id, min(doc_id) filter (rnk = 1 and score >= 150) hit from bm group by query_id),
-c as (select item_id query_id, h.hit, s.text section, f.file from benchmark left join h on h.query_id = item_id left join (select doc_id, text from documents where text is not null) s on s.doc_id = item_id left join (select min(source) file from documents) f on item_id % 2 = 0)
-select query_id, case when hit is not null then 'hybrid' when section is not null then 'section' when file is not null then 'file' else 'none' end kind, coalesce(hit::varchar, md5(section), file) context from c""",
+fs as (with {_PREFIX} select query_id, string_agg(doc_id::varchar, ',' order by rnk) sections from (select *, row_number() over (partition by query_id order by score desc, doc_id) rnk from sc) where rnk <= 5 group by query_id),
+c as (select item_id query_id, h.hit, s.text section, fs.sections, f.file from benchmark left join h on h.query_id = item_id left join (select doc_id, text from documents where text is not null and lang = 'en') s on s.doc_id = item_id left join fs on fs.query_id = item_id left join (select min(source) file from documents) f on item_id % 2 = 0)
+select query_id, case when hit is not null then 'hybrid' when section is not null then 'section' when sections is not null then 'section_search' when file is not null then 'file' else 'none' end kind, coalesce(hit::varchar, md5(section), sections, file) context from c""",
 )
 def context_fallback(spark, d):
-    """Of each question the first of: a hit that scores, the section it was asked in, the open file."""
+    """Of each question the first of: a hit that scores, the section it was asked in, the five best sections, the open file."""
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     hits = text_hits(spark, d, 1).where("score >= 150").select("query_id", F.col("doc_id").cast("string").alias("context"))
-    section = docs.where("text is not null").select(F.col("doc_id").alias("query_id"), F.md5("text").alias("context")).join(R.sized(asked), "query_id")
+    section = docs.where("text is not null and lang = 'en'").select(F.col("doc_id").alias("query_id"), F.md5("text").alias("context")).join(R.sized(asked), "query_id")
+    found = X.search(index_of(spark, d), prefixes(spark, d), 5, prefix=True).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "doc_id"))).alias("s"))
+    found = found.select("query_id", F.array_join(F.transform("s.doc_id", lambda x: x.cast("string")), ",").alias("context"))
     file = asked.where("query_id % 2 = 0").join(F.broadcast(docs.agg(F.min("source").alias("context"))), F.lit(True))
-    return L.fallback(asked, [("hybrid", hits), ("section", section), ("file", file)])
+    return L.fallback(asked, [("hybrid", hits), ("section", section), ("section_search", found), ("file", file)])
 
 
 @query(

@@ -9,6 +9,7 @@ from lorebase.plans import plugins as P
 from lorebase.plans import retrieval_queries as Q
 from lorebase.sources import documents as D
 from lorebase.sources import stores as S
+from lorebase.sources.snapshots import Store
 
 
 def test_puts(spark):
@@ -38,10 +39,42 @@ def test_embedding_in_batches(spark, tmp_path):
     assert got[100] == ("failed", 3, None, False) and got[101][:2] == got[102][:2] == got[103][:2] == (None, 1)
     assert got[105] == ("done", 1, [7.0, 7.0], True)
     assert {r.book: (r.chunks, r.done, r.failed, r.pending, r.cached) for r in I.progress(out).collect()} == {"b": (74, 70, 1, 3, 0), "c": (1, 1, 0, 0, 1)}
-    for _ in range(2):  # a replay of the batch
-        I.commit(out, str(tmp_path / "t"), 5)
-    I.commit(out.limit(0), str(tmp_path / "t"), 6)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 75 and sizes == []
+    assert sizes == []
+
+
+def test_batches_commit_vectors_status_and_progress_together(spark, tmp_path, monkeypatch):
+    kind = "chunk_id long, book string, embedding array<float>, status string, attempts long, cached boolean"
+    batch = lambda *rows: spark.createDataFrame(list(rows), kind)
+    store = Store(spark, f"file://{tmp_path}/s")
+    read = lambda name, *c: sorted(map(tuple, store.read(name).select(*c).collect()))
+    first = batch((1, "a", [1.0], "done", 0, False), (2, "a", None, None, 1, False), (3, "b", [3.0], "done", 0, True))
+    assert I.commit(first, store, 0) == I.commit(first, store, 0) == 1  # a replay
+    assert I.commit(first.limit(0), store, 1) == 1
+    with monkeypatch.context() as m:  # dies before it is published
+        m.setattr(Store, "_publish", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            I.commit(batch((2, "a", [2.0], "done", 1, False)), store, 1)
+    assert read("vectors", "chunk_id") == [(1,), (3,)] and read("jobs", "book", "done", "pending") == [("a", 1, 1), ("b", 1, 0)]
+    assert I.commit(batch((2, "a", [2.0], "done", 1, False), (4, "a", None, "failed", 3, False)), store, 1) == 2
+    assert read("vectors", "chunk_id") == [(1,), (2,), (3,)] and read("chunks", "chunk_id", "attempts") == [(1, 0), (2, 1), (3, 0), (4, 3)]
+    assert read("jobs", "book", "chunks", "done", "failed", "pending", "cached") == [("a", 3, 2, 1, 0, 0), ("b", 1, 1, 0, 0, 1)]
+
+
+def test_a_second_tier_is_built_behind_the_first(spark, tmp_path):
+    store, cache = Store(spark, f"file://{tmp_path}/s"), spark.createDataFrame([], "key string, embedding array<float>")
+    chunks = spark.createDataFrame([(i, "b", f"text {i}") for i in range(6)], "chunk_id long, book string, text string")
+    build = lambda tier, dim, rows=chunks, most=None: I.build_tier(store, tier, rows, cache, lambda: P.hash_embedder(dim), tier, dim, most)
+    width = lambda rows=chunks: {len(r.embedding) for r in I.tier_vectors(store.snapshot(), rows, "t1", "t2").collect()}
+    build("t1", 2)
+    for n in (2, 4):
+        build("t2", 4, most=2)
+        assert store.read("t2").count() == n and width() == {2}
+    build("t2", 4, most=2)
+    assert width() == {4} and store.read("t2").count() == 6
+    fewer = chunks.where("chunk_id <> 3").union(spark.createDataFrame([(9, "b", "new")], chunks.schema))
+    assert width(fewer) == {2}  # a new chunk that the second tier lacks
+    build("t2", 4, fewer)
+    assert width(fewer) == {4} and {r.chunk_id for r in store.read("t2").collect()} == {0, 1, 2, 4, 5, 9}
 
 
 def test_pauses_and_replays(spark):
@@ -94,13 +127,14 @@ def test_generation_falls_back(spark):
 def test_strengths(spark):
     sf = "/root/testdata/sf0.001"
     fast, balanced = ({r.query_id: r for r in Q.answers(spark, sf, s).collect()} for s in ("fast", "balanced"))
-    assert fast.keys() == balanced.keys() and fast
+    both = fast.keys() & balanced.keys()  # a first source of more than the budget leaves a question without any
+    assert len(both) > 10
     assert all(r.used_tokens <= 4000 for r in [*fast.values(), *balanced.values()])
     blocks = [b for r in fast.values() for b in r.sources_block.split("\n\n[S")]
     assert all(", §" in b.split("\n")[0] for b in blocks)  # each source names its book and section
     books = [set(re.findall(r"\(책: (\w+), §", r.sources_block)) for r in fast.values()]
     assert all(len(b) == 1 for b in books)  # one book a question
-    assert any(a.sources_block != balanced[q].sources_block for q, a in fast.items())
+    assert any(fast[q].sources_block != balanced[q].sources_block for q in both)
     assert max(r.kept for r in balanced.values()) <= 6 and max(r.kept for r in fast.values()) <= 12
     assert "hyde" in P.STRENGTH["accurate"] and "hyde" not in P.STRENGTH["balanced"]
 
@@ -111,7 +145,8 @@ def test_hypothetical_answers_reach_the_vectors(spark):
     width = len(spark.read.parquet(f"{sf}/embeddings.parquet").first().embedding)
     run = lambda make: {r.query_id: r.sources_block for r in Q.answers(spark, sf, "accurate", make, lambda: P.hash_embedder(width)).collect()}
     plain, guessed = run(None), run(lambda: lambda t: "answer: the and of to " * 9)
-    assert plain.keys() == guessed.keys() and any(plain[q] != guessed[q] for q in plain)
+    both = plain.keys() & guessed.keys()
+    assert len(both) > 10 and any(plain[q] != guessed[q] for q in both)
 
 
 def test_small_text_functions(spark):

@@ -31,7 +31,7 @@ def test_page_lines_and_cleaning(spark):
 
 
 def test_terms_and_keys(spark):
-    assert run(spark, T.phrase_terms, ['a "b c" (d*)', "", ":^-"]) == [["a", "b", "c", "d"], [], []]
+    assert run(spark, T.phrase_terms, ['a "b c" (d*)', "", ":^-"]) == [["a", "b", "c", "d"], [], ["-"]]
     assert run(spark, T.query_key, ["B a  b!", "A, B", ""]) == ["a b", "a b", ""]
     assert run(spark, T.token_estimate, ["", "a", "x" * 100, "é" * 101]) == [0, 1, 30, 31]
     assert run(spark, T.significant, ["active tea x 지적 ab"]) == [["tea", "ab"]]
