@@ -76,7 +76,7 @@ def alert_facts(alerts: DataFrame, message: Column, types: int = 5) -> DataFrame
 
 def metacog_signals(turns: DataFrame) -> DataFrame:
     """(study, id, ts, type, severity, dismissed) of ``turns(study, id, ts, text, citation, progress)``: what each turn tells of misjudged ability."""
-    gap, said = T.progress_gap_severity(F.col("citation"), F.col("progress")), T.self_report_severity(F.col("text"), F.col("citation"))
+    gap, said = T.progress_gap_severity(F.col("citation"), F.col("progress"), 9), T.self_report_severity(F.col("text"), F.col("citation"))
     found = F.array(F.struct(F.lit("progress_recall_gap").alias("type"), gap.alias("severity")), F.struct(F.lit("self_report_low").alias("type"), said.alias("severity")))
     rows = turns.select("study", "id", "ts", F.inline(found))
     return rows.where("severity is not null").withColumn("dismissed", F.lit(False))

@@ -93,6 +93,12 @@ def test_metacognition_chain(spark):
     assert sorted((r.id, r.confidence, r.kind) for r in facts) == [(1, 0.4, "meta"), (4, 0.4, "meta")]
 
 
+def test_a_gap_of_just_three_tenths_is_a_signal(spark):
+    """0.7 - 0.4 and 0.5 - 0.2 lie on different sides of 0.3 in binary."""
+    turns = spark.createDataFrame([("s", k, "2024-01-01 00:00:00", "x", c, p) for k, (c, p) in enumerate([(0.7, 0.4), (0.4, 0.7), (0.5, 0.2), (0.69, 0.4)])], "study string, id int, ts string, text string, citation double, progress double")
+    assert sorted(r.id for r in A.metacog_signals(turns).collect()) == [0, 1, 2]
+
+
 def test_histories(spark):
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"m{k}") for k in range(16)] + [(2, k, "user", "same") for k in range(5)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
