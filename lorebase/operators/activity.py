@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,14 +154,78 @@ def memory_levels(facts: DataFrame, first: int = 2000, second: int = 4000) -> Da
     return lists.select("study", "level", cut.alias("t")).groupBy("study").agg(level("l1"), level("l2"))
 
 
+#: Items of one side that meet in a task, about.
+MEET = 10_000
+
+
+def _conflicting(it):
+    """(study, a, b, pref_id, corr_id, tokens) in order, each part's corrections first -> (study, pref_id, corr_id, token)."""
+    key, held, corrections, out, n_out = None, {}, [], [], 0
+
+    def found(study, pref, rows):
+        tokens = [t for _, t in sorted((k, t) for row in rows for k, t in enumerate(row)) if t in held]
+        if tokens:
+            lists = [held[t] for t in dict.fromkeys(tokens)]
+            which, first = np.unique(np.concatenate(lists), return_index=True)  # of each correction the first token
+            named = np.searchsorted(np.cumsum(list(map(len, lists))), first, "right")
+            out.append((study, pref, which, named, list(dict.fromkeys(tokens))))
+        return len(which) if tokens else 0
+
+    def rows():
+        size = [len(x[2]) for x in out]
+        study, pref = (pa.array([x[c] for x in out], kinds[c]).take(pa.array(np.repeat(np.arange(len(out)), size))) for c in (0, 1))
+        start = np.cumsum([0, *(len(x[4]) for x in out)])
+        tokens = pa.array([t for x in out for t in x[4]], pa.string())
+        corr = pa.array(corrections, kinds[2]).take(pa.array(np.concatenate([x[2] for x in out])))
+        return pa.RecordBatch.from_arrays([study, pref, corr, tokens.take(pa.array(np.concatenate([x[3] + s for x, s in zip(out, start, strict=False)])))], names=["study", "pref_id", "corr_id", "token"])
+
+    kinds, now, same = None, None, []
+    for batch in it:
+        kinds = [batch.schema.field(c).type for c in (0, 3, 4)]
+        for study, a, b, pref, corr, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now is not None and (study, a, b, pref) != now:
+                n_out += found(now[0], now[3], same)
+                now, same = None, []
+            if (study, a, b) != key:
+                if out:
+                    yield rows()
+                key, held, corrections, out, n_out = (study, a, b), {}, [], [], 0
+            if pref is None:
+                if not corrections or corrections[-1] != corr:
+                    corrections.append(corr)
+                for t in tokens:
+                    if not (own := held.setdefault(t, [])) or own[-1] != len(corrections) - 1:
+                        own.append(len(corrections) - 1)
+                continue
+            now = (study, a, b, pref)
+            same.append(tokens)
+            if n_out > 100_000:
+                yield rows()
+                out, n_out = [], 0
+    if now is not None:
+        found(now[0], now[3], same)
+    if out:
+        yield rows()
+
+
 def conflicts(preferences: DataFrame, corrections: DataFrame) -> DataFrame:
     """(study, pref_id, corr_id, token): items that share a significant token, the first in the preference's order.
 
-    An equality join on tokens takes the place of comparing each with each.
+    A study's preferences and corrections are dealt to a grid of parts and meet there, through the tokens that a
+    part's corrections have. All that travels is each item once a row or column of the grid; the pairs, which can
+    be as many as the product of both sides, are made where they are returned.
     """
-    p = preferences.select("study", F.col("id").alias("pref_id"), F.posexplode(T.significant(F.col("text"))).alias("pos", "token"))
-    c = corrections.select("study", F.col("id").alias("corr_id"), F.explode(F.array_distinct(T.significant(F.col("text")))).alias("token"))
-    return p.join(c, ["study", "token"]).groupBy("study", "pref_id", "corr_id").agg(F.min_by("token", "pos").alias("token"))
+    p = preferences.select("study", F.col("id").alias("pref_id"), T.significant(F.col("text")).alias("tokens")).where("study is not null and pref_id is not null and size(tokens) > 0")
+    c = corrections.select("study", F.col("id").alias("corr_id"), F.array_distinct(T.significant(F.col("text"))).alias("tokens")).where("study is not null and corr_id is not null and size(tokens) > 0")
+    most = lambda df: df.groupBy("study").count().agg(F.max("count")).first()[0] or 1
+    n_a, n_b = (-(-most(df) // MEET) for df in (p, c))
+    kinds = {n: df.schema[n].dataType.simpleString() for df, n in ((p, "study"), (p, "pref_id"), (c, "corr_id"))}
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = p.select("study", part("pref_id", n_a).alias("a"), every(n_b).alias("b"), "pref_id", F.lit(None).cast(kinds["corr_id"]).alias("corr_id"), "tokens")
+    right = c.select("study", every(n_a).alias("a"), part("corr_id", n_b).alias("b"), F.lit(None).cast(kinds["pref_id"]).alias("pref_id"), "corr_id", "tokens")
+    rows = left.unionByName(right).repartition("study", "a", "b").sortWithinPartitions("study", "a", "b", "pref_id", "corr_id")
+    return rows.mapInArrow(_conflicting, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", token string")
 
 
 def latest(rows: DataFrame, key: str, version: list[Column], n: int = 1) -> DataFrame:

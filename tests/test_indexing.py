@@ -205,3 +205,25 @@ def test_versions_and_tiers(spark, tmp_path):
     S.replace_partition(rows, place, "book")
     S.replace_partition(rows.where("book = 'a'").withColumn("x", F.lit(9).cast("long")), place, "book", rows.select("book"))
     assert [tuple(r) for r in spark.read.parquet(place).select("book", "x").collect()] == [("a", 9)]
+
+
+@pytest.mark.parametrize("meet", [2, 10_000])
+def test_conflicts_meet_in_parts_and_no_pair_is_exchanged(spark, meet, monkeypatch):
+    monkeypatch.setattr(A, "MEET", meet)
+    words = ["alpha", "beta", "since", "gamma", "delta", "alpha", "x1"]
+    text = lambda k, n: " ".join(words[(k * k + j * n) % 7] for j in range(k % 5))
+    items = lambda n, m: [(None if k == 4 else k % 3, k, None if k == 6 else text(k, m)) for k in range(n)]
+    p, c = [*items(40, 1), (1, 7, "x1 gamma beta")], [*items(30, 2), (1, 7, "x1")]  # 7 comes twice
+    significant = lambda t: [w for w in (t or "").split() if w != "since"]
+    want: dict = {}
+    for study, pref, said in p:
+        for other, corr, against in c:
+            if study is not None and study == other:
+                for pos, token in enumerate(significant(said)):
+                    if token in significant(against):
+                        want[study, pref, corr] = min(want.get((study, pref, corr), (99, "")), (pos, token))
+    frame = lambda rows: spark.createDataFrame(rows, "study long, id long, text string")
+    found = A.conflicts(frame(p), frame(c))
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.study, r.pref_id, r.corr_id): r.token for r in rows} == {k: t for k, (_, t) in want.items()}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
