@@ -12,6 +12,8 @@ from ..functions import text as T
 
 SENTENCE_TARGET, SENTENCE_SPLIT, SENTENCE_LEAST = 500, 750, 150
 LEAST, MOST, OVERLAP, FENCED_MOST = 2400, 4000, 480, 8000
+#: Texts of an Arrow batch that a task holds cut up; a batch may bring ten thousand.
+AT_ONCE = 64
 #: A trimmed chunk keeps at least so many characters.
 TRIMMED_LEAST = 100
 FENCE = re.compile(r"(?m)^[ \t]*(?:```|~~~).*$")
@@ -95,11 +97,11 @@ def window_pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _rows(df: DataFrame, cut) -> DataFrame:
-    """(doc_id, ord, span_start, text) of each document's pieces; texts are cut where they lie, in Arrow batches."""
+def _cutting(cut):
+    """(doc_id, text) -> a row for each piece that ``cut`` makes, AT_ONCE texts at a time."""
 
     def run(it):
-        for batch in it:
+        for batch in (whole.slice(at, AT_ONCE) for whole in it for at in range(0, whole.num_rows, AT_ONCE)):
             at, ords, starts, texts = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for k, (start, piece) in enumerate(cut(text or "")):
@@ -109,8 +111,13 @@ def _rows(df: DataFrame, cut) -> DataFrame:
                     texts.append(piece)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ords, pa.int32()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "ord", "span_start", "text"])
 
+    return run
+
+
+def _rows(df: DataFrame, cut) -> DataFrame:
+    """(doc_id, ord, span_start, text) of each document's pieces; texts are cut where they lie, in Arrow batches."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ord int, span_start long, text string")
+    return df.select("doc_id", "text").mapInArrow(_cutting(cut), f"doc_id {kind}, ord int, span_start long, text string")
 
 
 def sentence_chunks(df: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@ import re
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
+from lorebase.operators import chunking
 from lorebase.operators import learning as L
 from lorebase.operators import triggers as G
 
@@ -120,3 +122,10 @@ def test_triggers_against_whole_patterns():
     assert hits > 1000
     began = time.time()
     assert len(G.detect(pd.Series(["글" * 200_000 + " 빼줘", "이제부터 " * 40_000]))) == 2 and time.time() - began < 10
+
+
+def test_texts_of_a_batch_are_cut_a_few_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3 * chunking.AT_ONCE + 1)), "text": ["ab"] * (3 * chunking.AT_ONCE + 1)})
+    out = list(chunking._cutting(lambda t: [(0, t[:1]), (1, t[1:])])([batch]))
+    assert [b.num_rows for b in out] == [2 * chunking.AT_ONCE] * 3 + [2]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [x for k in range(len(batch)) for x in ((k, 0, 0, "a"), (k, 1, 1, "b"))]
