@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 from math import log
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,35 @@ def test_refresh_makes_only_touched_blocks_anew(spark, tmp_path):
     assert X.statistics(store.snapshot()).count() == 0 and X.search(store.snapshot(), frame(spark, ASKED), 10).count() == 0
 
 
+def test_a_posting_travels_once_for_all_its_prefixes():
+    """Two rows of terms, three of units: documents are summed up where the block's postings meet."""
+    kind = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32())), ("len", pa.list_(pa.int32())), ("units", pa.list_(pa.string()))])
+    one, two = [pa.RecordBatch.from_pylist(x, kind) for x in ([{"block": 3, "docs": [7, 9], "tf": [2, 1], "len": [10, 5], "units": ["t", "te"]}], [{"block": 3, "docs": [9, 4], "tf": [4, 1], "len": [5, 8], "units": ["t"]}, {"block": 5, "docs": [1], "tf": [1], "len": [2], "units": ["t"]}])]
+    rows = sorted((r for b in X._prefixed(iter([one, two])) for r in b.to_pylist()), key=lambda r: (r["block"], r["unit"]))
+    assert [(r["unit"], r["block"], r["docs"], r["tf"], r["len"], r["n"], r["max_tf"], r["min_len"]) for r in rows] == [("t", 3, [4, 7, 9], [1, 2, 5], [8, 10, 5], 3, 5, 5), ("te", 3, [7, 9], [2, 1], [10, 5], 2, 2, 5), ("t", 5, [1], [1], [2], 1, 1, 2)]
+
+
+def test_files_grow_no_larger_with_the_index(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    X.build(store, spark.createDataFrame([(k, "tea") for k in range(3 * X.FILE)], "doc_id long, text string"), per_block=1)
+    blocks = store.read("postings").groupBy(F.input_file_name()).agg(F.countDistinct("block").alias("n"), F.max("n").alias("docs")).collect()
+    assert len(blocks) > 1 and max(r.n for r in blocks) <= X.FILE
+
+
+def test_a_refresh_of_all_blocks_leaves_nothing_to_hold_against_deletions(spark, tmp_path):
+    docs, store = corpus(3, 60), Store(spark, f"file://{tmp_path}/s")
+    table = lambda ds: spark.createDataFrame(list(ds.items()), "doc_id long, text string")
+    X.build(store, table(docs), per_block=16)
+    now = {d: (t or "") + " anew" for d, t in docs.items()}
+    X.refresh(store, table(now), table(now).select("doc_id"))
+    version = store.snapshot().version
+    assert [p.keys for p in store.snapshot().tables["postings"].pieces] == [()] and X.compact(store) == version
+    close(X.search(store.snapshot(), frame(spark, [*ASKED, (7, "anew", "a")]), 10), brute(now, [a for a in [*ASKED, (7, "anew", "a")] if a[1]], 10))
+    X.refresh(store, table({3: "green tea"}), spark.createDataFrame([(3,)], "doc_id long"))
+    assert len(store.snapshot().tables["postings"].pieces) == 3 and X.compact(store) == version + 2
+    assert [p.keys for p in store.snapshot().tables["postings"].pieces] == [()]
+
+
 def test_edges(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     X.build(store, spark.createDataFrame([("b", "Éclair ÑANDÚ"), ("a", "eclair nandu")], "doc_id string, text string"))
