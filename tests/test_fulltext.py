@@ -176,3 +176,46 @@ def test_terms_of_a_search(spark):
     assert q.select(T.prefix_terms(F.col("q"))).first()[0] == ["re", "do", "tea", "tea", "a", "b", "c"]
     with pytest.raises(Exception, match="empty search"):
         spark.createDataFrame([("?!",)], "q string").select(T.prefix_terms(F.col("q"))).collect()
+
+
+@pytest.mark.parametrize(("questions", "passes"), [(9, 1), (2, 2)])
+def test_each_pass_scores_its_rows_once(spark, built, monkeypatch, questions, passes):
+    """Many questions are scored in one pass; few in two, and neither is computed again for a count of its rows."""
+    docs, store = built
+    seen, made = spark.sparkContext.accumulator(0), X._scored
+
+    def counted(*args):
+        def run(it):
+            def counting():
+                for batch in it:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            return made(*args)(counting())
+
+        return run
+
+    monkeypatch.setattr(X, "_scored", counted)
+    asked = [(q, unit, "a") for q in range(questions) for unit in ("tea", f"w{q}", "honey")]
+    close(X.search(store.snapshot(), frame(spark, asked), 1000, prune_from=1), brute(docs, asked, 1000))
+    rows = store.read("postings").where(F.col("term").isin([u for _, u, _ in asked])).count()
+    assert 0 < seen.value <= passes * rows
+
+
+def test_many_terms_of_a_block_are_scored_in_parts(spark, built, monkeypatch):
+    docs, store = built
+    monkeypatch.setattr(X, "TERMS", 3)
+    asked = [(q, f"w{(q * 7 + i) % 150}", "abc"[q % 3]) for q in range(12) for i in range(20)]
+    kind = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32())), ("len", pa.list_(pa.int32())), ("asking", pa.list_(pa.struct([("query_id", pa.int64()), ("weight", pa.float64()), ("group", pa.string())]))), ("groups", pa.list_(pa.string()))])
+    row = lambda d, tf, asks: {"g": 0, "block": 0, "docs": d, "tf": tf, "len": [4] * len(d), "asking": asks, "groups": None}
+    rows = [row([k, k + 1], [1, 2], [{"query_id": q, "weight": 1.0, "group": None} for q in range(k % 3 + 1)]) for k in range(10)]
+    out = X._scored(4.0, 3, False)(iter([pa.RecordBatch.from_pylist(rows[:4], kind), pa.RecordBatch.from_pylist(rows[4:], kind)]))
+    got = {(r["query_id"], r["doc_id"]): r["score"] for b in out for r in b.to_pylist()}
+    want: Counter = Counter()
+    for r in rows:
+        for d, f in zip(r["docs"], r["tf"], strict=True):
+            want.update({(a["query_id"], d): f * 2.2 / (f + 1.2) for a in r["asking"]})
+    best = {q: sorted((-round(v, 6), d) for (p, d), v in want.items() if p == q)[:3] for q in range(3)}
+    assert got == pytest.approx({(q, d): -v for q, b in best.items() for v, d in b})
+    groups = {d: "abc"[d % 3] for d in docs}
+    close(X.search(store.snapshot(), frame(spark, asked), 4, scope=frame(spark, list(groups.items()), "doc_id long, group string")), brute(docs, asked, 4, groups=groups))
