@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialised
 
 SENTENCE_TARGET, SENTENCE_SPLIT, SENTENCE_LEAST = 500, 750, 150
 LEAST, MOST, OVERLAP, FENCED_MOST = 2400, 4000, 480, 8000
@@ -130,20 +131,45 @@ def windows(df: DataFrame) -> DataFrame:
     return out.withColumn("token_count", T.token_estimate(F.col("text")))
 
 
+def _placed(it):
+    """(doc_id, part, section_path, page, text) in order of book and part -> the windows of each text, their number among the book's in this task, and how many the part has."""
+    book, n = None, 0
+    for batch in (whole.slice(at, AT_ONCE) for whole in it for at in range(0, whole.num_rows, AT_ONCE)):
+        at, places, ords, many, starts, texts = [], [], [], [], [], []
+        for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            book, n = doc, n if doc == book else 0
+            spans = [(a, b) for a, b in window_pieces(text or "") if text[a:b].strip()]
+            at += [i] * len(spans)
+            places += range(n, n + len(spans))
+            ords += range(len(spans))
+            many += [len(spans)] * len(spans)
+            starts += [a for a, _ in spans]
+            texts += [text[a:b] for a, b in spans]
+            n += len(spans)
+        own = batch.select([0, 2, 3]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(places, pa.int64()), pa.array(ords, pa.int32()), pa.array(many, pa.int32()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "section_path", "page", "place", "k", "many", "span_start", "text"])
+
+
 def sequence(parts: DataFrame) -> DataFrame:
     """(doc_id, ord, section_path, page, span_start, text, token_count, prev_ord, next_ord, parent_ord).
 
-    ``parts(doc_id, part, section_path, page, text)`` are a book's sections or pages in order of
-    ``part``. ``ord`` is dense over the whole book; neighbours and the parent, a part's first chunk, lie
-    in the same part. A blank part has no chunk. The windows move ids and spans; texts come along once.
+    ``parts(doc_id, part, section_path, page, text)`` are a book's sections or pages, ``part`` their order and
+    unique in the book. ``ord`` is dense over the whole book; neighbours and the parent, a part's first chunk, lie
+    in the same part. A blank part has no chunk. Parts are dealt by range of book and place, so a book of any
+    length lies in many tasks; each numbers its own chunks, to which those of the book in earlier tasks are added.
     """
-    pieces = _rows(parts.select(F.struct("doc_id", "part", "section_path", "page").alias("doc_id"), "text"), lambda t: [(a, t[a:b]) for a, b in window_pieces(t) if t[a:b].strip()])
-    rows = pieces.select("doc_id.*", "ord", "span_start", "text")
-    book = Window.partitionBy("doc_id").orderBy("part", "ord")
-    rows = rows.withColumn("n", F.row_number().over(book) - 1)
-    w = Window.partitionBy("doc_id", "part").orderBy("n")
-    first = F.first("n").over(w)
-    return rows.select("doc_id", F.col("n").alias("ord"), "section_path", "page", "span_start", "text", T.token_estimate(F.col("text")).alias("token_count"), F.lag("n").over(w).alias("prev_ord"), F.lead("n").over(w).alias("next_ord"), F.when(first != F.col("n"), first).alias("parent_ord"))
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
+    dealt = parts.select("doc_id", "part", "section_path", "page", "text").repartitionByRange("doc_id", "part").sortWithinPartitions("doc_id", "part")
+    schema = f"doc_id {kinds['doc_id']}, section_path {kinds['section_path']}, page {kinds['page']}, place long, k int, many int, span_start long, text string"
+    rows = materialised(dealt.mapInArrow(_placed, schema).withColumn("task", F.spark_partition_id()))
+    earlier = F.sum("chunks").over(Window.partitionBy("doc_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    begun = rows.groupBy("doc_id", "task").agg(F.count("*").alias("chunks")).select(F.col("doc_id").alias("_book"), F.col("task").alias("_task"), earlier.alias("earlier"))
+    begun = F.broadcast(begun.where("earlier > 0"))  # a book that an earlier task began: one a task at most
+    rows = rows.join(begun, F.col("doc_id").eqNullSafe(F.col("_book")) & (F.col("task") == F.col("_task")), "left")
+    n = (F.col("place") + F.coalesce("earlier", F.lit(0))).cast("int")
+    rows = rows.select("*", n.alias("n"))
+    inner = F.col("k") > 0
+    return rows.select("doc_id", F.col("n").alias("ord"), "section_path", "page", "span_start", "text", T.token_estimate(F.col("text")).alias("token_count"), F.when(inner, F.col("n") - 1).alias("prev_ord"), F.when(F.col("k") + 1 < F.col("many"), F.col("n") + 1).alias("next_ord"), F.when(inner, F.col("n") - F.col("k")).alias("parent_ord"))
 
 
 def section_chunks(sections: DataFrame) -> DataFrame:

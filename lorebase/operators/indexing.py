@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,15 +15,34 @@ from ..functions import text as T
 from ..functions.vectors import Embedder
 from ..session import materialised
 from ..sources.snapshots import Snapshot, Store
+from .retrieval import sized
 
 #: Chunks that are embedded, and lost at most, at once; attempts after which a chunk has failed.
 BATCH, ATTEMPTS = 32, 3
+#: Texts of an Arrow batch whose terms a task holds; a batch may bring ten thousand.
+AT_ONCE = 64
+
+
+def _counted(it):
+    """(doc_id, text) -> a row for each term of a text, AT_ONCE texts at a time."""
+    find = re.compile(r"[^\W_]+").findall
+    for batch in (whole.slice(at, AT_ONCE) for whole in it for at in range(0, whole.num_rows, AT_ONCE)):
+        n, terms, tf, size = [], [], [], []
+        for text in batch.column(1).to_pylist():
+            found = find(text or "")
+            count = Counter(found)
+            n.append(len(count))
+            size.append(len(found))
+            terms += count
+            tf += count.values()
+        docs = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), docs, pa.array(tf, pa.int32()), pa.array(np.repeat(size, n), pa.int32())], names=["term", "doc_id", "tf", "doc_len"])
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len) of ``docs(doc_id, text)``; a text without tokens has none."""
-    toks = docs.select("doc_id", T.index_tokens(F.col("text")).alias("toks"))
-    return toks.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
+    """(term, doc_id, tf, doc_len) of ``docs(doc_id, text)``, one row a document; a text without tokens has none. Terms are counted where their text lies."""
+    text = T.index_text(F.col("text").cast("string")).alias("text")
+    return docs.select("doc_id", text).mapInArrow(_counted, f"term string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tf int, doc_len int")
 
 
 def replaced(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -65,7 +87,7 @@ def embed_pending(chunks: DataFrame, cache: DataFrame, make: Callable[[], Embedd
     table, so that one write commits them all; ``progress`` is read off it.
     """
     todo = chunks.where("status is null or status = 'failed'").withColumn("key", T.embedding_key(F.coalesce("text", F.lit("")), F.lit(model)))
-    rows = todo.join(cache.select("key", F.col("embedding").alias("known")), "key", "left").select("chunk_id", "book", "text", "attempts", "known")
+    rows = todo.join(sized(cache.select("key", F.col("embedding").alias("known"))), "key", "left").select("chunk_id", "book", "text", "attempts", "known")
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
 
     def run(it):

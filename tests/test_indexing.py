@@ -227,3 +227,10 @@ def test_conflicts_meet_in_parts_and_no_pair_is_exchanged(spark, meet, monkeypat
     rows = found.collect()
     assert len(rows) == len(want) and {(r.study, r.pref_id, r.corr_id): r.token for r in rows} == {k: t for k, (_, t) in want.items()}
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_where_their_text_lies(spark):
+    docs = spark.createDataFrame([(("a", 0), "Té te, x_te 7"), (("a", 1), None), (("b", 0), "?!"), (("b", 1), "te")], "doc_id struct<book:string,ord:int>, text string")
+    got = I.postings(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id.book, r.doc_id.ord, r.term, r.tf, r.doc_len) for r in got.collect()) == [("a", 0, "7", 1, 5), ("a", 0, "te", 3, 5), ("a", 0, "x", 1, 5), ("b", 1, "te", 1, 1)]

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from pyspark.sql import functions as F
 from lorebase.operators import chunking as C
 from lorebase.operators import library as L
 from lorebase.sources import documents as D
@@ -168,3 +169,25 @@ def test_stores(spark, tmp_path):
 @pytest.mark.parametrize("text,want", [("", "## H\n\n- i\n"), ("## H\n- a\n\n## K\n- b\n", "## H\n- a\n- i\n\n## K\n- b\n"), ("x", "x\n\n## H\n\n- i\n")])
 def test_section_items(text, want):
     assert S.append_section_item(text, "H", "i") == want
+
+
+def test_a_book_lies_in_many_tasks(spark):
+    """Places are dense over two books whose parts are dealt to several tasks; a part's links stay within it."""
+    rows = [(book, part, "s", None, "word. " * (100 * (part % 12))) for book in ("a", None) for part in range(40)]
+    parts = spark.createDataFrame(rows, "doc_id string, part long, section_path string, page int, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = C.sequence(parts)
+        assert len({r.task for r in got.select("doc_id", "ord", "prev_ord", F.spark_partition_id().alias("task")).collect() if r.doc_id == "a"}) > 1
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for book in ("a", None):
+        n = 0
+        for _, _, _, _, text in (r for r in rows if r[0] == book):
+            spans = [(a, b) for a, b in C.window_pieces(text) if text[a:b].strip()]
+            for k, (a, b) in enumerate(spans):
+                want.append((str(book), n + k, a, text[a:b], n + k - 1 if k else None, n + k + 1 if k + 1 < len(spans) else None, n if k else None))
+            n += len(spans)
+    assert sorted(((str(r.doc_id), r.ord, r.span_start, r.text, r.prev_ord, r.next_ord, r.parent_ord) for r in got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
