@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 from math import log
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
 from lorebase.operators import fulltext as X
+from lorebase.session import shared_folder
 from lorebase.sources.snapshots import Store
 
 
@@ -220,3 +223,54 @@ def test_many_terms_of_a_block_are_scored_in_parts(spark, built, monkeypatch):
     assert got == pytest.approx({(q, d): -v for q, b in best.items() for v, d in b})
     groups = {d: "abc"[d % 3] for d in docs}
     close(X.search(store.snapshot(), frame(spark, asked), 4, scope=frame(spark, list(groups.items()), "doc_id long, group string")), brute(docs, asked, 4, groups=groups))
+
+
+def shuffled(spark):
+    """Bytes of shuffle files and of checkpoints that lie there now."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [blocks.apply(i) for i in range(blocks.size())]
+    root = shared_folder(spark).removeprefix("file:")
+    return sum(f.length() for f in files if f.getName().startswith("shuffle")), sum(p.stat().st_size for p in Path(root).glob("rdd-*/part-*"))
+
+
+def settled(spark, before):
+    """Shuffle files go at the end of a write, but nobody waits for it."""
+    for _ in range(50):
+        if (now := shuffled(spark))[0] <= before[0]:
+            break
+        time.sleep(0.1)
+    return now
+
+
+def test_an_index_leaves_nothing_but_its_files(spark, tmp_path):
+    """Neither postings nor texts stay shuffled or checkpointed once they are written."""
+    docs = spark.createDataFrame(list(corpus(4).items()), "doc_id long, text string")
+    store, before = Store(spark, f"file://{tmp_path}/s"), shuffled(spark)
+    X.build(store, docs, per_block=16)
+    built = settled(spark, before)
+    assert built[0] <= before[0] and built[1] == before[1]
+    X.refresh(store, docs, docs.select("doc_id"))
+    again = settled(spark, built)
+    assert again[0] <= built[0] and again[1] - built[1] < 4096  # the touched blocks' numbers
+
+
+@pytest.mark.parametrize("touched", [(3, 50, 7, 900), None])
+def test_blocks_are_made_some_at_a_time(spark, tmp_path, monkeypatch, touched):
+    docs, made = corpus(5, 120), []
+    table = lambda ds: spark.createDataFrame(list(ds.items()), "doc_id long, text string")
+    one = X._made
+    monkeypatch.setattr(X, "_made", lambda some, n_blocks, n: made.append((some.count(), n)) or one(some, n_blocks, n))
+    monkeypatch.setattr(X, "SLICE", 3)
+    store, fresh = Store(spark, f"file://{tmp_path}/a"), Store(spark, f"file://{tmp_path}/b")
+    X.build(store, table(docs), per_block=8)
+    assert len(made) == 6 and sum(n for n, _ in made) == len(docs) and max(n for _, n in made) == 3
+    assert X.compact(store) == 1  # nothing was deleted
+    now = {d: t for d, t in docs.items() if d not in (3, 50)} | {7: "green tea anew", 900: "w3 honey"}
+    X.refresh(store, table(now), spark.createDataFrame([(d,) for d in touched or {*docs, *now}], "doc_id long"))
+    monkeypatch.undo()
+    X.build(fresh, table(now), per_block=8)
+    for _ in range(2):
+        assert sorted(map(tuple, X.statistics(store.snapshot()).collect())) == sorted(map(tuple, X.statistics(fresh.snapshot()).collect()))
+        assert sorted(d for r in store.read("members").collect() for d in r.docs) == sorted(now)
+        close(X.search(store.snapshot(), frame(spark, ASKED), 10), brute(now, [a for a in ASKED if a[1]], 10))
+        X.compact(store)
