@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
 from lorebase.operators import fulltext as X
+from lorebase.operators import retrieval as R
 from lorebase.session import shared_folder
 from lorebase.sources.snapshots import Store
 
@@ -274,3 +275,29 @@ def test_blocks_are_made_some_at_a_time(spark, tmp_path, monkeypatch, touched):
         assert sorted(d for r in store.read("members").collect() for d in r.docs) == sorted(now)
         close(X.search(store.snapshot(), frame(spark, ASKED), 10), brute(now, [a for a in ASKED if a[1]], 10))
         X.compact(store)
+
+
+def test_units_are_summed_up_before_they_travel(spark, built):
+    """Of a batch each unit and block is one row, however many terms it begins."""
+    kind = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32())), ("len", pa.list_(pa.int32())), ("units", pa.list_(pa.string()))])
+    row = lambda block, docs, tf, units: {"block": block, "docs": docs, "tf": tf, "len": [9] * len(docs), "units": units}
+    rows = [row(5, [1], [2], ["t"]), row(3, [7, 9], [2, 1], ["t", "te"]), row(5, [1, 2], [1, 1], ["t"]), row(3, [9], [4], ["t"])]
+    out = [r for b in X._begun(iter([pa.RecordBatch.from_pylist(rows, kind)])) for r in b.to_pylist()]
+    assert sorted((r["block"], r["units"], r["docs"], r["tf"]) for r in out) == [(3, ["t"], [7, 9], [2, 5]), (3, ["te"], [7, 9], [2, 1]), (5, ["t"], [1, 2], [3, 1])]
+    docs, store = built
+    asked = [(1, u, "a") for u in ("t", "te", "tea", "teap", "teapot", "teapots", "w", "w1", "w10", "hone", "x")]
+    close(X.search(store.snapshot(), frame(spark, asked), 9, prefix=True), brute(docs, asked, 9, prefix=True))
+
+
+def test_postings_are_not_shuffled_to_find_their_prefixes(spark, built, monkeypatch):
+    _, store = built
+    seen, made = [], X.materialised
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 400)  # the units are small, and their terms are not
+    monkeypatch.setattr(X, "materialised", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or made(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        X._units_of(store.snapshot(), spark.createDataFrame([("te",), ("w1",), ("hone",)], "unit string"), True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plans = [p for p in seen if "_prefixed" in p]
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0] and len(re.findall(r"Exchange hashpartitioning\(block", plans[0])) == 1
