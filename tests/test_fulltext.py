@@ -301,3 +301,20 @@ def test_postings_are_not_shuffled_to_find_their_prefixes(spark, built, monkeypa
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plans = [p for p in seen if "_prefixed" in p]
     assert len(plans) == 1 and "SortMergeJoin" not in plans[0] and len(re.findall(r"Exchange hashpartitioning\(block", plans[0])) == 1
+
+
+def test_refreshed_queries_begin_as_the_sessions_index(spark, monkeypatch):
+    """It is built once and stays as it is; of the refreshed one only what it replaced is removed."""
+    from lorebase.plans import indexing_queries as Q
+
+    sf, builds, one = "/root/testdata/sf0.001/../sf0.001", [], X.build
+    monkeypatch.setattr(X, "build", lambda *a: builds.append(a) or one(*a))
+    for _ in range(2):
+        store = Q.refreshed_index(spark, sf)
+    held = Q.index_of(spark, sf)
+    assert len(builds) == 1 and held.version == 1 and store.versions() == [2]
+    pieces = {p.path.rsplit("/", 1)[-1] for p in store.snapshot().tables["postings"].pieces}
+    assert {p.name for p in Path(f"{store.root.removeprefix('file:')}/data/postings").iterdir()} == pieces
+    n = lambda s: s.read("members").agg(F.sum(F.size("docs"))).first()[0]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert n(held) == docs.count() and n(store.snapshot()) == docs.where("doc_id % 11 <> 0").count()
